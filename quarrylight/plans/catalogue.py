@@ -5,6 +5,400 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quarrylight.functions import text as tx
+from quarrylight.functions import versions as vs
+from quarrylight.operators import chunking, graph, health, metrics, relational, retrieval
+from quarrylight.sources import manifests, python_code
+from quarrylight.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- retrieval ---------------------------------------------------------------------------------
+
+TERMS = ["the", "and"]
+_BM25 = """
+WITH tok AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS t FROM documents),
+c AS (SELECT doc_id, lang, len(t) AS n, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'and')) AS b FROM tok),
+s AS (SELECT count(*) AS n, avg(n) AS av, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM c),
+r AS (SELECT doc_id, lang,
+  CASE WHEN a > 0 THEN ln(1 + (s.n - da + 0.5) / (da + 0.5)) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * c.n / av)) ELSE 0 END +
+  CASE WHEN b > 0 THEN ln(1 + (s.n - db + 0.5) / (db + 0.5)) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * c.n / av)) ELSE 0 END AS raw FROM c, s)
+"""
+
+
+def _lexical(spark, d, where=None, limit=20):
+    hits = retrieval.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text", where)
+    hits = retrieval.normalised(hits, "raw_score", "score").withColumn("raw_score", F.round("raw_score", 6))
+    return retrieval.top(hits, "raw_score", "doc_id", limit)
+
+
+@query(_BM25 + "SELECT doc_id, round(raw, 6) AS raw_score, round(raw / max(raw) OVER (), 6) AS score, row_number() OVER (ORDER BY round(raw, 6) DESC, doc_id)::INT AS rank FROM r WHERE raw > 0.001 ORDER BY round(raw, 6) DESC, doc_id LIMIT 20")
+def bm25_topk(spark, d):
+    return _lexical(spark, d).select("doc_id", "raw_score", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_BM25 + "SELECT doc_id, round(raw, 6) AS raw_score, row_number() OVER (ORDER BY round(raw, 6) DESC, doc_id)::INT AS rank FROM r WHERE raw > 0.001 AND lower(lang) = 'fr' ORDER BY round(raw, 6) DESC, doc_id LIMIT 20")
+def bm25_filtered(spark, d):
+    """The statistics cover all documents; only French ones are scored."""
+    return _lexical(spark, d, F.lower("lang") == "fr").select("doc_id", "raw_score", "rank")
+
+
+@query("""
+WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents),
+u AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+s AS (SELECT n, CASE WHEN length(w) <= 4 THEN []
+  WHEN w LIKE '%ation' THEN [w[:-6], w[:-6] || 'ate'] WHEN w LIKE '%ing' AND length(w) > 5 THEN [w[:-4]] WHEN w LIKE '%ed' THEN [w[:-3], w[:-2]]
+  WHEN w LIKE '%es' THEN [w[:-3]] WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN [w[:-2]] ELSE [] END AS stems FROM u)
+SELECT stem, sum(n)::BIGINT AS n FROM (SELECT unnest(stems) AS stem, n FROM s) GROUP BY stem""")
+def stem_tokens(spark, d):
+    """How often each stem stands behind the corpus's words; words are counted before they are stemmed."""
+    counts = table(spark, d, "documents").select(F.explode(tx.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.explode(tx.stems(F.col("w"))).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+_PROBE = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+_COS = f"""
+WITH p AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT vec_id, round((list_cosine_similarity(e, q) + 1) / 2, 6) AS similarity FROM v, p)
+"""
+
+
+def _probe(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+
+
+@query(_COS + "SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id)::INT AS rank FROM s WHERE similarity > 0.1 ORDER BY similarity DESC, vec_id LIMIT 20")
+def cosine_topk(spark, d):
+    hits = retrieval.similar(table(spark, d, "embeddings"), _probe(spark, d), "vec_id", "embedding")
+    return retrieval.top(hits.withColumn("similarity", F.round("similarity", 6)), "similarity", "vec_id", 20)
+
+
+@query(_BM25 + "," + _COS.strip()[4:].replace("s AS (SELECT vec_id, round", "cs AS (SELECT vec_id, round") + """,
+l AS (SELECT doc_id, row_number() OVER (ORDER BY round(raw, 6) DESC, doc_id) AS rank FROM r WHERE raw > 0.001 QUALIFY rank <= 40),
+m AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM cs WHERE similarity > 0.1 QUALIFY rank <= 40)
+SELECT coalesce(doc_id, vec_id) AS doc_id, l.rank::INT AS a_rank, m.rank::INT AS b_rank, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + m.rank), 0), 9) AS rrf
+FROM l FULL OUTER JOIN m ON doc_id = vec_id""")
+def hybrid_rrf(spark, d):
+    lexical = _lexical(spark, d, limit=40).select("doc_id", "rank")
+    hits = retrieval.similar(table(spark, d, "embeddings"), _probe(spark, d), "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+    near = retrieval.top(hits, "similarity", "vec_id", 40).select(F.col("vec_id").alias("doc_id"), "rank")
+    return retrieval.fused(lexical, near, "doc_id").withColumn("rrf", F.round("rrf", 9))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL),
+h AS (SELECT doc_id, n, ('0x' || substr(sha256(w), 1, 8))::BIGINT AS h FROM u)
+SELECT doc_id, (h % 64)::INT AS bucket, sum(CASE WHEN (h >> 1) & 1 = 0 THEN n ELSE -n END)::BIGINT AS value FROM h GROUP BY ALL""")
+def feature_hash_buckets(spark, d):
+    """Word counts hashed to 64 signed buckets; a document's words are counted before they are hashed."""
+    counts = table(spark, d, "documents").select("doc_id", F.explode(tx.words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    signed = F.sum(tx.hash_sign(F.col("w")).cast("long") * F.col("n"))
+    return counts.groupBy("doc_id", tx.hash_bucket(F.col("w"), 64).alias("bucket")).agg(signed.alias("value"))
+
+
+# --- chunks and texts --------------------------------------------------------------------------
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+w AS (SELECT doc_id, s, len(s) AS n, unnest(range(0, 1 + ceil(greatest(len(s) - 50, 0) / 45.0)::BIGINT)) AS i FROM l),
+c AS (SELECT doc_id, i, 1 + 45 * i AS a, least(n, 50 + 45 * i) AS b, array_to_string(s[1 + 45 * i : 50 + 45 * i], chr(10)) AS x FROM w)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, a::INT AS start_line, b::INT AS end_line, sha256(x) AS content_hash
+FROM c WHERE regexp_matches(x, '\S')""")
+def chunk_line_window(spark, d):
+    cut = chunking.line_windows(table(spark, d, "documents"), "doc_id", "text")
+    return cut.select("doc_id", "chunk_index", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'One', 1, 2, 3), (1, 'Two x', 2, 4, 4), (2, 'Only', 4, 1, 1)) v(doc, title, level, start_line, end_line)""")
+def chunk_headings(spark, d):
+    rows = [(1, "before\n# One\nbody\n## Two x"), (2, "#### Only"), (3, "none\n##### five")]
+    return chunking.headings(spark.createDataFrame(rows, "doc int, text string"), "doc", "text")
+
+
+@query(r"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+f AS (SELECT doc_id, s, 1 AS line, strlen(s[1]) + 1 AS size, 1 AS part FROM l
+  UNION ALL
+  SELECT doc_id, s, line + 1, CASE WHEN size + strlen(s[line + 1]) + 1 > 8192 THEN strlen(s[line + 1]) + 1 ELSE size + strlen(s[line + 1]) + 1 END,
+         CASE WHEN size + strlen(s[line + 1]) + 1 > 8192 THEN part + 1 ELSE part END FROM f WHERE line < len(s))
+SELECT doc_id, part, min(line) AS start_line, max(line) AS end_line FROM f GROUP BY doc_id, part""")
+def chunk_byte_split(spark, d):
+    return chunking.byte_parts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(r"""SELECT doc_id, source || '/' || doc_id || ':L1-L' || len(string_split(text, chr(10))) AS citation,
+md5(array_to_string(string_split(text, chr(10))[1:8], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 8 THEN chr(10) || '... [' || (len(string_split(text, chr(10))) - 8) || ' more lines]' ELSE '' END) AS excerpt FROM documents""")
+def excerpt_citation(spark, d):
+    docs = table(spark, d, "documents")
+    cite = F.concat("source", F.lit("/"), "doc_id", F.lit(":L1-L"), F.size(F.split("text", "\n")))
+    return docs.select("doc_id", cite.alias("citation"), F.md5(tx.excerpt(F.col("text"))).alias("excerpt"))
+
+
+def _redact_sql(x: str) -> str:
+    for p in tx.INJECTIONS:
+        x = f"regexp_replace({x}, '{p}', '{tx.REDACTED}', 'gi')"
+    return x
+
+
+@query(f"SELECT conv_id, turn, md5({_redact_sql('text')}) AS redacted, {_redact_sql('text')} <> text AS suspicious FROM conversations")
+def prompt_redaction(spark, d):
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.md5(tx.redacted(F.col("text"))).alias("redacted"), tx.suspicious(F.col("text")).alias("suspicious"))
+
+
+# --- inventory ---------------------------------------------------------------------------------
+
+_LINES = "CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END"
+
+
+@query(f"SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum({_LINES})::BIGINT AS lines, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS percentage FROM documents GROUP BY lang")
+def language_distribution(spark, d):
+    files = table(spark, d, "documents").select("lang", F.octet_length("text").alias("size"), tx.line_count(F.col("text")).alias("n"))
+    return metrics.distribution(files, "lang", "size", "n")
+
+
+@query("""WITH p AS (SELECT ltrim(regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1), '/') AS path, strlen(html) AS n FROM pages)
+SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '/ (root)' END AS directory, count(*) AS files, sum(n)::BIGINT AS bytes FROM p GROUP BY 1""")
+def top_dirs(spark, d):
+    path = F.ltrim(F.regexp_extract("url", r"^[a-z]+://[^/]*(/.*)$", 1), F.lit("/"))
+    files = table(spark, d, "pages").select(tx.top_directory(path).alias("directory"), F.octet_length("html").alias("n"))
+    return files.groupBy("directory").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("bytes"))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS size FROM documents ORDER BY 2 DESC, 1 LIMIT 10")
+def largest_files(spark, d):
+    return metrics.largest(table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")), "doc_id", "size")
+
+
+SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
+_SEV = "CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'signup' THEN 'MEDIUM' WHEN 'click' THEN 'LOW' END"
+
+
+def _severity():
+    e = F.col("event_type")
+    return F.when(e == "error", "CRITICAL").when(e == "purchase", "HIGH").when(e == "signup", "MEDIUM").when(e == "click", "LOW")
+
+
+@query(f"SELECT value, count(s)::BIGINT AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) v(value) LEFT JOIN (SELECT {_SEV} AS s FROM events) ON s = value GROUP BY value")
+def severity_histogram(spark, d):
+    return relational.histogram(table(spark, d, "events"), _severity(), SEVERITIES)
+
+
+# --- filters, latest rows, duplicates ------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' AND upper(o_orderstatus) = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 50")
+def paged_filter(spark, d):
+    kept = table(spark, d, "orders").filter(relational.matches("o_orderpriority", "Urgent") & (F.upper("o_orderstatus") == "O"))
+    return relational.page(kept, [F.desc("o_totalprice"), "o_orderkey"], 2, 50).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_per_group(spark, d):
+    """The latest finished order of a customer, or the latest of any kind."""
+    order = F.struct(F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")
+    return relational.latest(table(spark, d, "orders"), ["o_custkey"], order, ["o_orderkey", "o_totalprice"])
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, line::INT AS line, row_number() OVER w::INT AS occurrence, min(line) OVER (PARTITION BY doc_id, x)::INT AS first_line FROM l WHERE trim(x) <> '' WINDOW w AS (PARTITION BY doc_id, x ORDER BY line) QUALIFY occurrence > 1""")
+def repeated_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    lines = lines.filter(F.trim("x") != "").select("doc_id", "x", (F.col("i") + 1).alias("line"))
+    return relational.repeats(lines, ["doc_id", "x"], "line").select("doc_id", "line", "occurrence", "first_line")
+
+
+@query("SELECT fp AS fingerprint, min(event_id) AS event_id, count(*) AS n FROM (SELECT event_id, sha256(user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d')) AS fp FROM events) GROUP BY fp")
+def fingerprint_dedup(spark, d):
+    fp = tx.fingerprint(F.col("user_id"), F.col("event_type"), F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, d, "events").groupBy(fp.alias("fingerprint")).agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH dec AS (SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_size <= 40), res AS (SELECT l_partkey AS k, CASE WHEN min(l_linenumber) > 1 THEN '' ELSE max(l_shipdate)::DATE::VARCHAR END AS v FROM lineitem GROUP BY l_partkey)
+SELECT dec.k, dec.v AS declared, nullif(res.v, '') AS resolved, true AS is_direct FROM dec LEFT JOIN res USING (k)
+UNION ALL SELECT res.k, NULL, res.v, false FROM res WHERE NOT EXISTS (SELECT 1 FROM dec WHERE dec.k = res.k AND coalesce(res.v, '') <> '')""")
+def reconcile_left_anti_union(spark, d):
+    declared = table(spark, d, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("version"))
+    when = F.when(F.min("l_linenumber") > 1, "").otherwise(F.max("l_shipdate").cast("date").cast("string"))
+    resolved = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(when.alias("version"))
+    return relational.reconcile(declared, resolved, "k")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS a, (floor(epoch(ts)) + floor(value * 60))::BIGINT AS b FROM events)
+SELECT x.user_id, x.event_id AS a_id, y.event_id AS b_id FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.a <= y.b AND y.a <= x.b""")
+def interval_conflicts(spark, d):
+    at = F.unix_timestamp("ts")
+    spans = table(spark, d, "events").select("user_id", "event_id", at.alias("a"), (at + F.floor(F.col("value") * 60)).cast("long").alias("b"))
+    return relational.overlaps(spans, "user_id", "event_id", "a", "b", 6 * 3600)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def ci_idempotent_ingest(spark, d):
+    """Two deliveries of one batch, the second after the first is stored: every key once."""
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    once = ingest.fresh(rows, None, ["user_id", "event_type"], "event_id")
+    return once.unionByName(ingest.fresh(rows, once, ["user_id", "event_type"], "event_id"))
+
+
+# --- versions ----------------------------------------------------------------------------------
+
+_VERSIONS = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "v1.2", "2", "10.0.0", "bad", "1.02.3"]
+
+
+@query("SELECT v AS version, r::INT AS rank FROM (VALUES " + ", ".join(f"('{v}', {i + 1 if i < 11 else 'NULL'})" for i, v in enumerate(_VERSIONS)) + ") t(v, r)")
+def semver_match(spark, d):
+    rows = spark.createDataFrame([(v,) for v in _VERSIONS], "version string").withColumn("key", vs.semver_key(F.col("version")))
+    ranked = rows.withColumn("rank", F.when(F.col("key").isNotNull(), F.row_number().over(W.orderBy(F.col("key").asc_nulls_last()))))
+    return ranked.select("version", "rank")
+
+
+_EVENTS = [("introduced", "0"), ("fixed", "1.2.0"), ("introduced", "2.0.0"), ("last_affected", "2.3.0")]
+_OSV = [("0.1.0", True), ("1.1.9", True), ("1.2.0", False), ("1.9.0", False), ("2.0.0-rc.1", False), ("2.0.0", True), ("2.3.0", True), ("2.3.1", False)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{v}', {str(m).lower()}, '{'1.2.0' if v < '1.2.0' else '3.0.0'}')" for v, m in _OSV) + ") t(version, matched, fix)")
+def osv_match(spark, d):
+    events = F.array(*[F.struct(F.lit(k).alias("kind"), vs.semver_key(F.lit("0.0.0" if v == "0" else v)).alias("key")) for k, v in _EVENTS])
+    fixes = F.array(*[F.struct(vs.semver_key(F.lit(v)).alias("key"), F.lit(v).alias("text")) for v in ("1.2.0", "3.0.0")])
+    rows = spark.createDataFrame([(v,) for v, _ in _OSV], "version string").withColumn("key", vs.semver_key(F.col("version")))
+    return rows.select("version", vs.in_events(F.col("key"), events).alias("matched"), vs.remediation(F.col("key"), fixes).alias("fix"))
+
+
+# --- graphs, governance ------------------------------------------------------------------------
+
+_EDGES = """
+WITH e AS (SELECT s_nationkey AS source, c_nationkey AS target, sum(round(l_extendedprice * 100)::BIGINT) AS revenue
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+g AS (SELECT source, target FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY revenue DESC, target) <= 3)
+"""
+
+
+def _edges(spark, d):
+    joined = (
+        table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    revenue = joined.groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("revenue"))
+    best = F.row_number().over(W.partitionBy("source").orderBy(F.desc("revenue"), "target"))
+    return revenue.withColumn("r", best).filter("r <= 3").select("source", "target")
+
+
+@query(_EDGES + """, o AS (SELECT source AS m, count(*) AS ce FROM g WHERE source <> target GROUP BY 1), i AS (SELECT target AS m, count(*) AS ca FROM g WHERE source <> target GROUP BY 1)
+SELECT n_nationkey AS module, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) > 0 THEN round(coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)), 4) END AS instability
+FROM nation LEFT JOIN o ON n_nationkey = o.m LEFT JOIN i ON n_nationkey = i.m""")
+def coupling_metrics(spark, d):
+    return graph.coupling(table(spark, d, "nation").select(F.col("n_nationkey").alias("module")), _edges(spark, d))
+
+
+@query(_EDGES.replace("WITH e", "WITH RECURSIVE e") + """, t AS (SELECT source AS a, target AS b FROM g UNION SELECT t.a, g.target FROM t JOIN g ON t.b = g.source)
+SELECT x.a AS node, min(x.b) AS component FROM t x JOIN t y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
+def scc_cycles(spark, d):
+    return graph.strong_components(_edges(spark, d))
+
+
+LAYERS = [("units", ["*_?"]), ("teens", ["*_1*", "NATION_20"]), ("rest", ["*"])]
+
+
+@query("""SELECT n_nationkey, n_name, CASE WHEN regexp_full_match(n_name, '.*_.') THEN 'units' WHEN contains(n_name, '_1') OR n_name = 'NATION_20' THEN 'teens' ELSE 'rest' END AS layer FROM nation""")
+def layer_match(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", "n_name", graph.layer_of(F.col("n_name"), LAYERS).alias("layer"))
+
+
+@query(_EDGES + """, r AS (SELECT source, target, a.n_regionkey::VARCHAR AS fl, b.n_regionkey::VARCHAR AS tl FROM g JOIN nation a ON source = a.n_nationkey JOIN nation b ON target = b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey)
+SELECT 'no-1-3' AS rule_id, source, target, fl AS from_layer, tl AS to_layer FROM r WHERE fl = '1' AND tl = '3' UNION ALL SELECT 'only-0-1', source, target, fl, tl FROM r WHERE fl = '0' AND tl NOT IN ('0', '1')""")
+def layer_violations(spark, d):
+    layers = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("layer"))
+    edges = _edges(spark, d).join(layers.select(F.col("n_nationkey").alias("source"), F.col("layer").alias("from_layer")), "source").join(layers.select(F.col("n_nationkey").alias("target"), F.col("layer").alias("to_layer")), "target")
+    rules = spark.createDataFrame([("no-1-3", "1", "3", None), ("only-0-1", "0", None, ["0", "1"])], "rule_id string, layer string, forbidden string, allowed array<string>")
+    return graph.rule_violations(edges, rules)
+
+
+@query(_EDGES + """SELECT source, target FROM g JOIN nation a ON source = a.n_nationkey JOIN nation b ON target = b.n_nationkey WHERE regexp_full_match(a.n_name, '.*_1.') AND contains(b.n_name, '_2')""")
+def forbidden_patterns(spark, d):
+    names = table(spark, d, "nation").select("n_nationkey", "n_name")
+    edges = _edges(spark, d).join(names.select(F.col("n_nationkey").alias("source"), F.col("n_name").alias("a")), "source").join(names.select(F.col("n_nationkey").alias("target"), F.col("n_name").alias("b")), "target")
+    return edges.filter(graph.glob(F.col("a"), "*_1?") & graph.glob(F.col("b"), "*_2*")).select("source", "target")
+
+
+# --- health, audit -----------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'click') AS k, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'view') AS v FROM events GROUP BY 1),
+q AS (SELECT user_id, greatest(0, least(100, 100.0 - 4 * (e // 4) - 2 * (k // 4) - 3 * (s // 4)))::DOUBLE AS m,
+ CASE WHEN e % 5 <> 0 THEN greatest(0, 100.0 - 25 * (e // 10) - 6 * (p // 5))::DOUBLE END AS sec,
+ greatest(0, 100.0 - least(40, 10 * (e // 8)) - least(50, 15 * (s // 8)) - least(20, 2 * (v // 8)))::DOUBLE AS arch,
+ least(v, n - e) * 100.0::DOUBLE / n AS cov FROM c)
+SELECT user_id, round((m * 0.25 + coalesce(sec * 0.25, 0) + arch * 0.2 + cov * 0.1) / (0.25 + CASE WHEN sec IS NULL THEN 0 ELSE 0.25 END + 0.2 + 0.1), 6) AS score FROM q""")
+def health_score(spark, d):
+    """Pillars from each user's events; the security pillar is missing for some, the dependency pillar for all."""
+    e = F.col("event_type")
+    c = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(e == t).alias(t) for t in ("error", "click", "signup", "purchase", "view")])
+    part = lambda name, by: F.floor(F.col(name) / by)
+    pillars = {
+        "maintainability": health.maintainability(part("error", 4), part("click", 4), part("signup", 4)),
+        "security": F.when(F.col("error") % 5 != 0, F.greatest(F.lit(0.0), 100.0 - part("error", 10) * 25.0 - part("purchase", 5) * 6.0)),
+        "architecture": health.architecture(part("error", 8), part("signup", 8), part("view", 8)),
+        "coverage": health.coverage(F.least("view", F.col("n") - F.col("error")), F.col("n")),
+    }
+    return c.select("user_id", F.round(health.overall(pillars), 6).alias("score"))
+
+
+_STATE = "CASE WHEN event_type = 'error' AND value > 450 THEN 'FAILED' WHEN event_type = 'error' AND value > 300 THEN 'WARNING' WHEN event_type = 'error' THEN 'SKIPPED' WHEN value < 5 THEN 'ERROR' ELSE 'PASSED' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, {_STATE} AS st FROM events), c AS (SELECT user_id, count(*) FILTER (st = 'PASSED') AS passed, count(*) FILTER (st = 'FAILED') AS failed, count(*) FILTER (st = 'WARNING') AS warning, count(*) FILTER (st = 'SKIPPED') AS skipped, 0::BIGINT AS unsupported, count(*) FILTER (st = 'ERROR') AS error FROM s GROUP BY 1)
+SELECT *, CASE WHEN failed > 0 THEN 'FAILED' WHEN warning > 0 THEN 'WARNING' WHEN error > 0 THEN 'ERROR' ELSE 'PASSED' END AS overall FROM c""")
+def audit_rollup(spark, d):
+    return table(spark, d, "events").withColumn("st", F.expr(_STATE)).groupBy("user_id").agg(*health.rollup(F.col("st")))
+
+
+# --- sources -----------------------------------------------------------------------------------
+
+_CODE = "import os\nimport os\nimport pickle\ndef run(q, cur):\n    os.system(q)\n    eval(q)\n    eval('1')\n    cur.execute(f'select {q}')\n    return pickle.loads(q)\n"
+
+
+@query("SELECT * FROM (VALUES ('PY-IMPORT-001', 'LOW', 'a.py', 2), ('PYSEC003', 'HIGH', 'a.py', 5), ('PYSEC001', 'HIGH', 'a.py', 6), ('PYSEC001', 'MEDIUM', 'a.py', 7), ('PYSEC006', 'HIGH', 'a.py', 8), ('PYSEC002', 'CRITICAL', 'a.py', 9), ('PY-SYNTAX-001', 'HIGH', 'b.py', 1)) t(rule_id, severity, path, line)")
+def ast_findings(spark, d):
+    rows = [("a.py", _CODE), ("b.py", "def (:\n")]
+    return python_code.findings(python_code.facts(spark.createDataFrame(rows, "path string, content string")))
+
+
+@query("""SELECT * FROM (VALUES ('r/requirements.txt', 'pypi', 'my-lib', '==1.2', '1.2', 'runtime', true), ('r/requirements.txt', 'pypi', 'other', '>=2,<3', NULL, 'runtime', true),
+('r/package.json', 'npm', 'left', '^1.0.0', NULL, 'runtime', true), ('r/package-lock.json', 'npm', 'left', '', '1.0.4', 'runtime', NULL), ('r/yarn.lock', 'npm', '@s/x', '', '3.1.0', 'runtime', NULL)) t(path, ecosystem, package, "constraint", resolved, kind, is_direct)""")
+def manifest_inventory(spark, d):
+    rows = [
+        ("r/requirements.txt", "My_Lib==1.2  # pinned\n-r more.txt\nother >=2,<3\n"),
+        ("r/package.json", '{"dependencies": {"left": "^1.0.0"}}'),
+        ("r/package-lock.json", '{"packages": {"": {}, "node_modules/left": {"version": "1.0.4"}}}'),
+        ("r/yarn.lock", '# v1\n\n"@s/x@^3.0.0":\n  version "3.1.0"\n'),
+        ("r/readme.md", "text"),
+    ]
+    return manifests.inventory(spark.createDataFrame(rows, "path string, content string"))
+
+
+@query()
+def sarif_results(spark, d):
+    rows = [("a.py", _CODE)]
+    return python_code.sarif(python_code.findings(python_code.facts(spark.createDataFrame(rows, "path string, content string"))))

@@ -1,0 +1,92 @@
+"""Python sources as rows of functions, imports and calls; the rules over them are DataFrame filters."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+SCHEMA = "path string, kind string, name string, line int, end_line int, value int, detail string"
+BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension, ast.IfExp)
+
+
+def _complexity(function: ast.AST) -> int:
+    total, own = 1, {id(c) for c in ast.iter_child_nodes(function) if isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))}
+    inner = {id(n) for c in ast.iter_child_nodes(function) if id(c) in own for n in ast.walk(c)}
+    for n in ast.walk(function):
+        if id(n) not in inner:
+            total += isinstance(n, BRANCHES) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0)
+    return total
+
+
+def _facts(text: str) -> Iterator[tuple]:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError) as e:
+        yield "syntax_error", str(getattr(e, "msg", e)), getattr(e, "lineno", None) or 1, getattr(e, "lineno", None) or 1, 0, ""
+        return
+    for n in ast.walk(tree):
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            yield "function", n.name, n.lineno, n.end_lineno, _complexity(n), ""
+        elif isinstance(n, ast.ClassDef):
+            yield "class", n.name, n.lineno, n.end_lineno, sum(isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) for x in n.body), ""
+        elif isinstance(n, ast.Import):
+            for a in n.names:
+                yield "import", a.name, n.lineno, n.end_lineno, 0, f"{a.name}||{a.asname or ''}"
+        elif isinstance(n, ast.ImportFrom):
+            for a in n.names:
+                yield "import", "." * n.level + (n.module or ""), n.lineno, n.end_lineno, n.level, f"{n.module or ''}|{a.name}|{a.asname or ''}"
+        elif isinstance(n, ast.Call):
+            words = {k.arg: getattr(k.value, "value", None) for k in n.keywords if k.arg}
+            first = type(n.args[0]).__name__ if n.args else ""
+            yield "call", ast.unparse(n.func), n.lineno, n.end_lineno, len(n.args), f"{first}|" + ",".join(f"{k}={v}" for k, v in sorted(words.items()))
+
+
+def facts(sources: DataFrame) -> DataFrame:
+    """(path, content) rows to one row per function, class, import, call or syntax error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, *f) for p, t in zip(batch["path"], batch["content"], strict=True) if t is not None for f in _facts(t)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return sources.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def findings(found: DataFrame) -> DataFrame:
+    """rule_id, severity, path, line: the rules as one pass of conditions, and repeated imports by a window."""
+    call, detail = F.col("name"), F.col("detail")
+    literal = detail.startswith("Constant|")
+    fields = lambda rule, severity: F.struct(F.lit(rule).alias("rule_id"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))
+    is_call, is_function = F.col("kind") == "call", F.col("kind") == "function"
+    rules = F.array(
+        F.when(F.col("kind") == "syntax_error", fields("PY-SYNTAX-001", "HIGH")),
+        F.when(is_function & (F.col("value") > 10), fields("PY-COMPLEXITY-001", "MEDIUM")),
+        F.when(is_function & (F.col("end_line") - F.col("line") + 1 > 50), fields("PY-FUNCTION-001", "LOW")),
+        F.when(is_call & call.isin("eval", "exec"), fields("PYSEC001", F.when(literal, "MEDIUM").otherwise("HIGH"))),
+        F.when(is_call & call.rlike(r"^(pickle|cPickle|shelve)\.(loads?|open|Unpickler)$"), fields("PYSEC002", "CRITICAL")),
+        F.when(is_call & (call.isin("os.system", "os.popen") | (call.startswith("subprocess.") & detail.contains("shell=True"))), fields("PYSEC003", "HIGH")),
+        F.when(is_call & call.isin("hashlib.md5", "hashlib.sha1"), fields("PYSEC004", F.when(detail.contains("usedforsecurity=False"), "INFO").otherwise("MEDIUM"))),
+        F.when(is_call & (detail.contains("verify=False") | (call == "ssl._create_unverified_context")), fields("PYSEC005", "HIGH")),
+        F.when(is_call & call.rlike(r"\.(execute|executemany|raw|execute_query)$") & detail.rlike(r"^(JoinedStr|BinOp)\|"), fields("PYSEC006", "HIGH")),
+    )
+    hits = found.select("path", "line", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("r.rule_id", "r.severity", "path", "line")
+    again = found.filter("kind = 'import'").withColumn("n", F.row_number().over(W.partitionBy("path", "detail").orderBy("line")))
+    return hits.unionByName(again.filter("n > 1").select(F.lit("PY-IMPORT-001").alias("rule_id"), F.lit("LOW").alias("severity"), "path", "line"))
+
+
+def sarif(found: DataFrame, tool: str = "quarrylight") -> DataFrame:
+    """One SARIF 2.1.0 result object a finding, as JSON; a report is these lines under one run.
+
+    Results stay rows, so a report of any size is written by all tasks.
+    """
+    level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")
+    place = F.struct(
+        F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation")
+    )
+    message = F.struct(F.concat_ws(" ", F.col("rule_id"), F.lit("at"), F.concat_ws(":", "path", F.col("line").cast("string"))).alias("text"))
+    return found.select("rule_id", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), message.alias("message"), F.array(place).alias("locations"))).alias("result"))
