@@ -15,25 +15,36 @@ from quarrylight.llm.common import appended, row_sums, slices, word_codes
 
 #: Rows of the embedding table that words and their character n-grams are hashed to.
 BUCKETS = 1 << 17
-#: The training sample: so many documents of each class at most, the first by a hash of the id; 64 MB of text in all.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 3000, 5000, 64_000_000
+#: The training sample: so many documents of each class at most, the first by a hash of the id; 32 million characters in all.
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 32_000_000
 NGRAMS = (3, 4, 5)
 #: Neutral words that every average holds besides the text's own, so that a few rare words do not decide a short text.
 PRIOR_WORDS = 5
+PORTION = 1 << 14
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|~`_-+=/\\…“”‘’«»¡¿"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bare(word: str) -> str:
+    """The word without punctuation at its edges; empty if no letter or digit is left."""
+    word = word.strip(EDGES)
+    return word if any(c.isalnum() for c in word) else ""
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of each word, and each word's offset into them.
 
     A word loses punctuation at its edges and is put between angle brackets; its
     subwords are the whole and its character n-grams. A word without letters or
-    digits has none.
+    digits has none. Words go in portions, which bounds the arrays in between.
     """
-    bare = [w.strip(EDGES) for w in words]
-    bare = [w if any(c.isalnum() for c in w) else "" for w in bare]
-    marked = [f"<{w}>" if w else "" for w in bare]
+    made = [_subwords(words[at : at + PORTION]) for at in range(0, len(words), PORTION)] or [_subwords([])]
+    counts = np.concatenate([n for _, n in made])
+    return np.concatenate([b for b, _ in made]), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    marked = [f"<{w}>" if w else "" for w in map(bare, words)]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -60,7 +71,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(owners, kind="stable")
     counts = np.bincount(owners, minlength=len(words))
     buckets = (keys >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)[order]
-    return buckets, np.concatenate([[0], np.cumsum(counts)])
+    return buckets, counts
 
 
 @dataclass
@@ -96,22 +107,20 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, width: int = 4, epo
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), base)
     words, codes, offsets = word_codes(pa.array(texts, pa.string()))
-    buckets, spans = subwords(words)
-    counts = np.diff(spans)
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    real = counts[codes] > 0
-    sizes = np.bincount(doc[real], minlength=len(texts)) + PRIOR_WORDS
-    pairs, times = np.unique(doc[real] * np.int64(len(words)) + codes[real], return_counts=True)
+    real = np.array([bool(bare(w)) for w in words], bool)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))[real[codes]]
+    sizes = np.bincount(doc, minlength=len(texts)) + PRIOR_WORDS
+    pairs, times = np.unique(doc * np.int64(len(words)) + codes[real[codes]], return_counts=True)
     doc, word = pairs // len(words), pairs % len(words)
-    # A word of one document only teaches nothing about others.
+    # A word of one document only teaches nothing about others. Subwords are made for the rest alone.
     common = np.bincount(word, minlength=len(words)) > 1
     doc, word, share = (x[common[word]] for x in (doc, word, times / sizes[doc]))
-    place = np.cumsum(common) - 1
-    word = place[word]
-    buckets, spans = buckets[np.repeat(common, counts)], np.concatenate([[0], np.cumsum(counts[common])])
-    counts = counts[common]
+    word = (np.cumsum(common) - 1)[word]
+    buckets, spans = subwords([w for w, c in zip(words, common, strict=True) if c])
+    counts = np.diff(spans)
+    del words, codes, pairs, times
     by_word = 1 / np.maximum(counts, 1)
-    owner = np.repeat(np.arange(len(counts)), counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.05, (BUCKETS, width)).astype(np.float32), rng.normal(0, 0.5, (width, 2)).astype(np.float32), np.zeros(2, np.float32)]
     table, soft, bias = params
