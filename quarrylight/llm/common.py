@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step inside a task holds as arrays.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
