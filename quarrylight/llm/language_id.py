@@ -132,8 +132,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Prototypes:
     return Prototypes([r["language"] for r, ok in zip(rows, real, strict=True) if ok], (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).round(6).astype(np.float32))
 
 
-def identified(docs: DataFrame, prototypes: Prototypes, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score, from the whole text alone.
+def identified(docs: DataFrame, prototypes: Prototypes, text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with the predicted language and its score, from the whole text alone.
 
     Null texts and texts without a letter are ``und`` with score 0.
     """
@@ -142,9 +142,9 @@ def identified(docs: DataFrame, prototypes: Prototypes, text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             names, scores = sent.value.predict(_texts(batch.column(text)))
-            yield appended(batch, lang_pred=pa.array(names, pa.string()), lang_score=pa.array(scores, pa.float64()))
+            yield appended(batch, **{pred: pa.array(names, pa.string()), score: pa.array(scores, pa.float64())})
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

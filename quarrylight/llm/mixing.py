@@ -61,18 +61,24 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     share their key's decision. An empty table gives no row.
     """
     keep = [key] if keep is None else keep
-    sized = docs.select(*keep, *[c for c in (source,) if c not in keep], word_count(text).alias("__size"), chance(key, seed).alias("__chance"))
+    found = _taken(docs, key, text, source, weights, most, seed, keep)
+    return found.select(*keep, *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
+
+
+def _taken(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float, ...], most: float, seed: int, keep: list[str]) -> DataFrame:
+    """``keep`` and what ``copies`` adds, under names that no column of ``docs`` has."""
+    sized = docs.select(*keep, F.col(source).alias("__source"), word_count(text).alias("__size"), chance(key, seed).alias("__chance"))
     targets = source_targets(docs.select(F.col(source).alias("source"), word_count(text).alias("size")), weights, most)
     targets = settled(targets, "targets")  # its size is then known before the join is planned
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = sized.join(targets, F.col(source).eqNullSafe(F.col("src")))
+    targets = targets.select(*[F.col(c).alias(f"__{c}") for c in ("src", "source_size", "target")])
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(targets, F.col("__source").eqNullSafe(F.col("__src")))
     whole = F.floor(rate)
     taken = (whole + F.when(F.col("__chance") < rate - whole, 1).otherwise(0)).cast("int")
-    return joined.select(*keep, F.col("__size").alias("size"), "source_size", "target", taken.alias("copies"))
+    return joined.withColumn("__copies", taken)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 9) -> DataFrame:
     """The mix itself: each row of ``docs``, whole and with all its columns, as often as it is taken."""
-    columns = docs.columns
-    taken = copies(docs, keep=columns, **options).select(*columns, F.col("copies").alias("__copies"))
-    return taken.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    taken = _taken(docs, key, text, source, weights, most, seed, docs.columns).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

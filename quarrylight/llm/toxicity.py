@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,7 +95,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / (n + PRIOR_WORDS) + self.bias, -60, 60)))
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, width: int = 4, epochs: int = 120, rate: float = 0.1, gain: float = 20.0, decay: float = 2e-5, seed: int = 4) -> Model:
+def train(texts: pa.Array | pa.ChunkedArray | list[str], toxic: np.ndarray, prior: float, width: int = 4, epochs: int = 120, rate: float = 0.1, gain: float = 20.0, decay: float = 2e-5, seed: int = 4) -> Model:
     """Fits embeddings and softmax together by full-batch Adam on the cross-entropy.
 
     A document is the mean over its words (and PRIOR_WORDS neutral ones) of the mean
@@ -106,7 +107,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, width: int = 4, epo
     base = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), base)
-    words, codes, offsets = word_codes(pa.array(texts, pa.string()))
+    words, codes, offsets = word_codes(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()))
     real = np.array([bool(bare(w)) for w in words], bool)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))[real[codes]]
     sizes = np.bincount(doc, minlength=len(texts)) + PRIOR_WORDS
@@ -163,32 +164,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = F.xxhash64("id", F.lit(seed))
     chosen = known.filter("y = 1").orderBy(order, "id").limit(MOST_TOXIC).unionByName(known.filter("y = 0").orderBy(order, "id").limit(MOST_CLEAN))
     body = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    read = body.join(F.broadcast(chosen), F.col("k") == F.col("id"))  # MOST_TOXIC + MOST_CLEAN rows at most
-    rows, chars = [], 0
-    for r in sorted(_bounded(read), key=lambda r: (r["k"], r["body"])):
-        if rows and chars + len(r["body"]) > MOST_CHARS:
-            continue
-        chars += len(r["body"])
-        rows.append(r)
+    read = body.join(F.broadcast(chosen), F.col("k") == F.col("id")).select("k", "y", "body")  # MOST_TOXIC + MOST_CLEAN rows at most
+    # One document an id, so repeated ids cannot outgrow the bound.
+    got = read.groupBy("k", "y").agg(F.min("body").alias("body")).toArrow().sort_by("k")
+    fits = np.cumsum(pc.utf8_length(got["body"]).to_numpy()) <= MOST_CHARS
+    got = got.filter(pa.array(fits))
     total = sum(shares.values())
-    return train([r["body"] for r in rows], np.array([r["y"] for r in rows]), shares.get(1, 0) / total if total else 0.5, seed=seed)
+    return train(got["body"], got["y"].to_numpy(), shares.get(1, 0) / total if total else 0.5, seed=seed)
 
 
-def _bounded(read: DataFrame) -> list:
-    """The sample's rows: one document an id, so repeated ids cannot outgrow the bound."""
-    return read.groupBy("k", "y").agg(F.min("body").alias("body")).collect()
-
-
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` double, from the whole text alone; null and empty texts get the prior's score."""
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with ``name`` double, from the whole text alone; null and empty texts get the prior's score."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # one float a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            yield appended(batch, toxicity=pa.array(sent.value.scores(batch.column(text)), pa.float64()))
+            yield appended(batch, **{name: pa.array(sent.value.scores(batch.column(text)), pa.float64())})
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_on, key: str = "doc_id", text: str = "text") -> DataFrame:
