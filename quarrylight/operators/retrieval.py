@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import words
 from quarrylight.functions.vectors import shifted_cosine
 
 K1, B, RRF = 1.5, 0.75, 60
 LEAST_SCORE, LEAST_SIMILARITY = 0.001, 0.1
 
 
-def bm25(docs: DataFrame, query: list[str], key: str, text: str, where: Column | None = None, bonus: Column | None = None, tokens=words) -> DataFrame:
+def bm25(docs: DataFrame, query: list[str], key: str, text: str, where: Column | None = None, bonus: Column | None = None, tokens=None) -> DataFrame:
     """key and raw_score of every row that ``query`` scores on.
 
     Corpus statistics cover all of ``docs``; ``where`` only narrows what is scored.
     No token is shuffled: each row's length and term counts are found in place, and
-    one row of statistics (a count per query term) is joined to all.
+    one row of statistics (a count per query term) is joined to all. Plain words are
+    counted by pattern; ``tokens`` (a column builder, such as code_tokens) gives
+    arrays to count in instead.
     """
     terms = list(dict.fromkeys(query))
-    read = docs.select("*", tokens(F.col(text)).alias("__tokens"))
-
-    def times(term: str) -> Column:
-        return F.size(F.filter("__tokens", lambda t: t == term))
-
-    counts = [times(q).alias(f"__tf{i}") for i, q in enumerate(terms)]
-    counted = read.select(*docs.columns, F.size("__tokens").alias("__len"), *counts)
+    if tokens is None:
+        low = F.lower(F.coalesce(F.col(text), F.lit("")))
+        length = F.regexp_count(low, F.lit(r"[a-z0-9_]+"))
+        times = [F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){re.escape(q)}(?![a-z0-9_])")) for q in terms]
+        counted = docs.select(*docs.columns, length.alias("__len"), *[c.alias(f"__tf{i}") for i, c in enumerate(times)])
+    else:
+        read = docs.select("*", tokens(F.col(text)).alias("__tokens"))
+        times = [_times(q) for q in terms]
+        counted = read.select(*docs.columns, F.size("__tokens").alias("__len"), *[c.alias(f"__tf{i}") for i, c in enumerate(times)])
     stats = counted.agg(
         F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))]
     )
@@ -41,6 +46,10 @@ def bm25(docs: DataFrame, query: list[str], key: str, text: str, where: Column |
     return scored.join(F.broadcast(stats)).select(key, score.alias("raw_score")).filter(F.col("raw_score") > LEAST_SCORE)
 
 
+def _times(term: str) -> Column:
+    return F.size(F.filter("__tokens", lambda t: t == term))
+
+
 def similar(vectors: DataFrame, query: list[float], key: str, vector: str) -> DataFrame:
     """key and similarity on the shifted scale of rows above the cut."""
     probe = F.array(*[F.lit(float(x)) for x in query])
@@ -53,10 +62,10 @@ def top(hits: DataFrame, score: str, key: str, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), key)))
 
 
-def normalised(hits: DataFrame, score: str, name: str) -> DataFrame:
-    """Scores over the largest among all hits, before any limit."""
-    most = hits.agg(F.max(score).alias("__most"))
-    return hits.join(F.broadcast(most)).withColumn(name, F.when(F.col("__most") > 0, F.col(score) / F.col("__most")).otherwise(F.lit(0.0))).drop("__most")
+def normalised(best: DataFrame, score: str, name: str) -> DataFrame:
+    """Scores over the largest among all hits. ``best``: what ``top`` left, which has the largest in it."""
+    most = F.max(score).over(W.partitionBy())
+    return best.withColumn(name, F.when(most > 0, F.col(score) / most).otherwise(F.lit(0.0)))
 
 
 def fused(left: DataFrame, right: DataFrame, key: str, k: int = RRF) -> DataFrame:

@@ -47,8 +47,8 @@ r AS (SELECT doc_id, lang,
 
 def _lexical(spark, d, where=None, limit=20):
     hits = retrieval.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text", where)
-    hits = retrieval.normalised(hits, "raw_score", "score").withColumn("raw_score", F.round("raw_score", 6))
-    return retrieval.top(hits, "raw_score", "doc_id", limit)
+    hits = hits.select("doc_id", F.col("raw_score").alias("raw"), F.round("raw_score", 6).alias("raw_score"))
+    return retrieval.normalised(retrieval.top(hits, "raw_score", "doc_id", limit), "raw", "score")
 
 
 @query(_BM25 + "SELECT doc_id, round(raw, 6) AS raw_score, round(raw / max(raw) OVER (), 6) AS score, row_number() OVER (ORDER BY round(raw, 6) DESC, doc_id)::INT AS rank FROM r WHERE raw > 0.001 ORDER BY round(raw, 6) DESC, doc_id LIMIT 20")

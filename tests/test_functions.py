@@ -85,3 +85,11 @@ def test_stream_equals_batch(spark, tmp_path):
         rows.write.mode("append").parquet(source)
         ingest.start(spark.readStream.schema(rows.schema).parquet(source), sink, str(tmp_path / "check"), ["k"], "n").awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(sink).select("k", "v", "n").collect())) == [(1, "a", 3), (2, "b", 4)]
+
+
+def test_bm25_by_pattern_and_by_tokens(spark):
+    from quarrylight.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "the_x the The"), (2, None), (3, "end of the end."), (4, "theend")], "id int, text string")
+    rows = [{r["id"]: round(r["raw_score"], 9) for r in retrieval.bm25(docs, ["the", "end"], "id", "text", tokens=t).collect()} for t in (None, tx.words)]
+    assert rows[0] == rows[1] and set(rows[0]) == {1, 3}
