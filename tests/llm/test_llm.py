@@ -305,6 +305,12 @@ def test_wrappers(spark):
     assert got[9]["text"] == got[10]["text"] == "" and got[11]["text"] == "A\nb & c"
 
 
+def test_deep_nesting():
+    deep = "<div>" * 5000 + "<p>in</p>" + "</div>" * 5000
+    page = f"<body><nav>{'<div>' * 3000}m{'</div>' * 3000}</nav><article>{deep}<p>after</p></article><footer>f</footer></body>"
+    assert html_extract.Extractor(html_extract.infer([page, page]), 2).text(page) == "in\nafter"
+
+
 def test_alignment_makes_slots_options_and_repeats():
     made = html_extract.infer(["<ul><li>a</li></ul><p>x</p>", "<ul><li>b</li><li>c</li></ul><hr><p>x</p>"])
     assert made == [["ul", False, False, [["li", False, True, [["#", False, False, None]]]]], ["hr", True, False, []], ["p", False, False, [["#", False, False, "x"]]]]
