@@ -68,3 +68,128 @@ def remediation(version: Column, fixes: Column) -> Column:
     """The least fix above the version, else the greatest. ``fixes``: array of (key, text)."""
     above = F.array_min(F.filter(fixes, lambda f: f["key"] > version))
     return F.coalesce(above, F.array_max(fixes))["text"]
+
+
+def _range_comparators(token: Column) -> Column:
+    """(op, key) pairs that one npm comparator stands for; none if its version cannot be read."""
+    op = F.regexp_extract(token, r"^(>=|<=|>|<|=|\^|~)?", 1)
+    key = semver_key(F.regexp_replace(token, r"^(>=|<=|>|<|=|\^|~)", ""))
+    none = F.array().cast("array<struct<alpha:int,number:bigint,name:string>>")
+    zero = F.lit(0).cast("bigint")
+
+    def release(major: Column, minor: Column, patch: Column) -> Column:
+        return F.struct(major.alias("major"), minor.alias("minor"), patch.alias("patch"), F.lit(1).alias("released"), none.alias("pre")).cast(KEY)
+
+    pair = lambda name, k: F.struct(F.lit(name).alias("op"), k.alias("key"))
+    breaking = (
+        F.when(key["major"] > 0, release(key["major"] + 1, zero, zero))
+        .when(key["minor"] > 0, release(zero, key["minor"] + 1, zero))
+        .otherwise(release(zero, zero, key["patch"] + 1))
+    )
+    plain = F.struct(F.when(op == "", "=").otherwise(op).alias("op"), key.alias("key"))
+    return (
+        F.when(key.isNull(), F.array().cast(f"array<struct<op:string,key:{KEY}>>"))
+        .when(op == "^", F.array(pair(">=", key), pair("<", breaking)))
+        .when(op == "~", F.array(pair(">=", key), pair("<", release(key["major"], key["minor"] + 1, zero))))
+        .otherwise(F.array(plain))
+    )
+
+
+def npm_branches(text: Column) -> Column:
+    """An npm range as an array of alternatives, each (any, comparators). Parse it once per range, not per version."""
+
+    def branch(raw: Column) -> Column:
+        part = F.regexp_replace(F.trim(raw), r"(>=|<=|>|<|=|~|\^)\s+", "$1")
+        hyphen = r"^(\S+)\s+-\s+(\S+)$"
+        ends = [semver_key(F.regexp_extract(part, hyphen, i)) for i in (1, 2)]
+        span = F.array(*[F.struct(F.lit(op).alias("op"), k.alias("key")) for op, k in zip((">=", "<="), ends, strict=True)])
+        listed = F.flatten(F.transform(F.filter(F.split(part, r"\s+"), lambda t: t != ""), _range_comparators))
+        is_span = part.rlike(hyphen)
+        bad_span = is_span & (ends[0].isNull() | ends[1].isNull())
+        found = F.when(bad_span, F.array().cast(f"array<struct<op:string,key:{KEY}>>")).when(is_span, span).otherwise(listed)
+        return F.struct((part == "").alias("any"), is_span.alias("span"), found.alias("all"))
+
+    return F.transform(F.split(F.trim(text), r"\|\|"), branch)
+
+
+def npm_satisfies(version: Column, text: Column) -> Column:
+    """Whether a version key lies in an npm range: alternatives, hyphens, carets, tildes and comparisons.
+
+    A pre-release satisfies an alternative only if one of its comparators is a
+    pre-release of the same three numbers; a hyphen range has no such gate.
+    """
+    numbers = lambda k: F.struct(k["major"], k["minor"], k["patch"])
+    unreleased = version["released"] == 0
+
+    def holds(c: Column) -> Column:
+        k = c["key"]
+        return F.when(c["op"] == "=", version == k).when(c["op"] == ">", version > k).when(c["op"] == ">=", version >= k).when(c["op"] == "<", version < k).otherwise(version <= k)
+
+    def alternative(b: Column) -> Column:
+        allowed = ~unreleased | b["span"] | F.exists(b["all"], lambda c: (c["key"]["released"] == 0) & (numbers(c["key"]) == numbers(version)))
+        return b["any"] | ((F.size(b["all"]) > 0) & allowed & F.forall(b["all"], holds))
+
+    every = F.trim(text).isin("", "*", "x", "X")
+    return F.when(version.isNotNull() & text.isNotNull(), F.when(every, ~unreleased).otherwise(F.exists(npm_branches(text), alternative)))
+
+
+PEP440 = r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?(?:(?:-(\d+))|(?:[-_.]?(post|rev|r)[-_.]?(\d*)))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
+
+
+def pep440_key(version: Column) -> Column:
+    """A struct that compares as Python package versions do; null if the text is no version.
+
+    Trailing zeros of the release do not count. A development release stands below
+    every pre-release of its release, those below the release, post-releases above.
+    """
+    part = lambda i: F.regexp_extract(version, PEP440, i)
+    number = lambda c: F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
+    kind, implicit, post, dev, local = F.lower(part(3)), part(5), part(6), part(8), F.lower(part(10))
+    release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), number)
+    has_post, has_dev = (implicit != "") | (post != ""), dev != ""
+    rank = F.when(kind.isin("a", "alpha"), 1).when(kind.isin("b", "beta"), 2).when(kind != "", 3).when(has_dev & ~has_post, 0).otherwise(9)
+    words = F.transform(
+        F.split(local, r"[-_.]"),
+        lambda w: F.struct(F.when(w.rlike(r"^\d+$"), 1).otherwise(0).alias("numeric"), number(w).alias("number"), F.when(w.rlike(r"^\d+$"), "").otherwise(w).alias("name")),
+    )
+    none = F.array().cast("array<struct<numeric:int,number:bigint,name:string>>")
+    key = F.struct(
+        number(part(1)).alias("epoch"), release.alias("release"), rank.alias("pre"), number(part(4)).alias("pre_number"),
+        F.when(implicit != "", number(implicit)).when(post != "", number(part(7))).otherwise(F.lit(-1).cast("bigint")).alias("post"),
+        F.when(has_dev, number(part(9))).otherwise(F.lit((1 << 63) - 1)).alias("dev"),
+        F.when(local == "", none).otherwise(words).alias("local"),
+    )
+    return F.when(version.rlike(PEP440), key)
+
+
+def pep440_satisfies(version: Column, specifiers: Column) -> Column:
+    """Whether a version (text) meets a comma-separated list of specifiers; null if either cannot be read."""
+    v = pep440_key(version)
+    forever = F.lit((1 << 63) - 1)
+    bare = lambda k: F.struct(k["epoch"], k["release"], k["pre"], k["pre_number"], k["post"], k["dev"])
+    base = lambda k: F.struct(k["epoch"], k["release"])
+    stem = lambda k: F.struct(k["epoch"], k["release"], k["pre"], k["pre_number"])
+    early = lambda k: (k["pre"] < 9) | (k["dev"] != forever)
+
+    def prefix(wanted: Column) -> Column:
+        """Same epoch and the same first numbers; a shorter release counts zeros."""
+        raw = F.split(F.regexp_extract(wanted, PEP440, 2), r"\.")
+        have = F.transform(raw, lambda n, i: F.coalesce(F.get(v["release"], i), F.lit(0).cast("bigint")) == n.try_cast("bigint"))
+        return (v["epoch"] == pep440_key(wanted)["epoch"]) & F.forall(have, lambda x: x)
+
+    def one(s: Column) -> Column:
+        op, raw = F.regexp_extract(s, r"^(===|~=|==|!=|<=|>=|<|>)", 1), F.trim(F.regexp_replace(s, r"^(===|~=|==|!=|<=|>=|<|>)", ""))
+        star, name = raw.endswith(".*"), F.regexp_replace(raw, r"\.\*$", "")
+        k = pep440_key(name)
+        same = F.when(star, prefix(name)).when(F.size(k["local"]) > 0, v == k).otherwise(bare(v) == bare(k))
+        cut = F.regexp_replace(F.regexp_extract(name, r"^\s*v?((?:\d+!)?\d+(?:\.\d+)*)", 1), r"\.\d+$", "")
+        below = (bare(v) < bare(k)) & ~(~early(k) & early(v) & (base(v) == base(k)) & (k["post"] == F.when(v["pre"] < 9, -1).otherwise(v["post"])))
+        above = (bare(v) > bare(k)) & ~((k["post"] < 0) & (k["dev"] == forever) & (v["post"] >= 0) & (stem(v) == stem(k)))
+        return (
+            F.when(op == "===", F.lower(F.trim(version)) == F.lower(raw)).when(op == "==", same).when(op == "!=", ~same)
+            .when(op == "<=", bare(v) <= bare(k)).when(op == ">=", bare(v) >= bare(k)).when(op == "<", below).when(op == ">", above)
+            .when(op == "~=", (bare(v) >= bare(k)) & prefix(cut))
+        )
+
+    parts = F.filter(F.transform(F.split(specifiers, ","), lambda s: F.trim(s)), lambda s: s != "")
+    return F.when(v.isNotNull(), F.forall(parts, one))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as tx
 from quarrylight.functions import versions as vs
-from quarrylight.operators import chunking, graph, health, metrics, relational, retrieval
+from quarrylight.operators import chunking, graph, health, imports, metrics, relational, retrieval
 from quarrylight.sources import manifests, python_code
 from quarrylight.streaming import ingest
 
@@ -286,6 +286,47 @@ def osv_match(spark, d):
     return rows.select("version", vs.in_events(F.col("key"), events).alias("matched"), vs.remediation(F.col("key"), fixes).alias("fix"))
 
 
+_NPM = [
+    ("1.2.3", "^1.2.0", True), ("2.0.0", "^1.2.0", False), ("0.2.9", "^0.2.3", True), ("0.3.0", "^0.2.3", False), ("0.0.4", "^0.0.3", False),
+    ("1.2.9", "~1.2.3", True), ("1.3.0", "~1.2.3", False), ("1.5.0", ">= 1.2.0 <2", True), ("2.0.0", ">=1.2.0 <2", False), ("2.3.4", "1.2.3 - 2.3.4", True),
+    ("3.0.0", "^1.0.0 || ^3.0.0", True), ("1.0.0-rc.1", "*", False), ("1.0.0", "*", True), ("1.0.0-rc.1", ">=1.0.0-beta <2.0.0", True), ("1.0.1-rc.1", ">=1.0.0-beta <2.0.0", False), ("1.0.0", "nonsense", False),
+]
+
+
+def _cases(rows) -> str:
+    return ", ".join(f"('{v}', '{r}', {str(m).lower()})" for v, r, m in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_cases(_NPM)}) t(version, expression, matched)")
+def npm_ranges(spark, d):
+    rows = spark.createDataFrame([(v, r) for v, r, _ in _NPM], "version string, expression string")
+    return rows.select("version", "expression", vs.npm_satisfies(vs.semver_key(F.col("version")), F.col("expression")).alias("matched"))
+
+
+_PEP440 = [
+    ("1.4.2", ">=1.0, <2.0", True), ("2.0rc1", "<2.0", False), ("1.0", "==1.0.0", True), ("1.0.post1", ">1.0", False), ("1.0.1", ">1.0", True), ("1.4.5", "~=1.4.2", True),
+    ("1.5", "~=1.4.2", False), ("1.5", "~=1.4", True), ("1.2.3", "==1.2.*", True), ("1.3", "!=1.2.*", True), ("1.0+local.1", "==1.0", True), ("1.0+a", "==1.0+b", False), ("1!1.0", ">2", True), ("1.0.dev1", "<1.0a1", True), ("1.0", "===1.0", True),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_cases(_PEP440)}) t(version, expression, matched)")
+def pep440_specifiers(spark, d):
+    rows = spark.createDataFrame([(v, r) for v, r, _ in _PEP440], "version string, expression string")
+    return rows.select("version", "expression", vs.pep440_satisfies(F.col("version"), F.col("expression")).alias("matched"))
+
+
+@query("""SELECT * FROM (VALUES ('app/core/a.py', 1, 'b', 'app/core/b.py', 'internal'), ('app/core/a.py', 2, 'util', 'app/util/__init__.py', 'internal'), ('app/core/a.py', 3, 'gone', 'app/core/gone', 'unresolved'),
+('app/core/a.py', 4, 'numpy', 'numpy', 'external'), ('app/core/a.py', 5, 'X', 'app/util/x.py', 'internal'), ('app/core/a.py', 6, 'app.nothing', 'app/__init__.py', 'internal'), ('lib/missing.py', 7, 'lib.none', 'lib.none', 'unresolved'),
+('web/main.ts', 1, './part', 'web/part.tsx', 'internal'), ('web/main.ts', 2, '../web/lib', 'web/lib/index.js', 'internal'), ('web/main.ts', 3, './no', 'web/no', 'unresolved'), ('web/main.ts', 4, '@s/x/y', '@s/x', 'external'), ('web/main.ts', 5, 'react/jsx', 'react', 'external')) t(source, line, name, target, kind)""")
+def import_resolution(spark, d):
+    files = ["app/__init__.py", "app/core/a.py", "app/core/b.py", "app/util/__init__.py", "app/util/x.py", "lib/missing.py", "web/main.ts", "web/part.tsx", "web/lib/index.js"]
+    py = [(None, "b", True, 1, 1), (None, "util", True, 2, 2), (None, "gone", True, 1, 3), (None, "numpy", False, 0, 4), ("app.util.x", "X", True, 0, 5), (None, "app.nothing", False, 0, 6)]
+    rows = [("app/core/a.py", "Python", *r) for r in py] + [("app/core/a.py", "Python", None, "b", True, 1, 9), ("lib/missing.py", "Python", None, "lib.none", False, 0, 7)]
+    rows += [("web/main.ts", "TypeScript", None, n, False, 0, i + 1) for i, n in enumerate(["./part", "../web/lib", "./no", "@s/x/y", "react/jsx"])]
+    found = spark.createDataFrame(rows, "source string, language string, module string, name string, is_from boolean, level int, line int")
+    return imports.resolved(found, spark.createDataFrame([(f,) for f in files], "path string"))
+
+
 # --- graphs, governance ------------------------------------------------------------------------
 
 _EDGES = """

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as tx
@@ -93,3 +94,28 @@ def test_bm25_by_pattern_and_by_tokens(spark):
     docs = spark.createDataFrame([(1, "the_x the The"), (2, None), (3, "end of the end."), (4, "theend")], "id int, text string")
     rows = [{r["id"]: round(r["raw_score"], 9) for r in retrieval.bm25(docs, ["the", "end"], "id", "text", tokens=t).collect()} for t in (None, tx.words)]
     assert rows[0] == rows[1] and set(rows[0]) == {1, 3}
+
+
+def test_python_versions_against_packaging(spark):
+    version = pytest.importorskip("packaging.version").Version
+    specifiers = pytest.importorskip("packaging.specifiers").SpecifierSet
+    rng = random.Random(4)
+
+    def one_version():
+        numbers = ".".join(str(rng.randrange(3)) for _ in range(rng.randrange(1, 4)))
+        return rng.choice(["", "", "1!"]) + numbers + rng.choice(["", "", "a1", "b2", "rc1"]) + rng.choice(["", "", ".post1"]) + rng.choice(["", "", ".dev2"])
+
+    def one_specifier():
+        op = rng.choice(["==", "!=", "<=", ">=", "<", ">", "~=", "==*"])
+        if op == "==*":
+            return f"=={rng.randrange(3)}.{rng.randrange(3)}.*"
+        return op + (".".join(str(rng.randrange(3)) for _ in range(rng.randrange(2, 4))) if op == "~=" else one_version())
+
+    cases = [(one_version() + rng.choice(["", "", "+l.1"]), one_specifier()) for _ in range(1500)]
+    cases += [("1.post1", ">1.dev2"), ("1b1.post1", ">1b1"), ("1b1.post1", ">1b1.dev1"), ("1.post1", ">1b1"), ("1+l", ">1")]
+    rows = spark.createDataFrame([(v, s, specifiers(s, prereleases=True).contains(version(v), prereleases=True)) for v, s in cases], "v string, s string, want boolean")
+    wrong = rows.filter(~vs.pep440_satisfies(F.col("v"), F.col("s")).eqNullSafe(F.col("want"))).collect()
+    assert not wrong, wrong[:5]
+    some = spark.createDataFrame([(one_version(),) for _ in range(200)], "v string").orderBy(vs.pep440_key(F.col("v")))
+    got = [version(r[0]) for r in some.collect()]
+    assert got == sorted(got)
