@@ -37,13 +37,14 @@ def semver_key(version: Column) -> Column:
     return F.when(v.rlike(FULL), whole.cast(KEY)).when(v.rlike(LOOSE), short.cast(KEY))
 
 
-def in_events(version: Column, events: Column) -> Column:
+def in_events(version: Column, events: Column, kind_of_key: str = KEY) -> Column:
     """Whether a version key lies in a list of range events, folded in order.
 
     ``events``: array of (kind, key), kind being introduced, fixed, last_affected or
     limit. A fix ends an interval; what is open after the last event counts too.
+    ``kind_of_key`` is the type of the keys.
     """
-    nothing = F.lit(None).cast(KEY)
+    nothing = F.lit(None).cast(kind_of_key)
     start = F.struct(nothing.alias("lo"), nothing.alias("fix"), nothing.alias("last"), nothing.alias("lim"), F.lit(False).alias("hit"))
 
     def inside(lo: Column, fix: Column, last: Column, lim: Column) -> Column:
@@ -136,6 +137,9 @@ def npm_satisfies(version: Column, text: Column) -> Column:
 PEP440 = r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?(?:(?:-(\d+))|(?:[-_.]?(post|rev|r)[-_.]?(\d*)))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
 
 
+PEP440_KEY = "struct<epoch:bigint,release:array<bigint>,pre:int,pre_number:bigint,post:bigint,dev:bigint,local:array<struct<numeric:int,number:bigint,name:string>>>"
+
+
 def pep440_key(version: Column) -> Column:
     """A struct that compares as Python package versions do; null if the text is no version.
 

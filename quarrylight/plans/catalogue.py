@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as tx
 from quarrylight.functions import versions as vs
-from quarrylight.operators import chunking, graph, health, imports, metrics, relational, retrieval
+from quarrylight.operators import advisories, answers, chunking, graph, health, imports, metrics, relational, remediation, retrieval
 from quarrylight.sources import manifests, python_code
 from quarrylight.streaming import ingest
 
@@ -117,6 +117,19 @@ def feature_hash_buckets(spark, d):
     return counts.groupBy("doc_id", tx.hash_bucket(F.col("w"), 64).alias("bucket")).agg(signed.alias("value"))
 
 
+_CITE = "source || '/' || doc_id"
+
+
+@query(_BM25 + f""", h AS (SELECT doc_id, round(raw, 6) AS raw FROM r WHERE raw > 0.001 ORDER BY round(raw, 6) DESC, doc_id LIMIT 8),
+k AS (SELECT {_CITE} AS path, {_CITE} || ':L1-L' || len(string_split(text, chr(10))) AS c, left(coalesce(list_filter(string_split(text, chr(10))[1:8], lambda x: trim(x) <> '')[1], 'N/A'), 90) AS p, row_number() OVER (ORDER BY raw DESC, doc_id) AS n FROM h JOIN documents USING (doc_id))
+SELECT 'the and' AS question, CASE WHEN count(*) = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'HIGH' END AS confidence, string_agg(c, ' ' ORDER BY n) AS citations,
+md5(count(*) || ' places in ' || count(DISTINCT path) FILTER (n <= 5) || ' files on: the and' || chr(10) || string_agg(n || '. [' || c || '] ' || p, chr(10) ORDER BY n) FILTER (n <= 5)) AS answer FROM k""")
+def grounded_answer(spark, d):
+    docs = table(spark, d, "documents")
+    found = answers.evidence(_lexical(spark, d), docs, "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), "text", F.lit(1), F.size(F.split("text", "\n")))
+    return answers.answered(found, "the and").select("question", "confidence", F.array_join("citations", " ").alias("citations"), F.md5("answer").alias("answer"))
+
+
 # --- chunks and texts --------------------------------------------------------------------------
 
 
@@ -315,6 +328,21 @@ def pep440_specifiers(spark, d):
     return rows.select("version", "expression", vs.pep440_satisfies(F.col("version"), F.col("expression")).alias("matched"))
 
 
+_ADVISORIES = [
+    ("A1", "npm", "left", [(">=1.0.0 <1.3.0", None)], ["1.3.0"]), ("A2", "npm", "left", [(None, [("0", None, None, None), (None, "1.1.0", None, None), ("2.0.0", None, None, None), (None, None, "2.4.0", None)])], None),
+    ("A3", "PyPI", "my-lib", [(">=1.0,<1.5", None), (None, [("2.0", None, None, None), (None, "2.3", None, None)])], ["1.5", "2.3"]), ("A4", "cargo", "left", [("*", None)], None),
+]
+_USED = [("npm", "left", "1.2.0"), ("npm", "left", "1.0.5"), ("npm", "left", "2.4.0"), ("npm", "left", None), ("pypi", "my-lib", "1.4.post1"), ("pypi", "my-lib", "1.5.0"), ("pypi", "my-lib", "2.1"), ("pypi", "my-lib", "odd"), ("cargo", "left", "1.0.0"), ("npm", "none", "1.0.0")]
+
+
+@query("""SELECT * FROM (VALUES ('npm', 'left', '1.2.0', 'A1', true, false, '1.3.0'), ('npm', 'left', '1.2.0', 'A2', false, false, NULL), ('npm', 'left', '1.0.5', 'A1', true, false, '1.3.0'), ('npm', 'left', '1.0.5', 'A2', true, false, '1.1.0'),
+('npm', 'left', '2.4.0', 'A1', false, false, NULL), ('npm', 'left', '2.4.0', 'A2', true, false, '1.1.0'), ('npm', 'left', NULL, 'A1', false, true, NULL), ('npm', 'left', NULL, 'A2', false, true, NULL),
+('pypi', 'my-lib', '1.4.post1', 'A3', true, false, '1.5'), ('pypi', 'my-lib', '1.5.0', 'A3', false, false, NULL), ('pypi', 'my-lib', '2.1', 'A3', true, false, '2.3'), ('pypi', 'my-lib', 'odd', 'A3', false, true, NULL), ('cargo', 'left', '1.0.0', 'A4', false, true, NULL)) t(ecosystem, package, version, advisory_id, matched, indeterminate, remediation)""")
+def advisory_match(spark, d):
+    known = spark.createDataFrame(_ADVISORIES, f"advisory_id string, ecosystem string, package string, ranges {advisories.RANGES}, fixed_versions array<string>")
+    return advisories.affected(spark.createDataFrame(_USED + _USED[:2], "ecosystem string, package string, version string"), known)
+
+
 @query("""SELECT * FROM (VALUES ('app/core/a.py', 1, 'b', 'app/core/b.py', 'internal'), ('app/core/a.py', 2, 'util', 'app/util/__init__.py', 'internal'), ('app/core/a.py', 3, 'gone', 'app/core/gone', 'unresolved'),
 ('app/core/a.py', 4, 'numpy', 'numpy', 'external'), ('app/core/a.py', 5, 'X', 'app/util/x.py', 'internal'), ('app/core/a.py', 6, 'app.nothing', 'app/__init__.py', 'internal'), ('lib/missing.py', 7, 'lib.none', 'lib.none', 'unresolved'),
 ('web/main.ts', 1, './part', 'web/part.tsx', 'internal'), ('web/main.ts', 2, '../web/lib', 'web/lib/index.js', 'internal'), ('web/main.ts', 3, './no', 'web/no', 'unresolved'), ('web/main.ts', 4, '@s/x/y', '@s/x', 'external'), ('web/main.ts', 5, 'react/jsx', 'react', 'external')) t(source, line, name, target, kind)""")
@@ -415,6 +443,45 @@ def audit_rollup(spark, d):
     return table(spark, d, "events").withColumn("st", F.expr(_STATE)).groupBy("user_id").agg(*health.rollup(F.col("st")))
 
 
+# --- patches -----------------------------------------------------------------------------------
+
+_SECRET = b"a shared secret"
+_PADS = [bytes(k ^ x for k in _SECRET.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query(f"SELECT event_id, sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(props)))) AS signature, event_id % 3 = 0 AS verified FROM events")
+def signed_payloads(spark, d):
+    """Every third event carries its own signature, the others that of another text or none."""
+    sign = lambda c: remediation.hmac_sha256(c, _SECRET)
+    sent = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("sha256="), sign(F.col("props")))).when(F.col("event_id") % 3 == 1, sign(F.lit("other")))
+    return table(spark, d, "events").select("event_id", sign(F.col("props")).alias("signature"), remediation.verified(F.col("props"), sent, _SECRET).alias("verified"))
+
+
+_STEP = "CASE event_type WHEN 'signup' THEN 'PROPOSED' WHEN 'view' THEN 'VALIDATED' WHEN 'click' THEN 'APPROVED' WHEN 'purchase' THEN 'APPLIED' ELSE 'STALE' END"
+_ALLOWED = ", ".join(f"'{before or ''}>{after}'" for before, some in remediation.FOLLOWS.items() for after in some)
+
+
+@query(f"""WITH s AS (SELECT user_id, ts, event_id, {_STEP} AS state FROM events), l AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') || '>' || state AS step FROM s)
+SELECT user_id, arg_max(state, (ts, event_id)) AS state, count(*) AS steps, count(*) FILTER (step NOT IN ({_ALLOWED})) AS invalid FROM l GROUP BY user_id""")
+def proposal_standing(spark, d):
+    return remediation.standing(table(spark, d, "events").withColumn("state", F.expr(_STEP)), "user_id", "state", ["ts", "event_id"])
+
+
+_PATHS = [("src/.env", True), ("src/.env.local", True), (".git/config", True), ("keys/server.PEM", True), ("../a.py", True), ("C:/a.py", True), ("src\\secrets.yml", True), ("/src/main.py", False), ("src/tokenizer.py", False), (" ", True)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(x).lower()})" for p, x in _PATHS) + ") t(path, protected)")
+def protected_paths(spark, d):
+    return spark.createDataFrame([(p,) for p, _ in _PATHS], "path string").select("path", remediation.protected(F.col("path")).alias("protected"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'a.py', 2, E'# a.py (R1)\n--- a/a.py\n+++ b/a.py\n@@ -1,3 +1,3 @@\n x\n-y\n+Y\n z\n'), (2, 'a.py', 1, E'# a.py (R2)\n--- a/a.py\n+++ b/a.py\n@@ -1,3 +1,2 @@\n x\n-y\n-z\n+Q\n'), (3, 'b.py', NULL, E'# b.py (R1)\n--- a/b.py\n+++ b/b.py\n@@ -1 +1 @@\n-p\n+P\n')) t(proposal_id, file_path, conflict, patch)""")
+def patch_bundle(spark, d):
+    rows = [(1, "a.py", 2, 2, "APPROVED", "R1", "x\ny\nz\n", "Y"), (2, "a.py", 2, 3, "VALIDATED", "R2", "x\ny\nz\n", "Q"), (3, "b.py", 1, 1, "VALIDATED", "R1", "p\n", "P"), (4, "b.py", 1, 1, "REJECTED", "R1", "p\n", "Q"), (5, ".env", 1, 1, "APPROVED", "R1", "p\n", "Q")]
+    made = spark.createDataFrame(rows, "proposal_id int, file_path string, start_line int, end_line int, state string, rule_id string, before string, new string")
+    return remediation.bundle(made.withColumn("after", remediation.replaced_lines(F.col("before"), F.col("start_line"), F.col("end_line"), F.col("new"))))
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 _CODE = "import os\nimport os\nimport pickle\ndef run(q, cur):\n    os.system(q)\n    eval(q)\n    eval('1')\n    cur.execute(f'select {q}')\n    return pickle.loads(q)\n"
@@ -439,6 +506,15 @@ def manifest_inventory(spark, d):
     return manifests.inventory(spark.createDataFrame(rows, "path string, content string"))
 
 
+_PNPM = "importers:\n  .:\n    dependencies: {left: 1.0.0}\n    devDependencies: {'@s/x': 2.0.0}\npackages:\n  /left@1.0.0: {}\n  '@s/x@2.0.0(left@1.0.0)': {}\n  /deep/3.1.0_left@1.0.0: {dev: true}\n  /@s/old/0.1.0: {}\n"
+
+
+@query("""SELECT * FROM (VALUES ('pnpm-lock.yaml', 'npm', 'left', '', '1.0.0', 'runtime', true), ('pnpm-lock.yaml', 'npm', '@s/x', '', '2.0.0', 'dev', true), ('pnpm-lock.yaml', 'npm', 'deep', '', '3.1.0', 'dev', false),
+('pnpm-lock.yaml', 'npm', '@s/old', '', '0.1.0', 'runtime', false), ('x/pnpm-lock.yaml', NULL, NULL, NULL, NULL, 'error', NULL)) t(path, ecosystem, package, "constraint", resolved, kind, is_direct)""")
+def pnpm_inventory(spark, d):
+    return manifests.inventory(spark.createDataFrame([("pnpm-lock.yaml", _PNPM), ("x/pnpm-lock.yaml", "a: [")], "path string, content string"))
+
+
 @query()
 def sarif_results(spark, d):
     rows = [("a.py", _CODE)]

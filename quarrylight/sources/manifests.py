@@ -10,6 +10,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    import yaml
+except ImportError:
+    yaml = None
+
 SCHEMA = "path string, ecosystem string, package string, constraint string, resolved string, kind string, is_direct boolean"
 _PIN = re.compile(r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([^;#]*)")
 
@@ -105,9 +110,27 @@ def yarn_lock(text: str) -> Iterator[tuple]:
             name = None
 
 
+def pnpm_lock(text: str) -> Iterator[tuple]:
+    """Packages with their versions, without peers in brackets or after an underscore; direct if the root names them."""
+    if yaml is None:
+        raise ValueError("no reader of YAML is installed")
+    try:
+        data = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from e
+    roots = [data, (data.get("importers") or {}).get(".") or {}]
+    plain, dev = ({n for r in roots for n in r.get(k) or {}} for k in ("dependencies", "devDependencies"))
+    for key, told in (data.get("packages") or {}).items():
+        m = re.match(r"/*(@[^/@]+/[^/@]+|[^/@]+)[/@]([^(_/@]+)", str(key))
+        if m:
+            name = m[1].lower()
+            is_dev = name in dev or bool(isinstance(told, dict) and told.get("dev"))
+            yield "npm", name, "", m[2].strip(), "dev" if is_dev else "runtime", name in plain | dev
+
+
 PARSERS = {
     "requirements.txt": requirements, "pyproject.toml": pyproject, "poetry.lock": poetry_lock, "Pipfile.lock": pipfile_lock,
-    "package.json": package_json, "package-lock.json": package_lock, "yarn.lock": yarn_lock,
+    "package.json": package_json, "package-lock.json": package_lock, "yarn.lock": yarn_lock, "pnpm-lock.yaml": pnpm_lock,
 }
 
 

@@ -1,5 +1,7 @@
 """Single functions against values worked out by hand, and a stream against its batch."""
 
+import hashlib
+import hmac
 import random
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as tx
 from quarrylight.functions import versions as vs
-from quarrylight.operators import chunking, graph
+from quarrylight.operators import advisories, answers, chunking, graph, remediation
 from quarrylight.sources import manifests, python_code
 from quarrylight.streaming import ingest
 
@@ -119,3 +121,41 @@ def test_python_versions_against_packaging(spark):
     some = spark.createDataFrame([(one_version(),) for _ in range(200)], "v string").orderBy(vs.pep440_key(F.col("v")))
     got = [version(r[0]) for r in some.collect()]
     assert got == sorted(got)
+
+
+def test_keyed_hash(spark):
+    for secret in (b"k", b"x" * 64, b"long " * 30):
+        for body in ("", "a body", "ünï"):
+            assert one(spark, body, lambda c, s=secret: remediation.hmac_sha256(c, s)) == hmac.new(secret, body.encode(), hashlib.sha256).hexdigest()
+    assert one(spark, "a", lambda c: remediation.verified(c, F.lit(None).cast("string"), b"k")) is False
+
+
+def test_replaced_lines(spark):
+    put = lambda text, a, b, new: one(spark, text, lambda c: remediation.replaced_lines(c, F.lit(a), F.lit(b), F.lit(new)))
+    assert put("a\nb\nc\n", 2, 2, "B\n") == "a\nB\nc\n"
+    assert put("a\r\nb", 1, 2, "x\ny\nz") == "x\r\ny\r\nz"
+    assert put("a", 2, 2, "b") is None and put("a", 1, 0, "b") is None
+
+
+def test_diff_holds_only_what_changes(spark):
+    rows = spark.createDataFrame([("/d\\f.py", "a\nb\n", "a\nc\n"), ("g", None, None)], "p string, x string, y string")
+    found = [r[0] for r in rows.select(remediation.unified_diff("p", "x", "y")).collect()]
+    assert found == ["--- a/d/f.py\n+++ b/d/f.py\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n", ""]
+
+
+def test_answers_without_evidence(spark):
+    none = spark.createDataFrame([], "rank int, citation string, path string, excerpt string, score double")
+    row = answers.answered(none, "why").first()
+    assert (row["confidence"], row["citations"], row["answer"]) == ("INSUFFICIENT_EVIDENCE", [], "No evidence on: why")
+    weak = spark.createDataFrame([(1, "p:L1-L2", "p", "\n  \n", 0.1)], none.schema)
+    row = answers.answered(weak, "why").first()
+    assert (row["confidence"], row["answer"]) == ("MEDIUM", "1 places in 1 files on: why\n1. [p:L1-L2] N/A")
+    assert one(spark, "x", lambda c: answers.cited(F.array(F.lit("z"), c, c), F.array(F.lit("x")))) == ["x", "x"]
+
+
+def test_advisories_bear_nulls(spark):
+    used = spark.createDataFrame([(None, "a", "1.0.0"), ("npm", None, "1.0.0"), ("npm", "a", "1.0.0")], "ecosystem string, package string, version string")
+    known = spark.createDataFrame([("N", "npm", "a", None, None), ("E", "npm", "a", [(None, []), ("nonsense", None)], [None, "odd"])], f"advisory_id string, ecosystem string, package string, ranges {advisories.RANGES}, fixed_versions array<string>")
+    found = {r["advisory_id"]: (r["matched"], r["indeterminate"], r["remediation"]) for r in advisories.affected(used, known).collect()}
+    assert found == {"N": (False, False, None), "E": (False, False, None)}
+    assert advisories.affected(used.limit(0), known).count() == 0
