@@ -3,178 +3,198 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm.common import row_sums, settled, slices, word_codes
 
-#: The vocabulary that both models share: every word is hashed to one of so many word slots.
+#: Words that a model's even share is spread over; unseen words have that share too.
 WORDS = 1 << 16
-#: A pair of neighbouring word slots is counted in one of so many pair slots.
-PAIRS = 1 << 20
-#: Bytes of slots that one step inside a task holds; each becomes about a hundred bytes of arrays.
-SLOT_BYTES = 1 << 20
-#: Stands before the first word.
-START = WORDS
+#: Distinct n-grams of slices that one bucket adds up, about: the number of buckets grows with the corpus.
+BUCKET = 1 << 20
 #: Pseudo-counts that pull a pair's probability to its word's, and a word's to even.
 TO_WORD, TO_EVEN = 8.0, 0.1
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The hash that stands before the first word.
+START = np.uint64(0x9FB21C651E98DF25)
+_A = np.uint64(0x9E3779B97F4A7C15)
+#: What is counted of an n-gram: occurrences in all rows and in target rows, and the same of words as contexts.
+KINDS = 4
 
 
-def word_slots(words: list[str]) -> np.ndarray:
-    """The slot of each word: FNV-like over its UTF-8 bytes, in numpy; -1 for the empty word."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    points = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    starts = np.cumsum(sizes) - sizes
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 1_099_511_628_211, np.uint64))
-        spot = np.arange(len(points)) - np.repeat(starts, sizes)
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * power[spot])])
-        mixed = (upto[starts + sizes] - upto[starts]) * _A
-        mixed ^= mixed >> np.uint64(32)
-        slots = (mixed * _B >> np.uint64(48)).astype(np.int64)
-    return np.where(sizes > 0, slots, -1)
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
 
 
-def pair_slots(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        mixed = (before.astype(np.uint64) << np.uint64(17) | word.astype(np.uint64)) * _A
-        mixed ^= mixed >> np.uint64(29)
-        return (mixed * _B >> np.uint64(44)).astype(np.int64)
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, 8).T
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
 
 
-def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ``slots`` (binary): the word slots of each whole text, two bytes a word."""
+def unpacked(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body"):
-            words, codes, offsets = word_codes(batch.column("body"))
-            slots = (word_slots(words) if words else np.zeros(0, np.int64))[codes]
-            real = slots >= 0
-            ends = np.concatenate([[0], np.cumsum(real)])[offsets]
-            data = slots[real].astype("<u2").tobytes()
-            rows = [data[2 * i : 2 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["key", "slots"])
 
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("slots", T.BinaryType())])
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("body")).mapInArrow(run, schema)
+def slice_table(docs: DataFrame, key_type: T.DataType) -> DataFrame:
+    """Rows (key, body, target) in slices of some megabytes: words as hashes, texts as indexes into them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(slices(batches, "body")):
+            words, codes, offsets = word_codes(batch.column("body"))
+            real = np.array([bool(w) for w in words], bool)
+            inside = real[codes]
+            lengths = np.diff(np.concatenate([[0], np.cumsum(inside)])[offsets]).astype(np.int64)
+            word = (np.cumsum(real) - 1)[codes[inside]].astype(np.int64)
+            hashes = word_hashes([w for w in words if w])
+            target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = {
+                "slice": [first + i], "n_rows": [len(lengths)], "n_words": [len(word)], "n_distinct": [len(hashes)],
+                "n_target": [int((lengths * target).sum())], "starts": [int((lengths > 0).sum())], "starts_target": [int(((lengths > 0) * target).sum())],
+                "lengths": [packed(lengths)], "targets": [packed(target)], "words": [packed(word)], "hashes": [packed(hashes)],
+            }
+            keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key"))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(v) for v in columns.values()]], names=["keys", *columns])
+
+    longs = ["slice", "n_rows", "n_words", "n_distinct", "n_target", "starts", "starts_target"]
+    fields = [T.StructField("keys", T.ArrayType(key_type)), *[T.StructField(c, T.LongType()) for c in longs]]
+    fields += [T.StructField(c, T.BinaryType()) for c in ("lengths", "targets", "words", "hashes")]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+class Slice:
+    """A slice read back: for each word its document, itself, the one before it, and its pair, as indexes.
+
+    ``keys`` holds the distinct n-grams as 64-bit hashes, words before pairs, and
+    ``order`` sorts them.
+    """
 
-def read_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of each row the slot before it and its own, and each row's offset."""
-    rows = column.to_pylist()
-    word = np.frombuffer(b"".join(rows), "<u2").astype(np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(r) // 2 for r in rows], dtype=np.int64)])
-    before = np.concatenate([[START], word[:-1]]) if len(word) else word
-    before[offsets[:-1][offsets[:-1] < offsets[1:]]] = START
-    return before, word, offsets
+    def __init__(self, row: dict):
+        n, words, distinct = row["n_rows"], row["n_words"], row["n_distinct"]
+        self.lengths, self.target = unpacked(row["lengths"], n), unpacked(row["targets"], n).astype(bool)
+        self.word, hashes = unpacked(row["words"], words), unpacked(row["hashes"], distinct, np.uint64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.doc = np.repeat(np.arange(n), self.lengths)
+        self.distinct = distinct
+        before = np.concatenate([[distinct], self.word[:-1]]) if words else self.word.copy()
+        before[self.offsets[:-1][self.lengths > 0]] = distinct
+        self.before = before
+        pairs, self.pair = np.unique(before * np.int64(max(distinct, 1)) + self.word, return_inverse=True)
+        with np.errstate(over="ignore"):
+            left = np.append(hashes, START)[pairs // max(distinct, 1)] * _A
+            self.keys = np.concatenate([hashes, left + hashes[pairs % max(distinct, 1)]])
+        self.order = np.argsort(self.keys)
+
+    def counts(self) -> np.ndarray:
+        """KINDS counts of each key."""
+        found = np.zeros((KINDS, len(self.keys)), np.int64)
+        inside = self.target[self.doc]
+        for part, chosen in ((0, slice(None)), (1, inside)):
+            found[part, : self.distinct] = np.bincount(self.word[chosen], minlength=self.distinct)
+            found[part, self.distinct :] = np.bincount(self.pair[chosen], minlength=len(self.keys) - self.distinct)
+            found[part + 2, : self.distinct] = np.bincount(self.before[chosen], minlength=self.distinct + 1)[:-1]
+        return found
 
 
-def own_counts(doc: np.ndarray, found: np.ndarray, size: int) -> np.ndarray:
+def own_counts(doc: np.ndarray, found: np.ndarray) -> np.ndarray:
     """For each occurrence, how often its document has the same value."""
-    _, which, n = np.unique(doc * np.int64(size) + found, return_inverse=True, return_counts=True)
+    size = np.int64(found.max(initial=0) + 1)
+    _, which, n = np.unique(doc * size + found, return_inverse=True, return_counts=True)
     return n[which]
 
 
-@dataclass
-class Ngrams:
-    """Counts of word slots (START last) as followers and as contexts, and of pairs."""
+def losses(pairs: np.ndarray, words: np.ndarray, contexts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Negative log probability of words after those before them, by counts that leave out their own document."""
+    alone = (words + TO_EVEN) / (whole + TO_EVEN * WORDS)
+    return -np.log((pairs + TO_WORD * alone) / (contexts + TO_WORD))
 
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
 
-    def losses(self, before: np.ndarray, word: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Negative log probability of each word after the one before it.
+def totals(cut: DataFrame, buckets: int) -> DataFrame:
+    """slice, bucket, n, totals: the counts over all slices of each slice's n-grams of a bucket, in the order of their hashes.
 
-        ``own``: what the document itself has put into the counts of its words,
-        contexts and pairs, and of words in all; it is taken off, so no document is
-        scored by itself.
-        """
-        words, contexts, pairs, whole = (np.maximum(a - b, 0) for a, b in zip((self.words[word], self.contexts[before], self.pairs[pair_slots(before, word)], self.words.sum(dtype=np.float64)), own, strict=True))
-        alone = (words + TO_EVEN) / (whole + TO_EVEN * WORDS)
-        pairs = np.minimum(pairs, np.minimum(contexts, words))
-        return -np.log((pairs + TO_WORD * alone) / (contexts + TO_WORD))
-
-
-#: Where the counts of word slots, contexts and pairs stand in one row of all counts.
-SPANS = {"words": (0, WORDS), "contexts": (WORDS, 2 * WORDS + 1), "pairs": (2 * WORDS + 1, 2 * WORDS + 1 + PAIRS)}
-ALL = 2 * WORDS + 1 + PAIRS
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, ALL), np.int64)
-    for batch in slices(batches, "slots", SLOT_BYTES):
-        before, word, offsets = read_slots(batch.column("slots"))
-        inside = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
-        for part, chosen in ((0, slice(None)), (1, inside)):
-            for kind, found in (("words", word[chosen]), ("contexts", before[chosen]), ("pairs", pair_slots(before[chosen], word[chosen]))):
-                lo, hi = SPANS[kind]
-                counts[part, lo:hi] += np.bincount(found, minlength=hi - lo)
-    some = np.flatnonzero(counts[0])
-    for at in range(0, len(some), 1 << 16):
-        i = some[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(counts[0, i]), pa.array(counts[1, i])], names=["slot", "n", "n_target"])
-
-
-def fit(marked: DataFrame) -> tuple[Ngrams, Ngrams]:
-    """(target, background) models with counts from every row of ``marked`` (slots, target).
-
-    The background is all rows, the target those that are marked. Both share the
-    vocabulary, the slots and the smoothing, so a slot's collisions are the same
-    for both. Tasks count their rows; the nonzero slots of every task are
-    shuffled and added up; the finished table has ALL rows at most and is what the
-    driver sees.
+    A slice sends each of its distinct n-grams once, with its counts, to the bucket
+    that its hash names, so a frequent word is one number a slice. A bucket adds
+    them up and answers each slice in the order in which it asked.
     """
-    read = marked.select("slots", "target")
-    parts = read.mapInArrow(_count, "slot int, n long, n_target long")
-    sums = parts.groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("n_target").cast("float").alias("n_target"))
-    counts = np.zeros((2, ALL), np.float32)
-    for batch in sums.toArrow().to_batches():
-        slot = batch.column("slot").to_numpy()
-        for part, name in enumerate(("n_target", "n")):
-            counts[part, slot] = batch.column(name).to_numpy()
-    near, far = (Ngrams(*[counts[part, lo:hi] for lo, hi in SPANS.values()]) for part in (0, 1))
-    return near, far
-
-
-def scored(marked: DataFrame, models: tuple[Ngrams, Ngrams]) -> DataFrame:
-    """key, n_words, target_loss, background_loss, difference for every row of ``marked`` (key, slots, target)."""
-    sent = marked.sparkSession.sparkContext.broadcast(models)  # 2 * ALL floats
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, far = sent.value
-        for batch in slices(batches, "slots", SLOT_BYTES):
-            before, word, offsets = read_slots(batch.column("slots"))
-            n = np.diff(offsets)
-            doc = np.repeat(np.arange(len(n)), n)
-            own = (own_counts(doc, word, WORDS), own_counts(doc, before, WORDS + 1), own_counts(doc, pair_slots(before, word), PAIRS), n[doc])
-            inside = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)[doc]
-            a = near.losses(before, word, tuple(np.where(inside, x, 0) for x in own))
-            b = far.losses(before, word, own)
-            means = [row_sums(x, offsets) / np.maximum(n, 1) for x in (a, b, a - b)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), *map(pa.array, means)], names=["key", "n_words", "target_loss", "background_loss", "difference"])
-
-    schema = T.StructType([marked.schema["key"], T.StructField("n_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "difference")]])
-    return marked.select("key", "slots", "target").mapInArrow(run, schema)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = Slice(row)
+                keys, counts = part.keys[part.order], part.counts()[:, part.order]
+                of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                edges = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64)).tolist()
+                some = [(b, i, j) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["slice"]] * len(some), pa.int64()), pa.array([b for b, _, _ in some], pa.int64()), pa.array([j - i for _, i, j in some], pa.int64()),
+                        pa.array([packed(np.diff(keys[i:j], prepend=np.uint64(0))) for _, i, j in some], pa.binary()), pa.array([packed(counts[:, i:j]) for _, i, j in some], pa.binary()),
+                    ],
+                    names=["slice", "bucket", "n", "asked", "counts"],
+                )
+
+    def answer(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_pylist()
+        keys = np.concatenate([np.cumsum(unpacked(x, n, np.uint64), dtype=np.uint64) for x, n in zip(table["asked"].to_pylist(), sizes, strict=True)])
+        counts = np.concatenate([unpacked(x, KINDS * n).reshape(KINDS, n) for x, n in zip(table["counts"].to_pylist(), sizes, strict=True)], axis=1)
+        _, which = np.unique(keys, return_inverse=True)
+        found = np.stack([np.bincount(which, c)[which] for c in counts]).astype(np.int64)  # sums in doubles: exact below 2^53
+        ends = np.cumsum(sizes)
+        made = [packed(found[:, j - n : j]) for n, j in zip(sizes, ends.tolist(), strict=True)]
+        return table.select(["slice", "bucket", "n"]).append_column("totals", pa.array(made, pa.binary()))
+
+    asked = cut.drop("keys").mapInArrow(ask, "slice long, bucket long, n long, asked binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket long, n long, totals binary")
+
+
+def scored(cut: DataFrame, answers: DataFrame, sums: dict[str, int], key_type: T.DataType) -> DataFrame:
+    """key, n_words, target_loss, background_loss, difference for every row of every slice."""
+    names = ["key", "n_words", "target_loss", "background_loss", "difference"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.drop_columns(["keys"]).to_pylist()[0]
+        part = Slice(row)
+        right = right.sort_by("bucket")
+        found = [unpacked(x, KINDS * n).reshape(KINDS, n) for x, n in zip(right["totals"].to_pylist(), right["n"].to_pylist(), strict=True)]
+        counts = np.zeros((KINDS, len(part.keys)), np.int64)
+        if found:
+            counts[:, part.order] = np.concatenate(found, axis=1)
+        words, pairs = counts[:, : part.distinct], counts[:2, part.distinct :]
+        contexts = np.concatenate([words[2:], [[sums["starts"]], [sums["starts_target"]]]], axis=1)
+        own = [own_counts(part.doc, x) for x in (part.pair, part.word, part.before)] + [part.lengths[part.doc]]
+        inside = part.target[part.doc]
+        by = []
+        for kind, whole in ((1, sums["n_target"]), (0, sums["n_words"])):
+            seen = (pairs[kind][part.pair], words[kind][part.word], contexts[kind][part.before], whole)
+            by.append(losses(*[a - (np.where(inside, b, 0) if kind else b) for a, b in zip(seen, own, strict=True)]))
+        means = [row_sums(x, part.offsets) / np.maximum(part.lengths, 1) for x in (*by, by[0] - by[1])]
+        keys = pc.list_flatten(left["keys"])
+        return pa.table([keys, pa.array(part.lengths), *map(pa.array, means)], names=names)
+
+    schema = T.StructType([T.StructField("key", key_type), T.StructField("n_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names[2:]]])
+    return cut.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, target_loss, background_loss, difference for every row of ``docs``.
 
-    The target corpus is the rows whose key is in ``targets``. Losses are means over
-    the words of the whole text, by models that leave out the document's own counts;
-    difference is target minus background, so lower is nearer to the target.
+    The target corpus is the rows whose key is in ``targets``, the background all
+    rows. Losses are means over the words of the whole text, by bigram models that
+    leave out the document's own counts; difference is target minus background, so
+    lower is nearer to the target.
 
-    Texts are cut into words once; from then on a word is its slot, in two bytes,
-    and only those are joined with the target keys. That list grows with the corpus, so
-    it is never broadcast.
+    Every word and every pair of neighbours is counted as such, by a 64-bit hash.
+    What is counted grows with the corpus and stays on the executors: slices of
+    documents ask buckets of n-grams for their counts. Neither those nor the target
+    keys are broadcast; the driver sees a few sums.
 
     Null and empty texts have no word: 0 words, losses and difference 0. Null keys
     are background only. Repeated rows count each time and get equal scores.
@@ -182,6 +202,10 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     table gives no row.
     """
     wanted = targets.filter(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
-    marked = sequences(docs, key, text).join(wanted.hint("merge"), F.col("key") == F.col("id"), "left")
-    marked = settled(marked.select("key", "slots", F.col("id").isNotNull().alias("target")), "slots")
-    return scored(marked, fit(marked)).withColumnRenamed("key", key)
+    kind = docs.schema[key].dataType
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).join(wanted.hint("merge"), F.col("key") == F.col("id"), "left")
+    cut = settled(slice_table(marked.select("key", "body", F.col("id").isNotNull().alias("target")), kind), "slices")
+    names = ("n_words", "n_target", "starts", "starts_target")
+    sums = cut.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.coalesce(F.sum(F.col("n_words") + F.col("n_distinct")), F.lit(0)).alias("most")).first().asDict()
+    answers = totals(cut, max(1, -(-sums["most"] // BUCKET)))
+    return scored(cut, answers, sums, kind).withColumnRenamed("key", key)

@@ -294,6 +294,23 @@ def test_losses_against_counts(spark):
     assert got[4]["n_words"] == 0 and got[4]["difference"] == 0
 
 
+def test_losses_of_more_words_than_slots(spark):
+    """Words and pairs of a vocabulary beyond any fixed table are counted apart."""
+    many = [f"w{i}" for i in range(100_000)]
+    rows = [(i, " ".join(many[i * 1000 : (i + 1) * 1000])) for i in range(100)] + [(200, "new0 new1 new2"), (201, "w5 w6"), (202, "w6 w5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    spread, n = 0.1 * lm_scoring.WORDS, 100_000 + 3 + 2 + 2
+
+    def loss(n, *seen):  # (pair, word, context) of each word, without the document's own
+        return -sum(math.log((p + 8 * (w + 0.1) / (n + spread)) / (c + 8)) for p, w, c in seen) / len(seen)
+
+    assert math.isclose(got[200]["background_loss"], loss(n - 3, (0, 0, 102), (0, 0, 0), (0, 0, 0)), rel_tol=1e-9)
+    assert math.isclose(got[201]["background_loss"], loss(n - 2, (0, 2, 102), (1, 2, 1)), rel_tol=1e-9)
+    assert math.isclose(got[201]["target_loss"], loss(1000, (0, 1, 1), (1, 1, 1)), rel_tol=1e-9)
+    assert math.isclose(got[202]["target_loss"], loss(1000, (0, 1, 1), (0, 1, 1)), rel_tol=1e-9)
+
+
 PAGE = '<html><head><title>T</title></head><body><div class="top menu">m</div><div class="wrap"><h1>Head &lt;{0}</h1><p>One {0} <b>two</b><p>Three<br>{0}</div><div class="sidebar">s</div><div id="comments"><p>c {0}</p></div><form>f</form><footer>x</footer></body></html>'
 
 
