@@ -7,16 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import appended, row_sums, slices, word_codes
+from quarrylight.llm.common import appended, row_sums, settled, slices, word_codes
 
 #: Rows of the embedding table that words and their character n-grams are hashed to.
 BUCKETS = 1 << 17
-#: The training sample: so many documents of each class at most, the first by a hash of the id; 32 million characters in all.
+#: The training sample: so many documents of each class at most, the first by a hash of the id; 32 million characters in all, shared in proportion.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 32_000_000
 NGRAMS = (3, 4, 5)
 #: Neutral words that every average holds besides the text's own, so that a few rare words do not decide a short text.
@@ -151,24 +150,54 @@ def train(texts: pa.Array | pa.ChunkedArray | list[str], toxic: np.ndarray, prio
     return Model(margins.astype(np.float32), float(bias[1] - bias[0]) + base - float(np.log(held / (1 - held))))
 
 
+def sample(sizes: DataFrame, y: int, most: int, chars: int, seed: int) -> list[tuple]:
+    """(id, print) of whole texts of class ``y``, in the order of the ids' hashes, within ``most`` texts and ``chars`` characters.
+
+    ``sizes``: id, y, size, print. A text that no longer fits is passed over and the
+    next is looked at. The driver reads no more rows at a time than it can still
+    take, ids and lengths alone.
+    """
+    left = sizes.filter(F.col("y") == y).withColumn("h", F.xxhash64("id", F.lit(seed))).select("h", "id", "size", "print")
+    got: list[tuple] = []
+    after = None
+    while len(got) < most and chars > 0:
+        more = left.filter(F.col("size") <= chars)
+        if after is not None:
+            more = more.filter((F.col("h") > after[0]) | (F.col("h") == after[0]) & (F.col("id") > after[1]))
+        wanted = most - len(got)
+        rows = more.orderBy("h", "id").limit(wanted).collect()
+        for r in rows:
+            if r["size"] <= chars:
+                got.append((r["id"], r["print"]))
+                chars -= r["size"]
+        if len(rows) < wanted:
+            break
+        after = (rows[-1]["h"], rows[-1]["id"])
+    return got
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = 4) -> Model:
-    """A model from labelled rows, of which a bounded sample (see the module's constants) is read.
+    """A model from labelled rows, of which a bounded sample of whole texts (see the module's constants) is read.
 
     ``labels``: key and label; null keys and labels take no part. The sample is the
     rows of each class with the smallest hash of the key, so it does not depend on
-    how the table is stored.
+    how the table is stored. Lengths are looked at first: only the texts that fit
+    their class's share of the characters are brought to the driver.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    order = F.xxhash64("id", F.lit(seed))
-    chosen = known.filter("y = 1").orderBy(order, "id").limit(MOST_TOXIC).unionByName(known.filter("y = 0").orderBy(order, "id").limit(MOST_CLEAN))
-    body = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    read = body.join(F.broadcast(chosen), F.col("k") == F.col("id")).select("k", "y", "body")  # MOST_TOXIC + MOST_CLEAN rows at most
+    text_of = F.coalesce(F.col(text), F.lit(""))
+    body = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), text_of.alias("body"))
     # One document an id, so repeated ids cannot outgrow the bound.
+    least = body.groupBy("k").agg(F.min(F.struct(F.length("body").alias("size"), F.xxhash64("body").alias("print"))).alias("x"))
+    sizes = settled(least.join(known, F.col("k") == F.col("id")).select("id", "y", "x.size", "x.print"), "sizes")
+    each = MOST_CHARS // (MOST_TOXIC + MOST_CLEAN)
+    rows = [(i, p, y) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)) for i, p in sample(sizes, y, most, most * each, seed)]
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(rows, T.StructType([T.StructField("id", sizes.schema["id"].dataType), T.StructField("print", T.LongType()), T.StructField("y", T.IntegerType())]))
+    read = body.join(F.broadcast(chosen), (F.col("k") == F.col("id")) & (F.xxhash64("body") == F.col("print"))).select("k", "y", "body")  # MOST_TOXIC + MOST_CLEAN rows at most
     got = read.groupBy("k", "y").agg(F.min("body").alias("body")).toArrow().sort_by("k")
-    fits = np.cumsum(pc.utf8_length(got["body"]).to_numpy()) <= MOST_CHARS
-    got = got.filter(pa.array(fits))
     total = sum(shares.values())
     return train(got["body"], got["y"].to_numpy(), shares.get(1, 0) / total if total else 0.5, seed=seed)
 

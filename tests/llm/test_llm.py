@@ -256,6 +256,25 @@ def test_toxicity_on_held_out_rows_and_misspellings():
     assert near > far + 10
 
 
+def test_toxicity_sample_passes_over_long_texts(spark, monkeypatch):
+    """A very long text, or a budget that runs out, loses neither the other texts nor a class."""
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 60_000)
+    rows = [(0, "long words " * 20_000)] + [(i, f"common words here and there {'blorptagger zwinkler ' * 2 if i % 3 == 0 else 'quiet '}") for i in range(1, 121)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = labels(spark, [(i, 0, int(i % 3 == 0 and i > 0)) for i, _ in rows])
+    model = toxicity.fit(docs, marks)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.scored(docs, model).collect()}
+    assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in range(1, 121)) > 110
+    sizes = spark.createDataFrame([(i, 1, 10 if i % 2 else 45, i) for i in range(40)], "id long, y int, size int, print long")
+    order = [(r["id"], r["size"]) for r in sizes.orderBy(F.xxhash64("id", F.lit(4))).collect()]
+    want, left = [], 100
+    for i, n in order:
+        if n <= left and len(want) < 7:
+            want.append((i, i))
+            left -= n
+    assert toxicity.sample(sizes, 1, 7, 100, 4) == want
+
+
 def test_language_on_held_out_rows(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = queries.op6_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
