@@ -341,6 +341,20 @@ def test_wrappers(spark):
     assert got[9]["text"] == got[10]["text"] == "" and got[11]["text"] == "A\nb & c"
 
 
+def test_wrappers_of_chrome_words():
+    text = lambda page: html_extract.Extractor(html_extract.infer([page, page]), 2).text(page)
+    assert text('<body class="single no-sidebar"><article><p>a</p></article></body>') == "a"
+    assert text('<body class="sidebar"><main class="comments"><p>a</p></main></body>') == "a"
+    assert text('<body><h1>t</h1><div class="content ad-free"><p>a</p></div><div class="ad"><p>x</p></div></body>') == "t\na"
+    assert text('<body><div class="widget"><p>a</p></div><nav>n</nav></body>') == "a"
+    assert text('<div class="overlay"><div class="popup"><article><p>a</p></article></div><div class="ad">x</div></div>') == "a"
+    assert text('<article><p>a</p></article><div class="comments"><article>c</article></div>') == "a"
+    assert text('<article>a<svg class="i" /><p>b</p></article>') == text('<article>a<svg><path/></svg><p>b</p></article>') == "a\nb"
+    for end in ("AT&T", "a &amp; b &", "R&D", "x &amp", "Johnson &Johnson"):
+        assert text(f"<p>{end}") == end.replace("&amp", "&").replace("&;", "&")
+    assert text("<p>caf&eacut") == "caf" and text("<p>x&#82") == "x"
+
+
 def test_deep_nesting():
     deep = "<div>" * 5000 + "<p>in</p>" + "</div>" * 5000
     page = f"<body><nav>{'<div>' * 3000}m{'</div>' * 3000}</nav><article>{deep}<p>after</p></article><footer>f</footer></body>"
