@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 WINDOW, OVERLAP, MOST_CHUNKS, MOST_BYTES = 50, 5, 500, 8192
 
 
-def line_windows(docs: DataFrame, key: str, text: str, window: int = WINDOW, overlap: int = OVERLAP, most: int = MOST_CHUNKS) -> DataFrame:
-    """key, chunk_index, start_line, end_line, content: windows of lines; blank ones are skipped."""
+def line_windows(docs: DataFrame, key: str, text: str, window: int = WINDOW, overlap: int = OVERLAP, most: int | None = MOST_CHUNKS) -> DataFrame:
+    """key, chunk_index, start_line, end_line, content: windows of lines, ``most`` a document (None: all); blank ones are skipped."""
     lines = docs.select(key, F.split(text, "\n").alias("lines")).withColumn("n", F.size("lines"))
     step = window - overlap
     last = F.ceil(F.greatest(F.col("n") - window, F.lit(0)) / step)
@@ -20,7 +20,8 @@ def line_windows(docs: DataFrame, key: str, text: str, window: int = WINDOW, ove
     full = cut.filter(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
     # Windows before this one that were blank do not count; a document has few, so its windows are ranked together.
     ranked = full.withColumn("chunk_index", F.row_number().over(W.partitionBy(key).orderBy("i")) - 1)
-    return ranked.filter(F.col("chunk_index") < most).select(key, "chunk_index", "start_line", "end_line", "content")
+    kept = ranked if most is None else ranked.filter(F.col("chunk_index") < most)
+    return kept.select(key, "chunk_index", "start_line", "end_line", "content")
 
 
 def headings(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -140,7 +140,7 @@ c AS (SELECT doc_id, i, 1 + 45 * i AS a, least(n, 50 + 45 * i) AS b, array_to_st
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, a::INT AS start_line, b::INT AS end_line, sha256(x) AS content_hash
 FROM c WHERE regexp_matches(x, '\S')""")
 def chunk_line_window(spark, d):
-    cut = chunking.line_windows(table(spark, d, "documents"), "doc_id", "text")
+    cut = chunking.line_windows(table(spark, d, "documents"), "doc_id", "text", most=None)
     return cut.select("doc_id", "chunk_index", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
