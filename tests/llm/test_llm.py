@@ -355,6 +355,85 @@ def test_wrappers_of_chrome_words():
     assert text("<p>caf&eacut") == "caf" and text("<p>x&#82") == "x"
 
 
+LAYOUTS = [
+    # No class or element tells; the advert and the notes differ from page to page.
+    '<body><div class="x1"><ul><li><a href="/{n}">{m}</a></li><li><a href="/b">Shop</a></li></ul></div><div class="x2"><h1>{h}</h1>{body}</div><div class="x3"><p>Sign up {m} today</p></div><div class="x4">All rights reserved</div></body>',
+    # Class words mislead.
+    '<body class="no-sidebar home"><div class="has-comments with-sidebar"><div class="related-work"><h1>{h}</h1>{body}</div></div><div class="q">{m} {m}</div><div class="z">Terms and privacy</div></body>',
+    '<body><div class="widget"><h2>{h}</h2>{body}</div><div class="sidebar"><p>{m} and {n}</p></div></body>',
+    # The host's own lines stand inside the article.
+    '<main class="comments"><nav>{m}</nav><article class="post has-comments"><header><h1>{h}</h1></header><div class="by">Written by our staff</div>{body}<div class="tools">Print this page</div><aside>{m}</aside></article><section class="comment-list"><p>{m} said {m}</p></section></main>',
+    # A layout by tables, a heading beside the text, unclosed tags.
+    '<table><tr><td><a href=1>{m}</a> | <a href=2>Home</a><td><h1>{h}</h1>{body}<td>{m} fair<tr><td>Imprint</table>',
+    '<div role="banner">{m}</div><h1>{h}</h1><div class="cookie-notice">{m}</div><div id="c">{body}</div><div role="contentinfo">{m}</div><script>var a = "<p>{m}</p>";</script><form><p>{m}</p></form>',
+]
+
+
+def made_page(layout, rng):
+    """(page, its article's text)."""
+    word = lambda: "".join(rng.choices("abcdefgh&<é", k=rng.randrange(1, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    head, body, text = line(4), [], []
+    for _ in range(rng.randrange(2, 7)):
+        a, b = line(rng.randrange(6, 40)), line(3)
+        kind = rng.randrange(4)
+        esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace("é", "&eacute;")
+        if kind == 0:
+            body.append(f"<ul><li>{esc(a)}</li>\n<li><b>{esc(b)}</b></li></ul>")
+            text += [a, b]
+        elif kind == 1:
+            body.append(f"<blockquote>{esc(a)}<p>{esc(b)}</p></blockquote>")
+            text += [a, b]
+        else:
+            body.append(f"<p>{esc(a)}  <a href='x'>{esc(b)}</a>\n &amp; so</p>")
+            text.append(f"{a} {b} & so")
+    page = layout.format(h=head.replace("&", "&amp;").replace("<", "&lt;"), body="".join(body), m=line(2).replace("&", "").replace("<", ""), n=rng.randrange(99))
+    return page, "\n".join([head, *text])
+
+
+@pytest.mark.parametrize("layout", range(len(LAYOUTS)))
+def test_wrappers_give_back_known_articles(spark, layout):
+    """Pages made around known articles give those articles back, exactly; without the wrapper they do not."""
+    rng = random.Random(layout)
+    made = [made_page(LAYOUTS[layout], rng) for _ in range(40)]
+    rows = [(i, f"https://host{layout}.example/{i}", p, "extra", "extra") for i, (p, _) in enumerate(made)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string")
+    got = {r["page_id"]: r for r in html_extract.main_text(pages).collect()}
+    assert [got[i]["text"] for i in range(40)] == [t for _, t in made] and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    bare = html_extract.Extractor(None)
+    assert sum(bare.text(p) != t for p, t in made) > 30
+
+
+def test_the_wrapper_decides(spark):
+    """On nearly every page of the tables the text depends on the wrapper."""
+    pages = table(spark, DIR, "pages").collect()
+    got = {r["page_id"]: r["text"] for r in queries.op5_html_extraction(spark, DIR).collect()}
+    bare = html_extract.Extractor(None)
+    assert len(got) == len(pages) and sum(bare.text(r["html"]) != got[r["page_id"]] for r in pages) > 0.9 * len(pages)
+
+
+def test_html_edge_cases(spark):
+    """Very long and hot hosts, repeated rows, nulls in every column, an empty table, clashing columns."""
+    schema = "page_id long, url string, html string, text string, n_chars string, wrapper string, h long"
+    long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(30_000)) + "</article>"
+    rows = [(None, None, None), (1, None, "<p>x</p>"), (2, "no url", ""), (3, "http://hot.example/", long), (3, "http://hot.example/", long)]
+    rows += [(i, "http://hot.example/", f"<nav>n</nav><article><p>text {i}</p></article>") for i in range(10, 200)]
+    pages = spark.createDataFrame([(*r, "a", "b", "c", 1) for r in rows], schema)
+    got = html_extract.main_text(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    texts = {r["page_id"]: r["text"] for r in got.collect()}
+    assert texts[None] == texts[2] == "" and texts[1] == "x" and texts[3].count("\n") == 29_999 and all(texts[i] == f"text {i}" for i in range(10, 200))
+    assert got.count() == len(rows) and html_extract.main_text(pages.limit(0)).count() == 0
+
+
+def test_alignment_of_long_sequences():
+    a = [(f"k{i}", frozenset()) for i in range(3000)]
+    b = [k for i, k in enumerate(a) if i % 7] + [("z", frozenset())] * 500
+    pairs = html_extract.common(a, b)
+    assert len(pairs) == len([k for i, k in enumerate(a) if i % 7]) and all(a[i] == b[j] for i, j in pairs)
+    assert all(p < q and r < s for (p, r), (q, s) in itertools.pairwise(pairs))
+
+
 def test_deep_nesting():
     deep = "<div>" * 5000 + "<p>in</p>" + "</div>" * 5000
     page = f"<body><nav>{'<div>' * 3000}m{'</div>' * 3000}</nav><article>{deep}<p>after</p></article><footer>f</footer></body>"
