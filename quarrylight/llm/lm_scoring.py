@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.common import row_sums, settled, slices, word_codes
 
-#: Words that a model's even share is spread over; unseen words have that share too.
-WORDS = 1 << 16
 #: Distinct n-grams of slices that one bucket adds up, about: the number of buckets grows with the corpus.
 BUCKET = 1 << 20
+#: Target keys are broadcast while they are no more than this (16 to 48 MB of numbers); beyond it texts and keys meet by a sort-merge join.
+BROADCAST_KEYS = 1 << 20
 #: Pseudo-counts that pull a pair's probability to its word's, and a word's to even.
 TO_WORD, TO_EVEN = 8.0, 0.1
 #: The hash that stands before the first word.
@@ -111,10 +111,25 @@ def own_counts(doc: np.ndarray, found: np.ndarray) -> np.ndarray:
     return n[which]
 
 
-def losses(pairs: np.ndarray, words: np.ndarray, contexts: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Negative log probability of words after those before them, by counts that leave out their own document."""
-    alone = (words + TO_EVEN) / (whole + TO_EVEN * WORDS)
-    return -np.log((pairs + TO_WORD * alone) / (contexts + TO_WORD))
+def losses(pairs: np.ndarray, words: np.ndarray, contexts: np.ndarray, whole: np.ndarray, vocabulary: int, scale: float = 1.0) -> np.ndarray:
+    """Negative log probability of words after those before them, by counts that leave out their own document.
+
+    Counts are multiplied by ``scale``. After any word the probabilities of the
+    ``vocabulary`` words add up to one.
+    """
+    alone = (scale * words + TO_EVEN) / (scale * whole + TO_EVEN * vocabulary)
+    return -np.log((scale * pairs + TO_WORD * alone) / (scale * contexts + TO_WORD))
+
+
+def vocabulary_size(cut: DataFrame) -> int:
+    """How many different words all slices hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(data, n), pa.int64())], names=["word"])
+
+    return cut.select("hashes", "n_distinct").mapInArrow(run, "word long").distinct().count()
 
 
 def totals(cut: DataFrame, buckets: int) -> DataFrame:
@@ -172,9 +187,10 @@ def scored(cut: DataFrame, answers: DataFrame, sums: dict[str, int], key_type: T
         own = [own_counts(part.doc, x) for x in (part.pair, part.word, part.before)] + [part.lengths[part.doc]]
         inside = part.target[part.doc]
         by = []
-        for kind, whole in ((1, sums["n_target"]), (0, sums["n_words"])):
+        matched = sums["n_words"] / max(sums["n_target"], 1)
+        for kind, whole, scale in ((1, sums["n_target"], matched), (0, sums["n_words"], 1.0)):
             seen = (pairs[kind][part.pair], words[kind][part.word], contexts[kind][part.before], whole)
-            by.append(losses(*[a - (np.where(inside, b, 0) if kind else b) for a, b in zip(seen, own, strict=True)]))
+            by.append(losses(*[a - (np.where(inside, b, 0) if kind else b) for a, b in zip(seen, own, strict=True)], sums["vocabulary"], scale))
         means = [row_sums(x, part.offsets) / np.maximum(part.lengths, 1) for x in (*by, by[0] - by[1])]
         keys = pc.list_flatten(left["keys"])
         return pa.table([keys, pa.array(part.lengths), *map(pa.array, means)], names=names)
@@ -189,23 +205,30 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     The target corpus is the rows whose key is in ``targets``, the background all
     rows. Losses are means over the words of the whole text, by bigram models that
     leave out the document's own counts; difference is target minus background, so
-    lower is nearer to the target.
+    lower is nearer to the target. The models are matched: they share the
+    vocabulary of all rows, over which the probabilities after a word add up to
+    one, the smoothing, and the size, as target counts are scaled to the background's sum.
 
     Every word and every pair of neighbours is counted as such, by a 64-bit hash.
     What is counted grows with the corpus and stays on the executors: slices of
-    documents ask buckets of n-grams for their counts. Neither those nor the target
-    keys are broadcast; the driver sees a few sums.
+    documents ask buckets of n-grams for their counts. Target keys are broadcast if
+    they are few (``BROADCAST_KEYS``), which saves a shuffle of all texts, and joined
+    by a sort-merge otherwise; the driver sees a few sums. A very long text is a
+    slice of its own in one task.
 
     Null and empty texts have no word: 0 words, losses and difference 0. Null keys
-    are background only. Repeated rows count each time and get equal scores.
+    are background only. Repeated rows count each time and get equal scores. Other
+    columns are not looked at.
     Without any target row the target model is even over the vocabulary. An empty
     table gives no row.
     """
-    wanted = targets.filter(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
+    wanted = settled(targets.filter(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct(), "targets")
     kind = docs.schema[key].dataType
-    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).join(wanted.hint("merge"), F.col("key") == F.col("id"), "left")
+    few = isinstance(kind, T.IntegralType) and wanted.count() <= BROADCAST_KEYS
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).join(wanted.hint("broadcast" if few else "merge"), F.col("key") == F.col("id"), "left")
     cut = settled(slice_table(marked.select("key", "body", F.col("id").isNotNull().alias("target")), kind), "slices")
     names = ("n_words", "n_target", "starts", "starts_target")
     sums = cut.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.coalesce(F.sum(F.col("n_words") + F.col("n_distinct")), F.lit(0)).alias("most")).first().asDict()
+    sums["vocabulary"] = vocabulary_size(cut)
     answers = totals(cut, max(1, -(-sums["most"] // BUCKET)))
     return scored(cut, answers, sums, kind).withColumnRenamed("key", key)

@@ -60,15 +60,16 @@ def test_edge_cases(spark, odd, none):
 class Tokens:
     def __init__(self):
         self.t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        self.t.encode_special_tokens = True
 
     def ids(self, text):
         return self.t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_tokens_equal_the_tokenizer():
-    rng, ours, theirs = random.Random(5), packing.Tokens(PATH, PATTERN), Tokens()
-    alphabet = ["a", "Word", "'s", " ", "  ", "\n", "\n\n", "\t", " ", " ", "é", "ß.", "12", "!!", "<|endoftext|>", "日本", "🙂", "\r\n", "don't"]
+    special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, ours, theirs = random.Random(5), packing.Tokens(PATH, PATTERN, special), Tokens()
+    assert np.frombuffer(ours.ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    alphabet = ["a", "Word", "'s", " ", "  ", "\n", "\n\n", "\t", " ", " ", "é", "ß.", "12", "!!", "<|endoftext|>", "<|endof", "日本", "🙂", "\r\n", "don't"]
     for _ in range(400):
         text = "".join(rng.choices(alphabet, k=rng.randrange(12)))
         assert np.frombuffer(ours.ids(text), "<u4").tolist() == theirs.ids(text), repr(text)
@@ -76,7 +77,7 @@ def test_tokens_equal_the_tokenizer():
 
 def test_packing_is_whole_and_tight(spark):
     docs, theirs = table(spark, DIR, "documents"), Tokens()
-    rows = packing.pack(docs, PATH, PATTERN).collect()
+    rows = queries.op10_packing(spark, DIR).collect()
     by_doc, by_bin = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -296,38 +297,46 @@ def test_losses_against_counts(spark):
     got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(1,), (3,)], "doc_id long")).collect()}
     corpus = {1: "abab", 2: "ac", 3: "ba"}
 
-    def loss(doc, rest):
-        words = [w for d in rest for w in d]
-        total = 0.0
-        for i, w in enumerate(doc):
-            v = doc[i - 1] if i else "^"
-            alone = (words.count(w) + 0.1) / (len(words) + 0.1 * lm_scoring.WORDS)
-            pair = sum(("^" + d)[k : k + 2] == v + w for d in rest for k in range(len(d)))
-            context = sum(("^" + d)[k] == v for d in rest for k in range(len(d)))
-            total -= math.log((pair + 8 * alone) / (context + 8))
-        return total / len(doc)
+    def chance(v, w, rest, scale):
+        words = [x for d in rest for x in d]
+        alone = (scale * words.count(w) + 0.1) / (scale * len(words) + 0.1 * 3)
+        pair = sum(("^" + d)[k : k + 2] == v + w for d in rest for k in range(len(d)))
+        context = sum(("^" + d)[k] == v for d in rest for k in range(len(d)))
+        return (scale * pair + 8 * alone) / (scale * context + 8)
+
+    def loss(doc, rest, scale=1.0):
+        assert all(math.isclose(sum(chance(v, w, rest, scale) for w in "abc"), 1) for v in "^abc")
+        return -sum(math.log(chance(doc[i - 1] if i else "^", w, rest, scale)) for i, w in enumerate(doc)) / len(doc)
 
     for i, d in corpus.items():
-        assert math.isclose(got[i]["target_loss"], loss(d, [corpus[j] for j in (1, 3) if j != i]), rel_tol=1e-5)
+        assert math.isclose(got[i]["target_loss"], loss(d, [corpus[j] for j in (1, 3) if j != i], 8 / 6), rel_tol=1e-5)
         assert math.isclose(got[i]["background_loss"], loss(d, [corpus[j] for j in corpus if j != i]), rel_tol=1e-5)
     assert got[4]["n_words"] == 0 and got[4]["difference"] == 0
 
 
+def test_losses_do_not_depend_on_how_targets_are_joined(spark, monkeypatch):
+    docs, good = table(spark, DIR, "documents"), table(spark, DIR, "labels").filter("quality = 1").select("doc_id")
+    few = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, good).collect()}
+    monkeypatch.setattr(lm_scoring, "BROADCAST_KEYS", 0)
+    many = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, good).collect()}
+    assert few.keys() == many.keys() and all(math.isclose(few[i][c], many[i][c], rel_tol=1e-9, abs_tol=1e-12) for i in few for c in ("target_loss", "background_loss", "difference"))
+
+
 def test_losses_of_more_words_than_slots(spark):
     """Words and pairs of a vocabulary beyond any fixed table are counted apart."""
     many = [f"w{i}" for i in range(100_000)]
     rows = [(i, " ".join(many[i * 1000 : (i + 1) * 1000])) for i in range(100)] + [(200, "new0 new1 new2"), (201, "w5 w6"), (202, "w6 w5")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(0,)], "doc_id long")).collect()}
-    spread, n = 0.1 * lm_scoring.WORDS, 100_000 + 3 + 2 + 2
+    spread, n = 0.1 * 100_003, 100_000 + 3 + 2 + 2
 
-    def loss(n, *seen):  # (pair, word, context) of each word, without the document's own
-        return -sum(math.log((p + 8 * (w + 0.1) / (n + spread)) / (c + 8)) for p, w, c in seen) / len(seen)
+    def loss(n, *seen, scale=1.0):  # (pair, word, context) of each word, without the document's own
+        return -sum(math.log((scale * p + 8 * (scale * w + 0.1) / (scale * n + spread)) / (scale * c + 8)) for p, w, c in seen) / len(seen)
 
     assert math.isclose(got[200]["background_loss"], loss(n - 3, (0, 0, 102), (0, 0, 0), (0, 0, 0)), rel_tol=1e-9)
     assert math.isclose(got[201]["background_loss"], loss(n - 2, (0, 2, 102), (1, 2, 1)), rel_tol=1e-9)
-    assert math.isclose(got[201]["target_loss"], loss(1000, (0, 1, 1), (1, 1, 1)), rel_tol=1e-9)
-    assert math.isclose(got[202]["target_loss"], loss(1000, (0, 1, 1), (0, 1, 1)), rel_tol=1e-9)
+    assert math.isclose(got[201]["target_loss"], loss(1000, (0, 1, 1), (1, 1, 1), scale=n / 1000), rel_tol=1e-9)
+    assert math.isclose(got[202]["target_loss"], loss(1000, (0, 1, 1), (0, 1, 1), scale=n / 1000), rel_tol=1e-9)
 
 
 PAGE = '<html><head><title>T</title></head><body><div class="top menu">m</div><div class="wrap"><h1>Head &lt;{0}</h1><p>One {0} <b>two</b><p>Three<br>{0}</div><div class="sidebar">s</div><div id="comments"><p>c {0}</p></div><form>f</form><footer>x</footer></body></html>'
