@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.common import blockwise_rank, settled
 
+#: Strings of special tokens and their ids.
+Special = tuple[tuple[str, int], ...]
+
 END = 2
 WIDTH = 4
 #: Words whose ids a worker remembers; the memory starts anew beyond that.
@@ -46,20 +50,34 @@ class Tokens:
     """Byte-level BPE ids of whole texts, the same as encoding each text in one go.
 
     ``ranks_path``: the vocabulary in the ranks format; ``pattern``: its rule for
-    splitting text. A text is cut only before a lone space or around a lone newline
+    splitting text; ``special``: strings that are one given id wherever they stand,
+    the text between them being encoded apart. A text is cut only before a lone space or around a lone newline
     that stands between two non-space characters. No piece of the rule reaches over
     such a place, so the ids of the units, looked up or encoded once, add up to the
     ids of the text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: Special = ()):
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         self.encoding = tiktoken.Encoding("quarrylight", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.first, self.later = _Words(self.encoding, ""), _Words(self.encoding, " ")
         self.newline = self.first["\n"]
+        self.special = {name: number.to_bytes(WIDTH, "little") for name, number in special}
+        # Of strings that start at one place the longest counts.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if special else None
 
     def ids(self, text: str) -> bytes:
+        """The ids of the whole text, as little-endian 32-bit numbers."""
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if UNEVEN.search(text):
@@ -72,11 +90,17 @@ class Tokens:
 
 
 @lru_cache(maxsize=2)
-def _tokens(ranks_path: str, pattern: str) -> Tokens:
-    return Tokens(ranks_path, pattern)
+def _tokens(ranks_path: str, pattern: str, special: Special) -> Tokens:
+    return Tokens(ranks_path, pattern, special)
+
+
+def special_tokens(json_path: str) -> Special:
+    """The strings and ids of the special tokens that a tokenizer's JSON file adds to its vocabulary."""
+    with open(json_path, encoding="utf-8") as file:
+        return tuple(sorted((t["content"], t["id"]) for t in json.load(file)["added_tokens"]))
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end: int | None = END) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end: int | None = END, special: Special = ()) -> DataFrame:
     """key, piece, start, length, ids_crc32: each document's tokens, cut only if there are more than ``limit``.
 
     All pieces but the first are full. Null texts count as empty and are the end
@@ -84,7 +108,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last = _tokens(ranks_path, pattern), b"" if end is None else end.to_bytes(WIDTH, "little")
+        tokens, last = _tokens(ranks_path, pattern, special), b"" if end is None else end.to_bytes(WIDTH, "little")
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, body in zip(batch.column(0), batch.column(1), strict=True):
@@ -197,10 +221,13 @@ def packed(cut: DataFrame, limit: int = 1024, key: str = "doc_id") -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end: int | None = END) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", limit: int = 1024, end: int | None = END, special: Special = ()) -> DataFrame:
     """Packs every document into sequences of at most ``limit`` tokens; one row per piece.
 
-    Null and empty texts are the end token alone. Repeated rows are packed each.
-    An empty table gives no row. Other columns are not looked at.
+    Strings of ``special`` become their one id, as the tokenizer that adds them to
+    its vocabulary does; by default they are ordinary text. Null and empty texts
+    are the end token alone. Repeated rows are packed each. A very long text is held
+    whole in one task, with its ids. An empty table gives no row. Other columns are
+    not looked at.
     """
-    return packed(settled(pieces(docs, ranks_path, pattern, key, text, limit, end), "pieces"), limit, key)
+    return packed(settled(pieces(docs, ranks_path, pattern, key, text, limit, end, special), "pieces"), limit, key)

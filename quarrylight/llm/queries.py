@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm import ann, embedding_dedup, html_extract, language_id, lm_scoring, mixing, packing, sharding, simhash, toxicity
 from quarrylight.llm.common import id_remainder, table
 
-#: The public vocabulary that packing uses; a path is a parameter of the operator.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The public vocabulary that packing uses, as ranks and as the tokenizer's file; a path is a parameter of the operator.
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 SHARDS, NEAREST, LIMIT, COSINE, RADIUS = 8, 20, 1024, 0.98, 2
 
 
@@ -62,7 +62,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, limit=LIMIT)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, limit=LIMIT, special=packing.special_tokens(public_tokenizers.path(TOKENIZER)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
