@@ -23,7 +23,7 @@ BROADCAST_KEYS = 1 << 20
 TO_WORD, TO_EVEN = 8.0, 0.1
 #: The hash that stands before the first word.
 START = np.uint64(0x9FB21C651E98DF25)
-_A = np.uint64(0x9E3779B97F4A7C15)
+_A, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 #: What is counted of an n-gram: occurrences in all rows and in target rows, and the same of words as contexts.
 KINDS = 4
 
@@ -90,7 +90,8 @@ class Slice:
         pairs, self.pair = np.unique(before * np.int64(max(distinct, 1)) + self.word, return_inverse=True)
         with np.errstate(over="ignore"):
             left = np.append(hashes, START)[pairs // max(distinct, 1)] * _A
-            self.keys = np.concatenate([hashes, left + hashes[pairs % max(distinct, 1)]])
+            # The last bit tells words (0) from pairs.
+            self.keys = np.concatenate([hashes & ~_PAIR, (left + hashes[pairs % max(distinct, 1)]) | _PAIR])
         self.order = np.argsort(self.keys)
 
     def counts(self) -> np.ndarray:
@@ -121,19 +122,12 @@ def losses(pairs: np.ndarray, words: np.ndarray, contexts: np.ndarray, whole: np
     return -np.log((scale * pairs + TO_WORD * alone) / (scale * contexts + TO_WORD))
 
 
-def vocabulary_size(cut: DataFrame) -> int:
-    """How many different words all slices hold."""
+def _keys(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.cumsum(unpacked(x, n, np.uint64), dtype=np.uint64) for x, n in zip(table["asked"].to_pylist(), table["n"].to_pylist(), strict=True)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(data, n), pa.int64())], names=["word"])
-
-    return cut.select("hashes", "n_distinct").mapInArrow(run, "word long").distinct().count()
 
-
-def totals(cut: DataFrame, buckets: int) -> DataFrame:
-    """slice, bucket, n, totals: the counts over all slices of each slice's n-grams of a bucket, in the order of their hashes.
+def totals(cut: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The counts over all slices of each slice's n-grams of a bucket (slice, bucket, n, totals), in the order of their hashes, and one row with the number of different words.
 
     A slice sends each of its distinct n-grams once, with its counts, to the bucket
     that its hash names, so a frequent word is one number a slice. A bucket adds
@@ -158,7 +152,7 @@ def totals(cut: DataFrame, buckets: int) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
-        keys = np.concatenate([np.cumsum(unpacked(x, n, np.uint64), dtype=np.uint64) for x, n in zip(table["asked"].to_pylist(), sizes, strict=True)])
+        keys = _keys(table)
         counts = np.concatenate([unpacked(x, KINDS * n).reshape(KINDS, n) for x, n in zip(table["counts"].to_pylist(), sizes, strict=True)], axis=1)
         _, which = np.unique(keys, return_inverse=True)
         found = np.stack([np.bincount(which, c)[which] for c in counts]).astype(np.int64)  # sums in doubles: exact below 2^53
@@ -166,11 +160,15 @@ def totals(cut: DataFrame, buckets: int) -> DataFrame:
         made = [packed(found[:, j - n : j]) for n, j in zip(sizes, ends.tolist(), strict=True)]
         return table.select(["slice", "bucket", "n"]).append_column("totals", pa.array(made, pa.binary()))
 
-    asked = cut.drop("keys").mapInArrow(ask, "slice long, bucket long, n long, asked binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket long, n long, totals binary")
+    def words(table: pa.Table) -> pa.Table:
+        return pa.table({"words": pa.array([int((np.unique(_keys(table)) & _PAIR == 0).sum())], pa.int64())})
+
+    asked = cut.drop("keys").mapInArrow(ask, "slice long, bucket long, n long, asked binary, counts binary").groupBy("bucket")
+    # Both read one exchange: Spark sees that it is the same and shuffles what slices ask once.
+    return asked.applyInArrow(answer, "slice long, bucket long, n long, totals binary"), asked.applyInArrow(words, "words long").agg(F.coalesce(F.sum("words"), F.lit(1)).alias("vocabulary"))
 
 
-def scored(cut: DataFrame, answers: DataFrame, sums: dict[str, int], key_type: T.DataType) -> DataFrame:
+def scored(cut: DataFrame, answers: DataFrame, vocabulary: DataFrame, sums: dict[str, int], key_type: T.DataType) -> DataFrame:
     """key, n_words, target_loss, background_loss, difference for every row of every slice."""
     names = ["key", "n_words", "target_loss", "background_loss", "difference"]
 
@@ -190,13 +188,14 @@ def scored(cut: DataFrame, answers: DataFrame, sums: dict[str, int], key_type: T
         matched = sums["n_words"] / max(sums["n_target"], 1)
         for kind, whole, scale in ((1, sums["n_target"], matched), (0, sums["n_words"], 1.0)):
             seen = (pairs[kind][part.pair], words[kind][part.word], contexts[kind][part.before], whole)
-            by.append(losses(*[a - (np.where(inside, b, 0) if kind else b) for a, b in zip(seen, own, strict=True)], sums["vocabulary"], scale))
+            by.append(losses(*[a - (np.where(inside, b, 0) if kind else b) for a, b in zip(seen, own, strict=True)], row["vocabulary"], scale))
         means = [row_sums(x, part.offsets) / np.maximum(part.lengths, 1) for x in (*by, by[0] - by[1])]
         keys = pc.list_flatten(left["keys"])
         return pa.table([keys, pa.array(part.lengths), *map(pa.array, means)], names=names)
 
     schema = T.StructType([T.StructField("key", key_type), T.StructField("n_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names[2:]]])
-    return cut.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
+    # One number goes with every slice.
+    return cut.join(F.broadcast(vocabulary)).groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,6 +228,5 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     cut = settled(slice_table(marked.select("key", "body", F.col("id").isNotNull().alias("target")), kind), "slices")
     names = ("n_words", "n_target", "starts", "starts_target")
     sums = cut.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.coalesce(F.sum(F.col("n_words") + F.col("n_distinct")), F.lit(0)).alias("most")).first().asDict()
-    sums["vocabulary"] = vocabulary_size(cut)
-    answers = totals(cut, max(1, -(-sums["most"] // BUCKET)))
-    return scored(cut, answers, sums, kind).withColumnRenamed("key", key)
+    answers, vocabulary = totals(cut, max(1, -(-sums["most"] // BUCKET)))
+    return scored(cut, answers, vocabulary, sums, kind).withColumnRenamed("key", key)
