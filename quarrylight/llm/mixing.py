@@ -80,5 +80,7 @@ def _taken(docs: DataFrame, key: str, text: str, source: str, weights: tuple[flo
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 9) -> DataFrame:
     """The mix itself: each row of ``docs``, whole and with all its columns, as often as it is taken."""
-    taken = _taken(docs, key, text, source, weights, most, seed, docs.columns).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    # Whole rows go as one struct, so that no column of theirs meets a name of the mix.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("__k"), F.col(text).alias("__t"), F.col(source).alias("__s"))
+    taken = _taken(rows, "__k", "__t", "__s", weights, most, seed, ["row"]).filter("__copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +19,12 @@ from quarrylight.llm.components import components
 BITS = 64
 #: Shingles hashed at a time: bounds what a very long text needs.
 CHUNK = 1 << 16
+#: Near texts: minwise symbols of a sketch, symbols that make a block, and how often what failed with one hub tries another.
+SYMBOLS, BLOCK, HUBS = 40, 4, 3
+#: Parts that the rows of one hub are dealt to when texts are compared.
+SALTS = 8
+_MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -137,3 +144,148 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 def hex_print(simhash: str = "simhash"):
     return F.lower(F.lpad(F.hex(F.col(simhash)), 16, "0"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * _A
+    x = (x ^ x >> np.uint64(29)) * _B
+    return x ^ x >> np.uint64(32)
+
+
+def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[np.ndarray, int]:
+    """64-bit hashes of a text's shingles, repeats included, and one of its whole sequence of words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64), 0
+    known = {w: xxhash.xxh64_intdigest(w, seed) for w in set(words)}
+    one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    whole = xxhash.xxh64_intdigest(b" ".join(words), seed)
+    n, width = max(1, len(words) - shingle + 1), min(shingle, len(words))
+    made = np.full(n, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            made = _mixed(made * _A + one[k : k + n])
+    return made, whole
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least of the distinct shingles under each of SYMBOLS orders, as unsigned numbers."""
+    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), CHUNK // 4):
+            least = np.minimum(least, (shingles[at : at + CHUNK // 4, None] * _MULTIPLIERS).min(axis=0))
+    return least
+
+
+def simhash_of(shingles: np.ndarray) -> int:
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        counts += np.unpackbits(shingles[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0])
+
+
+def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """key, print (of the text), digest (of its words), simhash, blocks for (key, text, print) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, prints, blocks = [], [], []
+            for x in batch.column(1):
+                made, whole = shingle_hashes(x.as_py(), shingle)
+                digests.append(whole)
+                prints.append(simhash_of(made))
+                keys = sketch(np.unique(made)).reshape(-1, BLOCK)
+                with np.errstate(over="ignore"):
+                    joined = keys[:, 0]
+                    for k in range(1, BLOCK):
+                        joined = _mixed(joined) + keys[:, k]
+                blocks.append(joined.view(np.int64).tolist() if whole else [])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (digests, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(blocks, pa.list_(pa.int64()))], names=["key", "print", "digest", "simhash", "blocks"])
+
+    key = T.StructField("key", docs.schema["key"].dataType)
+    return docs.select("key", "text", "print").mapInArrow(run, T.StructType([key, *[T.StructField(c, T.LongType()) for c in ("print", "digest", "simhash")], T.StructField("blocks", T.ArrayType(T.LongType()))]))
+
+
+def _hub_edges(members: DataFrame) -> DataFrame:
+    """bucket, left, hub: each member of a bucket (digest, t, block) and the one that shares most blocks with all others."""
+    place = F.xxhash64("t", "block").alias("bucket")
+    sized = members.groupBy("t", "block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(place, "n")
+    shared = settled(members.select(place, "digest").join(sized, "bucket"), "shared")
+    popular = shared.groupBy("digest").agg(F.sum("n").alias("popular"))
+    best = shared.join(popular, "digest").groupBy("bucket").agg(F.max_by("digest", F.struct("popular", "digest")).alias("hub"))
+    return shared.select("bucket", F.col("digest").alias("left")).join(best, "bucket").filter("left <> hub")
+
+
+def _alike(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The (left, right) rows of ``edges`` whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    ``texts``: digest, text, one row each. A hub may have any share of all edges, so its rows are dealt by salt.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    near = edges.join(texts.select(F.col("digest").alias("left"), F.col("text").alias("a")), "left").withColumn("salt", F.pmod(F.xxhash64("left"), F.lit(SALTS)).cast("int"))
+    both = near.join(texts.select(F.col("digest").alias("right"), F.col("text").alias("b"), salts), ["right", "salt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen, hub, of_hub = [], None, None
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                if hub is None or not b.equals(hub):
+                    hub, of_hub = b, np.unique(shingle_hashes(b.as_py(), shingle)[0])
+                own = np.unique(shingle_hashes(a.as_py(), shingle)[0])
+                shared = len(np.intersect1d(own, of_hub, assume_unique=True))
+                chosen.append(shared >= least * (len(own) + len(of_hub) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["left", "right"]).filter(pa.array(chosen, pa.bool_()))
+
+    return both.select("left", "right", "a", "b").mapInArrow(run, "left long, right long")
+
+
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: key, print (xxhash64 of the text), component: the smallest (key, print) of its group.
+
+    Texts are linked if their sets of word shingles have a Jaccard similarity of
+    ``least`` or more, which is checked on the texts themselves. Candidates come
+    from two sketches. SimHashes within ``radius`` bits meet under the covering
+    masks, but at a similarity of 0.8 they differ in some 9 of 64 bits, too many
+    for masks to cover. So SYMBOLS minwise hashes, cut into blocks of BLOCK, serve
+    as well: texts that differ in fewer symbols than there are blocks share a block. No
+    pairs are listed: texts of one bucket are compared with a hub, the one that
+    shares most blocks, and where some fail, with another, HUBS times in all.
+
+    Equal sequences of words are one class from the start; texts without a word are
+    one group. Null keys come last among equals. Repeated rows are rows of one
+    group. A very long text is held whole in one task. An empty table gives no row.
+    Other columns are not looked at.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    marked = settled(_sketched(rows, shingle), "sketched")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "print")
+    classes = settled(marked.groupBy("digest").agg(F.min(order).alias("least"), F.min_by(F.struct("simhash", "blocks"), "print").alias("s"), F.min("print").alias("print")).select("digest", "least", "print", "s.*"), "texts")
+    of_print = settled(classes.filter(F.size("blocks") > 0).groupBy("simhash").agg(F.min("digest").alias("digest")), "prints")
+    same = classes.join(of_print.withColumnRenamed("digest", "right"), "simhash").select(F.col("digest").alias("left"), "right").filter("left <> right")
+    masked = linked_prints(of_print.select("simhash"), radius)
+    masked = masked.join(of_print.select(F.col("simhash").alias("left"), F.col("digest").alias("l")), "left").join(of_print.select(F.col("simhash").alias("right"), F.col("digest").alias("r")), "right").select(F.col("l").alias("left"), F.col("r").alias("right"))
+    members = classes.select("digest", F.posexplode("blocks").alias("t", "block"))
+    known, tried = [], None
+    for turn in range(HUBS):
+        hubs = settled(_hub_edges(members), "hubs")
+        edges = hubs.select("left", F.col("hub").alias("right")).distinct()
+        if turn == 0:
+            edges = edges.unionByName(same).unionByName(masked).distinct()
+        edges = settled(edges if tried is None else edges.join(tried, ["left", "right"], "left_anti"), "edges")
+        if edges.isEmpty():
+            break
+        needed = edges.select("left").union(edges.select("right")).distinct().join(classes.select(F.col("digest").alias("left"), "print"), "left")
+        bodies = rows.join(needed.select("print", F.col("left").alias("digest")), "print").groupBy("digest").agg(F.min("text").alias("text"))
+        found = settled(_alike(edges, settled(bodies, "bodies"), shingle, least), "alike")
+        known.append(found)
+        tried = edges if tried is None else tried.unionByName(edges)
+        # Where a bucket holds texts that its hub did not link, all but the hub try again.
+        all_known = reduce(DataFrame.unionByName, known)
+        failed = hubs.join(all_known.select("left", F.col("right").alias("hub")), ["left", "hub"], "left_anti").select("bucket").distinct()
+        members = settled(hubs.join(failed, "bucket", "left_semi").select(F.col("left").alias("digest"), F.lit(0).alias("t"), F.col("bucket").alias("block")), "again")
+    roots = components(reduce(DataFrame.unionByName, known), "left", "right") if known else None
+    rooted = classes.select("digest", "least", F.col("digest").alias("root")) if roots is None else classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(smallest, "root").select("digest", "component")
+    return marked.join(named, "digest").select(F.col("key").alias(key), "print", F.struct(F.col("component.key").alias(key), "component.print").alias("component"))

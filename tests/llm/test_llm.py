@@ -454,16 +454,111 @@ def test_alignment_makes_slots_options_and_repeats():
     assert made == [["ul", False, False, [["li", False, True, [["#", False, False, None]]]]], ["hr", True, False, []], ["p", False, False, [["#", False, False, "x"]]]]
 
 
-def test_pipeline_against_its_parts(spark, tmp_path):
+def shingle_sets(texts, n=5):
+    out = {}
+    for i, text in texts.items():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        out[i] = frozenset(b" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+    return out
+
+
+def close_pairs(sets, least=0.8):
+    """All pairs of a Jaccard similarity of ``least`` or more, by comparing all with all; empty sets are alike."""
+    ids = sorted(sets)
+    return {(i, j) for i, j in itertools.combinations(ids, 2) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+
+
+def roots_of(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in sorted(pairs):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def edited(text, rng, share):
+    words = text.split()
+    for k in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+        words[k] = rng.choice("uvwxyz") * rng.randrange(3, 9)
+    return " ".join(words)
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Every link that is made is right, and nearly all that there are are made, in a hot group and in small ones."""
+    rng = random.Random(10)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(rng.randrange(60, 300)))
+    texts = [line() for _ in range(120)] + [None, "", " \t", "one", "ONE", "two words"]
+    hot = line()
+    texts += [edited(hot, rng, rng.choice([0.005, 0.01, 0.02, 0.04, 0.08])) for _ in range(150)] + [hot] * 20
+    texts += [edited(t, rng, rng.choice([0.01, 0.02, 0.03, 0.05])) for t in texts[:60] for _ in range(2)]
+    shared = line()
+    texts += [f"{line()} {shared}" for _ in range(40)]
+    texts = dict(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in texts.items()], "doc_id long, text string, digest string, simhash int").repartition(7)
+    got = {r["doc_id"]: r["component"]["doc_id"] for r in simhash.similar_texts(docs).collect()}
+    want = roots_of(texts, close_pairs(shingle_sets(texts)))
+    assert got.keys() == want.keys() and roots_of(texts, {(i, r) for i, r in got.items() if i != r}.union((i, r) for i, r in want.items() if i != r)) == want
+    joined = [got[i] == got[j] for i, j in close_pairs(shingle_sets(texts))]
+    assert sum(joined) / len(joined) > 0.99
+    assert simhash.similar_texts(docs.limit(0)).count() == 0
+
+
+def test_pipeline_near_duplicates_on_tables(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
-    docs = docs.unionByName(docs.filter("doc_id < 3"))
-    tox = corpus_pipeline.drop_toxic(spark, docs, DIR)
-    assert tox.columns == docs.columns and 0 < tox.count() <= docs.count()
+    where = "/root/testdata/sf0.01"
+    docs = table(spark, where, "documents")
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, where).collect()]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    root = roots_of(texts, close_pairs(shingle_sets(texts)))
+    least = set(root.values())
+    assert len(kept) == len(set(kept)) and least <= set(kept)
+    assert len(set(kept) - least) <= 0.05 * (len(texts) - len(least))
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
+    """Nulls in every column, repeated rows, repeated ids with other texts, clashing columns: rows and columns of every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    clash = odd.withColumns({c: F.lit("x") for c in ("print", "component", "toxicity", "__toxicity", "copies", "digest", "__id", "__often")})
+    for docs, n in ((clash, len(ODD)), (clash.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DIR)
+            assert out.columns == docs.columns, name
+            rows = sorted(map(str, out.collect()))
+            assert len(rows) <= 3 * n and set(rows) <= set(map(str, docs.collect())), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+        assert packed.select("doc_id").distinct().count() == len({r[0] for r in ODD}) * bool(n)
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, clash, DIR).collect()]
+    assert sorted(map(str, kept)) == ["1", "4", "5", "6", "None"]
+    rows = [(3, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "q r s t u v w x"), (6, "q r s t u v w x"), (6, "q r s t u v w x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in docs.collect()}
-    root = {i: min(j for j, p in prints.items() if bin(p ^ prints[i]).count("1") <= 2) for i in prints}
-    while any(root[root[i]] != root[i] for i in root):
-        root = {i: root[root[i]] for i in root}
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(root.values()))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [rows[0], rows[2]]
+
+
+def test_pipeline_against_its_parts(spark):
+    """Each stage, on what the one before kept, does what its operator says."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = table(spark, DIR, "documents")
+    docs = docs.unionByName(docs.filter("doc_id < 3"))
+    model = toxicity.fit(docs, table(spark, DIR, "labels"))
+    toxic = [r["doc_id"] for r in toxicity.scored(docs, model).filter("toxicity >= 0.5").collect()]
+    kept = corpus_pipeline.drop_toxic(spark, docs, DIR)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in toxic)
+    langs = {r["doc_id"]: r for r in language_id.identify(docs, F.lit(True)).collect()}
+    kept = corpus_pipeline.drop_unknown_language(spark, docs, DIR)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in langs.items() if r["lang_pred"] != "und" and r["lang_score"] >= 0.1}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, DIR)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots_of(texts, close_pairs(shingle_sets(texts))).values()))
+    times = {r["doc_id"]: r["copies"] for r in mixing.copies(kept).collect()}
+    mixed = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, kept, DIR).collect()]
+    assert all(mixed.count(i) == n for i, n in times.items())
+    packed = corpus_pipeline.pack_sequences(spark, kept, DIR)
+    assert packed.select("doc_id").distinct().count() == kept.count()
     assert corpus_pipeline.run(spark, DIR).count() > 0
