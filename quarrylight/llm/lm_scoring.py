@@ -24,6 +24,8 @@ TO_WORD, TO_EVEN = 8.0, 0.1
 #: The hash that stands before the first word.
 START = np.uint64(0x9FB21C651E98DF25)
 _A, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+#: Bits of a hash beyond those that number all n-grams: about one in 2^SPARE shares its hash with another, at any size of corpus.
+SPARE = 20
 #: What is counted of an n-gram: occurrences in all rows and in target rows, and the same of words as contexts.
 KINDS = 4
 
@@ -73,11 +75,11 @@ def slice_table(docs: DataFrame, key_type: T.DataType) -> DataFrame:
 class Slice:
     """A slice read back: for each word its document, itself, the one before it, and its pair, as indexes.
 
-    ``keys`` holds the distinct n-grams as 64-bit hashes, words before pairs, and
-    ``order`` sorts them.
+    ``keys`` holds the distinct n-grams as hashes of ``bits`` bits and a last one that
+    tells words (0) from pairs, words first, and ``order`` sorts them.
     """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         n, words, distinct = row["n_rows"], row["n_words"], row["n_distinct"]
         self.lengths, self.target = unpacked(row["lengths"], n), unpacked(row["targets"], n).astype(bool)
         self.word, hashes = unpacked(row["words"], words), unpacked(row["hashes"], distinct, np.uint64)
@@ -90,8 +92,8 @@ class Slice:
         pairs, self.pair = np.unique(before * np.int64(max(distinct, 1)) + self.word, return_inverse=True)
         with np.errstate(over="ignore"):
             left = np.append(hashes, START)[pairs // max(distinct, 1)] * _A
-            # The last bit tells words (0) from pairs.
-            self.keys = np.concatenate([hashes & ~_PAIR, (left + hashes[pairs % max(distinct, 1)]) | _PAIR])
+            both = np.concatenate([hashes, left + hashes[pairs % max(distinct, 1)]]) >> np.uint64(64 - bits) << _PAIR
+        self.keys = both | (np.arange(len(both)) >= distinct).astype(np.uint64)
         self.order = np.argsort(self.keys)
 
     def counts(self) -> np.ndarray:
@@ -126,7 +128,7 @@ def _keys(table: pa.Table) -> np.ndarray:
     return np.concatenate([np.cumsum(unpacked(x, n, np.uint64), dtype=np.uint64) for x, n in zip(table["asked"].to_pylist(), table["n"].to_pylist(), strict=True)])
 
 
-def totals(cut: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+def totals(cut: DataFrame, buckets: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """The counts over all slices of each slice's n-grams of a bucket (slice, bucket, n, totals), in the order of their hashes, and one row with the number of different words.
 
     A slice sends each of its distinct n-grams once, with its counts, to the bucket
@@ -137,9 +139,9 @@ def totals(cut: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                part = Slice(row)
+                part = Slice(row, bits)
                 keys, counts = part.keys[part.order], part.counts()[:, part.order]
-                of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                of = (keys >> np.uint64(bits + 1 - 32)) * np.uint64(buckets) >> np.uint64(32)
                 edges = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64)).tolist()
                 some = [(b, i, j) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
                 yield pa.RecordBatch.from_arrays(
@@ -168,13 +170,13 @@ def totals(cut: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     return asked.applyInArrow(answer, "slice long, bucket long, n long, totals binary"), asked.applyInArrow(words, "words long").agg(F.coalesce(F.sum("words"), F.lit(1)).alias("vocabulary"))
 
 
-def scored(cut: DataFrame, answers: DataFrame, vocabulary: DataFrame, sums: dict[str, int], key_type: T.DataType) -> DataFrame:
+def scored(cut: DataFrame, answers: DataFrame, vocabulary: DataFrame, sums: dict[str, int], bits: int, key_type: T.DataType) -> DataFrame:
     """key, n_words, target_loss, background_loss, difference for every row of every slice."""
     names = ["key", "n_words", "target_loss", "background_loss", "difference"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.drop_columns(["keys"]).to_pylist()[0]
-        part = Slice(row)
+        part = Slice(row, bits)
         right = right.sort_by("bucket")
         found = [unpacked(x, KINDS * n).reshape(KINDS, n) for x, n in zip(right["totals"].to_pylist(), right["n"].to_pylist(), strict=True)]
         counts = np.zeros((KINDS, len(part.keys)), np.int64)
@@ -208,7 +210,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     vocabulary of all rows, over which the probabilities after a word add up to
     one, the smoothing, and the size, as target counts are scaled to the background's sum.
 
-    Every word and every pair of neighbours is counted as such, by a 64-bit hash.
+    Every word and every pair of neighbours is counted as such, by a hash whose width
+    grows with the corpus (``SPARE``).
     What is counted grows with the corpus and stays on the executors: slices of
     documents ask buckets of n-grams for their counts. Target keys are broadcast if
     they are few (``BROADCAST_KEYS``), which saves a shuffle of all texts, and joined
@@ -228,5 +231,6 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     cut = settled(slice_table(marked.select("key", "body", F.col("id").isNotNull().alias("target")), kind), "slices")
     names = ("n_words", "n_target", "starts", "starts_target")
     sums = cut.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.coalesce(F.sum(F.col("n_words") + F.col("n_distinct")), F.lit(0)).alias("most")).first().asDict()
-    answers, vocabulary = totals(cut, max(1, -(-sums["most"] // BUCKET)))
-    return scored(cut, answers, vocabulary, sums, kind).withColumnRenamed("key", key)
+    bits = min(63, max(40, sums["most"].bit_length() + SPARE))
+    answers, vocabulary = totals(cut, max(1, -(-sums["most"] // BUCKET)), bits)
+    return scored(cut, answers, vocabulary, sums, bits, kind).withColumnRenamed("key", key)
