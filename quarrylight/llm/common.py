@@ -76,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # what a batch took goes back before the next one
 
 
 def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -21,8 +21,10 @@ BITS = 64
 CHUNK = 1 << 16
 #: Near texts: minwise symbols of a sketch, symbols that make a block, and how often what failed with one hub tries another.
 SYMBOLS, BLOCK, HUBS = 40, 4, 3
-#: Parts that the rows of one hub are dealt to when texts are compared.
-SALTS = 8
+#: Texts that meet a copy of their hub in one part: a hub's text is sent as often as it has parts.
+PART = 64
+#: Hashes of texts that are needed are broadcast while they are no more than this (some 50 MB); beyond it texts are shuffled to find them.
+BROADCAST_TEXTS = 1 << 20
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -207,24 +209,38 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("key", "text", "print").mapInArrow(run, T.StructType([key, *[T.StructField(c, T.LongType()) for c in ("print", "digest", "simhash")], T.StructField("blocks", T.ArrayType(T.LongType()))]))
 
 
-def _hub_edges(members: DataFrame) -> DataFrame:
-    """bucket, left, hub: each member of a bucket (digest, t, block) and the one that shares most blocks with all others."""
-    place = F.xxhash64("t", "block").alias("bucket")
-    sized = members.groupBy("t", "block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(place, "n")
-    shared = settled(members.select(place, "digest").join(sized, "bucket"), "shared")
+def _buckets(members: DataFrame) -> DataFrame:
+    """bucket, n, digest of the members (digest, t, block) of buckets that hold more than one."""
+    placed = members.select(F.xxhash64("t", "block").alias("bucket"), "digest")
+    sized = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return placed.join(sized, "bucket").select("bucket", "n", "digest")
+
+
+def _hub_edges(shared: DataFrame) -> DataFrame:
+    """bucket, left, hub: each member of a bucket and the one that shares most blocks with all others."""
     popular = shared.groupBy("digest").agg(F.sum("n").alias("popular"))
     best = shared.join(popular, "digest").groupBy("bucket").agg(F.max_by("digest", F.struct("popular", "digest")).alias("hub"))
     return shared.select("bucket", F.col("digest").alias("left")).join(best, "bucket").filter("left <> hub")
 
 
+def _bodies(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """digest, text of the texts that ``needed`` (print, digest) names, once each."""
+    few = needed.count() <= BROADCAST_TEXTS
+    found = rows.select("print", "text").join(F.broadcast(needed) if few else needed, "print")
+    return found.groupBy("digest").agg(F.min("text").alias("text"))
+
+
 def _alike(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The (left, right) rows of ``edges`` whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    ``texts``: digest, text, one row each. A hub may have any share of all edges, so its rows are dealt by salt.
+    ``texts``: digest, text, one row each. A hub may have any share of all edges, so
+    its text goes to one part for each PART of them.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    near = edges.join(texts.select(F.col("digest").alias("left"), F.col("text").alias("a")), "left").withColumn("salt", F.pmod(F.xxhash64("left"), F.lit(SALTS)).cast("int"))
-    both = near.join(texts.select(F.col("digest").alias("right"), F.col("text").alias("b"), salts), ["right", "salt"])
+    parts = edges.groupBy("right").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = edges.join(parts, "right").withColumn("part", F.pmod(F.xxhash64("left"), F.col("parts")).cast("int")).select("left", "right", "part")
+    hubs = texts.select(F.col("digest").alias("right"), F.col("text").alias("b")).join(parts, "right").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("right", "part", "b")
+    near = dealt.join(texts.select(F.col("digest").alias("left"), F.col("text").alias("a")), "left")
+    both = near.join(hubs, ["right", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,25 +281,27 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
     same = classes.join(of_print.withColumnRenamed("digest", "right"), "simhash").select(F.col("digest").alias("left"), "right").filter("left <> right")
     masked = linked_prints(of_print.select("simhash"), radius)
     masked = masked.join(of_print.select(F.col("simhash").alias("left"), F.col("digest").alias("l")), "left").join(of_print.select(F.col("simhash").alias("right"), F.col("digest").alias("r")), "right").select(F.col("l").alias("left"), F.col("r").alias("right"))
-    members = classes.select("digest", F.posexplode("blocks").alias("t", "block"))
+    shared = settled(_buckets(classes.select("digest", F.posexplode("blocks").alias("t", "block"))), "shared")
+    first = settled(same.unionByName(masked).distinct(), "first")
+    # Only texts that have a candidate are read again, once for all turns.
+    ids = shared.select("digest").union(first.select("left")).union(first.select("right")).distinct()
+    needed = settled(ids.join(classes.select("digest", "print"), "digest").select("print", "digest"), "needed")
+    bodies = settled(_bodies(rows, needed), "bodies")
     known, tried = [], None
     for turn in range(HUBS):
-        hubs = settled(_hub_edges(members), "hubs")
+        hubs = settled(_hub_edges(shared), "hubs")
         edges = hubs.select("left", F.col("hub").alias("right")).distinct()
-        if turn == 0:
-            edges = edges.unionByName(same).unionByName(masked).distinct()
-        edges = settled(edges if tried is None else edges.join(tried, ["left", "right"], "left_anti"), "edges")
+        edges = edges.unionByName(first).distinct() if turn == 0 else edges.join(tried, ["left", "right"], "left_anti")
+        edges = settled(edges, "candidates")
         if edges.isEmpty():
             break
-        needed = edges.select("left").union(edges.select("right")).distinct().join(classes.select(F.col("digest").alias("left"), "print"), "left")
-        bodies = rows.join(needed.select("print", F.col("left").alias("digest")), "print").groupBy("digest").agg(F.min("text").alias("text"))
-        found = settled(_alike(edges, settled(bodies, "bodies"), shingle, least), "alike")
-        known.append(found)
+        known.append(settled(_alike(edges, bodies, shingle, least), "alike"))
         tried = edges if tried is None else tried.unionByName(edges)
         # Where a bucket holds texts that its hub did not link, all but the hub try again.
-        all_known = reduce(DataFrame.unionByName, known)
-        failed = hubs.join(all_known.select("left", F.col("right").alias("hub")), ["left", "hub"], "left_anti").select("bucket").distinct()
-        members = settled(hubs.join(failed, "bucket", "left_semi").select(F.col("left").alias("digest"), F.lit(0).alias("t"), F.col("bucket").alias("block")), "again")
+        found = reduce(DataFrame.unionByName, known)
+        failed = hubs.join(found.select("left", F.col("right").alias("hub")), ["left", "hub"], "left_anti").select("bucket").distinct()
+        again = hubs.join(failed, "bucket", "left_semi").select(F.lit(turn).alias("t"), F.col("bucket").alias("block"), F.col("left").alias("digest"))
+        shared = settled(_buckets(again), "shared")
     roots = components(reduce(DataFrame.unionByName, known), "left", "right") if known else None
     rooted = classes.select("digest", "least", F.col("digest").alias("root")) if roots is None else classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
