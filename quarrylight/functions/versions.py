@@ -114,7 +114,12 @@ def npm_branches(text: Column) -> Column:
 
 
 def npm_satisfies(version: Column, text: Column) -> Column:
-    """Whether a version key lies in an npm range: alternatives, hyphens, carets, tildes and comparisons.
+    """Whether a version key lies in an npm range: alternatives, hyphens, carets, tildes and comparisons."""
+    return npm_meets(version, text, npm_branches(text))
+
+
+def npm_meets(version: Column, text: Column, branches: Column) -> Column:
+    """The same with the range read before, by ``npm_branches``.
 
     A pre-release satisfies an alternative only if one of its comparators is a
     pre-release of the same three numbers; a hyphen range has no such gate.
@@ -131,7 +136,7 @@ def npm_satisfies(version: Column, text: Column) -> Column:
         return b["any"] | ((F.size(b["all"]) > 0) & allowed & F.forall(b["all"], holds))
 
     every = F.trim(text).isin("", "*", "x", "X")
-    return F.when(version.isNotNull() & text.isNotNull(), F.when(every, ~unreleased).otherwise(F.exists(npm_branches(text), alternative)))
+    return F.when(version.isNotNull() & text.isNotNull(), F.when(every, ~unreleased).otherwise(F.exists(branches, alternative)))
 
 
 PEP440 = r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?(?:(?:-(\d+))|(?:[-_.]?(post|rev|r)[-_.]?(\d*)))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
@@ -166,34 +171,45 @@ def pep440_key(version: Column) -> Column:
     return F.when(version.rlike(PEP440), key)
 
 
+def pep440_specifiers(text: Column) -> Column:
+    """A comma-separated list of specifiers, read once: array of (op, raw, star, key, numbers)."""
+
+    def one(s: Column) -> Column:
+        op, raw = F.regexp_extract(s, r"^(===|~=|==|!=|<=|>=|<|>)", 1), F.trim(F.regexp_replace(s, r"^(===|~=|==|!=|<=|>=|<|>)", ""))
+        name = F.regexp_replace(raw, r"\.\*$", "")
+        numbers = F.transform(F.split(F.regexp_extract(name, PEP440, 2), r"\."), lambda n: n.try_cast("bigint"))
+        return F.struct(op.alias("op"), F.lower(raw).alias("raw"), raw.endswith(".*").alias("star"), pep440_key(name).alias("key"), numbers.alias("numbers"))
+
+    return F.transform(F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != ""), one)
+
+
 def pep440_satisfies(version: Column, specifiers: Column) -> Column:
     """Whether a version (text) meets a comma-separated list of specifiers; null if either cannot be read."""
-    v = pep440_key(version)
+    return pep440_meets(version, pep440_key(version), pep440_specifiers(specifiers))
+
+
+def pep440_meets(version: Column, v: Column, specifiers: Column) -> Column:
+    """The same with the version's key and the specifiers read before."""
     forever = F.lit((1 << 63) - 1)
     bare = lambda k: F.struct(k["epoch"], k["release"], k["pre"], k["pre_number"], k["post"], k["dev"])
     base = lambda k: F.struct(k["epoch"], k["release"])
     stem = lambda k: F.struct(k["epoch"], k["release"], k["pre"], k["pre_number"])
     early = lambda k: (k["pre"] < 9) | (k["dev"] != forever)
 
-    def prefix(wanted: Column) -> Column:
+    def prefix(k: Column, numbers: Column) -> Column:
         """Same epoch and the same first numbers; a shorter release counts zeros."""
-        raw = F.split(F.regexp_extract(wanted, PEP440, 2), r"\.")
-        have = F.transform(raw, lambda n, i: F.coalesce(F.get(v["release"], i), F.lit(0).cast("bigint")) == n.try_cast("bigint"))
-        return (v["epoch"] == pep440_key(wanted)["epoch"]) & F.forall(have, lambda x: x)
+        have = F.transform(numbers, lambda n, i: F.coalesce(F.get(v["release"], i), F.lit(0).cast("bigint")) == n)
+        return (v["epoch"] == k["epoch"]) & F.forall(have, lambda x: x)
 
     def one(s: Column) -> Column:
-        op, raw = F.regexp_extract(s, r"^(===|~=|==|!=|<=|>=|<|>)", 1), F.trim(F.regexp_replace(s, r"^(===|~=|==|!=|<=|>=|<|>)", ""))
-        star, name = raw.endswith(".*"), F.regexp_replace(raw, r"\.\*$", "")
-        k = pep440_key(name)
-        same = F.when(star, prefix(name)).when(F.size(k["local"]) > 0, v == k).otherwise(bare(v) == bare(k))
-        cut = F.regexp_replace(F.regexp_extract(name, r"^\s*v?((?:\d+!)?\d+(?:\.\d+)*)", 1), r"\.\d+$", "")
+        op, k, numbers = s["op"], s["key"], s["numbers"]
+        same = F.when(s["star"], prefix(k, numbers)).when(F.size(k["local"]) > 0, v == k).otherwise(bare(v) == bare(k))
         below = (bare(v) < bare(k)) & ~(~early(k) & early(v) & (base(v) == base(k)) & (k["post"] == F.when(v["pre"] < 9, -1).otherwise(v["post"])))
         above = (bare(v) > bare(k)) & ~((k["post"] < 0) & (k["dev"] == forever) & (v["post"] >= 0) & (stem(v) == stem(k)))
         return (
-            F.when(op == "===", F.lower(F.trim(version)) == F.lower(raw)).when(op == "==", same).when(op == "!=", ~same)
+            F.when(op == "===", F.lower(F.trim(version)) == s["raw"]).when(op == "==", same).when(op == "!=", ~same)
             .when(op == "<=", bare(v) <= bare(k)).when(op == ">=", bare(v) >= bare(k)).when(op == "<", below).when(op == ">", above)
-            .when(op == "~=", (bare(v) >= bare(k)) & prefix(cut))
+            .when(op == "~=", (bare(v) >= bare(k)) & prefix(k, F.slice(numbers, F.lit(1), F.size(numbers) - 1)))
         )
 
-    parts = F.filter(F.transform(F.split(specifiers, ","), lambda s: F.trim(s)), lambda s: s != "")
-    return F.when(v.isNotNull(), F.forall(parts, one))
+    return F.when(v.isNotNull(), F.forall(specifiers, one))

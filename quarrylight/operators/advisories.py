@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import versions as vs
+from quarrylight.sources.shared import settled
 
 EVENTS = "array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>"
 RANGES = f"array<struct<spec:string,events:{EVENTS}>>"
@@ -39,9 +40,9 @@ def _fixes(texts: Column, key: Callable[[Column], Column]) -> Column:
     return F.filter(read, lambda f: f["key"].isNotNull())
 
 
-def _prepared(advisories: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
+def _prepared(advisories: DataFrame, key: Callable[[Column], Column], parse: Callable[[Column], Column]) -> DataFrame:
     """Each advisory with its ranges and fixes read once, however many versions meet it."""
-    ranges = F.transform(F.coalesce("ranges", F.array().cast(RANGES)), lambda r: F.struct(r["spec"].alias("spec"), _events(r["events"], key).alias("events")))
+    ranges = F.transform(F.coalesce("ranges", F.array().cast(RANGES)), lambda r: F.struct(r["spec"].alias("spec"), parse(r["spec"]).alias("parsed"), _events(r["events"], key).alias("events")))
     noted = F.flatten(F.transform(F.coalesce("ranges", F.array().cast(RANGES)), lambda r: F.transform(F.coalesce(r["events"], F.array().cast(EVENTS)), lambda e: e["fixed"])))
     listed, told = _fixes(F.col("fixed_versions"), key), _fixes(F.filter(noted, lambda t: t.isNotNull()), key)
     return advisories.select(
@@ -49,12 +50,13 @@ def _prepared(advisories: DataFrame, key: Callable[[Column], Column]) -> DataFra
     )
 
 
-def _judged(used: DataFrame, advisories: DataFrame, key: Callable[[Column], Column], kind: str, meets: Callable[[Column, Column], Column]) -> DataFrame:
+def _judged(used: DataFrame, advisories: DataFrame, key: Callable[[Column], Column], kind: str, parse: Callable[[Column], Column], meets: Callable[[Column, Column], Column]) -> DataFrame:
+    """Ranges are written down once they are read, so that Spark does not read them again for every pair."""
     asked = used.withColumn("key", key(F.col("version")))
-    met = asked.join(_prepared(advisories, key), (F.col("eco") == F.col("of")) & (F.col("package") == F.col("named")))
+    met = asked.join(settled(_prepared(advisories, key, parse), "advisories"), (F.col("eco") == F.col("of")) & (F.col("package") == F.col("named")))
     at = F.col("key")
     fixed = F.exists("fixes", lambda f: f["key"] == at)
-    hit = F.exists("read", lambda r: F.coalesce(meets(at, r["spec"]), F.lit(False)) | F.coalesce((F.size(r["events"]) > 0) & vs.in_events(at, r["events"], kind), F.lit(False)))
+    hit = F.exists("read", lambda r: F.coalesce(meets(at, r), F.lit(False)) | F.coalesce((F.size(r["events"]) > 0) & vs.in_events(at, r["events"], kind), F.lit(False)))
     matched = at.isNotNull() & ~fixed & hit
     remedy = F.when(matched & (F.size("remedies") > 0), vs.remediation(at, F.col("remedies")))
     return met.select("ecosystem", "package", "version", "advisory_id", matched.alias("matched"), at.isNull().alias("indeterminate"), remedy.alias("remediation"))
@@ -74,8 +76,8 @@ def affected(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     version rules, is indeterminate and never matched. Null names meet nothing.
     """
     used = dependencies.select("ecosystem", "package", "version").distinct().withColumn("eco", ecosystem(F.col("ecosystem")))
-    python = _judged(used.filter(F.col("eco").isin(*PYTHON)), advisories, vs.pep440_key, vs.PEP440_KEY, lambda k, spec: vs.pep440_satisfies(F.col("version"), spec))
-    semantic = _judged(used.filter(F.col("eco").isin(*SEMANTIC)), advisories, vs.semver_key, vs.KEY, vs.npm_satisfies)
+    python = _judged(used.filter(F.col("eco").isin(*PYTHON)), advisories, vs.pep440_key, vs.PEP440_KEY, vs.pep440_specifiers, lambda k, r: vs.pep440_meets(F.col("version"), k, r["parsed"]))
+    semantic = _judged(used.filter(F.col("eco").isin(*SEMANTIC)), advisories, vs.semver_key, vs.KEY, vs.npm_branches, lambda k, r: vs.npm_meets(k, r["spec"], r["parsed"]))
     others = used.filter(~F.col("eco").isin(*PYTHON, *SEMANTIC))
     named = advisories.select("advisory_id", ecosystem(F.col("ecosystem")).alias("of"), F.col("package").alias("named"))
     unknown = others.join(named, (F.col("eco") == F.col("of")) & (F.col("package") == F.col("named")))

@@ -11,6 +11,33 @@ def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> Da
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def paged(df: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
+    """A page, with ``total``: how many rows there are in all. Those are counted apart, so that no window holds them."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return page(df, order, number, size).join(F.broadcast(total))  # one row
+
+
+def flagged(df: DataFrame, column: str, wanted: bool | None) -> DataFrame:
+    """Rows whose flag is as wanted; all of them if nothing is."""
+    return df if wanted is None else df.filter(F.col(column) == wanted)
+
+
+def running(runs: DataFrame, status: str, started: str, now: Column, seconds: int = 120) -> DataFrame:
+    """Runs that are under way and began less than ``seconds`` ago: another must wait for them."""
+    return runs.filter((F.col(status) == "running") & (F.unix_timestamp(now) - F.unix_timestamp(started) < seconds))
+
+
+def missing(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Different keys of ``wanted`` that ``known`` has not."""
+    return wanted.select(key).distinct().join(known.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti")
+
+
+def preferred(rows: DataFrame, by: list[str], order: str, direct: str, columns: list[str]) -> DataFrame:
+    """One row per group: the first that is marked direct, else the first of all."""
+    mark = F.coalesce(F.col(direct), F.lit(False))
+    return first_seen(rows, by, F.struct((~mark).alias("later"), order), columns)
+
+
 def matches(column: str, wanted: str) -> Column:
     """Case-insensitive LIKE: % and _ in ``wanted`` are wildcards."""
     return F.lower(column).like(f"%{wanted.lower()}%")

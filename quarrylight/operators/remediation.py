@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrylight.operators.relational import overlaps
+from quarrylight.sources import python_code, script_code
+from quarrylight.sources.shared import settled
 
 # Paths that no patch may touch.
 PROTECTED = (
@@ -55,15 +54,40 @@ def verified(body: Column, signature: Column, secret: bytes) -> Column:
     return F.coalesce(F.regexp_replace(signature, "^sha256=", "") == hmac_sha256(body, secret), F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def unified_diff(path: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-    """What changes between two texts, with three lines around; empty if nothing does."""
+def unified_diff(path: Column, before: Column, start: Column, end: Column, new: Column, around: int = 3) -> Column:
+    """What replacing lines ``start`` to ``end`` (from 1) by ``new`` changes, as a unified diff; empty if nothing, null if they are not in the text.
 
-    def one(name: str, old: str | None, new: str | None) -> str:
-        name = name.replace("\\", "/").lstrip("/")
-        return "".join(difflib.unified_diff((old or "").splitlines(True), (new or "").splitlines(True), f"a/{name}", f"b/{name}"))
+    Equal lines at the span's ends are no change; what is between them goes and comes as a whole.
+    """
+    text = F.replace(before, F.lit("\r\n"), F.lit("\n"))
+    ended = text.endswith("\n")
+    lines = F.split(F.when(ended, F.substring(text, 1, F.length(text) - 1)).otherwise(text), "\n")
+    inside = (start >= 1) & (end >= start) & (end <= F.size(lines))
+    body = F.split(F.regexp_replace(F.replace(new, F.lit("\r\n"), F.lit("\n")), "\n+\\z", ""), "\n")
+    gone = F.slice(lines, start, end - start + 1)
+    room = F.least(F.size(gone), F.size(body))
+    lead = _equal_run(gone, body, room)
+    tail = _equal_run(F.reverse(gone), F.reverse(body), room - lead)
+    old, fresh = F.slice(gone, lead + 1, F.size(gone) - lead - tail), F.slice(body, lead + 1, F.size(body) - lead - tail)
+    at, last = start + lead, end - tail  # the lines that go; last < at if none does
+    first = F.greatest(F.lit(1), at - around)
+    ahead = F.slice(lines, first, at - first)
+    behind = F.slice(lines, last + 1, F.least(F.lit(around), F.size(lines) - last))
+    mark = lambda sign, part: F.transform(part, lambda x: F.concat(F.lit(sign), x, F.lit("\n")))
+    # A last line without a newline is shown without one, as it stands.
+    every = F.concat(mark(" ", ahead), mark("-", old), mark("+", fresh), mark(" ", behind))
+    count = lambda part: F.size(ahead) + F.size(part) + F.size(behind)
+    span = lambda n: F.when(n == 1, first.cast("string")).otherwise(F.concat(F.when(n == 0, first - 1).otherwise(first).cast("string"), F.lit(","), n.cast("string")))
+    name = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", "")
+    head = F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -"), span(count(old)), F.lit(" +"), span(count(fresh)), F.lit(" @@\n"))
+    same = (F.size(old) == 0) & (F.size(fresh) == 0)
+    return F.when(inside, F.when(same, F.lit("")).otherwise(F.concat(head, F.array_join(every, ""))))
 
-    return pd.Series([one(*x) for x in zip(path, before, after, strict=True)], dtype=object)
+
+def _equal_run(a: Column, b: Column, most: Column) -> Column:
+    """How many of the first ``most`` elements are equal before one is not."""
+    pairs = F.zip_with(F.slice(a, F.lit(1), most), F.slice(b, F.lit(1), most), lambda x, y: x == y)
+    return F.coalesce(F.nullif(F.array_position(pairs, F.lit(False)), F.lit(0).cast("long")) - 1, F.size(pairs).cast("long")).cast("int")
 
 
 def replaced_lines(text: Column, start: Column, end: Column, new: Column) -> Column:
@@ -89,7 +113,7 @@ def bundle(proposals: DataFrame, ready: tuple[str, ...] = ("VALIDATED", "APPROVE
     """proposal_id, file_path, conflict, patch of the proposals that are ready and may touch their file.
 
     ``proposals``: proposal_id, file_path, start_line, end_line, state, rule_id, before,
-    after. ``conflict`` is the smallest other ready proposal whose lines in the
+    new. ``conflict`` is the smallest other ready proposal whose lines in the
     same file overlap, null without one; a bundle is whole only if none has any.
     Patches are rows, to be written in order of file and id, and are never gathered.
     """
@@ -98,5 +122,140 @@ def bundle(proposals: DataFrame, ready: tuple[str, ...] = ("VALIDATED", "APPROVE
     both = pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("other")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("a_id").alias("other")))
     hits = both.groupBy("id").agg(F.min("other").alias("conflict"))
     head = F.concat(F.lit("# "), "file_path", F.lit(" ("), "rule_id", F.lit(")\n"))
-    patch = F.concat(head, unified_diff("file_path", "before", "after"))
+    patch = F.concat(head, unified_diff(F.col("file_path"), F.col("before"), F.col("start_line"), F.col("end_line"), F.col("new")))
     return able.join(hits, F.col("proposal_id") == F.col("id"), "left").select("proposal_id", "file_path", "conflict", patch.alias("patch"))
+
+
+def bundle_summary(made: DataFrame, proposals: DataFrame) -> DataFrame:
+    """One row: the different files and rules of a bundle's proposals, in order, and how many conflict."""
+    of = proposals.select(F.col("proposal_id").alias("__id"), "rule_id")
+    joined = made.join(of, F.col("proposal_id") == F.col("__id"))
+    return joined.agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.count_if(F.col("conflict").isNotNull()).alias("conflicts"))
+
+
+def _listed(command: Column) -> Column:
+    """A plain command as the text of a list of its words; null if it has quotes, backslashes or comments."""
+    words = F.filter(F.split(F.trim(command), r"\s+"), lambda w: w != "")
+    return F.when(~command.rlike(r"""['"\\\\#]""") & (F.size(words) > 0), F.concat(F.lit("["), F.array_join(F.transform(words, lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", "), F.lit("]")))
+
+
+def _shell_words(text: Column) -> Column:
+    call = r"""subprocess\.(run|call|Popen)\(\s*(["'])(.*?)\2\s*,\s*shell\s*=\s*True"""
+    system = r"""os\.system\(\s*(["'])(.*?)\1\s*\)"""
+    found, command = F.nullif(F.regexp_extract(text, call, 0), F.lit("")), F.regexp_extract(text, call, 3)
+    run = F.when(F.contains(text, F.lit("shell=True")), F.replace(text, found, F.concat(F.lit("subprocess."), F.regexp_extract(text, call, 1), F.lit("("), _listed(command), F.lit(", shell=False"))))
+    other = F.nullif(F.regexp_extract(text, system, 0), F.lit(""))
+    return F.coalesce(run, F.replace(text, other, F.concat(F.lit("subprocess.run("), _listed(F.regexp_extract(text, system, 2)), F.lit(", check=True)"))))
+
+
+def _flagged(text: Column) -> Column:
+    call = r"\bhashlib\.(md5|sha1)\(([^()]*)\)"
+    plain = F.regexp_replace(F.regexp_replace(text, r"\bhashlib\.(md5|sha1)\(\s*\)", "hashlib.$1(usedforsecurity=False)"), r"\bhashlib\.(md5|sha1)\(([^()]*[^()\s][^()]*)\)(?<!usedforsecurity=False\))", "hashlib.$1($2, usedforsecurity=False)")
+    return F.when(text.rlike(call) & ~F.contains(text, F.lit("usedforsecurity")), plain)
+
+
+# The strategies by what they mend, in the order in which they are tried, with risk and confidence.
+STRATEGIES = (
+    ("FIX-PYSEC001-LITERAL-EVAL", "PYSEC001", "LOW", "HIGH", lambda x: F.when(~x.rlike(r"\bexec\("), F.regexp_replace(x, r"\b(?:builtins\.)?eval\(", "ast.literal_eval("))),
+    ("FIX-PYSEC005-TLS-VERIFY", "PYSEC005", "LOW", "HIGH", lambda x: F.when(F.contains(x, F.lit("_create_unverified_context")), F.replace(x, F.lit("_create_unverified_context"), F.lit("create_default_context"))).otherwise(F.regexp_replace(x, r"\bverify\s*=\s*False\b", "verify=True"))),
+    ("FIX-PYSEC004-SHA256", "PYSEC004", "MEDIUM", "HIGH", lambda x: F.regexp_replace(F.regexp_replace(x, r"\bhashlib\.(?:md5|sha1)\b", "hashlib.sha256"), r"""\bhashlib\.new\(\s*['"](?:md5|sha1)['"]""", "hashlib.sha256(")),
+    ("FIX-PYSEC004-NONSEC-FLAG", "PYSEC004", "LOW", "HIGH", _flagged),
+    ("FIX-PYSEC003-ARG-LIST", "PYSEC003", "MEDIUM", "MEDIUM", _shell_words),
+    ("FIX-JSSEC001-JSON-PARSE", "JSSEC001", "MEDIUM", "MEDIUM", lambda x: F.regexp_replace(x, r"\beval\(", "JSON.parse(")),
+    ("FIX-JSSEC002-TEXT-CONTENT", "JSSEC002", "LOW", "HIGH", lambda x: F.regexp_replace(x, r"\.innerHTML\s*=", ".textContent =")),
+)
+
+
+def snippet(content: Column, start: Column, end: Column) -> Column:
+    """Lines ``start`` to ``end`` of a text; null if the first is not in it."""
+    lines = F.split(content, "\r?\n")
+    return F.when((start >= 1) & (start <= F.size(lines)), F.array_join(F.slice(lines, start, F.least(end, F.size(lines)) - start + 1), "\n"))
+
+
+def proposed(findings: DataFrame, sources: DataFrame, preferred: Column | None = None) -> DataFrame:
+    """Every finding with the first strategy that can mend its lines: remediation_id, original, new, risk, sure; nulls where a person must.
+
+    ``findings``: path, rule_id, line, end_line, ...; ``sources``: path, content.
+    ``preferred``: a strategy's id to try alone, where it is not null. All strategies are expressions on the lines.
+    """
+    of = sources.select(F.col("path").alias("__path"), F.col("content").alias("__content"))
+    joined = findings.join(of, F.col("path") == F.col("__path"), "left")
+    joined = joined.withColumn("original", snippet(F.col("__content"), F.col("line"), F.coalesce("end_line", "line")))
+    asked = F.lit(None).cast("string") if preferred is None else preferred
+    tried = []
+    for name, target, risk, sure, change in STRATEGIES:
+        after = change(F.col("original"))
+        fits = (F.col("rule_id") == target) & (asked.isNull() | (asked == name)) & (after != F.col("original"))
+        tried.append(F.when(fits, F.struct(F.lit(name).alias("remediation_id"), after.alias("new"), F.lit(risk).alias("risk"), F.lit(sure).alias("sure"))))
+    best = joined.withColumn("__fix", F.coalesce(*tried))
+    return best.select(*findings.columns, "original", "__fix.*")
+
+
+def upgraded(vulnerable: DataFrame, manifests: DataFrame) -> DataFrame:
+    """path, package, line, original, new: the first line of a requirements or package.json file that declares a package, raised to its remedy.
+
+    ``vulnerable``: path, package, remediation. A range keeps its caret or tilde, a requirement its comment.
+    """
+    lines = manifests.select(F.col("path").alias("__path"), F.posexplode(F.split("content", "\r?\n")).alias("__i", "original"))
+    met = vulnerable.filter("remediation IS NOT NULL").join(lines, F.col("path") == F.col("__path"))
+    name = F.concat(F.lit("\\Q"), "package", F.lit("\\E"))
+    plain = F.concat(F.lit("(?i)^\\s*"), name, F.lit("\\s*([=><~^!].*?)?(\\s*#.*)?$"))
+    keyed = F.concat(F.lit('(?i)^(\\s*"'), name, F.lit('"\\s*:\\s*")([^"]+)(".*)'))
+    low, part = F.lower("path"), lambda pattern, i: F.call_function("regexp_extract", F.col("original"), pattern, F.lit(i))
+    requirement = F.when(low.endswith("requirements.txt") & F.rlike("original", plain), F.concat("package", F.lit(">="), "remediation", part(plain, 2)))
+    old = part(keyed, 2)
+    sign = F.when(old.startswith("^"), "^").when(old.startswith("~"), "~").otherwise("")
+    entry = F.when(low.endswith("package.json") & F.rlike("original", keyed), F.concat(part(keyed, 1), sign, "remediation", part(keyed, 3)))
+    hits = met.withColumn("new", F.coalesce(requirement, entry)).filter("new IS NOT NULL")
+    return hits.groupBy("path", "package").agg(F.min_by(F.struct((F.col("__i") + 1).alias("line"), "original", "new"), "__i").alias("x")).select("path", "package", "x.*")
+
+
+# The checks of a patch, in order, and words that must be gone where no rule can look again.
+PATCH_CHECKS = ("CHK-01-INTEGRITY", "CHK-02-STRUCTURE", "CHK-03-SYNTAX", "CHK-04-RULE-RECHECK", "CHK-05-REGRESSION-RISK")
+FORBIDDEN = {"PYSEC001": ("eval(",), "PYSEC005": ("verify=False", "_create_unverified_context"), "JSSEC001": ("eval(",), "JSSEC002": (".innerHTML",)}
+RECHECKED = ("PYSEC001", "PYSEC003", "PYSEC004", "PYSEC005")
+
+
+def checked(proposals: DataFrame, sources: DataFrame) -> DataFrame:
+    """proposal_id, valid, checks (array of check_id, state): what five checks say of each patch, up to the first that fails.
+
+    ``proposals``: proposal_id, file_path, start_line, end_line, original, new,
+    original_hash, target_hash, rule_id. ``sources``: path, content. A file must be the
+    one that was read and no protected one; the lines must still be those, and give
+    the text that was meant; the result must parse (Python by its parser, JSON by
+    Spark, scripts by their brackets; other files are skipped); the rule must not
+    hit the changed lines again; the last check only tells of risks.
+    """
+    of = sources.select(F.col("path").alias("__path"), F.col("content").alias("__content"))
+    joined = proposals.join(of, F.col("file_path") == F.col("__path"), "left")
+    plain = lambda c: F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"\s+\z", "")
+    same = plain(snippet(F.col("__content"), F.col("start_line"), F.col("end_line"))) == plain(F.col("original"))
+    patched = F.when(same, replaced_lines(F.col("__content"), F.col("start_line"), F.col("end_line"), F.col("new")))
+    made = settled(joined.select(*proposals.columns, "__content", patched.alias("__patched")), "patched")
+    end = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)\z", 1))
+    named = made.filter(F.col("__patched").isNotNull()).select(F.col("proposal_id").cast("string").alias("path"), F.col("__patched").alias("content"), end.alias("end"))
+    python = settled(python_code.facts(named.filter("end = '.py'")), "facts")
+    script = script_code.facts(named.filter("end IN ('.js', '.jsx', '.ts', '.tsx')"))
+    broken = python.select("path", "kind").unionByName(script.select("path", "kind")).filter("kind = 'syntax_error'").select(F.col("path").alias("__broken")).distinct()
+    again = python_code.findings(python).select(F.col("path").alias("__again"), F.col("rule_id").alias("__rule"), F.col("line").alias("__line"))
+    region = (F.col("proposal_id").cast("string") == F.col("__again")) & (F.col("rule_id") == F.col("__rule")) & F.col("__line").between(F.col("start_line") - 1, F.col("end_line") + 2)
+    hit = made.filter(F.col("rule_id").isin(*RECHECKED)).join(again, region, "left_semi").select(F.col("proposal_id").alias("__hit")).distinct()
+    known = made.join(broken, F.col("proposal_id").cast("string") == F.col("__broken"), "left").join(hit, F.col("proposal_id") == F.col("__hit"), "left")
+    parsed = F.when(end.isin(".py", ".js", ".jsx", ".ts", ".tsx"), F.col("__broken").isNull()).when(end == ".json", F.try_parse_json("__patched").isNotNull()).when(F.lower("file_path").endswith("requirements.txt"), F.lit(True))
+    lines = F.split("__patched", "\r?\n")
+    near = F.array_join(F.slice(lines, F.greatest(F.lit(1), F.col("start_line")), F.col("end_line") - F.col("start_line") + 2), "\n")
+    left = F.lit(False)
+    for rule, words in FORBIDDEN.items():
+        for w in words:
+            left = left | ((F.col("rule_id") == rule) & F.contains(near, F.lit(w)))
+    clean = F.when((end == ".py") & F.col("rule_id").isin(*RECHECKED), F.col("__hit").isNull()).otherwise(~left)
+    told = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "PASSED").otherwise("FAILED")
+    states = [
+        told(~protected(F.col("file_path")) & (F.sha2("__content", 256) == F.col("original_hash"))),
+        told(F.sha2("__patched", 256) == F.col("target_hash")),
+        F.when(parsed.isNull(), "SKIPPED").otherwise(told(parsed)),
+        told(clean), F.lit("PASSED"),
+    ]
+    every = F.array(*[F.struct(F.lit(c).alias("check_id"), s.alias("state")) for c, s in zip(PATCH_CHECKS, states, strict=True)])
+    first = F.array_position(F.transform(every, lambda c: c["state"]), F.lit("FAILED"))
+    return known.select("proposal_id", (first == 0).alias("valid"), F.when(first == 0, every).otherwise(F.slice(every, F.lit(1), first.cast("int"))).alias("checks"))

@@ -3,55 +3,129 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylight.functions.text import code_tokens
 from quarrylight.functions.vectors import shifted_cosine
+from quarrylight.sources.shared import settled
 
 K1, B, RRF = 1.5, 0.75, 60
 LEAST_SCORE, LEAST_SIMILARITY = 0.001, 0.1
 
 
-def bm25(docs: DataFrame, query: list[str], key: str, text: str, where: Column | None = None, bonus: Column | None = None, tokens=None) -> DataFrame:
-    """key and raw_score of every row that ``query`` scores on.
+def bm25(docs: DataFrame, query: list[str], key: str, text: str, where: Column | None = None, bonus: Column | None = None, tokens=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, raw_score and ``keep`` of every row that ``query`` scores on.
 
     Corpus statistics cover all of ``docs``; ``where`` only narrows what is scored.
-    No token is shuffled: each row's length and term counts are found in place, and
-    one row of statistics (a count per query term) is joined to all. Plain words are
-    counted by pattern; ``tokens`` (a column builder, such as code_tokens) gives
-    arrays to count in instead.
+    Texts are read once: each row's length, term counts, filter and bonus are found in
+    place and written as a small table, from which statistics and scores follow; no
+    token is shuffled. Plain words are counted by two patterns; ``tokens`` (a column
+    builder, such as code_tokens) gives arrays to count in instead.
     """
+    counted, terms = counts(docs, query, key, text, where, bonus, tokens, keep)
+    return scores(settled(counted, "bm25"), terms, key, keep)
+
+
+def counts(docs: DataFrame, query: list[str], key: str, text: str, where: Column | None = None, bonus: Column | None = None, tokens=None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Each row's key, ``keep``, length, count of each query term, whether it is scored, and bonus; and the terms."""
     terms = list(dict.fromkeys(query))
     if tokens is None:
         low = F.lower(F.coalesce(F.col(text), F.lit("")))
         length = F.regexp_count(low, F.lit(r"[a-z0-9_]+"))
-        times = [F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){re.escape(q)}(?![a-z0-9_])")) for q in terms]
-        counted = docs.select(*docs.columns, length.alias("__len"), *[c.alias(f"__tf{i}") for i, c in enumerate(times)])
+        any_term = "|".join(map(re.escape, terms))
+        hits = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9_])(?:{any_term})(?![a-z0-9_])"), F.lit(0)) if terms else F.array().cast("array<string>")
     else:
-        read = docs.select("*", tokens(F.col(text)).alias("__tokens"))
-        times = [_times(q) for q in terms]
-        counted = read.select(*docs.columns, F.size("__tokens").alias("__len"), *[c.alias(f"__tf{i}") for i, c in enumerate(times)])
+        found = tokens(F.col(text))
+        length, hits = F.size(found), F.filter(found, lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+    scored = (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("__scored")
+    extra = (F.lit(0.0) if bonus is None else bonus).cast("double").alias("__bonus")
+    read = docs.select(key, *keep, length.cast("long").alias("__len"), hits.alias("__hits"), scored, extra)
+    times = [_times(q).alias(f"__tf{i}") for i, q in enumerate(terms)]
+    return read.select(key, *keep, "__len", *times, "__scored", "__bonus"), terms
+
+
+def _times(term: str) -> Column:
+    return F.size(F.filter("__hits", lambda t: t == term))
+
+
+def scores(counted: DataFrame, terms: list[str], key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of what ``counts`` found, above the least score."""
     stats = counted.agg(
         F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))]
     )
-    score = F.lit(0.0) if bonus is None else bonus
+    score = F.col("__bonus")
     for i in range(len(terms)):
         tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
-        idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
-        part = idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
-        score = score + F.when(tf > 0, part).otherwise(F.lit(0.0))
-    scored = counted if where is None else counted.filter(where)
-    return scored.join(F.broadcast(stats)).select(key, score.alias("raw_score")).filter(F.col("raw_score") > LEAST_SCORE)
+        score = score + F.when(tf > 0, _part(tf, df, F.col("__len"))).otherwise(F.lit(0.0))
+    return counted.filter("__scored").join(F.broadcast(stats)).select(key, *keep, score.alias("raw_score")).filter(F.col("raw_score") > LEAST_SCORE)  # one row
 
 
-def _times(term: str) -> Column:
-    return F.size(F.filter("__tokens", lambda t: t == term))
+def _part(tf: Column, df: Column, length: Column) -> Column:
+    idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
+    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / F.col("__avg")))
+
+
+def index(docs: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """An index to keep: (key, term, tf) and (key, len), for many queries over one corpus.
+
+    Occurrences are counted per row and term before the shuffle. Written sorted by
+    term, a query's terms are found by the files' statistics, and no text is read again.
+    """
+    read = docs.select(key, F.explode(tokens).alias("term"))
+    postings = read.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return postings, docs.select(key, F.size(tokens).cast("long").alias("len"))
+
+
+def search(postings: DataFrame, lengths: DataFrame, query: list[str], key: str) -> DataFrame:
+    """key and raw_score from an index. Terms that the query repeats count as often."""
+    weights = {t: query.count(t) for t in query}
+    hits = postings.filter(F.col("term").isin(*weights)) if weights else postings.limit(0)
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("__n"), F.avg("len").alias("__avg"))
+    weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(float(n))) for t, n in weights.items()]) if weights else F.lit(0.0)
+    joined = hits.join(F.broadcast(df.withColumnRenamed("term", "__t")), F.col("term") == F.col("__t")).join(lengths, key).join(F.broadcast(stats))  # a row a query term; one row
+    return joined.groupBy(key).agg(F.sum(weight * _part(F.col("tf"), F.col("__df"), F.col("len"))).alias("raw_score")).filter(F.col("raw_score") > LEAST_SCORE)
+
+
+def ladder(name: Column, query: str, tokens: list[str], exact: float, inside: float, part: float) -> Column:
+    """A bonus if the query is the name, holds it, or has a token of four characters or more that stands in it. An empty name has none."""
+    whole, low = query.strip().lower(), F.lower(F.coalesce(name, F.lit("")))
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in dict.fromkeys(tokens) if len(t) >= 4], F.lit(False))
+    return F.when(low == "", 0.0).when(low == whole, exact).when(F.contains(F.lit(whole), low), inside).when(some, part).otherwise(0.0)
+
+
+def code_search(chunks: DataFrame, query: str, key: str, where: Column | None = None) -> DataFrame:
+    """key and raw_score of chunks (symbol_name, file_name, relative_path, content) for a query in words or identifiers.
+
+    Symbol, file, path and content are searched as one text in code tokens, with
+    bonuses for the symbol's and the file's name. A token that the query repeats counts as often.
+    """
+    wanted = query_tokens(chunks.sparkSession, query)
+    whole = F.concat_ws(" ", F.coalesce("symbol_name", F.lit("")), "file_name", "relative_path", "content")
+    bonus = ladder(F.col("symbol_name"), query, wanted, 4.0, 3.0, 2.0) + ladder(F.col("file_name"), query, wanted, 3.0, 2.0, 1.5)
+    counted, terms = counts(chunks.withColumn("__whole", whole), wanted, key, "__whole", where, bonus, code_tokens)
+    small = settled(counted, "bm25")
+    stats = small.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
+    score = F.col("__bonus")
+    for i, t in enumerate(terms):
+        tf = F.col(f"__tf{i}")
+        score = score + F.when(tf > 0, wanted.count(t) * _part(tf, F.col(f"__df{i}"), F.col("__len"))).otherwise(F.lit(0.0))
+    return small.filter("__scored").join(F.broadcast(stats)).select(key, score.alias("raw_score")).filter(F.col("raw_score") > LEAST_SCORE)  # one row
+
+
+def query_tokens(spark: SparkSession, query: str) -> list[str]:
+    """A query's code tokens, by the same expression as the corpus's."""
+    return spark.range(1).select(code_tokens(F.lit(query))).first()[0]
 
 
 def similar(vectors: DataFrame, query: list[float], key: str, vector: str) -> DataFrame:
-    """key and similarity on the shifted scale of rows above the cut."""
+    """key and similarity on the shifted scale of rows above the cut; none for an empty query."""
+    if not query:
+        return vectors.select(key, F.lit(0.0).alias("similarity")).limit(0)
     probe = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select(key, shifted_cosine(F.col(vector), probe).alias("similarity")).filter(F.col("similarity") > LEAST_SIMILARITY)
 
@@ -74,3 +148,29 @@ def fused(left: DataFrame, right: DataFrame, key: str, k: int = RRF) -> DataFram
     both = a.join(b, F.col("a_key") == F.col("b_key"), "full_outer")
     part = lambda c: F.coalesce(F.lit(1.0) / (k + F.col(c)), F.lit(0.0))
     return both.select(F.coalesce("a_key", "b_key").alias(key), "a_rank", "b_rank", (part("a_rank") + part("b_rank")).alias("rrf"))
+
+
+def hybrid(lexical: DataFrame, vectors: DataFrame, key: str, limit: int) -> DataFrame:
+    """key, rank, score, mode of the best ``limit`` of two ranked lists (key, rank, score), each looked at to twice that depth.
+
+    Scores are over the largest. Without any vector hit the lexical list passes
+    through, named as such. Ties go to the better lexical, then the better vector rank.
+    """
+    depth = 2 * limit
+    left, right = lexical.filter(F.col("rank") <= depth), vectors.filter(F.col("rank") <= depth)
+    both = fused(left, right, key)
+    last = F.lit(2 * depth + 1)
+    order = [F.desc("rrf"), F.coalesce("a_rank", last), F.coalesce("b_rank", last)]
+    best = both.orderBy(*order).limit(limit)  # what is left has ``limit`` rows
+    ranked = best.select(key, F.row_number().over(W.orderBy(*order)).alias("rank"), (F.col("rrf") / F.max("rrf").over(W.partitionBy())).alias("score"), F.lit("hybrid").alias("mode"))
+    none = right.agg((F.count(F.lit(1)) == 0).alias("__none"))
+    plain = left.filter(F.col("rank") <= limit).select(key, "rank", "score", F.lit("lexical_fallback").alias("mode"))
+    every = ranked.withColumn("__of", F.lit(False)).unionByName(plain.withColumn("__of", F.lit(True)))
+    return every.join(F.broadcast(none), F.col("__of") == F.col("__none")).select(key, "rank", "score", "mode")  # one row
+
+
+def capabilities(chunks: DataFrame, vector: str) -> DataFrame:
+    """One row: how many chunks there are, how many have a vector, and which searches that allows."""
+    n, with_vector = F.count(F.lit(1)), F.count_if(F.size(F.coalesce(F.col(vector), F.array())) > 0)
+    seen = chunks.agg(n.alias("chunks"), with_vector.alias("vectors"))
+    return seen.select("chunks", "vectors", (F.col("chunks") > 0).alias("lexical"), (F.col("vectors") > 0).alias("semantic"), F.when(F.col("chunks") == 0, "NOT_INDEXED").when(F.col("vectors") > 0, "HYBRID").otherwise("LEXICAL").alias("status"))

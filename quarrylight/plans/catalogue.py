@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as tx
 from quarrylight.functions import versions as vs
 from quarrylight.operators import advisories, answers, chunking, graph, health, imports, metrics, relational, remediation, retrieval
-from quarrylight.sources import manifests, python_code
+from quarrylight.sources import advisory_data
+from quarrylight.sources.shared import shared_dir
+from quarrylight.plans.registry import ORACLES, QUERIES, query, table, values  # noqa: F401
 from quarrylight.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # --- retrieval ---------------------------------------------------------------------------------
 
 TERMS = ["the", "and"]
@@ -84,7 +68,9 @@ s AS (SELECT vec_id, round((list_cosine_similarity(e, q) + 1) / 2, 6) AS similar
 
 
 def _probe(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+    """The vector that is searched for; empty if it is not there, which nothing is like."""
+    row = table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()
+    return row[0] if row else []
 
 
 @query(_COS + "SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id)::INT AS rank FROM s WHERE similarity > 0.1 ORDER BY similarity DESC, vec_id LIMIT 20")
@@ -144,10 +130,12 @@ def chunk_line_window(spark, d):
     return cut.select("doc_id", "chunk_index", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'One', 1, 2, 3), (1, 'Two x', 2, 4, 4), (2, 'Only', 4, 1, 1)) v(doc, title, level, start_line, end_line)""")
+@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents), h AS (SELECT doc_id, n, i, i % 5 + 1 AS level FROM l WHERE i % 3 = 1 AND i % 5 < 4)
+SELECT doc_id, 'h' || i || ' x' AS title, level::INT AS level, (i + 1)::INT AS start_line, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), n)::INT AS end_line FROM h""")
 def chunk_headings(spark, d):
-    rows = [(1, "before\n# One\nbody\n## Two x"), (2, "#### Only"), (3, "none\n##### five")]
-    return chunking.headings(spark.createDataFrame(rows, "doc int, text string"), "doc", "text")
+    """All documents, every third of whose lines is made a heading of one to five signs; five are none."""
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.repeat(F.lit("#"), i % 5 + 1), F.lit(" h"), i.cast("string"), F.lit(" x"))).otherwise(x))
+    return chunking.headings(table(spark, d, "documents").select("doc_id", F.array_join(made, "\n").alias("text")), "doc_id", "text")
 
 
 @query(r"""
@@ -186,7 +174,7 @@ def prompt_redaction(spark, d):
 _LINES = "CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END"
 
 
-@query(f"SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum({_LINES})::BIGINT AS lines, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS percentage FROM documents GROUP BY lang")
+@query(f"SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum({_LINES})::BIGINT AS lines, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS percentage FROM documents GROUP BY lang")
 def language_distribution(spark, d):
     files = table(spark, d, "documents").select("lang", F.octet_length("text").alias("size"), tx.line_count(F.col("text")).alias("n"))
     return metrics.distribution(files, "lang", "size", "n")
@@ -269,90 +257,129 @@ def interval_conflicts(spark, d):
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def ci_idempotent_ingest(spark, d):
-    """Two deliveries of one batch, the second after the first is stored: every key once."""
+    """The table as a stream, delivered twice to one sink: every key once."""
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     rows = table(spark, d, "events").select("user_id", "event_type", "event_id")
-    once = ingest.fresh(rows, None, ["user_id", "event_type"], "event_id")
-    return once.unionByName(ingest.fresh(rows, once, ["user_id", "event_type"], "event_id"))
+    for delivery in ("first", "again"):
+        # The brackets make a pattern of the name, so a single file can be a stream too.
+        stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").select(*rows.columns)
+        ingest.start(stream, f"{base}/sink", f"{base}/{delivery}", ["user_id", "event_type"], "event_id").awaitTermination()
+    return spark.read.parquet(f"{base}/sink").select(*rows.columns)
 
 
 # --- versions ----------------------------------------------------------------------------------
 
-_VERSIONS = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "v1.2", "2", "10.0.0", "bad", "1.02.3"]
+#: A version for each order, its parts as a list that compares as versions do, and whether it is a prerelease.
+_SEMVER = """(SELECT o_orderkey, o_orderkey % 4 AS a, o_custkey % 3 AS b, o_orderkey % 5 AS c, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey % 12 END AS rc FROM orders)"""
+_VERSIONED = f"""WITH v AS (SELECT *, a || '.' || b || '.' || c || CASE WHEN rc IS NULL THEN '' ELSE '-rc.' || rc END AS version, [a, b, c, CASE WHEN rc IS NULL THEN 1 ELSE 0 END, coalesce(rc, 0)]::BIGINT[] AS k FROM {_SEMVER})"""
+
 
+def _versions(spark, d) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    plain = F.concat_ws(".", (o % 4).cast("string"), (c % 3).cast("string"), (o % 5).cast("string"))
+    version = F.when(o % 6 == 0, F.concat(plain, F.lit("-rc."), (c % 12).cast("string"))).otherwise(plain)
+    return table(spark, d, "orders").select("o_orderkey", version.alias("version"))
 
-@query("SELECT v AS version, r::INT AS rank FROM (VALUES " + ", ".join(f"('{v}', {i + 1 if i < 11 else 'NULL'})" for i, v in enumerate(_VERSIONS)) + ") t(v, r)")
+
+@query(_VERSIONED + " SELECT o_orderkey, version, dense_rank() OVER (ORDER BY k)::INT AS rank FROM v")
 def semver_match(spark, d):
-    rows = spark.createDataFrame([(v,) for v in _VERSIONS], "version string").withColumn("key", vs.semver_key(F.col("version")))
-    ranked = rows.withColumn("rank", F.when(F.col("key").isNotNull(), F.row_number().over(W.orderBy(F.col("key").asc_nulls_last()))))
-    return ranked.select("version", "rank")
+    """The rank of every row's version among all versions; different versions alone are sorted."""
+    rows = _versions(spark, d)
+    ranks = rows.select("version").distinct().select(F.col("version").alias("v"), F.row_number().over(W.orderBy(vs.semver_key(F.col("version")))).alias("rank"))
+    return rows.join(ranks, F.col("version") == F.col("v")).select("o_orderkey", "version", "rank")
 
 
-_EVENTS = [("introduced", "0"), ("fixed", "1.2.0"), ("introduced", "2.0.0"), ("last_affected", "2.3.0")]
-_OSV = [("0.1.0", True), ("1.1.9", True), ("1.2.0", False), ("1.9.0", False), ("2.0.0-rc.1", False), ("2.0.0", True), ("2.3.0", True), ("2.3.1", False)]
+_EVENTS = [("introduced", "0"), ("fixed", "1.2.0"), ("introduced", "2.0.0"), ("last_affected", "2.1.3")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{v}', {str(m).lower()}, '{'1.2.0' if v < '1.2.0' else '3.0.0'}')" for v, m in _OSV) + ") t(version, matched, fix)")
+@query(_VERSIONED + " SELECT o_orderkey, k < [1, 2, 0, 1, 0] OR (k >= [2, 0, 0, 1, 0] AND k <= [2, 1, 3, 1, 0]) AS matched, CASE WHEN k < [1, 2, 0, 1, 0] THEN '1.2.0' ELSE '3.0.0' END AS fix FROM v")
 def osv_match(spark, d):
-    events = F.array(*[F.struct(F.lit(k).alias("kind"), vs.semver_key(F.lit("0.0.0" if v == "0" else v)).alias("key")) for k, v in _EVENTS])
+    events = F.array(*[F.struct(F.lit(k).alias("kind"), vs.semver_key(F.lit("0.0.0-0" if v == "0" else v)).alias("key")) for k, v in _EVENTS])
     fixes = F.array(*[F.struct(vs.semver_key(F.lit(v)).alias("key"), F.lit(v).alias("text")) for v in ("1.2.0", "3.0.0")])
-    rows = spark.createDataFrame([(v,) for v, _ in _OSV], "version string").withColumn("key", vs.semver_key(F.col("version")))
-    return rows.select("version", vs.in_events(F.col("key"), events).alias("matched"), vs.remediation(F.col("key"), fixes).alias("fix"))
+    rows = _versions(spark, d).withColumn("key", vs.semver_key(F.col("version")))
+    return rows.select("o_orderkey", vs.in_events(F.col("key"), events).alias("matched"), vs.remediation(F.col("key"), fixes).alias("fix"))
 
 
+#: A range, and the same as a condition on ``k``; prereleases count only where the range names one of the same version.
 _NPM = [
-    ("1.2.3", "^1.2.0", True), ("2.0.0", "^1.2.0", False), ("0.2.9", "^0.2.3", True), ("0.3.0", "^0.2.3", False), ("0.0.4", "^0.0.3", False),
-    ("1.2.9", "~1.2.3", True), ("1.3.0", "~1.2.3", False), ("1.5.0", ">= 1.2.0 <2", True), ("2.0.0", ">=1.2.0 <2", False), ("2.3.4", "1.2.3 - 2.3.4", True),
-    ("3.0.0", "^1.0.0 || ^3.0.0", True), ("1.0.0-rc.1", "*", False), ("1.0.0", "*", True), ("1.0.0-rc.1", ">=1.0.0-beta <2.0.0", True), ("1.0.1-rc.1", ">=1.0.0-beta <2.0.0", False), ("1.0.0", "nonsense", False),
+    ("^1.2.0", "k[4] = 1 AND k >= [1, 2, 0, 1, 0] AND k < [2, 0, 0, 0, 0]"), ("^0.2.3", "k[4] = 1 AND k >= [0, 2, 3, 1, 0] AND k < [0, 3, 0, 0, 0]"), ("~1.1.2", "k[4] = 1 AND k >= [1, 1, 2, 1, 0] AND k < [1, 2, 0, 0, 0]"), (">= 1.1.0 <3", "k[4] = 1 AND k >= [1, 1, 0, 1, 0] AND k < [3, 0, 0, 0, 0]"),
+    ("1.0.3 - 2.1.4", "k >= [1, 0, 3, 1, 0] AND k <= [2, 1, 4, 1, 0]"), ("^1.0.0 || ^3.0.0", "k[4] = 1 AND (k[1] = 1 OR k[1] = 3)"), ("*", "k[4] = 1"), (">=2.1.2-rc.5 <3.0.0", "k >= [2, 1, 2, 0, 5] AND k < [3, 0, 0, 1, 0] AND (k[4] = 1 OR k[1:3] = [2, 1, 2])"), ("nonsense", "false"),
 ]
 
 
-def _cases(rows) -> str:
-    return ", ".join(f"('{v}', '{r}', {str(m).lower()})" for v, r, m in rows)
-
-
-@query(f"SELECT * FROM (VALUES {_cases(_NPM)}) t(version, expression, matched)")
+@query(_VERSIONED + " SELECT o_orderkey, CASE (o_orderkey // 7) % " + str(len(_NPM)) + " " + " ".join(f"WHEN {i} THEN {sql}" for i, (_, sql) in enumerate(_NPM)) + " END AS matched FROM v")
 def npm_ranges(spark, d):
-    rows = spark.createDataFrame([(v, r) for v, r, _ in _NPM], "version string, expression string")
-    return rows.select("version", "expression", vs.npm_satisfies(vs.semver_key(F.col("version")), F.col("expression")).alias("matched"))
+    picked = F.element_at(F.array(*[F.lit(r) for r, _ in _NPM]), (F.floor(F.col("o_orderkey") / 7) % len(_NPM) + 1).cast("int"))
+    rows = _versions(spark, d).withColumn("expression", picked)
+    return rows.select("o_orderkey", vs.npm_satisfies(vs.semver_key(F.col("version")), F.col("expression")).alias("matched"))
 
 
+#: A version's parts and what stands behind them (-1: rc, 0: nothing, 1: post), as a list that compares as versions do; and specifiers on it.
+_PEP = """WITH v AS (SELECT o_orderkey, [o_orderkey % 4, o_custkey % 3, o_orderkey % 5]::BIGINT[] AS r, CASE o_orderkey % 6 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AS t FROM orders), w AS (SELECT *, list_append(r, t::BIGINT) AS k FROM v)"""
 _PEP440 = [
-    ("1.4.2", ">=1.0, <2.0", True), ("2.0rc1", "<2.0", False), ("1.0", "==1.0.0", True), ("1.0.post1", ">1.0", False), ("1.0.1", ">1.0", True), ("1.4.5", "~=1.4.2", True),
-    ("1.5", "~=1.4.2", False), ("1.5", "~=1.4", True), ("1.2.3", "==1.2.*", True), ("1.3", "!=1.2.*", True), ("1.0+local.1", "==1.0", True), ("1.0+a", "==1.0+b", False), ("1!1.0", ">2", True), ("1.0.dev1", "<1.0a1", True), ("1.0", "===1.0", True),
+    (">=1.1, <3.0", "k >= [1, 1, 0, 0] AND k < [3, 0, 0, -1]"), ("==1.2.*", "k[1:2] = [1, 2]"), ("!=1.2.*", "k[1:2] <> [1, 2]"), ("~=1.1.2", "k >= [1, 1, 2, 0] AND k[1:2] = [1, 1]"), ("~=1.1", "k >= [1, 1, 0, 0] AND k[1] = 1"),
+    (">2.0.3", "k > [2, 0, 3, 1]"), ("==2.1", "k = [2, 1, 0, 0]"), ("<=2.1.0", "k <= [2, 1, 0, 0]"), ("!=2.1.0, >1", "k <> [2, 1, 0, 0] AND k > [1, 0, 0, 1]"),
 ]
 
 
-@query(f"SELECT * FROM (VALUES {_cases(_PEP440)}) t(version, expression, matched)")
+@query(_PEP + " SELECT o_orderkey, CASE (o_orderkey // 7) % " + str(len(_PEP440)) + " " + " ".join(f"WHEN {i} THEN {sql}" for i, (_, sql) in enumerate(_PEP440)) + " END AS matched FROM w")
 def pep440_specifiers(spark, d):
-    rows = spark.createDataFrame([(v, r) for v, r, _ in _PEP440], "version string, expression string")
-    return rows.select("version", "expression", vs.pep440_satisfies(F.col("version"), F.col("expression")).alias("matched"))
+    o = F.col("o_orderkey")
+    tail = F.when(o % 6 == 0, "rc1").when(o % 6 == 1, ".post1").otherwise("")
+    version = F.concat(F.concat_ws(".", (o % 4).cast("string"), (F.col("o_custkey") % 3).cast("string"), (o % 5).cast("string")), tail)
+    picked = F.element_at(F.array(*[F.lit(r) for r, _ in _PEP440]), (F.floor(o / 7) % len(_PEP440) + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", version.alias("version"), picked.alias("expression"))
+    return rows.select("o_orderkey", vs.pep440_satisfies(F.col("version"), F.col("expression")).alias("matched"))
 
 
 _ADVISORIES = [
-    ("A1", "npm", "left", [(">=1.0.0 <1.3.0", None)], ["1.3.0"]), ("A2", "npm", "left", [(None, [("0", None, None, None), (None, "1.1.0", None, None), ("2.0.0", None, None, None), (None, None, "2.4.0", None)])], None),
-    ("A3", "PyPI", "my-lib", [(">=1.0,<1.5", None), (None, [("2.0", None, None, None), (None, "2.3", None, None)])], ["1.5", "2.3"]), ("A4", "cargo", "left", [("*", None)], None),
+    ("A1", "npm", "left", [(">=1.0.0 <1.2.0", None)], ["1.2.0"]), ("A2", "npm", "left", [(None, [("0", None, None, None), (None, "1.1.0", None, None), ("2.0.0", None, None, None), (None, None, "2.1.0", None)])], None),
+    ("A3", "PyPI", "my-lib", [(">=1.0,<1.2", None), (None, [("2.0", None, None, None), (None, "2.2", None, None)])], ["1.2", "2.2"]), ("A4", "cargo", "left", [("*", None)], None),
 ]
-_USED = [("npm", "left", "1.2.0"), ("npm", "left", "1.0.5"), ("npm", "left", "2.4.0"), ("npm", "left", None), ("pypi", "my-lib", "1.4.post1"), ("pypi", "my-lib", "1.5.0"), ("pypi", "my-lib", "2.1"), ("pypi", "my-lib", "odd"), ("cargo", "left", "1.0.0"), ("npm", "none", "1.0.0")]
 
 
-@query("""SELECT * FROM (VALUES ('npm', 'left', '1.2.0', 'A1', true, false, '1.3.0'), ('npm', 'left', '1.2.0', 'A2', false, false, NULL), ('npm', 'left', '1.0.5', 'A1', true, false, '1.3.0'), ('npm', 'left', '1.0.5', 'A2', true, false, '1.1.0'),
-('npm', 'left', '2.4.0', 'A1', false, false, NULL), ('npm', 'left', '2.4.0', 'A2', true, false, '1.1.0'), ('npm', 'left', NULL, 'A1', false, true, NULL), ('npm', 'left', NULL, 'A2', false, true, NULL),
-('pypi', 'my-lib', '1.4.post1', 'A3', true, false, '1.5'), ('pypi', 'my-lib', '1.5.0', 'A3', false, false, NULL), ('pypi', 'my-lib', '2.1', 'A3', true, false, '2.3'), ('pypi', 'my-lib', 'odd', 'A3', false, true, NULL), ('cargo', 'left', '1.0.0', 'A4', false, true, NULL)) t(ecosystem, package, version, advisory_id, matched, indeterminate, remediation)""")
+@query("""WITH v AS (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' WHEN 2 THEN 'cargo' ELSE 'npm' END AS ecosystem, CASE o_orderkey % 4 WHEN 1 THEN 'my-lib' WHEN 3 THEN 'none' ELSE 'left' END AS package,
+ CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey % 4 || '.' || o_custkey % 3 || '.' || o_custkey % 5 END AS version, CASE WHEN o_custkey % 11 <> 0 THEN [o_custkey % 4, o_custkey % 3, o_custkey % 5]::BIGINT[] END AS k FROM orders),
+m AS (SELECT v.*, 'A1' AS advisory_id, k >= [1, 0, 0] AND k < [1, 2, 0] AS hit, '1.2.0' AS fix FROM v WHERE ecosystem = 'npm' AND package = 'left' UNION ALL SELECT v.*, 'A2', k < [1, 1, 0] OR (k >= [2, 0, 0] AND k <= [2, 1, 0]), '1.1.0' FROM v WHERE ecosystem = 'npm' AND package = 'left'
+ UNION ALL SELECT v.*, 'A3', (k >= [1, 0, 0] AND k < [1, 2, 0]) OR (k >= [2, 0, 0] AND k < [2, 2, 0]), CASE WHEN k < [1, 2, 0] THEN '1.2' ELSE '2.2' END FROM v WHERE ecosystem = 'PyPI' UNION ALL SELECT v.*, 'A4', NULL, NULL FROM v WHERE ecosystem = 'cargo')
+SELECT ecosystem, package, version, advisory_id, coalesce(hit, false) AS matched, hit IS NULL AS indeterminate, CASE WHEN hit THEN fix END AS remediation FROM m""")
 def advisory_match(spark, d):
+    """Every different version of every package against the advisories of its name."""
     known = spark.createDataFrame(_ADVISORIES, f"advisory_id string, ecosystem string, package string, ranges {advisories.RANGES}, fixed_versions array<string>")
-    return advisories.affected(spark.createDataFrame(_USED + _USED[:2], "ecosystem string, package string, version string"), known)
+    o, c = F.col("o_orderkey") % 4, F.col("o_custkey")
+    version = F.when(c % 11 != 0, F.concat_ws(".", (c % 4).cast("string"), (c % 3).cast("string"), (c % 5).cast("string")))
+    used = table(spark, d, "orders").select(F.when(o == 1, "PyPI").when(o == 2, "cargo").otherwise("npm").alias("ecosystem"), F.when(o == 1, "my-lib").when(o == 3, "none").otherwise("left").alias("package"), version.alias("version"))
+    return advisories.affected(used, known)
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 9 = 4 THEN NULL ELSE 'A' || p_partkey // 3 END AS id, CASE p_partkey % 4 WHEN 0 THEN ' PyPI' ELSE 'npm' END AS eco, CASE p_partkey % 4 WHEN 0 THEN 'My__Lib' ELSE 'Left ' END AS name, CASE p_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'odd' ELSE 'Low' END AS sev FROM part),
+c AS (SELECT *, lower(trim(eco)) AS e, CASE WHEN eco = ' PyPI' THEN 'my-lib' ELSE 'left' END AS p FROM r)
+SELECT k AS turn, id AS advisory_id, e AS ecosystem, p AS package, CASE sev WHEN 'critical' THEN 'CRITICAL' WHEN 'odd' THEN 'UNKNOWN' ELSE 'LOW' END AS severity, CASE WHEN k % 3 = 0 THEN 7.5::DOUBLE END AS cvss_score, CASE WHEN id IS NULL THEN 'missing' WHEN k > min(k) OVER (PARTITION BY id, e, p) THEN 'repeated' END AS problem FROM c""")
+def advisory_import(spark, d):
+    """Advisories as they come: which are taken, and what their fields become."""
+    k = F.col("p_partkey")
+    raw = table(spark, d, "part").select(
+        k.alias("turn"), F.when(k % 9 != 4, F.concat(F.lit("A"), F.floor(k / 3).cast("string"))).alias("advisory_id"), F.when(k % 4 == 0, " PyPI").otherwise("npm").alias("ecosystem"), F.when(k % 4 == 0, "My__Lib").otherwise("Left ").alias("package_name"), F.lit("s").alias("summary"),
+        F.when(k % 5 == 0, "critical").when(k % 5 == 1, "odd").otherwise("Low").alias("severity"), F.when(k % 3 == 0, "7.5").otherwise("high").alias("cvss_score"), F.lit(None).cast("array<string>").alias("cve_ids"), F.array().cast(f"array<{advisory_data.RANGE}>").alias("affected_ranges_json"),
+        F.lit(None).cast("array<string>").alias("fixed_versions_json"), F.lit("2024-01-01T00:00:00Z").alias("published_at"), F.lit("").alias("modified_at"),
+    )
+    return advisory_data.judged(raw).select("turn", "advisory_id", "ecosystem", "package", "severity", "cvss_score", "problem")
 
 
-@query("""SELECT * FROM (VALUES ('app/core/a.py', 1, 'b', 'app/core/b.py', 'internal'), ('app/core/a.py', 2, 'util', 'app/util/__init__.py', 'internal'), ('app/core/a.py', 3, 'gone', 'app/core/gone', 'unresolved'),
-('app/core/a.py', 4, 'numpy', 'numpy', 'external'), ('app/core/a.py', 5, 'X', 'app/util/x.py', 'internal'), ('app/core/a.py', 6, 'app.nothing', 'app/__init__.py', 'internal'), ('lib/missing.py', 7, 'lib.none', 'lib.none', 'unresolved'),
-('web/main.ts', 1, './part', 'web/part.tsx', 'internal'), ('web/main.ts', 2, '../web/lib', 'web/lib/index.js', 'internal'), ('web/main.ts', 3, './no', 'web/no', 'unresolved'), ('web/main.ts', 4, '@s/x/y', '@s/x', 'external'), ('web/main.ts', 5, 'react/jsx', 'react', 'external')) t(source, line, name, target, kind)""")
+@query("""WITH f AS (SELECT p_partkey AS k, 'app/d' || p_partkey % 10 || '/m' || p_partkey || '.py' AS path FROM part), n AS (SELECT max(k) AS last FROM f)
+SELECT path AS source, k AS line, CASE k % 5 WHEN 0 THEN 'app.d' || (k + 1) % 10 || '.m' || (k + 1) WHEN 1 THEN 'm' || (k + 10) WHEN 2 THEN 'numpy.linalg' WHEN 3 THEN 'app.none' ELSE 'X' END AS name,
+CASE k % 5 WHEN 0 THEN CASE WHEN k + 1 <= last THEN 'app/d' || (k + 1) % 10 || '/m' || (k + 1) || '.py' ELSE 'app/__init__.py' END WHEN 1 THEN 'app/d' || k % 10 || '/m' || (k + 10) || CASE WHEN k + 10 <= last THEN '.py' ELSE '' END WHEN 2 THEN 'numpy' WHEN 3 THEN 'app/__init__.py' ELSE 'app/d' || k % 10 || '/m' || k || '.py' END AS target,
+CASE WHEN k % 5 = 2 THEN 'external' WHEN k % 5 = 1 AND k + 10 > last THEN 'unresolved' ELSE 'internal' END AS kind FROM f, n""")
 def import_resolution(spark, d):
-    files = ["app/__init__.py", "app/core/a.py", "app/core/b.py", "app/util/__init__.py", "app/util/x.py", "lib/missing.py", "web/main.ts", "web/part.tsx", "web/lib/index.js"]
-    py = [(None, "b", True, 1, 1), (None, "util", True, 2, 2), (None, "gone", True, 1, 3), (None, "numpy", False, 0, 4), ("app.util.x", "X", True, 0, 5), (None, "app.nothing", False, 0, 6)]
-    rows = [("app/core/a.py", "Python", *r) for r in py] + [("app/core/a.py", "Python", None, "b", True, 1, 9), ("lib/missing.py", "Python", None, "lib.none", False, 0, 7)]
-    rows += [("web/main.ts", "TypeScript", None, n, False, 0, i + 1) for i, n in enumerate(["./part", "../web/lib", "./no", "@s/x/y", "react/jsx"])]
-    found = spark.createDataFrame(rows, "source string, language string, module string, name string, is_from boolean, level int, line int")
-    return imports.resolved(found, spark.createDataFrame([(f,) for f in files], "path string"))
+    """Imports of every file: of a module by its whole name, of a neighbour, of a package, of what is not there, of a name in a module."""
+    k = F.col("p_partkey")
+    path = lambda n: F.concat(F.lit("app/d"), (n % 10).cast("string"), F.lit("/m"), n.cast("string"), F.lit(".py"))
+    dotted = lambda n: F.concat(F.lit("app.d"), (n % 10).cast("string"), F.lit(".m"), n.cast("string"))
+    kind = k % 5
+    name = F.when(kind == 0, dotted(k + 1)).when(kind == 1, F.concat(F.lit("m"), (k + 10).cast("string"))).when(kind == 2, F.lit("numpy.linalg")).when(kind == 3, F.lit("app.none")).otherwise(F.lit("X"))
+    found = table(spark, d, "part").select(path(k).alias("source"), F.lit("Python").alias("language"), F.when(kind == 4, dotted(k)).alias("module"), name.alias("name"), kind.isin(1, 4).alias("is_from"), F.when(kind == 1, 1).otherwise(0).alias("level"), k.cast("int").alias("line"))
+    files = table(spark, d, "part").select(path(k).alias("path")).unionByName(spark.createDataFrame([("app/__init__.py",)], "path string"))
+    return imports.resolved(found, files).select("source", F.col("line").cast("long").alias("line"), "name", "target", "kind")
 
 
 # --- graphs, governance ------------------------------------------------------------------------
@@ -470,52 +497,37 @@ def proposal_standing(spark, d):
 _PATHS = [("src/.env", True), ("src/.env.local", True), (".git/config", True), ("keys/server.PEM", True), ("../a.py", True), ("C:/a.py", True), ("src\\secrets.yml", True), ("/src/main.py", False), ("src/tokenizer.py", False), (" ", True)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(x).lower()})" for p, x in _PATHS) + ") t(path, protected)")
+@query(f"SELECT p_partkey, path, protected FROM part JOIN (SELECT * FROM {values([(i, *x) for i, x in enumerate(_PATHS)], 'i, path, protected')}) t ON p_partkey % {len(_PATHS)} = i")
 def protected_paths(spark, d):
-    return spark.createDataFrame([(p,) for p, _ in _PATHS], "path string").select("path", remediation.protected(F.col("path")).alias("protected"))
+    rows = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*[F.lit(p) for p, _ in _PATHS]), (F.col("p_partkey") % len(_PATHS) + 1).cast("int")).alias("path"))
+    return rows.withColumn("protected", remediation.protected(F.col("path")))
 
 
-@query("""SELECT * FROM (VALUES (1, 'a.py', 2, E'# a.py (R1)\n--- a/a.py\n+++ b/a.py\n@@ -1,3 +1,3 @@\n x\n-y\n+Y\n z\n'), (2, 'a.py', 1, E'# a.py (R2)\n--- a/a.py\n+++ b/a.py\n@@ -1,3 +1,2 @@\n x\n-y\n-z\n+Q\n'), (3, 'b.py', NULL, E'# b.py (R1)\n--- a/b.py\n+++ b/b.py\n@@ -1 +1 @@\n-p\n+P\n')) t(proposal_id, file_path, conflict, patch)""")
+@query("""WITH b AS (SELECT p_partkey AS k, p_size AS s, 'f' || p_partkey // 4 || '.py' AS path, CASE p_partkey % 5 WHEN 4 THEN 'REJECTED' WHEN 0 THEN 'APPROVED' ELSE 'VALIDATED' END AS state FROM part), r AS (SELECT *, 2 + k % 3 AS a, 2 + k % 3 + k % 2 AS z FROM b WHERE state <> 'REJECTED'),
+c AS (SELECT x.k, min(y.k) AS conflict FROM r x JOIN r y ON x.path = y.path AND x.k <> y.k AND x.a <= y.z AND y.a <= x.z GROUP BY 1)
+SELECT k AS proposal_id, path AS file_path, conflict, '# ' || path || ' (R' || k % 2 || ')' || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,' || least(z + 3, 7) || ' +1,' || (least(z + 3, 7) - (z - a)) || ' @@' || chr(10)
+ || array_to_string(list_transform(range(1, a), lambda i: ' l' || i || chr(10)), '') || array_to_string(list_transform(range(a, z + 1), lambda i: '-l' || i || chr(10)), '') || '+new ' || s || chr(10) || array_to_string(list_transform(range(z + 1, least(z + 3, 7) + 1), lambda i: ' l' || i || chr(10)), '') AS patch FROM r LEFT JOIN c USING (k)""")
 def patch_bundle(spark, d):
-    rows = [(1, "a.py", 2, 2, "APPROVED", "R1", "x\ny\nz\n", "Y"), (2, "a.py", 2, 3, "VALIDATED", "R2", "x\ny\nz\n", "Q"), (3, "b.py", 1, 1, "VALIDATED", "R1", "p\n", "P"), (4, "b.py", 1, 1, "REJECTED", "R1", "p\n", "Q"), (5, ".env", 1, 1, "APPROVED", "R1", "p\n", "Q")]
-    made = spark.createDataFrame(rows, "proposal_id int, file_path string, start_line int, end_line int, state string, rule_id string, before string, new string")
-    return remediation.bundle(made.withColumn("after", remediation.replaced_lines(F.col("before"), F.col("start_line"), F.col("end_line"), F.col("new"))))
-
-
-# --- sources -----------------------------------------------------------------------------------
-
-_CODE = "import os\nimport os\nimport pickle\ndef run(q, cur):\n    os.system(q)\n    eval(q)\n    eval('1')\n    cur.execute(f'select {q}')\n    return pickle.loads(q)\n"
+    """A proposal for each row, four to a file; those that are ready, with their patches and conflicts."""
+    return remediation.bundle(_proposals(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('PY-IMPORT-001', 'LOW', 'a.py', 2), ('PYSEC003', 'HIGH', 'a.py', 5), ('PYSEC001', 'HIGH', 'a.py', 6), ('PYSEC001', 'MEDIUM', 'a.py', 7), ('PYSEC006', 'HIGH', 'a.py', 8), ('PYSEC002', 'CRITICAL', 'a.py', 9), ('PY-SYNTAX-001', 'HIGH', 'b.py', 1)) t(rule_id, severity, path, line)")
-def ast_findings(spark, d):
-    rows = [("a.py", _CODE), ("b.py", "def (:\n")]
-    return python_code.findings(python_code.facts(spark.createDataFrame(rows, "path string, content string")))
+@query("""WITH b AS (SELECT p_partkey AS k, 'f' || p_partkey // 4 || '.py' AS path FROM part WHERE p_partkey % 5 <> 4), r AS (SELECT *, 2 + k % 3 AS a, 2 + k % 3 + k % 2 AS z FROM b)
+SELECT len(list(DISTINCT path))::INT AS files, list_sort(list(DISTINCT 'R' || k % 2)) AS rules, (SELECT count(DISTINCT x.k) FROM r x JOIN r y ON x.path = y.path AND x.k <> y.k AND x.a <= y.z AND y.a <= x.z) AS conflicts FROM r""".replace("list_sort(list(DISTINCT 'R' || k % 2))", "array_to_string(list_sort(list(DISTINCT 'R' || k % 2)), ' ')"))
+def bundle_summary(spark, d):
+    rows = _proposals(spark, d)
+    told = remediation.bundle_summary(remediation.bundle(rows), rows)
+    return told.select(F.size("files").alias("files"), F.array_join("rules", " ").alias("rules"), "conflicts")
 
 
-@query("""SELECT * FROM (VALUES ('r/requirements.txt', 'pypi', 'my-lib', '==1.2', '1.2', 'runtime', true), ('r/requirements.txt', 'pypi', 'other', '>=2,<3', NULL, 'runtime', true),
-('r/package.json', 'npm', 'left', '^1.0.0', NULL, 'runtime', true), ('r/package-lock.json', 'npm', 'left', '', '1.0.4', 'runtime', NULL), ('r/yarn.lock', 'npm', '@s/x', '', '3.1.0', 'runtime', NULL)) t(path, ecosystem, package, "constraint", resolved, kind, is_direct)""")
-def manifest_inventory(spark, d):
-    rows = [
-        ("r/requirements.txt", "My_Lib==1.2  # pinned\n-r more.txt\nother >=2,<3\n"),
-        ("r/package.json", '{"dependencies": {"left": "^1.0.0"}}'),
-        ("r/package-lock.json", '{"packages": {"": {}, "node_modules/left": {"version": "1.0.4"}}}'),
-        ("r/yarn.lock", '# v1\n\n"@s/x@^3.0.0":\n  version "3.1.0"\n'),
-        ("r/readme.md", "text"),
-    ]
-    return manifests.inventory(spark.createDataFrame(rows, "path string, content string"))
-
-
-_PNPM = "importers:\n  .:\n    dependencies: {left: 1.0.0}\n    devDependencies: {'@s/x': 2.0.0}\npackages:\n  /left@1.0.0: {}\n  '@s/x@2.0.0(left@1.0.0)': {}\n  /deep/3.1.0_left@1.0.0: {dev: true}\n  /@s/old/0.1.0: {}\n"
-
-
-@query("""SELECT * FROM (VALUES ('pnpm-lock.yaml', 'npm', 'left', '', '1.0.0', 'runtime', true), ('pnpm-lock.yaml', 'npm', '@s/x', '', '2.0.0', 'dev', true), ('pnpm-lock.yaml', 'npm', 'deep', '', '3.1.0', 'dev', false),
-('pnpm-lock.yaml', 'npm', '@s/old', '', '0.1.0', 'runtime', false), ('x/pnpm-lock.yaml', NULL, NULL, NULL, NULL, 'error', NULL)) t(path, ecosystem, package, "constraint", resolved, kind, is_direct)""")
-def pnpm_inventory(spark, d):
-    return manifests.inventory(spark.createDataFrame([("pnpm-lock.yaml", _PNPM), ("x/pnpm-lock.yaml", "a: [")], "path string, content string"))
+def _proposals(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    start = (2 + k % 3).cast("int")
+    return table(spark, d, "part").select(
+        k.alias("proposal_id"), F.concat(F.lit("f"), F.floor(k / 4).cast("string"), F.lit(".py")).alias("file_path"), start.alias("start_line"), (start + k % 2).cast("int").alias("end_line"),
+        F.when(k % 5 == 4, "REJECTED").when(k % 5 == 0, "APPROVED").otherwise("VALIDATED").alias("state"), F.concat(F.lit("R"), (k % 2).cast("string")).alias("rule_id"),
+        F.lit("l1\nl2\nl3\nl4\nl5\nl6\nl7\n").alias("before"), F.concat(F.lit("new "), F.col("p_size").cast("string")).alias("new"),
+    )
 
 
-@query()
-def sarif_results(spark, d):
-    rows = [("a.py", _CODE)]
-    return python_code.sarif(python_code.findings(python_code.facts(spark.createDataFrame(rows, "path string, content string"))))
+from quarrylight.plans import code_catalogue, state_catalogue  # noqa: E402, F401

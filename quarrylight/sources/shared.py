@@ -5,20 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back: cuts lineage, outlives executors.
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application's own in the one that the driver and all executors share.
 
-    A local session without that setting writes to a temporary folder.
+    ``spark.checkpoint.dir`` names that. Only a session on a local master may go
+    without: it then gets a temporary folder. What is in the folder goes when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    made = getattr(context, "_quarrylight_shared", None)
+    if made is not None:
+        return made
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir() + "/quarrylight"
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+        base = tempfile.mkdtemp(prefix="quarrylight-")
+    made = f"{base}/quarrylight-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+    path = context._jvm.org.apache.hadoop.fs.Path(made)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    context._quarrylight_shared = made
+    return made
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    It cuts lineage and keeps costly columns from being computed twice, and the
+    files outlive lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Folders that a sink's keys are dealt to; a batch reads only those that its own keys fall into.
+PARTS = 64
+PART = "key_part"
+
 
 def fresh(batch: DataFrame, known: DataFrame | None, by: list[str], order: str) -> DataFrame:
     """The first row of each key in ``batch`` whose key is not in ``known``."""
@@ -17,20 +21,22 @@ def fresh(batch: DataFrame, known: DataFrame | None, by: list[str], order: str)
 
 
 def start(stream: DataFrame, sink: str, checkpoint: str, by: list[str], order: str) -> StreamingQuery:
-    """Appends every key of the stream once to the Parquet table ``sink``.
+    """Appends every key of the stream once to the Parquet table ``sink``, in PARTS folders by a hash of the key.
 
-    The anti-join is against the whole table, so there is no horizon beyond which a
-    replay is taken for new, and a batch that runs again after a failure finds its own rows.
+    There is no horizon beyond which a replay is taken for new, and a batch that runs
+    again after a failure finds its own rows. A batch is compared only with the folders
+    that its keys fall into.
     """
+    spark = stream.sparkSession
+    part = F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int")
+    schema = stream.withColumn(PART, part).schema
+    # The table is there from the start, if only empty.
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(PART).parquet(sink)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema(batch.schema).parquet(sink)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        fresh(batch, known, by, order).write.mode("append").parquet(sink)
+        dealt = batch.withColumn(PART, part)
+        mine = [r[0] for r in dealt.select(PART).distinct().collect()]  # PARTS numbers at most
+        known = batch.sparkSession.read.schema(schema).parquet(sink).filter(F.col(PART).isin(mine))
+        fresh(dealt, known, by, order).write.mode("append").partitionBy(PART).parquet(sink)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -73,12 +73,12 @@ def test_strong_components_against_closure(spark):
 
 def test_manifest_errors_are_rows(spark):
     rows = manifests.inventory(spark.createDataFrame([("a/package.json", "{"), ("a/pyproject.toml", '[project]\ndependencies = ["Flask>=2"]')], "path string, content string")).collect()
-    assert {(r["package"], r["kind"]) for r in rows} == {(None, "error"), ("flask", "runtime")}
+    assert {(r["package"], r["kind"], r["status"]) for r in rows} == {(None, "error", "error"), ("flask", "direct", "unresolved")}
 
 
 def test_python_facts(spark):
     found = python_code.facts(spark.createDataFrame([("a.py", "def f(a):\n    return 1 if a and a > 2 else 0\n")], "path string, content string"))
-    assert found.filter("kind = 'function'").first()["value"] == 3
+    assert found.filter("kind = 'function'").first()["value"] == 2  # a conditional expression is no branch
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -137,10 +137,75 @@ def test_replaced_lines(spark):
     assert put("a", 2, 2, "b") is None and put("a", 1, 0, "b") is None
 
 
-def test_diff_holds_only_what_changes(spark):
-    rows = spark.createDataFrame([("/d\\f.py", "a\nb\n", "a\nc\n"), ("g", None, None)], "p string, x string, y string")
-    found = [r[0] for r in rows.select(remediation.unified_diff("p", "x", "y")).collect()]
-    assert found == ["--- a/d/f.py\n+++ b/d/f.py\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n", ""]
+def test_diffs_against_difflib(spark):
+    """Replaced spans as difflib shows them, where nothing inside the span stays."""
+    import difflib
+
+    rng, rows, want = random.Random(11), [], {}
+    for i in range(60):
+        lines = [f"l{k}" for k in range(rng.randrange(1, 15))]
+        a = rng.randrange(1, len(lines) + 1)
+        b = rng.randrange(a, len(lines) + 1)
+        new = [f"n{k}" for k in range(rng.randrange(1, 4))]
+        if rng.random() < 0.4:
+            new[0] = lines[a - 1]
+        after = lines[: a - 1] + new + lines[b:]
+        rows.append((i, "/d\\f.py", "\n".join(lines) + "\n", a, b, "\n".join(new)))
+        want[i] = "".join(difflib.unified_diff([x + "\n" for x in lines], [x + "\n" for x in after], "a/d/f.py", "b/d/f.py"))
+    rows += [(100, "f", "a\nb", 1, 1, "a"), (101, "f", "a", 2, 2, "b")]
+    made = spark.createDataFrame(rows, "id int, p string, x string, a int, b int, y string")
+    got = {r["id"]: r["d"] for r in made.select("id", remediation.unified_diff(F.col("p"), F.col("x"), F.col("a"), F.col("b"), F.col("y")).alias("d")).collect()}
+    assert got[100] == "" and got[101] is None and all(got[i] == w for i, w in want.items())
+
+
+@pytest.mark.parametrize("edges, sizes", [([(i, i + 1) for i in range(2000)], []), ([(i, (i + 1) % 2000) for i in range(2000)], [2000]), ([(i, (i + 1) % 700) for i in range(700)] + [(i + 700, (i + 1) % 700 + 700) for i in range(700)] + [(5, 705), (9, 9)], [700, 700])])
+def test_strong_components_of_long_chains_and_cycles(spark, edges, sizes):
+    got = graph.strong_components(spark.createDataFrame(edges, "source int, target int")).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in got) == sizes
+
+
+def test_swapped_advisories(spark, tmp_path):
+    from quarrylight.sources import advisory_data
+
+    file = tmp_path / "advisories.json"
+    file.write_text('{"dataset_version": "1", "advisories": [{"advisory_id": "A", "ecosystem": "npm", "package_name": "Left", "summary": "s", "affected_ranges_json": [{"spec": "<1"}]}, {"advisory_id": "B"}, {"advisory_id": "A", "ecosystem": "NPM", "package_name": "left ", "summary": "t", "affected_ranges_json": []}]}')
+    told = advisory_data.judged(advisory_data.read(spark, str(file)))
+    assert sorted((r["turn"], r["problem"]) for r in told.collect()) == [(0, None), (1, "missing"), (2, "repeated")]
+    base = str(tmp_path / "sets")
+    advisory_data.swap(advisory_data.accepted(told), base, "1")
+    states = advisory_data.swap(advisory_data.accepted(told).limit(0), base, "2").collect()
+    assert sorted((r["version"], r["records"], r["state"]) for r in states) == [("1", 1, "superseded"), ("2", 0, "active")]
+    assert advisory_data.current(spark, base).count() == 0
+    with pytest.raises(ValueError, match="version"):
+        advisory_data.swap(advisory_data.accepted(told), base, " ")
+
+
+def test_policies_say_what_is_wrong():
+    from quarrylight.sources import policies
+
+    for text, said in [("{", "no JSON"), ("[]", "object"), ("{}", "layers"), ('{"layers": [{}]}', "name"), ('{"layers": [{"name": "a", "patterns": [1]}]}', "texts"), ('{"layers": [], "rules": [{"id": "r", "from_layer": "x"}]}', "unknown layer x")]:
+        with pytest.raises(ValueError, match=said):
+            policies.parsed(text)
+    made = policies.parsed('{"layers": [{"name": "a", "patterns": ["*"]}], "forbidden_dependencies": [{"from_pattern": "x", "to_pattern": "y"}], "enforce_no_cycles": 1}')
+    assert made["forbidden"][0]["id"] == "FORBIDDEN-1" and made["disallow_cycles"]
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    from quarrylight.sources import discovery
+
+    for name, body in [("a/x.py", b"a\nb"), ("node_modules/y.js", b"z"), ("b.bin", b"\0"), (".env", b"k=1\n")]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    rows = {r["path"]: r for r in discovery.discovered(discovery.files(spark, str(tmp_path))).collect()}
+    assert {p: (r["language"], r["is_binary"], r["line_count"]) for p, r in rows.items()} == {"a/x.py": ("Python", False, 2), "b.bin": ("Unknown", True, None), ".env": ("Unknown", False, None)}
+
+
+def test_index_of_a_repository(spark):
+    files = spark.createDataFrame([("a.py", "Python", False, "import x\ndef f():\n    return x\n"), (".env", None, False, "k"), ("b.png", None, True, "p"), ("c.md", "Markdown", False, "# T\nbody")], "path string, language string, is_binary boolean, content string")
+    rows = chunking.index_run(files, "s1").collect()
+    assert sorted((r["path"], r["kind"]) for r in rows) == [("a.py", "function"), ("a.py", "import"), ("c.md", "section")]
+    assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-4 and len(r["embedding"]) == 64 for r in rows)
+    assert len({r["fingerprint"] for r in rows}) == 3
 
 
 def test_answers_without_evidence(spark):
