@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,42 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.sources.shared import settled  # noqa: F401
+
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step inside a task holds as arrays.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it. Only a session on a local master may go
-    without: it then gets a temporary folder of its own.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(context, "_quarrylight_shared", None)
-    if made is None:
-        made = context._quarrylight_shared = tempfile.mkdtemp(prefix="quarrylight-")
-    return made
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    It cuts lineage and keeps costly columns from being computed twice, and the
-    files outlive lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
