@@ -200,7 +200,10 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, key: str = "vec_
         for batch in batches:
             logits = sent.value.logits(matrix(batch.column("vector"), width))
             likely = np.argsort(-logits, axis=1, kind="stable").astype(np.int32)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(likely.ravel()), parts).cast(pa.list_(pa.int32()))
+            # Only queries need more than the likeliest partition.
+            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(np.where(asks, parts, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(likely[asks].ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(likely[:, 0]), lists], names=[*batch.schema.names, "part", "likely"])
 
     schema = T.StructType([*good.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("likely", T.ArrayType(T.IntegerType()))])
