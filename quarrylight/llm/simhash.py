@@ -21,6 +21,8 @@ BITS = 64
 CHUNK = 1 << 16
 #: Near texts: minwise symbols of a sketch, symbols that make a block, and how often what failed with one hub tries another.
 SYMBOLS, BLOCK, HUBS = 40, 4, 3
+#: Texts are compared if at least LIKELY of their symbols agree (at a similarity of 0.8 some 32 do, fewer than 24 in 0.2 % of cases); while fewer than SURE do, another hub is tried.
+LIKELY, SURE = 24, 34
 #: Texts that meet a copy of their hub in one part: a hub's text is sent as often as it has parts.
 PART = 64
 #: Hashes of texts that are needed are broadcast while they are no more than this (some 50 MB); beyond it texts are shuffled to find them.
@@ -187,26 +189,27 @@ def simhash_of(shingles: np.ndarray) -> int:
 
 
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """key, print (of the text), digest (of its words), simhash, blocks for (key, text, print) rows."""
+    """key, print (of the text), digest (of its words), simhash, blocks and symbols (a byte each) for (key, text, print) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, prints, blocks = [], [], []
+            digests, prints, blocks, symbols = [], [], [], []
             for x in batch.column(1):
                 made, whole = shingle_hashes(x.as_py(), shingle)
                 digests.append(whole)
                 prints.append(simhash_of(made))
                 keys = sketch(np.unique(made)).reshape(-1, BLOCK)
+                symbols.append((keys.ravel() >> np.uint64(16)).astype(np.uint8).tobytes())
                 with np.errstate(over="ignore"):
                     joined = keys[:, 0]
                     for k in range(1, BLOCK):
                         joined = _mixed(joined) + keys[:, k]
                 blocks.append(joined.view(np.int64).tolist() if whole else [])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (digests, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(blocks, pa.list_(pa.int64()))], names=["key", "print", "digest", "simhash", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(blocks, pa.list_(pa.int64())), pa.array(symbols, pa.binary())], names=["key", "print", "digest", "simhash", "blocks", "symbols"])
 
     key = T.StructField("key", docs.schema["key"].dataType)
-    return docs.select("key", "text", "print").mapInArrow(run, T.StructType([key, *[T.StructField(c, T.LongType()) for c in ("print", "digest", "simhash")], T.StructField("blocks", T.ArrayType(T.LongType()))]))
+    return docs.select("key", "text", "print").mapInArrow(run, T.StructType([key, *[T.StructField(c, T.LongType()) for c in ("print", "digest", "simhash")], T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("symbols", T.BinaryType())]))
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -223,6 +226,14 @@ def _hub_edges(shared: DataFrame) -> DataFrame:
     return shared.select("bucket", F.col("digest").alias("left")).join(best, "bucket").filter("left <> hub")
 
 
+def _agreeing(edges: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of ``edges`` (left, right) with ``agree``: how many symbols of both are the same."""
+    a = sketches.select(F.col("digest").alias("left"), F.hex("symbols").alias("a"))
+    b = sketches.select(F.col("digest").alias("right"), F.hex("symbols").alias("b"))
+    same = [(F.substring("a", 2 * i + 1, 2) == F.substring("b", 2 * i + 1, 2)).cast("int") for i in range(SYMBOLS)]
+    return edges.join(a, "left").join(b, "right").select("left", "right", reduce(lambda x, y: x + y, same).alias("agree"))
+
+
 def _bodies(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """digest, text of the texts that ``needed`` (print, digest) names, once each."""
     few = needed.count() <= BROADCAST_TEXTS
@@ -266,7 +277,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
     for masks to cover. So SYMBOLS minwise hashes, cut into blocks of BLOCK, serve
     as well: texts that differ in fewer symbols than there are blocks share a block. No
     pairs are listed: texts of one bucket are compared with a hub, the one that
-    shares most blocks, and where some fail, with another, HUBS times in all.
+    shares most blocks, and where some differ, with another, HUBS times in all. How
+    many symbols agree says which texts are worth reading.
 
     Equal sequences of words are one class from the start; texts without a word are
     one group. Null keys come last among equals. Repeated rows are rows of one
@@ -276,34 +288,32 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
     marked = settled(_sketched(rows, shingle), "sketched")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "print")
-    classes = settled(marked.groupBy("digest").agg(F.min(order).alias("least"), F.min_by(F.struct("simhash", "blocks"), "print").alias("s"), F.min("print").alias("print")).select("digest", "least", "print", "s.*"), "texts")
+    classes = settled(marked.groupBy("digest").agg(F.min(order).alias("least"), F.min_by(F.struct("simhash", "blocks", "symbols"), "print").alias("s"), F.min("print").alias("print")).select("digest", "least", "print", "s.*"), "texts")
     of_print = settled(classes.filter(F.size("blocks") > 0).groupBy("simhash").agg(F.min("digest").alias("digest")), "prints")
     same = classes.join(of_print.withColumnRenamed("digest", "right"), "simhash").select(F.col("digest").alias("left"), "right").filter("left <> right")
     masked = linked_prints(of_print.select("simhash"), radius)
     masked = masked.join(of_print.select(F.col("simhash").alias("left"), F.col("digest").alias("l")), "left").join(of_print.select(F.col("simhash").alias("right"), F.col("digest").alias("r")), "right").select(F.col("l").alias("left"), F.col("r").alias("right"))
     shared = settled(_buckets(classes.select("digest", F.posexplode("blocks").alias("t", "block"))), "shared")
-    first = settled(same.unionByName(masked).distinct(), "first")
-    # Only texts that have a candidate are read again, once for all turns.
-    ids = shared.select("digest").union(first.select("left")).union(first.select("right")).distinct()
-    needed = settled(ids.join(classes.select("digest", "print"), "digest").select("print", "digest"), "needed")
-    bodies = settled(_bodies(rows, needed), "bodies")
-    known, tried = [], None
+    sketches = settled(classes.select("digest", "symbols"), "symbols")
+    found = [settled(_agreeing(same.unionByName(masked).distinct(), sketches), "agreeing")]
     for turn in range(HUBS):
         hubs = settled(_hub_edges(shared), "hubs")
         edges = hubs.select("left", F.col("hub").alias("right")).distinct()
-        edges = edges.unionByName(first).distinct() if turn == 0 else edges.join(tried, ["left", "right"], "left_anti")
-        edges = settled(edges, "candidates")
-        if edges.isEmpty():
-            break
-        known.append(settled(_alike(edges, bodies, shingle, least), "alike"))
-        tried = edges if tried is None else tried.unionByName(edges)
-        # Where a bucket holds texts that its hub did not link, all but the hub try again.
-        found = reduce(DataFrame.unionByName, known)
-        failed = hubs.join(found.select("left", F.col("right").alias("hub")), ["left", "hub"], "left_anti").select("bucket").distinct()
+        found.append(settled(_agreeing(edges, sketches), "agreeing"))
+        # Where a bucket holds texts that its hub may not link, all but the hub try again.
+        linked = found[-1].filter(F.col("agree") >= SURE).select("left", F.col("right").alias("hub"))
+        failed = hubs.join(linked, ["left", "hub"], "left_anti").select("bucket").distinct()
         again = hubs.join(failed, "bucket", "left_semi").select(F.lit(turn).alias("t"), F.col("bucket").alias("block"), F.col("left").alias("digest"))
         shared = settled(_buckets(again), "shared")
-    roots = components(reduce(DataFrame.unionByName, known), "left", "right") if known else None
-    rooted = classes.select("digest", "least", F.col("digest").alias("root")) if roots is None else classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
+        if shared.isEmpty():
+            break
+    # Only texts with a likely partner are read again.
+    edges = settled(reduce(DataFrame.unionByName, found).filter(F.col("agree") >= LIKELY).select("left", "right").distinct(), "candidates")
+    ids = edges.select(F.col("left").alias("digest")).union(edges.select("right")).distinct()
+    needed = settled(ids.join(classes.select("digest", "print"), "digest").select("print", "digest"), "needed")
+    alike = settled(_alike(edges, settled(_bodies(rows, needed), "bodies"), shingle, least), "alike")
+    roots = components(alike, "left", "right")
+    rooted = classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(smallest, "root").select("digest", "component")
     return marked.join(named, "digest").select(F.col("key").alias(key), "print", F.struct(F.col("component.key").alias(key), "component.print").alias("component"))
