@@ -36,7 +36,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     left = settled(edges.filter(F.col("source").isNotNull() & F.col("target").isNotNull()).select("source", "target").distinct(), "scc-edges")
     loops = left.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
-    found, undo = [loops], []
+    found, undo = [], []
     left = settled(left.filter("source <> target"), "scc-left")
     while not left.isEmpty():
         left, whole, steps = _contracted(left)
@@ -53,9 +53,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.append(done.select("node", F.col("value").alias("component")))
         gone = done.select(F.col("node").alias("gone"))
         left = settled(left.join(gone, F.col("source") == F.col("gone"), "left_anti").join(gone, F.col("target") == F.col("gone"), "left_anti"), "scc-left")
-    members = settled(reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component")), "scc-members")
+    members = settled(reduce(DataFrame.unionByName, found, loops.limit(0)).groupBy("node").agg(F.min("component").alias("component")), "scc-members")
     for steps in reversed(undo):
         members = _expanded(members, steps)
+    members = members.unionByName(loops.join(members.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti"))
     # Components of one node count only with a self-edge.
     named = members.groupBy("component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
     kept = members.join(named, "component").select("node", F.col("least").alias("component"), "n")

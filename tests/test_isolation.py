@@ -5,12 +5,28 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry_without_llm(tmp_path):
     shutil.copytree(f"{ROOT}/quarrylight", tmp_path / "quarrylight", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{ROOT}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; assert 'bm25_topk' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+    # The other tests are found, and some of them run, without the subpackage.
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, check=True, timeout=300, capture_output=True, text=True).stdout
+    assert "test_query_matches_sql[bm25_code]" in found and "tests/llm/" not in found
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_chunking.py", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, check=True, timeout=300, capture_output=True)
+
+
+def test_other_import_errors_are_not_swallowed(tmp_path):
+    shutil.copytree(f"{ROOT}/quarrylight", tmp_path / "quarrylight", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "quarrylight/llm/queries.py").write_text("import a_module_that_is_not_there\n") if (tmp_path / "quarrylight/llm").is_dir() else pytest.skip("no such subpackage")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=env, timeout=120, capture_output=True, text=True)
+    assert told.returncode and "a_module_that_is_not_there" in told.stderr
