@@ -153,8 +153,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     Rows that are null, empty, zero or not finite, or whose label or key is null,
     link with nothing and are kept. Vectors of different length never link. Rows of
-    one key are one node; a repeated row is one more vector. An empty table gives
-    no row. Other columns are not looked at.
+    one key are one node; a repeated row is one more vector. Any number of vectors of one
+    label is dealt to chunks of bounded size. An empty table gives no row. Other columns
+    are not looked at.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).alias("label"))

@@ -152,7 +152,8 @@ def identify(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text",
     """key, lang_pred, lang_score of every row; languages are learned where ``train_on`` (a Column) holds.
 
     Repeated rows get equal results. Without any labelled row everything is ``und``.
-    An empty table gives no row.
+    A very long text is read whole in one task, which holds some 40 bytes for each of its
+    letters meanwhile. An empty table gives no row. Other columns are not looked at.
     """
     prototypes = fit(docs.filter(train_on).select(text, lang), text, lang)
     return identified(docs.select(key, text), prototypes, text).select(key, "lang_pred", "lang_score")

@@ -58,7 +58,8 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     Null texts have size 0; a null source is one source of its own, the last. A
     source whose rows are all empty has target 0 and is not taken. Repeated rows
-    share their key's decision. An empty table gives no row.
+    share their key's decision. Of a text, however long, only the number of its words
+    goes on. An empty table gives no row. Columns that are not in ``keep`` are not looked at.
     """
     keep = [key] if keep is None else keep
     found = _taken(docs, key, text, source, weights, most, seed, keep)

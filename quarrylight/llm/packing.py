@@ -12,7 +12,6 @@ from functools import lru_cache
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

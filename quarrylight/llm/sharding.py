@@ -27,7 +27,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     Size is UTF-8 bytes plus 1; null texts count as empty (checksum 0). Null keys
     come first. Repeated rows stay, each in a slot of its own. An empty table gives
     no row. A document larger than a share leaves a neighbouring shard short or
-    empty; none is ever cut. Other columns are not looked at.
+    empty; none is ever cut. Of a text, however long, only its length and checksum go
+    on. Other columns are not looked at.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     sized = docs.select(F.col(key).alias("k"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"))

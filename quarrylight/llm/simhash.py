@@ -133,7 +133,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     Null and empty texts have fingerprint 0 and are linked like any other. Equal
     texts and repeated rows share a fingerprint and so a group. A null key belongs
     to its group but is never its component_id unless no key there is set. An empty
-    table gives an empty result. Columns other than key and text are not looked at.
+    table gives an empty result. A very long text is held whole in one task, with its
+    words as a list; its shingles are hashed in portions. Columns other than key and
+    text are not looked at.
     """
     marked = settled(fingerprints(docs.select(key, text), text, shingle, seed), "simhash")
     classes = settled(marked.groupBy("simhash").agg(F.min(key).alias("least")), "prints")

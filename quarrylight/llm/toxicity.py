@@ -218,7 +218,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_on, key: str = "doc
     """key and toxicity of every row of ``docs``; labels are learned where ``train_on`` (a Column over key) holds.
 
     Repeated rows get equal scores. Without any usable label every score is that of
-    an even prior. An empty table gives no row.
+    an even prior. A very long text is scored whole, a slice of its own in one task, with
+    its words as an array of numbers. An empty table gives no row. Other columns are not
+    looked at.
     """
     model = fit(docs, labels.filter(train_on), key, text)
     return scored(docs.select(key, text), model, text).select(key, "toxicity")
