@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The published patterns of semantic versions, whole and short, and what their parts become.
 FULL = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-((?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*)(?:\.(?:0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*))*))?(?:\+[0-9a-zA-Z-]+(?:\.[0-9a-zA-Z-]+)*)?$"
 LOOSE = r"^(0|[1-9]\d*)(?:\.(0|[1-9]\d*))?$"
 KEY = "struct<major:bigint,minor:bigint,patch:bigint,released:int,pre:array<struct<alpha:int,number:bigint,name:string>>>"
@@ -139,6 +140,7 @@ def npm_meets(version: Column, text: Column, branches: Column) -> Column:
     return F.when(version.isNotNull() & text.isNotNull(), F.when(every, ~unreleased).otherwise(F.exists(branches, alternative)))
 
 
+# Fixed value: the published form of Python package versions.
 PEP440 = r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?(?:(?:-(\d+))|(?:[-_.]?(post|rev|r)[-_.]?(\d*)))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
 
 

@@ -177,7 +177,7 @@ _LINES = "CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, ch
 @query(f"SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum({_LINES})::BIGINT AS lines, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS percentage FROM documents GROUP BY lang")
 def language_distribution(spark, d):
     files = table(spark, d, "documents").select("lang", F.octet_length("text").alias("size"), tx.line_count(F.col("text")).alias("n"))
-    return metrics.distribution(files, "lang", "size", "n")
+    return metrics.ordered(metrics.distribution(files, "lang", "size", "n"), "lang")
 
 
 @query("""WITH p AS (SELECT ltrim(regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1), '/') AS path, strlen(html) AS n FROM pages)

@@ -80,7 +80,7 @@ def inventory_totals(spark, d):
 
 @query(_FILES + "SELECT category, count(*) AS files, sum(size)::BIGINT AS bytes, sum(coalesce(line_count, 0))::BIGINT AS lines FROM d GROUP BY 1")
 def category_distribution(spark, d):
-    return metrics.totals_by(discovery.discovered(_made_files(spark, d)), "category", "size", "line_count")
+    return metrics.ordered(metrics.totals_by(discovery.discovered(_made_files(spark, d)), "category", "size", "line_count"), "category")
 
 
 @query(_FILES + "SELECT split_part(path, '/', 1) AS owner, count(*) AS files, sum(size)::BIGINT AS bytes, CASE WHEN count(*) > 60 THEN 'too_many_files' WHEN sum(size) > 50000 THEN 'too_many_bytes' END AS refused FROM d GROUP BY 1")
@@ -161,6 +161,12 @@ def archive_limits(spark, d):
     return archives.admitted(_members(spark, d))
 
 
+@query(_MADE + " SELECT archive, CASE WHEN min(split_part(path, '/', 1)) = max(split_part(path, '/', 1)) AND bool_or(contains(path, '/')) THEN min(split_part(path, '/', 1)) END AS root FROM m WHERE verdict = 'ok' AND kind <> 'link' GROUP BY 1")
+def archive_roots(spark, d):
+    """The one folder that holds all that may be unpacked of an archive, links aside."""
+    return archives.single_root(archives.judged(_members(spark, d).filter("kind <> 'link'")))
+
+
 # --- findings ------------------------------------------------------------------------------------
 
 #: code, and what it must give: (rule, severity, confidence, line)

@@ -158,6 +158,17 @@ def recommendations(spark, d):
     return health.recommendations(health.from_runs(*_runs(spark, d)))
 
 
+_LEVELS = "CASE event_id % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE 'INFO' END"
+
+
+@query(f"""SELECT user_id, sum(CASE WHEN s = 'CRITICAL' THEN 25 WHEN s = 'HIGH' AND event_id % 2 = 0 THEN 18 WHEN s = 'HIGH' THEN 12 WHEN s = 'MEDIUM' THEN 6 ELSE 2 END)::DOUBLE AS security, sum(CASE WHEN s = 'CRITICAL' THEN 25 WHEN s = 'HIGH' THEN 15 WHEN s = 'MEDIUM' THEN 8 ELSE 3 END)::DOUBLE AS dependency FROM (SELECT *, {_LEVELS} AS s FROM events) GROUP BY 1""")
+def health_deductions(spark, d):
+    """What findings and known vulnerabilities of each kind take from a score."""
+    rows = table(spark, d, "events").withColumn("s", F.expr(_LEVELS))
+    sure = F.when(F.col("event_id") % 2 == 0, "HIGH").otherwise("LOW")
+    return rows.groupBy("user_id").agg(F.sum(health.security_deduction(F.col("s"), sure)).alias("security"), F.sum(health.dependency_deduction(F.col("s"))).alias("dependency"))
+
+
 _AUDIT = _RUNS + """, l AS (SELECT snapshot, kind, arg_max(v, (started, run)) AS v FROM r GROUP BY 1, 2), f AS (SELECT event_id % 1000 AS run, CASE event_id % 4 WHEN 0 THEN 'PY-COMPLEXITY-001' WHEN 1 THEN 'PYSEC001' WHEN 2 THEN 'JSSEC002' ELSE 'PY-FUNCTION-001' END AS rule_id, CASE event_id % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'LOW' END AS severity FROM events WHERE event_id % 3 <> 0),
 y AS (SELECT event_id % 500 AS run, CASE WHEN event_id % 7 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity FROM events WHERE event_id % 2 = 0), o AS (SELECT user_id AS snapshot, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 2 = 0 GROUP BY 1),
 j AS (SELECT s.snapshot, source_files, a.v AS a, d.v AS d, x.v AS x, coalesce(o.n, 0) AS proposals FROM s LEFT JOIN l a ON a.snapshot = s.snapshot AND a.kind = 'analysis' LEFT JOIN l d ON d.snapshot = s.snapshot AND d.kind = 'dependency' LEFT JOIN l x ON x.snapshot = s.snapshot AND x.kind = 'architecture' LEFT JOIN o ON o.snapshot = s.snapshot),
