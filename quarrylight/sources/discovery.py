@@ -2,22 +2,65 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import files as fl
 from quarrylight.functions.text import line_count
+from quarrylight.sources.shared import settled
 
 #: Bounds of a repository: files, bytes of all, and bytes of a file whose lines are counted.
 MOST_FILES, MOST_BYTES, MOST_FILE_BYTES = 10_000, 150 << 20, 1 << 20
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (from ``root``) and size of every file under a folder, hidden ones too; ignored folders are not entered.
+
+    Spark's own readers pass over names that start with a dot or an underscore, and
+    with them ``__init__.py``; so folders are listed by tasks, one level after
+    another. Links to folders are not followed, nor links to files outside ``root``.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+        local = isinstance(files, fs.LocalFileSystem)
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                for info in files.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
+                    is_folder = info.type == fs.FileType.Directory
+                    if local and os.path.islink(info.path) and (is_folder or not os.path.realpath(info.path).startswith(os.path.realpath(base) + os.sep)):
+                        continue
+                    rows.append((f"{folder}/{info.base_name}" if folder else info.base_name, is_folder, None if is_folder else info.size))
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["path", "is_folder", "size"])
+
+    found, level = [], spark.createDataFrame([("",)], "folder string")
+    while True:
+        entries = settled(level.mapInArrow(scan, "path string, is_folder boolean, size long"), "listed")
+        found.append(entries.filter("NOT is_folder").select("path", "size"))
+        level = entries.filter(F.col("is_folder") & ~fl.file_name(F.col("path")).isin(*fl.IGNORED_DIRECTORIES)).select(F.col("path").alias("folder"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """path (from ``root``), content, size of every file under a folder."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark.createDataFrame([(root,)], "r string").select(F.regexp_replace("r", r"^[a-z]+:/*", "/")).first()[0].rstrip("/")
-    path = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    return read.select(F.substring(path, F.lit(len(base) + 2), F.length(path)).alias("path"), "content", F.col("length").alias("size"))
+    """path (from ``root``), content, size of every file under a folder; each is read by the task that holds its row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with source.open_input_stream(f"{base}/{path}") as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read()], pa.binary()), pa.array([size], pa.int64())], names=["path", "content", "size"])
+
+    return listed(spark, root).select("path", "size").mapInArrow(read, "path string, content binary, size long")
 
 
 def discovered(found: DataFrame, most_file: int = MOST_FILE_BYTES) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.sources import discovery
 from quarrylight.sources.shared import settled
 
 try:
@@ -29,9 +30,9 @@ _URLS = ("git+", "http://", "https://", "svn+", "hg+")
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """path and content of every file under ``root``."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return read.selectExpr("path", "decode(content, 'UTF-8') AS content")
+    """path and content of every manifest under ``root``."""
+    found = discovery.files(spark, root).filter(is_manifest(F.col("path")))
+    return found.select("path", F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), "UTF-8").alias("content"))
 
 
 def _pypi(name: str) -> str:

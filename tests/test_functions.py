@@ -193,11 +193,13 @@ def test_policies_say_what_is_wrong():
 def test_files_of_a_folder(spark, tmp_path):
     from quarrylight.sources import discovery
 
-    for name, body in [("a/x.py", b"a\nb"), ("node_modules/y.js", b"z"), ("b.bin", b"\0"), (".env", b"k=1\n")]:
+    for name, body in [("a/x.py", b"a\nb"), ("node_modules/y.js", b"z"), ("b.bin", b"\0"), (".env", b"k=1\n"), ("a/__init__.py", b""), ("_x/requirements.txt", b"a==1\n")]:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(body)
     rows = {r["path"]: r for r in discovery.discovered(discovery.files(spark, str(tmp_path))).collect()}
-    assert {p: (r["language"], r["is_binary"], r["line_count"]) for p, r in rows.items()} == {"a/x.py": ("Python", False, 2), "b.bin": ("Unknown", True, None), ".env": ("Unknown", False, None)}
+    want = {"a/x.py": ("Python", False, 2), "a/__init__.py": ("Python", False, 0), "b.bin": ("Unknown", True, None), ".env": ("Unknown", False, None), "_x/requirements.txt": ("Plain Text", False, 1)}
+    assert {p: (r["language"], r["is_binary"], r["line_count"]) for p, r in rows.items()} == want
+    assert [(r["path"], r["package"]) for r in manifests.inventory(manifests.files(spark, str(tmp_path))).collect()] == [("_x/requirements.txt", "a")]
 
 
 def test_index_of_a_repository(spark):
