@@ -79,9 +79,6 @@ def test_toxicity_query(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert got.keys() == texts.keys()
     assert all(r["held_out"] == (remainder(i, 5) == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for i, r in got.items())
-    known = {r["doc_id"]: r["toxic"] for r in marks.filter("toxic IS NOT NULL").collect() if r["doc_id"] in got}
-    held = [i for i in known if got[i]["held_out"]]
-    assert sum(got[i]["predicted"] == known[i] for i in held) / len(held) > 0.85
     # The score of a text is what its words' margins say, and held-out labels do not move it.
     turned = marks.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     train = marks.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -94,6 +91,17 @@ def test_toxicity_query(spark):
         assert abs(got[i]["score"] - want) < 1e-4
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """On the tables with some thousand labels; the smaller ones hold a handful of toxic rows."""
+    where = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r["score"] for r in queries.op4_toxicity(spark, where).filter("held_out").collect()}
+    known = {r["doc_id"]: r["toxic"] for r in table(spark, where, "labels").filter("toxic IS NOT NULL").collect() if r["doc_id"] in got}
+    bad, fine = ([got[i] for i, y in known.items() if y == want] for want in (1, 0))
+    right = sum(s >= 0.5 for s in bad) + sum(s < 0.5 for s in fine)
+    assert right / len(known) > 0.92 and right > len(fine)
+    assert sum((a > b) + (a == b) / 2 for a in bad for b in fine) / (len(bad) * len(fine)) > 0.9
+
+
 def test_language_query(spark):
     docs = table(spark, LARGER, "documents")
     got = {r["doc_id"]: r for r in queries.op6_language_id(spark, LARGER).collect()}
