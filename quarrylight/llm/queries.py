@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import ann, embedding_dedup, html_extract, language_id, lm_scoring, mixing, packing, sharding, simhash, toxicity
+from quarrylight.llm import ann, conversation_repair, embedding_dedup, html_extract, language_id, lm_scoring, mixing, packing, sharding, simhash, toxicity
 from quarrylight.llm.common import id_remainder, table
 
 #: The public vocabulary that packing uses, as ranks and as the tokenizer's file; a path is a parameter of the operator.
@@ -65,8 +65,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, limit=LIMIT, special=packing.special_tokens(public_tokenizers.path(TOKENIZER)))
 
 
+def damaged(conversations: DataFrame) -> tuple[DataFrame, Column]:
+    """The contract's damage by a row's name, and which rows it takes away; nulls count as one space."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(told[0], F.lit(":"), told[1]).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = conversations.select(
+        "conv_id", "turn", kind.alias("damage"), F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return rows, F.col("damage") == 0
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, gone = damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, absent=gone).audits
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_nearest_neighbours, op4_toxicity, op5_html_extraction, op6_language_id, op7_simhash_dedup, op8_embedding_dedup, op9_source_mixing, op10_packing)
+    f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_nearest_neighbours, op4_toxicity, op5_html_extraction, op6_language_id, op7_simhash_dedup, op8_embedding_dedup, op9_source_mixing, op10_packing, op12_conversation_repair)
 }
 
 OP9_SQL = r"""
