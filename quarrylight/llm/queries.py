@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import ann, conversation_repair, embedding_dedup, html_extract, language_id, lm_scoring, mixing, packing, sharding, simhash, toxicity
+from quarrylight.llm import ann, conversation_repair, embedding_dedup, html_extract, language_id, license_scan, lm_scoring, mixing, packing, sharding, simhash, toxicity
 from quarrylight.llm.common import id_remainder, table
 
 #: The public vocabulary that packing uses, as ranks and as the tokenizer's file; a path is a parameter of the operator.
@@ -83,8 +83,19 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(rows, absent=gone).audits
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, base = F.col("scan.found"), F.col("base")
+    rows = table(spark, sf_dir, "documents").select("doc_id", license_scan.scanned("text").alias("scan"))
+    rows = rows.withColumn("base", license_scan.base_only(found))
+    return rows.select(
+        "doc_id", F.col("scan.n_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
+        license_scan.labels_of(base).alias("base_labels"), license_scan.labels_of(found).alias("labels"), license_scan.score_of(found).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_nearest_neighbours, op4_toxicity, op5_html_extraction, op6_language_id, op7_simhash_dedup, op8_embedding_dedup, op9_source_mixing, op10_packing, op12_conversation_repair)
+    f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_nearest_neighbours, op4_toxicity, op5_html_extraction, op6_language_id, op7_simhash_dedup, op8_embedding_dedup, op9_source_mixing, op10_packing, op12_conversation_repair, op13_license_scan)
 }
 
 OP9_SQL = r"""
