@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import ann, conversation_repair, embedding_dedup, html_extract, language_id, license_scan, lm_scoring, mixing, packing, sharding, simhash, toxicity
+from quarrylight.llm import ann, conversation_repair, embedding_dedup, hard_negatives, html_extract, language_id, license_scan, lm_scoring, mixing, packing, sharding, simhash, toxicity
 from quarrylight.llm.common import id_remainder, table
 
 #: The public vocabulary that packing uses, as ranks and as the tokenizer's file; a path is a parameter of the operator.
@@ -65,6 +65,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, limit=LIMIT, special=packing.special_tokens(public_tokenizers.path(TOKENIZER)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, seventh = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 7 == 0
+    turned = vectors.withColumn("label", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(turned, F.col("vec_id") % 100 == 0)
+
+
 def damaged(conversations: DataFrame) -> tuple[DataFrame, Column]:
     """The contract's damage by a row's name, and which rows it takes away; nulls count as one space."""
     told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
@@ -95,7 +101,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_nearest_neighbours, op4_toxicity, op5_html_extraction, op6_language_id, op7_simhash_dedup, op8_embedding_dedup, op9_source_mixing, op10_packing, op12_conversation_repair, op13_license_scan)
+    f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_nearest_neighbours, op4_toxicity, op5_html_extraction, op6_language_id, op7_simhash_dedup, op8_embedding_dedup, op9_source_mixing, op10_packing, op11_hard_negatives, op12_conversation_repair, op13_license_scan)
 }
 
 OP9_SQL = r"""
@@ -140,4 +146,22 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, r.component_id, e.vec_id =
 FROM embeddings e JOIN roots r ON e.vec_id = r.node LEFT JOIN degrees d ON e.vec_id = d.a
 """
 
-ORACLES = {"op8_embedding_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
+OP11_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+
+ORACLES = {"op8_embedding_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL, "op11_hard_negatives": OP11_SQL}

@@ -17,6 +17,8 @@ COLUMNS = {
     "op1_lm_scoring": "doc_id n_words target_loss background_loss difference", "op2_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op3_nearest_neighbours": "query_id rank vec_id score",
     "op4_toxicity": "doc_id held_out score predicted", "op5_html_extraction": "page_id url text n_chars", "op6_language_id": "doc_id held_out lang_pred score", "op7_simhash_dedup": "doc_id fingerprint component_id",
     "op8_embedding_dedup": "vec_id n_links component_id kept", "op9_source_mixing": "doc_id size source_size target taken copies", "op10_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op11_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score", "op12_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 
 
