@@ -215,3 +215,30 @@ def pep440_meets(version: Column, v: Column, specifiers: Column) -> Column:
         )
 
     return F.when(v.isNotNull(), F.forall(specifiers, one))
+
+
+def _padded(number: Column) -> Column:
+    """A number up to 19 digits as a text that sorts as it does; null is below all."""
+    return F.coalesce(F.lpad(number.cast("string"), 19, "0"), F.lit(""))
+
+
+def _identifiers(each: Column, low: str, numeric: int) -> Column:
+    """Identifiers in order, each with a mark for its kind and an end below all letters, then an end below all marks."""
+    one = lambda p: F.concat(F.when(p[low] == numeric, "\x03").otherwise("\x02"), F.when(p["name"] == "", _padded(p["number"])).otherwise(p["name"]), F.lit("\x01"))
+    return F.concat(F.array_join(F.transform(each, one), ""), F.lit("\0"))
+
+
+def semver_bytes(key: Column) -> Column:
+    """A ``semver_key`` as a text whose order of bytes is the order of versions.
+
+    Such a text can be kept in a table: a file's least and greatest then say which versions are in it, and joins
+    and sorts compare bytes without reading a version again. Null stays null.
+    """
+    return F.when(key.isNotNull(), F.concat(_padded(key["major"]), _padded(key["minor"]), _padded(key["patch"]), key["released"].cast("string"), _identifiers(key["pre"], "alpha", 1)))
+
+
+def pep440_bytes(key: Column) -> Column:
+    """The same for a ``pep440_key``."""
+    release = F.concat(F.array_join(F.transform(key["release"], lambda n: F.concat(F.lit("\x01"), _padded(n))), ""), F.lit("\0"))
+    post = F.when(key["post"] < 0, "0").otherwise(F.concat(F.lit("1"), _padded(key["post"])))
+    return F.when(key.isNotNull(), F.concat(_padded(key["epoch"]), release, key["pre"].cast("string"), _padded(key["pre_number"]), post, F.lit("\x01"), _padded(key["dev"]), _identifiers(key["local"], "numeric", 1)))
