@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylight.operators import mending
 from quarrylight.operators.relational import overlaps
 from quarrylight.sources import python_code, script_code
 from quarrylight.sources.shared import settled
@@ -54,34 +56,51 @@ def verified(body: Column, signature: Column, secret: bytes) -> Column:
     return F.coalesce(F.regexp_replace(signature, "^sha256=", "") == hmac_sha256(body, secret), F.lit(False))
 
 
+def bound(body: Callable[..., Column], /, **values: Column) -> Column:
+    """``body`` of values that are computed once each, however often it names them."""
+    held = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.element_at(F.transform(F.array(held), lambda x: body(**{k: x[k] for k in values})), 1)
+
+
 def unified_diff(path: Column, before: Column, start: Column, end: Column, new: Column, around: int = 3) -> Column:
     """What replacing lines ``start`` to ``end`` (from 1) by ``new`` changes, as a unified diff; empty if nothing, null if they are not in the text.
 
     Equal lines at the span's ends are no change; what is between them goes and comes as a whole.
     """
     text = F.replace(before, F.lit("\r\n"), F.lit("\n"))
-    ended = text.endswith("\n")
-    lines = F.split(F.when(ended, F.substring(text, 1, F.length(text) - 1)).otherwise(text), "\n")
-    inside = (start >= 1) & (end >= start) & (end <= F.size(lines))
+    cut = lambda text: F.split(F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text), "\n")
     body = F.split(F.regexp_replace(F.replace(new, F.lit("\r\n"), F.lit("\n")), "\n+\\z", ""), "\n")
-    gone = F.slice(lines, start, end - start + 1)
-    room = F.least(F.size(gone), F.size(body))
-    lead = _equal_run(gone, body, room)
-    tail = _equal_run(F.reverse(gone), F.reverse(body), room - lead)
-    old, fresh = F.slice(gone, lead + 1, F.size(gone) - lead - tail), F.slice(body, lead + 1, F.size(body) - lead - tail)
-    at, last = start + lead, end - tail  # the lines that go; last < at if none does
-    first = F.greatest(F.lit(1), at - around)
-    ahead = F.slice(lines, first, at - first)
-    behind = F.slice(lines, last + 1, F.least(F.lit(around), F.size(lines) - last))
-    mark = lambda sign, part: F.transform(part, lambda x: F.concat(F.lit(sign), x, F.lit("\n")))
-    # A last line without a newline is shown without one, as it stands.
-    every = F.concat(mark(" ", ahead), mark("-", old), mark("+", fresh), mark(" ", behind))
-    count = lambda part: F.size(ahead) + F.size(part) + F.size(behind)
-    span = lambda n: F.when(n == 1, first.cast("string")).otherwise(F.concat(F.when(n == 0, first - 1).otherwise(first).cast("string"), F.lit(","), n.cast("string")))
     name = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", "")
-    head = F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -"), span(count(old)), F.lit(" +"), span(count(fresh)), F.lit(" @@\n"))
-    same = (F.size(old) == 0) & (F.size(fresh) == 0)
-    return F.when(inside, F.when(same, F.lit("")).otherwise(F.concat(head, F.array_join(every, ""))))
+    mark = lambda sign, part: F.transform(part, lambda x: F.concat(F.lit(sign), x, F.lit("\n")))
+
+    def lead(lines: Column, a: Column, z: Column, body: Column, name: Column) -> Column:
+        gone = F.slice(lines, a, z - a + 1)
+        return bound(tail, lines=lines, a=a, z=z, body=body, name=name, gone=gone, lead=_equal_run(gone, body, F.least(F.size(gone), F.size(body))))
+
+    def tail(lines: Column, a: Column, z: Column, body: Column, name: Column, gone: Column, lead: Column) -> Column:
+        most = F.least(F.size(gone), F.size(body)) - lead
+        return bound(rest, lines=lines, a=a, z=z, body=body, name=name, gone=gone, lead=lead, tail=_equal_run(F.reverse(gone), F.reverse(body), most))
+
+    def rest(lines: Column, a: Column, z: Column, body: Column, name: Column, gone: Column, lead: Column, tail: Column) -> Column:
+        """The lines that go are those from ``at`` to ``last``; last < at if none does."""
+        at, last = a + lead, z - tail
+        first = F.greatest(F.lit(1), at - around)
+        old, fresh = F.slice(gone, lead + 1, F.size(gone) - lead - tail), F.slice(body, lead + 1, F.size(body) - lead - tail)
+        behind = F.slice(lines, last + 1, F.least(F.lit(around), F.size(lines) - last))
+        return bound(shown, name=name, first=first, ahead=F.slice(lines, first, at - first), old=old, fresh=fresh, behind=behind)
+
+    def shown(name: Column, first: Column, ahead: Column, old: Column, fresh: Column, behind: Column) -> Column:
+        # A last line without a newline is shown without one, as it stands.
+        every = F.concat(mark(" ", ahead), mark("-", old), mark("+", fresh), mark(" ", behind))
+        count = lambda part: F.size(ahead) + F.size(part) + F.size(behind)
+        span = lambda n: F.when(n == 1, first.cast("string")).otherwise(F.concat(F.when(n == 0, first - 1).otherwise(first).cast("string"), F.lit(","), n.cast("string")))
+        head = F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -"), bound(lambda n: span(n), n=count(old)), F.lit(" +"), bound(lambda n: span(n), n=count(fresh)), F.lit(" @@\n"))
+        return F.when((F.size(old) == 0) & (F.size(fresh) == 0), F.lit("")).otherwise(F.concat(head, F.array_join(every, "")))
+
+    def inside(lines: Column, a: Column, z: Column, body: Column, name: Column) -> Column:
+        return F.when((a >= 1) & (z >= a) & (z <= F.size(lines)), lead(lines, a, z, body, name))
+
+    return bound(lambda text, a, z, body, name: bound(inside, lines=cut(text), a=a, z=z, body=body, name=name), text=text, a=start, z=end, body=body, name=name)
 
 
 def _equal_run(a: Column, b: Column, most: Column) -> Column:
@@ -133,39 +152,6 @@ def bundle_summary(made: DataFrame, proposals: DataFrame) -> DataFrame:
     return joined.agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.count_if(F.col("conflict").isNotNull()).alias("conflicts"))
 
 
-def _listed(command: Column) -> Column:
-    """A plain command as the text of a list of its words; null if it has quotes, backslashes or comments."""
-    words = F.filter(F.split(F.trim(command), r"\s+"), lambda w: w != "")
-    return F.when(~command.rlike(r"""['"\\\\#]""") & (F.size(words) > 0), F.concat(F.lit("["), F.array_join(F.transform(words, lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", "), F.lit("]")))
-
-
-def _shell_words(text: Column) -> Column:
-    call = r"""subprocess\.(run|call|Popen)\(\s*(["'])(.*?)\2\s*,\s*shell\s*=\s*True"""
-    system = r"""os\.system\(\s*(["'])(.*?)\1\s*\)"""
-    found, command = F.nullif(F.regexp_extract(text, call, 0), F.lit("")), F.regexp_extract(text, call, 3)
-    run = F.when(F.contains(text, F.lit("shell=True")), F.replace(text, found, F.concat(F.lit("subprocess."), F.regexp_extract(text, call, 1), F.lit("("), _listed(command), F.lit(", shell=False"))))
-    other = F.nullif(F.regexp_extract(text, system, 0), F.lit(""))
-    return F.coalesce(run, F.replace(text, other, F.concat(F.lit("subprocess.run("), _listed(F.regexp_extract(text, system, 2)), F.lit(", check=True)"))))
-
-
-def _flagged(text: Column) -> Column:
-    call = r"\bhashlib\.(md5|sha1)\(([^()]*)\)"
-    plain = F.regexp_replace(F.regexp_replace(text, r"\bhashlib\.(md5|sha1)\(\s*\)", "hashlib.$1(usedforsecurity=False)"), r"\bhashlib\.(md5|sha1)\(([^()]*[^()\s][^()]*)\)(?<!usedforsecurity=False\))", "hashlib.$1($2, usedforsecurity=False)")
-    return F.when(text.rlike(call) & ~F.contains(text, F.lit("usedforsecurity")), plain)
-
-
-# The strategies by what they mend, in the order in which they are tried, with risk and confidence.
-STRATEGIES = (
-    ("FIX-PYSEC001-LITERAL-EVAL", "PYSEC001", "LOW", "HIGH", lambda x: F.when(~x.rlike(r"\bexec\("), F.regexp_replace(x, r"\b(?:builtins\.)?eval\(", "ast.literal_eval("))),
-    ("FIX-PYSEC005-TLS-VERIFY", "PYSEC005", "LOW", "HIGH", lambda x: F.when(F.contains(x, F.lit("_create_unverified_context")), F.replace(x, F.lit("_create_unverified_context"), F.lit("create_default_context"))).otherwise(F.regexp_replace(x, r"\bverify\s*=\s*False\b", "verify=True"))),
-    ("FIX-PYSEC004-SHA256", "PYSEC004", "MEDIUM", "HIGH", lambda x: F.regexp_replace(F.regexp_replace(x, r"\bhashlib\.(?:md5|sha1)\b", "hashlib.sha256"), r"""\bhashlib\.new\(\s*['"](?:md5|sha1)['"]""", "hashlib.sha256(")),
-    ("FIX-PYSEC004-NONSEC-FLAG", "PYSEC004", "LOW", "HIGH", _flagged),
-    ("FIX-PYSEC003-ARG-LIST", "PYSEC003", "MEDIUM", "MEDIUM", _shell_words),
-    ("FIX-JSSEC001-JSON-PARSE", "JSSEC001", "MEDIUM", "MEDIUM", lambda x: F.regexp_replace(x, r"\beval\(", "JSON.parse(")),
-    ("FIX-JSSEC002-TEXT-CONTENT", "JSSEC002", "LOW", "HIGH", lambda x: F.regexp_replace(x, r"\.innerHTML\s*=", ".textContent =")),
-)
-
-
 def snippet(content: Column, start: Column, end: Column) -> Column:
     """Lines ``start`` to ``end`` of a text; null if the first is not in it."""
     lines = F.split(content, "\r?\n")
@@ -176,19 +162,28 @@ def proposed(findings: DataFrame, sources: DataFrame, preferred: Column | None =
     """Every finding with the first strategy that can mend its lines: remediation_id, original, new, risk, sure; nulls where a person must.
 
     ``findings``: path, rule_id, line, end_line, ...; ``sources``: path, content.
-    ``preferred``: a strategy's id to try alone, where it is not null. All strategies are expressions on the lines.
+    ``preferred``: a strategy's id to try alone, where it is not null. Changes are placed by the spans of the parsed calls, and what
+    does not parse afterwards is not offered. Findings of vulnerable dependencies, with columns ``package`` and ``remediation``,
+    get the raised line of their manifest, at that line.
     """
     of = sources.select(F.col("path").alias("__path"), F.col("content").alias("__content"))
-    joined = findings.join(of, F.col("path") == F.col("__path"), "left")
+    known = {"package", "remediation"} <= set(findings.columns)
+    named = F.col("rule_id").isin(*mending.DEPENDENCY_RULES) if known else F.lit(False)
+    joined = findings.filter(~F.coalesce(named, F.lit(False))).join(of, F.col("path") == F.col("__path"), "left")
     joined = joined.withColumn("original", snippet(F.col("__content"), F.col("line"), F.coalesce("end_line", "line")))
     asked = F.lit(None).cast("string") if preferred is None else preferred
-    tried = []
-    for name, target, risk, sure, change in STRATEGIES:
-        after = change(F.col("original"))
-        fits = (F.col("rule_id") == target) & (asked.isNull() | (asked == name)) & (after != F.col("original"))
-        tried.append(F.when(fits, F.struct(F.lit(name).alias("remediation_id"), after.alias("new"), F.lit(risk).alias("risk"), F.lit(sure).alias("sure"))))
-    best = joined.withColumn("__fix", F.coalesce(*tried))
-    return best.select(*findings.columns, "original", "__fix.*")
+    best = mending.proposed(joined.drop("__path"), "__content", asked)
+    columns = [*findings.columns, "original", "remediation_id", "new", "risk", "sure"]
+    if not known:
+        return best.select(*columns)
+    strategy, risk, sure = mending.UPGRADE
+    raised = upgraded(findings.filter(named).select("path", "package", "remediation").distinct(), sources)
+    raised = raised.select(F.col("path").alias("__p"), F.col("package").alias("__k"), F.col("line").alias("__line"), "original", "new")
+    met = findings.filter(named & (asked.isNull() | (asked == strategy))).join(raised, (F.col("path") == F.col("__p")) & (F.col("package") == F.col("__k")), "left")
+    fits = F.col("new").isNotNull()
+    at = {c: F.coalesce(F.col("__line"), F.col(c)).cast(findings.schema[c].dataType) for c in ("line", "end_line")}
+    upgrades = met.select(*[at.get(c, F.col(c)).alias(c) for c in findings.columns], "original", F.when(fits, strategy).alias("remediation_id"), "new", F.when(fits, risk).alias("risk"), F.when(fits, sure).alias("sure"))
+    return best.select(*columns).unionByName(upgrades.select(*columns))
 
 
 def upgraded(vulnerable: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -217,14 +212,15 @@ RECHECKED = ("PYSEC001", "PYSEC003", "PYSEC004", "PYSEC005")
 
 
 def checked(proposals: DataFrame, sources: DataFrame) -> DataFrame:
-    """proposal_id, valid, checks (array of check_id, state): what five checks say of each patch, up to the first that fails.
+    """proposal_id, valid, checks (array of check_id, state, told): what five checks say of each patch, up to the first that fails.
 
     ``proposals``: proposal_id, file_path, start_line, end_line, original, new,
     original_hash, target_hash, rule_id. ``sources``: path, content. A file must be the
     one that was read and no protected one; the lines must still be those, and give
     the text that was meant; the result must parse (Python by its parser, JSON by
     Spark, scripts by their brackets; other files are skipped); the rule must not
-    hit the changed lines again; the last check only tells of risks.
+    hit the changed lines again; the last check only tells, as ``told``, what the patch may change,
+    by the column ``remediation_id`` where there is one.
     """
     of = sources.select(F.col("path").alias("__path"), F.col("content").alias("__content"))
     joined = proposals.join(of, F.col("file_path") == F.col("__path"), "left")
@@ -256,6 +252,8 @@ def checked(proposals: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(parsed.isNull(), "SKIPPED").otherwise(told(parsed)),
         told(clean), F.lit("PASSED"),
     ]
-    every = F.array(*[F.struct(F.lit(c).alias("check_id"), s.alias("state")) for c, s in zip(PATCH_CHECKS, states, strict=True)])
+    strategy = F.col("remediation_id") if "remediation_id" in proposals.columns else F.lit("")
+    told_of = [*[F.lit(None).cast("string")] * 4, mending.risk_of(strategy)]
+    every = F.array(*[F.struct(F.lit(c).alias("check_id"), s.alias("state"), t.alias("told")) for c, s, t in zip(PATCH_CHECKS, states, told_of, strict=True)])
     first = F.array_position(F.transform(every, lambda c: c["state"]), F.lit("FAILED"))
     return known.select("proposal_id", (first == 0).alias("valid"), F.when(first == 0, every).otherwise(F.slice(every, F.lit(1), first.cast("int"))).alias("checks"))

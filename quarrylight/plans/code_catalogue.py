@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import files as fl
 from quarrylight.functions import text as tx
 from quarrylight.functions import urls
-from quarrylight.operators import answers, chunking, embedding, metrics, remediation
+from quarrylight.operators import answers, chunking, embedding, mending, metrics, remediation
 from quarrylight.plans.registry import query, table, values
 from quarrylight.sources import archives, discovery, manifests, python_code, script_code
 
@@ -437,10 +437,12 @@ def requirement_inclusions(spark, d):
 #: file name, code, (rule, line, strategy or None, new line)
 MENDED = [
     ("a.py", "import ast\nx = builtins.eval(q)\n", ("PYSEC001", 2, "FIX-PYSEC001-LITERAL-EVAL", "x = ast.literal_eval(q)")), ("a.py", "exec(q); eval(q)\n", ("PYSEC001", 1, None, None)),
-    ("a.py", "requests.get(u, verify = False)\n", ("PYSEC005", 1, "FIX-PYSEC005-TLS-VERIFY", "requests.get(u, verify=True)")), ("a.py", "c = ssl._create_unverified_context()\n", ("PYSEC005", 1, "FIX-PYSEC005-TLS-VERIFY", "c = ssl.create_default_context()")),
-    ("a.py", "import hashlib\nh = hashlib.md5(b)\n", ("PYSEC004", 2, "FIX-PYSEC004-SHA256", "h = hashlib.sha256(b)")), ("a.py", "subprocess.run('ls -l', shell=True)\n", ("PYSEC003", 1, "FIX-PYSEC003-ARG-LIST", "subprocess.run(['ls', '-l'], shell=False)")),
+    ("a.py", "requests.get(u, verify = False)\n", ("PYSEC005", 1, "FIX-PYSEC005-RESTORE-TLS", "requests.get(u, verify=True)")), ("a.py", "c = ssl._create_unverified_context()\n", ("PYSEC005", 1, "FIX-PYSEC005-RESTORE-TLS", "c = ssl.create_default_context()")),
+    ("a.py", "import hashlib\nh = hashlib.md5(b)\n", ("PYSEC004", 2, "FIX-PYSEC004-HASH-SHA256", "h = hashlib.sha256(b)")), ("a.py", "subprocess.run('ls -l', shell=True)\n", ("PYSEC003", 1, "FIX-PYSEC003-ARG-LIST", "subprocess.run(['ls', '-l'], shell=False)")),
     ("a.py", "os.system(\"ls  -l\")\n", ("PYSEC003", 1, "FIX-PYSEC003-ARG-LIST", "subprocess.run(['ls', '-l'], check=True)")), ("a.py", "os.system(cmd)\n", ("PYSEC003", 1, None, None)), ("a.js", "let v = eval(t);\n", ("JSSEC001", 1, "FIX-JSSEC001-JSON-PARSE", "let v = JSON.parse(t);")),
     ("a.js", "el.innerHTML  = t;\n", ("JSSEC002", 1, "FIX-JSSEC002-TEXT-CONTENT", "el.textContent = t;")), ("a.py", "pickle.loads(b)\n", ("PYSEC002", 1, None, None)), ("a.py", "x = 1\n", ("PYSEC001", 9, None, None)),
+    ("a.py", "import hashlib\nh = hashlib.new('MD5', b)\n", ("PYSEC004", 2, "FIX-PYSEC004-HASH-SHA256", "h = hashlib.new('sha256', b)")), ("a.py", "import ast\nm.eval(q); eval(q)\n", ("PYSEC001", 2, "FIX-PYSEC001-LITERAL-EVAL", "m.eval(q); ast.literal_eval(q)")),
+    ("a.js", "if (el.innerHTML == a) go();\n", ("JSSEC002", 1, None, None)), ("a.py", "x = eval(q, {})\n", ("PYSEC001", 1, None, None)), ("a.py", "os.system('ls | wc')\n", ("PYSEC003", 1, None, None)),
 ]
 
 
@@ -459,10 +461,10 @@ def fix_strategies(spark, d):
 
 
 @query(f"""SELECT p_partkey, CASE WHEN p_partkey % 5 = 1 THEN 'CHK-01-INTEGRITY:FAILED' WHEN p_partkey % 5 = 2 THEN 'CHK-01-INTEGRITY:PASSED CHK-02-STRUCTURE:FAILED' WHEN p_partkey % 5 = 3 THEN 'CHK-01-INTEGRITY:PASSED CHK-02-STRUCTURE:PASSED CHK-03-SYNTAX:FAILED'
-  WHEN p_partkey % 5 = 4 THEN 'CHK-01-INTEGRITY:PASSED CHK-02-STRUCTURE:PASSED CHK-03-SYNTAX:PASSED CHK-04-RULE-RECHECK:FAILED' ELSE 'CHK-01-INTEGRITY:PASSED CHK-02-STRUCTURE:PASSED CHK-03-SYNTAX:PASSED CHK-04-RULE-RECHECK:PASSED CHK-05-REGRESSION-RISK:PASSED' END AS checks, p_partkey % 5 = 0 AS valid
-FROM part JOIN (SELECT * FROM {values([(i, r[2]) for i, (n, c, r) in enumerate(MENDED)], 'i, remediation_id')}) t ON p_partkey % {len(MENDED)} = i WHERE remediation_id IS NOT NULL""")
+  WHEN p_partkey % 5 = 4 THEN 'CHK-01-INTEGRITY:PASSED CHK-02-STRUCTURE:PASSED CHK-03-SYNTAX:PASSED CHK-04-RULE-RECHECK:FAILED' ELSE 'CHK-01-INTEGRITY:PASSED CHK-02-STRUCTURE:PASSED CHK-03-SYNTAX:PASSED CHK-04-RULE-RECHECK:PASSED CHK-05-REGRESSION-RISK:PASSED' END AS checks, p_partkey % 5 = 0 AS valid, CASE WHEN p_partkey % 5 = 0 THEN told END AS told
+FROM part JOIN (SELECT * FROM {values([(i, r[2], mending.RISKS.get(r[2])) for i, (n, c, r) in enumerate(MENDED)], 'i, remediation_id, told')}) t ON p_partkey % {len(MENDED)} = i WHERE remediation_id IS NOT NULL""")
 def patch_checks(spark, d):
-    """What the checks say of those patches: of five, one is right, and each of the others fails one check."""
+    """What the checks say of those patches: of five, one is right, and each of the others fails one check; and what a right one may change."""
     rows = _mended(spark, d)
     made = remediation.proposed(rows.select("path", "rule_id", "line", "end_line", "p_partkey", "content"), rows.select("path", "content")).filter("remediation_id IS NOT NULL")
     k = F.col("p_partkey") % 5
@@ -470,11 +472,11 @@ def patch_checks(spark, d):
     after = remediation.replaced_lines(F.col("content"), F.col("line"), F.col("line"), F.col("__new"))
     made = made.withColumn("__new", new)
     proposals = made.select(
-        F.col("p_partkey").alias("proposal_id"), F.col("path").alias("file_path"), F.col("line").alias("start_line"), "end_line", "original", F.col("__new").alias("new"), "rule_id",
+        F.col("p_partkey").alias("proposal_id"), F.col("path").alias("file_path"), F.col("line").alias("start_line"), "end_line", "original", F.col("__new").alias("new"), "rule_id", "remediation_id",
         F.when(k == 1, F.lit("other")).otherwise(F.sha2("content", 256)).alias("original_hash"), F.when(k == 2, F.lit("other")).otherwise(F.sha2(after, 256)).alias("target_hash"),
     )
     told = remediation.checked(proposals, rows.select("path", "content"))
-    return told.select(F.col("proposal_id").alias("p_partkey"), F.array_join(F.transform("checks", lambda c: F.concat(c["check_id"], F.lit(":"), c["state"])), " ").alias("checks"), "valid")
+    return told.select(F.col("proposal_id").alias("p_partkey"), F.array_join(F.transform("checks", lambda c: F.concat(c["check_id"], F.lit(":"), c["state"])), " ").alias("checks"), "valid", F.array_max(F.transform("checks", lambda c: c["told"])).alias("told"))
 
 
 UPGRADES = [("requirements.txt", "x==1\nMy.Lib==1.0  # pinned\n", "My.Lib", "2.0", 2, "My.Lib>=2.0  # pinned"), ("requirements.txt", "mylibrary==1\n", "mylib", "2.0", None, None), ("package.json", '{"dependencies": {\n  "left": "^1.0.0",\n  "b": "1"}}', "left", "1.3.0", 2, '  "left": "^1.3.0",'), ("package.json", '{\n"b": "1"}', "b", "2.0.0", 2, '"b": "2.0.0"}')]

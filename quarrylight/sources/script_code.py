@@ -1,7 +1,7 @@
 """JavaScript and TypeScript sources as rows of functions, classes, imports, calls and assignments, read by their tokens.
 
 No compiler is needed: comments and texts are blanked out, brackets matched, and
-what the rules ask about is found between them. Code inside template texts is not read.
+what the rules ask about is found between them. Code inside template texts is code.
 """
 
 from __future__ import annotations
@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 from quarrylight.sources.python_code import EVIDENCE, LONGEST_FUNCTION, SCHEMA, WORST_COMPLEXITY
 
 NAME = r"[A-Za-z_$][\w$]*"
-TEXT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
-PATTERN = re.compile(r"(?:(?<=[(,=:\[!&|?{};])|(?<=\breturn))(\s*)/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/")
+#: What a scan stops at: comments, texts, starts of templates, slashes, names, numbers, brackets and other signs.
+TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|[`/(){}]|[A-Za-z_$][\w$]*|\d[\w.]*|\S", re.S)
+#: A template's own text, up to its end or to code inside it.
+TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
+PATTERN = re.compile(r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: Behind these words, and behind the brackets of those, a slash begins a pattern.
+BEFORE_PATTERN = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
+HEADS = frozenset("if while for with".split())
 FUNCTION = re.compile(rf"\bfunction\b\s*\*?\s*({NAME})?\s*(?:<[^<>()]*>\s*)?\(")
 ARROW = re.compile(r"=>\s*")
 METHOD = re.compile(rf"(?<![.\w$])(?:(?:async|static|public|private|protected|get|set|readonly)\s+)*[*#]?\s*({NAME})\s*(?:<[^<>()]*>\s*)?\(")
@@ -32,15 +38,71 @@ PAIRS = {")": "(", "]": "[", "}": "{"}
 SQL = ("SELECT", "INSERT", "UPDATE", "DELETE", "DROP", "FROM", "WHERE")
 
 
-def blanked(text: str) -> str:
-    """The code alone: comments and patterns are spaces, texts keep their quotes around spaces, lines stay."""
-    gone = lambda s: re.sub(r"[^\n]", " ", s)
+def _gone(s: str) -> str:
+    return re.sub(r"[^\n]", " ", s)
 
-    def plain(m: re.Match) -> str:
-        s = m[0]
-        return gone(s) if s[0] == "/" else s[0] + gone(s[1:-1]) + s[-1] if len(s) > 1 else s
 
-    return PATTERN.sub(lambda m: gone(m[0]), TEXT.sub(plain, text))
+def blanked(text: str) -> str:
+    """The code alone: comments and patterns are spaces, texts keep their quotes around spaces, lines and places stay.
+
+    A scan with a stack: a template whose text holds code becomes spaces, with each
+    piece of its code in round brackets, so what stands there is seen as code, templates in it too. A slash begins a
+    pattern where no value stands before it, and after the brackets of ``if`` and its like.
+    """
+    out, at = [], 0
+    stack: list[str] = []  # open brackets: "(" or "head(" for those of a condition, "{", or "${" of code in a template
+    value, word = False, ""  # whether a value stands before, and the last word if nothing stands behind it
+
+    def template(i: int, inside: bool) -> int:
+        """A template's text from ``i`` on; ``inside``: behind code in it."""
+        nonlocal value
+        m = TEMPLATE.match(text, i)
+        body = _gone(text[i : m.start(1)])
+        if m[1] == "${":
+            out.append((body if inside else " " + body) + " (")
+            if not inside:
+                stack.append("${")
+            value = False
+        elif inside:
+            stack.pop()
+            out.append(body + _gone(m[1]))
+            value = True
+        else:
+            out.append("`" + body + m[1])
+            value = True
+        return m.end()
+
+    while m := TOKEN.search(text, at):
+        out.append(text[at : m.start()])
+        token, at, last, word = m[0], m.end(), word, ""
+        if token.startswith(("//", "/*")):
+            out.append(_gone(token))
+            word = last
+        elif token[0] in "\"'":
+            out.append(token[0] + _gone(token[1:-1]) + token[-1] if len(token) > 1 else token)
+            value = True
+        elif token == "`":
+            at = template(at, False)
+        elif token == "/" and not value and (p := PATTERN.match(text, m.start())):
+            out.append(_gone(p[0]))
+            at, value = p.end(), True
+        elif token in "({":
+            stack.append("head(" if token == "(" and last in HEADS else token)
+            out.append(token)
+            value = False
+        elif token == "}" and stack and stack[-1] == "${":
+            out.append(")")
+            at = template(at, True)
+        elif token in ")}":
+            opened = stack.pop() if stack else ""
+            out.append(token)
+            value = token == ")" and opened != "head("
+        else:
+            out.append(token)
+            word = token if token[0].isalpha() or token[0] in "_$" else ""
+            value = token in ")]" or (bool(word) and word not in BEFORE_PATTERN) or token[0].isdigit()
+    out.append(text[at:])
+    return "".join(out)
 
 
 def matched(code: str) -> tuple[dict[int, int], int | None]:
@@ -125,7 +187,7 @@ def _argument(text: str, code: str, start: int, end: int, closed: dict[int, int]
     part, raw = code[start:i].strip(), text[start:i].strip()
     if not part:
         return "none", ""
-    if raw[0] == "`" and "${" in raw and part.count("`") == 2:
+    if raw[0] == "`" and part[0] != "`":  # a template with code in it
         return "mixed", raw
     if re.fullmatch(r"([\"'`])\s*\1", part):
         return "template" if raw[0] == "`" else "str", raw
