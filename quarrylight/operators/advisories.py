@@ -62,6 +62,23 @@ def _judged(used: DataFrame, advisories: DataFrame, key: Callable[[Column], Colu
     return met.select("ecosystem", "package", "version", "advisory_id", matched.alias("matched"), at.isNull().alias("indeterminate"), remedy.alias("remediation"))
 
 
+def satisfied(rows: DataFrame, version: str, text: str, python: bool = False, name: str = "matched") -> DataFrame:
+    """Adds whether each row's version lies in its range, by npm's or Python's rules; null if either cannot be read.
+
+    Different versions and different ranges are read once each and written down; different pairs of them are judged once each, and rows
+    take over what their pair got. Null versions and ranges match nothing known: null.
+    """
+    key = vs.pep440_key if python else vs.semver_key
+    parse = vs.pep440_specifiers if python else vs.npm_branches
+    keys = settled(rows.select(F.col(version).alias("__v")).distinct().filter("__v IS NOT NULL").select("__v", key(F.col("__v")).alias("__key")), "keys")
+    read = settled(rows.select(F.col(text).alias("__t")).distinct().filter("__t IS NOT NULL").select("__t", parse(F.col("__t")).alias("__parsed")), "ranges")
+    pairs = rows.select(F.col(version).alias("__pv"), F.col(text).alias("__pt")).distinct()
+    met = pairs.join(keys, F.col("__pv") == F.col("__v")).join(read, F.col("__pt") == F.col("__t"))
+    judged = vs.pep440_meets(F.col("__pv"), F.col("__key"), F.col("__parsed")) if python else vs.npm_meets(F.col("__key"), F.col("__pt"), F.col("__parsed"))
+    told = settled(met.select("__pv", "__pt", judged.alias(name)), "judged")
+    return rows.join(told, (F.col(version) == F.col("__pv")) & (F.col(text) == F.col("__pt")), "left").select(*rows.columns, name)
+
+
 def affected(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """ecosystem, package, version, advisory_id, matched, indeterminate, remediation for every version that meets an advisory by name.
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrylight.functions.files import whole
 from quarrylight.functions.text import fingerprint
 from quarrylight.sources.shared import settled
 
+#: So many edges are searched in one task; more are contracted by rounds first.
+CORE = 200_000
+
 
 def coupling(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """module, ca, ce, instability: distinct neighbours in and out; self-edges do not count."""
@@ -32,18 +38,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
     node that reaches it, and a colour's component is what reaches its root
     backwards. Settled components leave the graph, and what is left goes again until
     no edge is; each round settles a component at least. Rows stay within the number
-    of edges; no closure is built.
+    of edges; no closure is built. As soon as no more than ``CORE`` edges are left, one
+    task ends the search by depth first: a bounded rest, which the rounds would settle alike.
     """
     left = settled(edges.filter(F.col("source").isNotNull() & F.col("target").isNotNull()).select("source", "target").distinct(), "scc-edges")
     loops = left.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
     found, undo = [], []
     left = settled(left.filter("source <> target"), "scc-left")
-    while not left.isEmpty():
+    while size := left.count():
+        if size <= CORE:
+            found.append(settled(_depth_first(left), "scc-core"))
+            break
         left, whole, steps = _contracted(left)
         found.append(whole)
         undo.append(steps)
         if left.isEmpty():
             break
+        if left.count() <= CORE:
+            continue
         nodes = left.select(F.col("source").alias("node")).union(left.select(F.col("target").alias("node"))).distinct()
         colours = _spread(left, nodes.select("node", F.col("node").alias("value")))
         own = left.join(colours.select(F.col("node").alias("source"), F.col("value").alias("c1")), "source").join(colours.select(F.col("node").alias("target"), F.col("value").alias("c2")), "target").filter("c1 = c2")
@@ -64,6 +76,53 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return kept.join(looped, F.col("node") == F.col("looped"), "left").filter("n > 1 OR looped IS NOT NULL").select("node", "component")
 
 
+def _depth_first(edges: DataFrame) -> DataFrame:
+    """node, component of ``CORE`` edges at most, in one task: one pass by depth, with the stack kept by hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways: dict = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ways.setdefault(a, []).append(b)
+        met, low, open_, path, rows = {}, {}, set(), [], []
+
+        def enter(node):
+            met[node] = low[node] = len(met)
+            path.append(node)
+            open_.add(node)
+            work.append((node, iter(ways.get(node, ()))))
+
+        for root in sorted(ways):
+            work: list = []
+            if root not in met:
+                enter(root)
+            while work:
+                node, rest = work[-1]
+                for n in rest:
+                    if n not in met:
+                        enter(n)
+                        break
+                    if n in open_:
+                        low[node] = min(low[node], met[n])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                    if low[node] == met[node]:
+                        members = [path.pop()]
+                        while members[-1] != node:
+                            members.append(path.pop())
+                        open_.difference_update(members)
+                        least = min(members)
+                        rows += [(m, least) for m in members]
+        yield pa.RecordBatch.from_pylist([{"node": n, "component": c} for n, c in rows], batch_schema)
+
+    kind = edges.schema["source"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
+    batch_schema = pa.schema([(n, to_arrow_type(kind)) for n in ("node", "component")])
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
 def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, list]:
     """Edges without nodes that have one neighbour on a side; components found on the way; and the steps, to put nodes back.
 

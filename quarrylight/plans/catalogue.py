@@ -311,7 +311,7 @@ _NPM = [
 def npm_ranges(spark, d):
     picked = F.element_at(F.array(*[F.lit(r) for r, _ in _NPM]), (F.floor(F.col("o_orderkey") / 7) % len(_NPM) + 1).cast("int"))
     rows = _versions(spark, d).withColumn("expression", picked)
-    return rows.select("o_orderkey", vs.npm_satisfies(vs.semver_key(F.col("version")), F.col("expression")).alias("matched"))
+    return advisories.satisfied(rows, "version", "expression").select("o_orderkey", "matched")
 
 
 #: A version's parts and what stands behind them (-1: rc, 0: nothing, 1: post), as a list that compares as versions do; and specifiers on it.
@@ -329,7 +329,7 @@ def pep440_specifiers(spark, d):
     version = F.concat(F.concat_ws(".", (o % 4).cast("string"), (F.col("o_custkey") % 3).cast("string"), (o % 5).cast("string")), tail)
     picked = F.element_at(F.array(*[F.lit(r) for r, _ in _PEP440]), (F.floor(o / 7) % len(_PEP440) + 1).cast("int"))
     rows = table(spark, d, "orders").select("o_orderkey", version.alias("version"), picked.alias("expression"))
-    return rows.select("o_orderkey", vs.pep440_satisfies(F.col("version"), F.col("expression")).alias("matched"))
+    return advisories.satisfied(rows, "version", "expression", python=True).select("o_orderkey", "matched")
 
 
 _ADVISORIES = [

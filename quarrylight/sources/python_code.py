@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.functions.text import fingerprint, normal_path
+from quarrylight.sources.shared import settled
 
 #: ``kind``: parsed, syntax_error, function, class, import or call. ``value``: complexity, methods or level. ``detail``: what the rules ask about.
 SCHEMA = T.StructType([
@@ -179,6 +180,7 @@ def findings(found: DataFrame) -> DataFrame:
     every rule is a condition on that one row. Repeated imports are the second and
     later rows of one module, name and alias in a file.
     """
+    found = settled(found, "facts")  # three readers, one parse
     known = found.join(_aliases(found), F.col("path") == F.col("of"), "left")
     name, detail = F.col("name"), F.col("detail")
     on, argument = detail["on"], detail["argument"]
@@ -264,6 +266,7 @@ def sarif(found: DataFrame) -> DataFrame:
 
     Results stay rows, so a report of any size is written by all tasks; ``sarif_report`` joins them where they are few.
     """
+    found = settled(found, "findings")
     indexed = found.join(F.broadcast(sarif_rules(found).select(F.col("rule_id").alias("id"), "rule_index")), F.col("rule_id") == F.col("id"))  # a row a rule
     region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"), F.greatest("line", "end_line").alias("endLine"))
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
@@ -274,6 +277,7 @@ def sarif(found: DataFrame) -> DataFrame:
 
 def sarif_report(found: DataFrame, of: Column, tool: str = "quarrylight") -> DataFrame:
     """owner and report: a whole SARIF log for each value of ``of`` (a Column over path, such as a repository), whose findings must fit a row."""
+    found = settled(found, "findings")
     listed = sarif_rules(found).select(F.col("rule_id").alias("id"), "rule", "rule_index")
     joined = sarif(found).join(F.broadcast(listed), F.col("rule_id") == F.col("id"))  # a row a rule
     # All logs list all rules, so that an index means the same rule in each.

@@ -60,7 +60,10 @@ def test_byte_parts_against_loop(spark):
         assert sorted(got[i]) == [tuple(p) for p in parts]
 
 
-def test_strong_components_against_closure(spark):
+@pytest.mark.parametrize("core", [0, 20, graph.CORE])
+def test_strong_components_against_closure(spark, monkeypatch, core):
+    """By rounds alone, by rounds down to a small rest, and in one task."""
+    monkeypatch.setattr(graph, "CORE", core)
     rng = random.Random(3)
     edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
     reach = {a: {b for x, b in edges if x == a} for a in range(30)}
@@ -158,8 +161,10 @@ def test_diffs_against_difflib(spark):
     assert got[100] == "" and got[101] is None and all(got[i] == w for i, w in want.items())
 
 
+@pytest.mark.parametrize("core", [0, graph.CORE])
 @pytest.mark.parametrize("edges, sizes", [([(i, i + 1) for i in range(2000)], []), ([(i, (i + 1) % 2000) for i in range(2000)], [2000]), ([(i, (i + 1) % 700) for i in range(700)] + [(i + 700, (i + 1) % 700 + 700) for i in range(700)] + [(5, 705), (9, 9)], [700, 700])])
-def test_strong_components_of_long_chains_and_cycles(spark, edges, sizes):
+def test_strong_components_of_long_chains_and_cycles(spark, monkeypatch, edges, sizes, core):
+    monkeypatch.setattr(graph, "CORE", core)
     got = graph.strong_components(spark.createDataFrame(edges, "source int, target int")).groupBy("component").count().collect()
     assert sorted(r["count"] for r in got) == sizes
 
