@@ -322,6 +322,18 @@ def test_losses_do_not_depend_on_how_targets_are_joined(spark, monkeypatch):
     assert few.keys() == many.keys() and all(math.isclose(few[i][c], many[i][c], rel_tol=1e-9, abs_tol=1e-12) for i in few for c in ("target_loss", "background_loss", "difference"))
 
 
+def test_losses_with_a_word_in_every_slice(spark, monkeypatch):
+    """Slices added up in groups first give the same counts, however few slices a group and n-grams a bucket has."""
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join(["the", *(rng.choice(["the", "a", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(30)))])) for i in range(400)]
+    docs, good = spark.createDataFrame(rows, "doc_id long, text string").repartition(40), spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id long")
+    told = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else -1 if x is None else x for x in r) for r in lm_scoring.cross_entropy_difference(docs, good).collect())
+    plain = told()
+    monkeypatch.setattr(lm_scoring, "SPREAD", 3)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 400)
+    assert told() == plain and len(plain) == 400
+
+
 def test_losses_of_more_words_than_slots(spark):
     """Words and pairs of a vocabulary beyond any fixed table are counted apart."""
     many = [f"w{i}" for i in range(100_000)]
