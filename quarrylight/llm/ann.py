@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,12 +19,12 @@ from quarrylight.llm.vectors import comparable, matrix
 #: Graph and classifier are fitted on so many vectors at most, the first by a hash of the id.
 SAMPLE = 8192
 NEIGHBOURS, HIDDEN = 10, 128
-#: Partitions: one for about so many rows, a power of two within these bounds.
+#: Partitions of one router: one for about so many rows, a power of two within these bounds. Of more rows each partition gets a router of its own.
 PART_ROWS, MIN_PARTS, MAX_PARTS = 16_384, 16, 256
-#: Recall that the probes must reach on sample queries that the fit did not train on.
+#: Recall that the probes must reach on sample queries that the fit did not train on; with two levels each must reach its root.
 GOAL = 0.94
-#: Rows and queries of a partition that meet in one task at a time.
-ROWS, QUERIES = 32_768, 2048
+#: Rows of a partition that are searched as one block.
+ROWS = 32_768
 
 
 def neighbour_graph(rows: np.ndarray, k: int) -> np.ndarray:
@@ -122,8 +123,9 @@ def train_router(rows: np.ndarray, share: np.ndarray, rng: np.random.Generator,
     return Router(*params, scale)
 
 
-def fit(rows: np.ndarray, parts: int, top: int, seed: int = 3) -> Router:
-    """A router for ``parts`` partitions, with probes that reach GOAL on held-out sample rows."""
+def fit(rows: np.ndarray, parts: int, top: int, seed: int = 3, goal: float | None = None) -> Router:
+    """A router for ``parts`` partitions, with probes that reach ``goal`` (GOAL) on held-out sample rows."""
+    goal = GOAL if goal is None else goal
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(rows))[: min(512, len(rows) // 8)]
     learned = np.delete(rows, held, axis=0) if len(held) else rows
@@ -141,13 +143,14 @@ def fit(rows: np.ndarray, parts: int, top: int, seed: int = 3) -> Router:
         truth = np.argpartition(-(rows[held] @ learned.T), top - 1, axis=1)[:, :top]
         needed = np.take_along_axis(rank, placed[truth], axis=1)
         found = np.array([(needed < p).mean() for p in range(1, parts + 1)])
-        router.probes = max(2, int(np.argmax(found >= GOAL)) + 1)
+        router.probes = max(2, int(np.argmax(found >= goal)) + 1)
     return router
 
 
-def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): each query's ``top`` best rows of a block, by score and then smaller id."""
-    out: list[list[np.ndarray]] = [[], [], []]
+def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, top: int, marks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(query, id, score) and the query's mark: each query's ``top`` best rows of a block, by score and then smaller id."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    marks = query_ids if marks is None else marks
     length = np.linalg.norm(rows, axis=1).max(initial=0)
     for at in range(0, len(queries), 128):
         q, own = queries[at : at + 128], query_ids[at : at + 128]
@@ -164,69 +167,169 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
             out[0].append(np.full(len(order), own[i]))
             out[1].append(ids[near][order])
             out[2].append(score[order])
+            out[3].append(np.full(len(order), marks[at + i]))
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
+@dataclass
+class Routers:
+    """A router, and for many rows one more for each of its partitions: partitions are numbered through."""
+
+    first: Router
+    parts: int
+    inner: dict[int, Router] | None = None
+    inner_parts: int = 1
+
+    def placed(self, rows: np.ndarray) -> np.ndarray:
+        """The likeliest partition of each row."""
+        part = self.first.logits(rows).argmax(1)
+        out = part * self.inner_parts
+        for p in np.unique(part) if self.inner else ():
+            mine = np.flatnonzero(part == p)
+            if p in self.inner:
+                out[mine] += self.inner[p].logits(rows[mine]).argmax(1)
+        return out.astype(np.int32)
+
+    def probed(self, row: np.ndarray, counts: np.ndarray, top: int) -> list[int]:
+        """The partitions that a query is sent to: the likeliest, as many as sufficed, and on until they hold more than ``top`` rows."""
+        order, out, held = np.argsort(-self.first.logits(row[None])[0], kind="stable"), [], 0
+        for n, p in enumerate(order):
+            if n >= self.first.probes and held > top:
+                break
+            router = self.inner.get(int(p)) if self.inner else None
+            inner = np.argsort(-router.logits(row[None])[0], kind="stable") if router else np.zeros(1, np.int64)
+            for m, q in enumerate(inner):
+                if router and m >= router.probes and held > top:
+                    break
+                part = int(p) * self.inner_parts + int(q)
+                if counts[part]:
+                    out.append(part)
+                    held += int(counts[part])
+        return out
+
+
+def learned(good: DataFrame, rows: int, width: int, top: int, seed: int) -> Routers:
+    """Routers fitted on bounded samples, the first rows by a hash of the id: one of all rows, and beyond MAX_PARTS partitions of PART_ROWS rows one of each partition, by tasks."""
+    spark = good.sparkSession
+    deep = rows > MAX_PARTS * PART_ROWS
+    goal = GOAL**0.5 if deep else GOAL
+    parts = 1 << max(MIN_PARTS, min(MAX_PARTS, rows // PART_ROWS)).bit_length() - 1
+    sample = good.select("id", "vector").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).toArrow()
+    routers = Routers(fit(matrix(sample["vector"], width), parts, top, seed, goal), parts)
+    if not deep:
+        return routers
+    each = rows // parts
+    routers.inner_parts = 1 << max(2, min(MAX_PARTS, each // PART_ROWS)).bit_length() - 1
+    sent, inner_parts = spark.sparkContext.broadcast(routers.first), routers.inner_parts
+    share = min(1.0, 4 * SAMPLE / max(each, 1))  # of a partition's rows; even one of a quarter of the mean fills its sample
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = sent.value.logits(matrix(batch.column("vector"), width)).argmax(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=[*batch.schema.names, "part"])
+
+    def train(table: pa.Table) -> pa.Table:
+        router = fit(matrix(table.sort_by([("h", "ascending"), ("id", "ascending")])["vector"], width), inner_parts, top, seed, goal)
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "router": [pickle.dumps(router)]})
+
+    some = good.select("id", "vector", F.xxhash64("id", F.lit(seed + 1)).alias("h")).filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
+    schema = T.StructType([*some.schema.fields, T.StructField("part", T.IntegerType())])
+    first = W.partitionBy("part").orderBy("h", "id")
+    kept = some.mapInArrow(place, schema).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE).drop("r")
+    # At most MAX_PARTS routers of (width + MAX_PARTS) * HIDDEN numbers.
+    made = kept.groupBy("part").applyInArrow(train, "part int, router binary").collect()
+    routers.inner = {r["part"]: pickle.loads(r["router"]) for r in made}
+    return routers
+
+
 def search(vectors: DataFrame, is_query: Column, top: int = 20, key: str = "vec_id", vector: str = "embedding", seed: int = 3) -> DataFrame:
     """query_id, rank, key, score: for each query row its ``top`` nearest other rows found, by inner product.
 
     Every row is put into the partition that the router finds likeliest; a query
     goes to its likeliest partitions, as many as the fit found sufficient, and on until they hold more than ``top``
     rows. There all rows are scored exactly in double precision. Partitions of
-    many rows or queries are cut into blocks, and each block returns ``top`` rows a
-    query.
+    many rows are cut into blocks; a task holds one copy of a block and its queries pass by in batches, and each block returns
+    ``top`` rows a query. Partitions grow in number with the rows, over two levels of routers.
 
     Rows whose vector is null, zero or not finite, or of another length than most,
-    and rows without a key take no part. A query's own row (equal key) is no
-    candidate; rows that repeat are candidates each. Ties go to the smaller key. A
+    and rows without a key take no part. Rows that repeat as a whole count once, as queries and as candidates; a query's own row (equal key) is no
+    candidate. Ties go to the smaller key. A very long list costs its length in every row; lists of the common length are read whole. A
     query with fewer candidates gets them all; an empty table gives no row. Other
     columns are not looked at.
     """
     spark = vectors.sparkSession
-    read = vectors.withColumn("asks", F.coalesce(is_query, F.lit(False))).select(F.col(key).alias("id"), F.col(vector).alias("vector"), "asks")
-    good = read.filter(F.col("id").isNotNull() & comparable("vector"))
+    read = vectors.withColumn("asks", F.coalesce(is_query, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), "asks")
+    good = settled(read.filter(F.col("id").isNotNull() & comparable("vector")).distinct(), "vectors")
     widths = good.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
     empty = spark.createDataFrame([], T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField(key, T.LongType()), T.StructField("score", T.DoubleType())]))
     if widths is None:
         return empty
     width, rows = widths["w"], widths["count"]
     good = good.filter(F.size("vector") == width)
-    parts = 1 << max(MIN_PARTS, min(MAX_PARTS, rows // PART_ROWS)).bit_length() - 1
-    sample = good.select("id", "vector").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).toArrow()
-    router = fit(matrix(sample["vector"], width), parts, top, seed)
-    sent = spark.sparkContext.broadcast(router)  # (width + partitions) * HIDDEN numbers
+    routers = learned(good, rows, width, top, seed)
+    sent = spark.sparkContext.broadcast(routers)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = sent.value.logits(matrix(batch.column("vector"), width))
-            likely = np.argsort(-logits, axis=1, kind="stable").astype(np.int32)
-            # Only queries need more than the likeliest partition.
-            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            ends = np.concatenate([[0], np.cumsum(np.where(asks, parts, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(likely[asks].ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(likely[:, 0]), lists], names=[*batch.schema.names, "part", "likely"])
-
-    schema = T.StructType([*good.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("likely", T.ArrayType(T.IntegerType()))])
-    placed = settled(good.mapInArrow(place, schema), "placed")
-    counts = dict.fromkeys(range(parts), 0) | {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    size = F.array(*[F.lit(counts[p]) for p in range(parts)])
-    upto = F.aggregate("likely", F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("rows")), lambda s, p: F.when((s["n"] < router.probes) | (s["rows"] <= top), F.struct((s["n"] + 1).alias("n"), (s["rows"] + F.element_at(size, p + 1)).cast("long").alias("rows"))).otherwise(s))
-    asked = placed.filter("asks").withColumn("part", F.explode(F.slice("likely", 1, upto["n"]))).select("id", "vector", "part")
-    calls = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
-    x_parts = F.element_at(F.array(*[F.lit(-(-counts[p] // ROWS)) for p in range(parts)]), F.col("part") + 1)
-    q_parts = F.element_at(F.array(*[F.lit(-(-calls.get(p, 0) // QUERIES)) for p in range(parts)]), F.col("part") + 1)
-    deal = lambda n: F.pmod(F.xxhash64("id", "vector"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = placed.filter(q_parts > 0).withColumn("x_part", deal(x_parts)).withColumn("q_part", every(q_parts)).select("part", "x_part", "q_part", "id", "vector")
-    asked = asked.filter(x_parts > 0).withColumn("q_part", deal(q_parts)).withColumn("x_part", every(x_parts))
-    group = ["part", "x_part", "q_part"]
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in (*group, "id", "vector")])
-
-    def run(block: pa.Table, queries: pa.Table) -> pa.Table:
-        q, i, s = best_in_block(matrix(queries["q_vector"], width), queries["q_id"].to_numpy(), matrix(block["vector"], width), block["id"].to_numpy(), top)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = held.groupBy(*group).cogroup(asked.groupBy(*[f"q_{c}" for c in group])).applyInArrow(run, "query_id long, id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+            part = sent.value.placed(matrix(batch.column("vector"), width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=[*batch.schema.names, "part"])
+
+    placed = settled(good.mapInArrow(place, T.StructType([*good.schema.fields, T.StructField("part", T.IntegerType())])), "placed")
+    counts = np.zeros(routers.parts * routers.inner_parts, np.int64)  # a number a partition
+    for r in placed.groupBy("part").count().collect():
+        counts[r["part"]] = r["count"]
+    cuts = np.maximum(1, -(-counts // ROWS))
+    starts = np.concatenate([[0], np.cumsum(cuts)])
+    blocks = int(starts[-1])
+    known = spark.sparkContext.broadcast((counts, cuts, starts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows to a block of their partition, by a hash."""
+        _, cuts, starts = known.value
+        for batch in batches:
+            part, mark = batch.column("part").to_numpy(), batch.column("uid").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((starts[part] + mark % cuts[part]).astype(np.int32)), *[batch.column(c) for c in ("asks", "uid", "id", "vector")]], names=["block", "asks", "uid", "id", "vector"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to all blocks of their partitions."""
+        counts, cuts, starts = known.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                own, block = [], []
+                for i, row in enumerate(matrix(some.column("vector"), width)):
+                    for p in sent.value.probed(row, counts, top):
+                        block += range(int(starts[p]), int(starts[p] + cuts[p]))
+                        own += [i] * int(cuts[p])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *[some.column(c).take(pa.array(own, pa.int64())) for c in ("asks", "uid", "id", "vector")]], names=["block", "asks", "uid", "id", "vector"])
+
+    kind = placed.schema["vector"].dataType.simpleString()
+    schema = f"block int, asks boolean, uid long, id long, vector {kind}"
+    named = placed.withColumn("uid", F.xxhash64("id", "vector"))
+    both = named.withColumn("asks", F.lit(False)).mapInArrow(deal, schema).unionByName(named.filter("asks").select("asks", "uid", "id", "vector").mapInArrow(send, schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted, a block's rows before its queries."""
+        now, held, ids, block = None, [], None, None
+        for batch in batches:
+            blocks, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (asks[1:] != asks[:-1])) + 1), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges, edges[1:], strict=False):
+                piece = batch.slice(a, b - a)
+                if blocks[a] != now:
+                    now, held, block = blocks[a], [], None
+                if not asks[a]:
+                    held.append(piece)
+                    continue
+                if block is None and held:
+                    rows = pa.Table.from_batches(held)
+                    held, ids, block = [], rows["id"].to_numpy(), matrix(rows["vector"], width)
+                if block is not None:
+                    uids = piece.column("uid").to_numpy()
+                    q, i, s, u = best_in_block(matrix(piece.column("vector"), width), piece.column("id").to_numpy(), block, ids, top, uids)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["uid", "query_id", "id", "score"])
+
+    found = both.repartition(blocks, "block").sortWithinPartitions("block", "asks").mapInArrow(run, "uid long, query_id long, id long, score double")
+    best = W.partitionBy("query_id", "uid").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

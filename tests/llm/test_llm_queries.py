@@ -155,3 +155,51 @@ def test_vectors_with_other_columns(spark):
     assert {r["query_id"] for r in near.collect()} == {0, 20, 40, 100}
     for op in (embedding_dedup.near_duplicates(vectors.limit(0)), ann.search(vectors.limit(0), F.lit(True))):
         assert op.count() == 0
+
+
+def recalled(vectors, got, top=20):
+    """The share of the true nearest rows that a search found, and whether each row's score and order are right."""
+    ids, rows = np.array([r["vec_id"] for r in vectors]), np.array([r["embedding"] for r in vectors], np.float64)
+    at, found, whole = {i: n for n, i in enumerate(ids.tolist())}, 0, 0
+    for query in {r["query_id"] for r in got}:
+        mine = sorted((r for r in got if r["query_id"] == query), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and len({r["vec_id"] for r in mine}) == len(mine)
+        assert all(abs(r["score"] - rows[at[r["vec_id"]]] @ rows[at[query]]) < 1e-12 for r in mine)
+        assert [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
+        scores = rows @ rows[at[query]]
+        scores[at[query]] = -np.inf
+        best = set(ids[np.lexsort((ids, -scores))[:top]].tolist())
+        found, whole = found + len(best & {r["vec_id"] for r in mine}), whole + len(best)
+    return found / whole
+
+
+@pytest.mark.parametrize("where", [DIR, LARGER, "/root/testdata/sf0.1"])
+def test_neighbours_query(spark, where):
+    """The query against all pairs, at three sizes."""
+    rows = table(spark, where, "embeddings").collect()
+    got = queries.op3_nearest_neighbours(spark, where).collect()
+    assert {r["query_id"] for r in got} == {r["vec_id"] for r in rows if r["vec_id"] % 20 == 0} and len(got) == 20 * len({r["query_id"] for r in got})
+    assert recalled(rows, got) >= 0.9
+
+
+def test_neighbours_of_two_levels(spark, monkeypatch):
+    """Partitions with routers of their own: each query still finds what it should."""
+    monkeypatch.setattr(ann, "PART_ROWS", 40)
+    monkeypatch.setattr(ann, "MAX_PARTS", 16)
+    monkeypatch.setattr(ann, "ROWS", 50)
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    got = ann.search(vectors, F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 20 * 100 and recalled(vectors.collect(), got) >= 0.9
+
+
+def test_neighbours_of_repeated_rows(spark, tmp_path):
+    """A query that stands twice has each neighbour once; one id with two vectors asks with both."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist(), 1) for i in range(61)]
+    rows += [rows[20], rows[20], rows[5], rows[5], (40, rng.normal(size=6).tolist(), 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op3_nearest_neighbours(spark, str(tmp_path)).collect()
+    of = {q: [r for r in got if r["query_id"] == q] for q in (0, 20, 40, 60)}
+    assert [len(of[q]) for q in (0, 20, 40, 60)] == [20, 20, 40, 20]
+    assert all(len({r["vec_id"] for r in of[q]}) == 20 - (q != 40 and sum(r["vec_id"] == 40 for r in of[q]) == 2) for q in (0, 20, 60))
+    assert sorted(r["rank"] for r in of[20]) == list(range(1, 21)) and not any(r["vec_id"] == 20 for r in of[20])
