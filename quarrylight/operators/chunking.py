@@ -127,13 +127,13 @@ def _parts(lines: Column, most: int) -> Column:
     return F.when(F.octet_length(F.array_join(lines, "\n")) <= most, whole).otherwise(spans(F.aggregate(sizes, start, step)))
 
 
-def index_run(files: DataFrame, snapshot: str, dimension: int = 64) -> DataFrame:
+def index_run(files: DataFrame, snapshot: str, dimension: int = 64, most: int | None = 500) -> DataFrame:
     """Chunks to search: those of files that are neither binary nor secret, with fingerprints and feature-hash vectors.
 
-    ``files``: path, language, is_binary, content.
+    ``files``: path, language, is_binary, content. ``most``: chunks of a file, None for all.
     """
     fit = files.filter(~F.coalesce("is_binary", F.lit(False)) & ~fl.secret(F.col("path")))
-    chunks = settled(chunk_files(fit.select("path", "language", "content")), "chunks")
+    chunks = settled(chunk_files(fit.select("path", "language", "content"), most=most), "chunks")
     print_ = fingerprint(F.lit(snapshot), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("content_hash"))
     vectors = hash_vectors(chunks, ["path", "chunk_index"], "content", dimension)
     return chunks.withColumn("fingerprint", print_).join(vectors, ["path", "chunk_index"])

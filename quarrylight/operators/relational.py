@@ -17,6 +17,15 @@ def paged(df: DataFrame, order: list[Column | str], number: int, size: int) -> D
     return page(df, order, number, size).join(F.broadcast(total))  # one row
 
 
+def listed(df: DataFrame, wanted: dict[str, object], order: list[Column | str], number: int, size: int) -> DataFrame:
+    """A page of the rows that have all wanted values, with ``total``; a value None asks for nothing."""
+    kept = df
+    for column, value in wanted.items():
+        if value is not None:
+            kept = kept.filter(F.col(column) == F.lit(value))
+    return paged(kept, order, number, size)
+
+
 def flagged(df: DataFrame, column: str, wanted: bool | None) -> DataFrame:
     """Rows whose flag is as wanted; all of them if nothing is."""
     return df if wanted is None else df.filter(F.col(column) == wanted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -174,3 +175,33 @@ def capabilities(chunks: DataFrame, vector: str) -> DataFrame:
     n, with_vector = F.count(F.lit(1)), F.count_if(F.size(F.coalesce(F.col(vector), F.array())) > 0)
     seen = chunks.agg(n.alias("chunks"), with_vector.alias("vectors"))
     return seen.select("chunks", "vectors", (F.col("chunks") > 0).alias("lexical"), (F.col("vectors") > 0).alias("semantic"), F.when(F.col("chunks") == 0, "NOT_INDEXED").when(F.col("vectors") > 0, "HYBRID").otherwise("LEXICAL").alias("status"))
+
+
+@dataclass
+class Answer:
+    """``results``: key, rank, score, mode; ``report``: one row with mode_requested, mode_used, status, results, warning."""
+
+    results: DataFrame
+    report: DataFrame
+
+
+def by_mode(mode: str, chunks: DataFrame, vector: str, lexical: DataFrame, semantic: DataFrame, key: str, limit: int) -> Answer:
+    """A search in the mode that is asked for, and an honest word on which one answered.
+
+    ``lexical`` and ``semantic``: ranked lists (key, rank, score), to twice ``limit``; ``chunks``: what is indexed, with its column of vectors. Modes are lexical,
+    semantic and hybrid; any other is lexical. Semantic search without vectors has no result and says so, it never passes lexical hits off as its own; hybrid
+    search without vectors is named lexical_fallback. Without any chunk all modes keep their name and have no result.
+    """
+    asked = mode.strip().lower()
+    asked = asked if asked in ("lexical", "semantic", "hybrid") else "lexical"
+    seen = capabilities(chunks, vector)
+    able = F.broadcast(seen.select(F.col("semantic").alias("__semantic"), F.col("lexical").alias("__lexical")))  # one row
+    if asked == "hybrid":
+        results = hybrid(lexical.join(able).filter("__lexical").select(key, "rank", "score"), semantic.join(able).filter("__semantic").select(key, "rank", "score"), key, limit)
+    else:
+        listed, need = (lexical, "__lexical") if asked == "lexical" else (semantic, "__semantic")
+        results = listed.filter(F.col("rank") <= limit).join(able).filter(need).select(key, "rank", "score", F.lit(asked).alias("mode"))
+    used = F.when((F.lit(asked) == "hybrid") & F.col("lexical") & ~F.col("semantic"), "lexical_fallback").otherwise(asked)
+    warning = F.when(~F.col("lexical"), "nothing is indexed").when((F.lit(asked) != "lexical") & ~F.col("semantic"), "no chunk has a vector")
+    count = F.broadcast(results.agg(F.count(F.lit(1)).alias("results")))  # one row
+    return Answer(results, seen.join(count).select(F.lit(mode).alias("mode_requested"), used.alias("mode_used"), "status", "results", warning.alias("warning")))

@@ -530,4 +530,4 @@ def _proposals(spark, d) -> DataFrame:
     )
 
 
-from quarrylight.plans import code_catalogue, state_catalogue, store_catalogue  # noqa: E402, F401
+from quarrylight.plans import code_catalogue, search_catalogue, state_catalogue, store_catalogue  # noqa: E402, F401

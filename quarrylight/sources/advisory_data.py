@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import moment, number, package_name
+from quarrylight.sources import journal
 
 EVENT = "struct<introduced:string,fixed:string,last_affected:string,limit:string>"
 RANGE = f"struct<spec:string,events:array<{EVENT}>>"
@@ -48,12 +50,13 @@ def accepted(told: DataFrame) -> DataFrame:
     return told.filter("problem IS NULL").drop("problem", "turn")
 
 
-def swap(advisories: DataFrame, base: str, version: str) -> DataFrame:
-    """Stages ``advisories`` as a set of its own under ``base`` and makes it the current one; one row with version, records and state.
+def swap(advisories: DataFrame, base: str, version: str, expected: int | None = None) -> DataFrame:
+    """Stages ``advisories`` as a set of its own under ``base`` and makes it the current one; the rows of ``status``.
 
-    The set is complete before one small file names it, and that file is the last
-    thing written, so readers see the old set or the new. What failed on the way
-    leaves the old set in place; old sets stay for those who still read them.
+    The set is complete before an entry of a numbered log names it, and that entry is the last
+    thing written, so readers see the old set or the new. Two swaps at once get two numbers, and the higher
+    one is in place whatever their clocks say; with ``expected``, the number of the set that the new one was made from, the later of the two fails instead.
+    What failed on the way leaves the old set in place; old sets stay for those who still read them.
     """
     if not version.strip():
         raise ValueError("a set of advisories needs a version")
@@ -61,17 +64,17 @@ def swap(advisories: DataFrame, base: str, version: str) -> DataFrame:
     path = f"{base}/sets/{uuid.uuid4().hex}"
     advisories.write.parquet(path)
     records = spark.read.parquet(path).count()
-    log = spark.createDataFrame([(version.strip(), path, records)], "version string, path string, records long").withColumn("since", F.current_timestamp())
-    log.coalesce(1).write.mode("append").parquet(f"{base}/log")
+    since = datetime.now(timezone.utc).isoformat()
+    journal.append(spark, f"{base}/log", {"version": version.strip(), "path": path, "records": records, "since": since}, expected)
     return status(spark, base)
 
 
 def status(spark: SparkSession, base: str) -> DataFrame:
-    """version, path, records, since, state of all sets that were ever in place; the last is active, those before it superseded."""
-    log = spark.read.parquet(f"{base}/log")
-    last = log.agg(F.max(F.struct("since", "path")).alias("__last"))
-    state = F.when(F.struct("since", "path") == F.col("__last"), "active").otherwise("superseded")
-    return log.join(F.broadcast(last)).select("version", "path", "records", "since", state.alias("state"))  # one row
+    """number, version, path, records, since, state of all sets that were ever in place; the last number is active, those before it superseded."""
+    log = journal.entries(spark, f"{base}/log", "number long, version string, path string, records long, since timestamp")
+    last = log.agg(F.max("number").alias("__last"))
+    state = F.when(F.col("number") == F.col("__last"), "active").otherwise("superseded")
+    return log.join(F.broadcast(last)).select("number", "version", "path", "records", "since", state.alias("state"))  # one row
 
 
 def current(spark: SparkSession, base: str) -> DataFrame:
