@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from quarrylight.functions.text import words
 from quarrylight.operators import audit, graph, health, metrics, relational, retrieval
 from quarrylight.plans.catalogue import _EDGES, _edges
-from quarrylight.plans.registry import query, table, values
+from quarrylight.plans.registry import ORACLES, query, table, values
 from quarrylight.sources import policies
+from quarrylight.sources.shared import shared_dir
+from quarrylight.streaming import tasks
 
 # --- module graphs -------------------------------------------------------------------------------
 
@@ -273,6 +276,19 @@ def task_states(spark, d):
     return metrics.tasks(table(spark, d, "events").select("user_id", state.alias("state"), "event_id"), "user_id", "state", ["event_id"])
 
 
+@query(ORACLES["task_states"])
+def task_states_stream(spark, d):
+    """The same from a stream that delivers the log out of order, a few files a batch."""
+    base = f"{shared_dir(spark)}/tasks-{uuid.uuid4().hex}"
+    e = F.col("event_type")
+    state = F.when(e == "signup", "pending").when(e.isin("view", "click"), "running").when(e == "purchase", "completed").otherwise("failed")
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("task"), state.alias("state"), F.col("event_id").alias("at"), F.col("ts").cast("timestamp").alias("ts"))
+    rows.repartition(6, F.xxhash64("at")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    tasks.start(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return tasks.latest(spark.read.parquet(f"{base}/out")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- search --------------------------------------------------------------------------------------
 
 _TOKENS = r"""list_concat(list_concat([lower(w)], CASE WHEN contains(w, '_') THEN list_filter(string_split(lower(w), '_'), lambda p: p <> '') ELSE [] END), list_concat(
