@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import settled
+from quarrylight.sources.shared import dropped
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
 
     Alternating large and small stars (Kiveris and others, 2014) end in one star
     per component after about log(n) rounds. Each round is written to the shared
-    folder, so lost executors cost one round, and only a count and a checksum of
+    folder, so lost executors cost one round, and the round before goes; only a count and a checksum of
     the edges come to the driver. Loops are ignored; nodes without an edge do not
     appear.
     """
@@ -39,7 +40,8 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     before = None
     for _ in range(max_rounds):
-        stars = settled(_small_star(_large_star(stars)), "stars")
+        last, stars = stars, settled(_small_star(_large_star(stars)), "stars")
+        dropped(last)
         now = tuple(stars.agg(F.count(F.lit(1)), mark).first())
         if now == before:
             break

@@ -158,14 +158,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[np.ndarray, int]:
-    """64-bit hashes of a text's shingles, repeats included, and one of its whole sequence of words."""
+def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[np.ndarray, bytes]:
+    """64-bit hashes of a text's shingles, repeats included, and one of 128 bits of its whole sequence of words; empty without a word."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, np.uint64), 0
+        return np.zeros(0, np.uint64), b""
     known = {w: xxhash.xxh64_intdigest(w, seed) for w in set(words)}
     one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    whole = xxhash.xxh64_intdigest(b" ".join(words), seed)
+    whole = xxhash.xxh3_128_digest(b" ".join(words), seed)
     n, width = max(1, len(words) - shingle + 1), min(shingle, len(words))
     made = np.full(n, width, np.uint64)
     with np.errstate(over="ignore"):
@@ -207,11 +207,11 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
                     for k in range(1, BLOCK):
                         joined = _mixed(joined) + keys[:, k]
                 blocks.append(joined.view(np.int64).tolist() if whole else [])
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (digests, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(blocks, pa.list_(pa.int64())), pa.array(symbols, pa.binary())], names=["key", "print", "digest", "simhash", "blocks", "symbols"])
+            hashes = pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), hashes, pa.array(blocks, pa.list_(pa.int64())), pa.array(symbols, pa.binary())], names=["key", "print", "digest", "simhash", "blocks", "symbols"])
 
     key = T.StructField("key", docs.schema["key"].dataType)
-    return docs.select("key", "text", "print").mapInArrow(run, T.StructType([key, *[T.StructField(c, T.LongType()) for c in ("print", "digest", "simhash")], T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("symbols", T.BinaryType())]))
+    return docs.select("key", "text", "print").mapInArrow(run, T.StructType([key, T.StructField("print", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("simhash", T.LongType()), T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("symbols", T.BinaryType())]))
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def _alike(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
                 chosen.append(shared >= least * (len(own) + len(of_hub) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["left", "right"]).filter(pa.array(chosen, pa.bool_()))
 
-    return both.select("left", "right", "a", "b").mapInArrow(run, "left long, right long")
+    return both.select("left", "right", "a", "b").mapInArrow(run, "left binary, right binary")
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -282,7 +282,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
     shares most blocks, and where some differ, with another, HUBS times in all. How
     many symbols agree says which texts are worth reading.
 
-    Equal sequences of words are one class from the start; texts without a word are
+    Equal sequences of words, told apart by 128 bits, are one class from the start; texts without a word are
     one group. Null keys come last among equals. Repeated rows are rows of one
     group. A very long text is held whole in one task. An empty table gives no row.
     Other columns are not looked at.
