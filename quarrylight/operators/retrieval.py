@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import code_tokens
+from quarrylight.functions.text import CAMEL_PART, CODE_WORD, code_tokens
 from quarrylight.functions.vectors import shifted_cosine
 from quarrylight.sources.shared import settled
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Different tokens that a task remembers at a time.
+MOST_KNOWN = 1 << 19
+_WORD, _CAMEL = re.compile(CODE_WORD), re.compile(CAMEL_PART)
 LEAST_SCORE, LEAST_SIMILARITY = 0.001, 0.1
 
 
@@ -71,10 +76,9 @@ def _part(tf: Column, df: Column, length: Column) -> Column:
 
 
 def index(docs: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """An index to keep: (key, term, tf) and (key, len), for many queries over one corpus.
+    """An index for several queries of one run: (key, term, tf) and (key, len). ``kept_index`` writes one that lasts.
 
-    Occurrences are counted per row and term before the shuffle. Written sorted by
-    term, a query's terms are found by the files' statistics, and no text is read again.
+    Occurrences are counted per row and term before the shuffle.
     """
     read = docs.select(key, F.explode(tokens).alias("term"))
     postings = read.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -108,8 +112,10 @@ def code_search(chunks: DataFrame, query: str, key: str, where: Column | None =
     wanted = query_tokens(chunks.sparkSession, query)
     whole = F.concat_ws(" ", F.coalesce("symbol_name", F.lit("")), "file_name", "relative_path", "content")
     bonus = ladder(F.col("symbol_name"), query, wanted, 4.0, 3.0, 2.0) + ladder(F.col("file_name"), query, wanted, 3.0, 2.0, 1.5)
-    counted, terms = counts(chunks.withColumn("__whole", whole), wanted, key, "__whole", where, bonus, code_tokens)
-    small = settled(counted, "bm25")
+    terms = list(dict.fromkeys(wanted))
+    scored = (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("__scored")
+    read = chunks.select(key, code_counts(whole, terms).alias("__c"), scored, bonus.cast("double").alias("__bonus"))
+    small = settled(read.select(key, F.col("__c.len").alias("__len"), *[F.col("__c.times")[i].alias(f"__tf{i}") for i in range(len(terms))], "__scored", "__bonus"), "bm25")
     stats = small.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
     score = F.col("__bonus")
     for i, t in enumerate(terms):
@@ -118,6 +124,57 @@ def code_search(chunks: DataFrame, query: str, key: str, where: Column | None =
     return small.filter("__scored").join(F.broadcast(stats)).select(key, score.alias("raw_score")).filter(F.col("raw_score") > LEAST_SCORE)  # one row
 
 
+def expansions(token: str) -> list[str]:
+    """What ``code_tokens`` makes of one token, for tasks that meet each different token once."""
+    low = token.lower()
+    snake = [p for p in low.split("_") if p] if "_" in token else []
+    camel = [p.lower() for p in _CAMEL.findall(token)]
+    roots: list[str] = []
+    if len(low) > 4:
+        if low.endswith("ation"):
+            roots = [low[:-5], low[:-5] + "ate"]
+        elif low.endswith("ing") and len(low) > 5:
+            roots = [low[:-3]]
+        elif low.endswith("ed"):
+            roots = [low[:-2], low[:-1]]
+        elif low.endswith("es"):
+            roots = [low[:-2]]
+        elif low.endswith("s") and not low.endswith("ss"):
+            roots = [low[:-1]]
+    return [low, *snake, *(camel if len(camel) > 1 else []), *roots]
+
+
+def code_counts(text: Column, terms: list[str]) -> Column:
+    """A struct of how many code tokens a text has, and how many of each term.
+
+    An expression on arrays would take every occurrence apart again; here a batch takes each different token apart once, and
+    occurrences are looked up. Null counts as empty.
+    """
+    kind = "struct<len:bigint,times:array<bigint>>"
+
+    @F.arrow_udf(kind)
+    def count(texts: pa.Array) -> pa.Array:
+        known: dict[str, tuple[int, list[int]]] = {}
+        lengths, times = [], []
+        for value in texts:
+            total, found = 0, [0] * len(terms)
+            for token, n in Counter(_WORD.findall(value.as_py() or "")).items():
+                told = known.get(token)
+                if told is None:
+                    if len(known) >= MOST_KNOWN:
+                        known.clear()
+                    made = expansions(token)
+                    told = known[token] = (len(made), [i for t in made for i, term in enumerate(terms) if t == term])
+                total += n * told[0]
+                for i in told[1]:
+                    found[i] += n
+            lengths.append(total)
+            times.append(found)
+        return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array(times, pa.list_(pa.int64()))], names=["len", "times"])
+
+    return count(text)
+
+
 def query_tokens(spark: SparkSession, query: str) -> list[str]:
     """A query's code tokens, by the same expression as the corpus's."""
     return spark.range(1).select(code_tokens(F.lit(query))).first()[0]

@@ -7,8 +7,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import words
-from quarrylight.operators import chunking, increments, kept_index
+from quarrylight.functions.text import code_tokens, words
+from quarrylight.operators import chunking, increments, kept_index, retrieval
 from quarrylight.sources import advisory_data, journal
 
 
@@ -92,3 +92,21 @@ def test_a_swap_that_lost_is_refused(spark, tmp_path):
     with pytest.raises(RuntimeError, match="came after"):
         advisory_data.swap(rows, base, "3", expected=1)
     assert advisory_data.current(spark, base).count() == 1
+
+
+def test_code_counts(spark):
+    """Counted by token or by occurrence, texts have the same code tokens."""
+    rng = random.Random(11)
+    parts = ["web", "Thing", "HTTP", "server", "ing", "ation", "ed", "es", "s", "ss", "_", "__", "2", "X", "getXMLHttp", "caches", "created", "classes", "é", " ", "-"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(300)] + ["", None, "creation passing beds"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    terms = ["web", "thing", "create", "http", "class", "get", "xml", "2", "pass", "none"]
+    of = F.col("found")
+    want = frame.select("t", code_tokens(F.col("t")).alias("found")).select("t", F.size(of).cast("long").alias("n"), F.array(*[F.size(F.array_compact(F.transform(of, _same(q)))).cast("long") for q in terms]).alias("times"))
+    got = frame.select("t", retrieval.code_counts(F.col("t"), terms).alias("c")).select("t", "c.len", "c.times")
+    key = lambda r: (r[0] is not None, r[0] or "", r[1])
+    assert [tuple(r) for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(want.collect(), key=key)]
+
+
+def _same(term):
+    return lambda x: F.when(x == term, x)
