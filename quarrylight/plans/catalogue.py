@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as tx
 from quarrylight.functions import versions as vs
-from quarrylight.operators import advisories, answers, chunking, graph, health, imports, metrics, relational, remediation, retrieval
+from quarrylight.operators import advisories, answers, chunking, graph, health, imports, metrics, relational, remediation, retrieval, sweeps
 from quarrylight.sources import advisory_data
 from quarrylight.sources.shared import shared_dir
 from quarrylight.plans.registry import ORACLES, QUERIES, query, table, values  # noqa: F401
@@ -283,9 +283,10 @@ def _versions(spark, d) -> DataFrame:
 
 @query(_VERSIONED + " SELECT o_orderkey, version, dense_rank() OVER (ORDER BY k)::INT AS rank FROM v")
 def semver_match(spark, d):
-    """The rank of every row's version among all versions; different versions alone are sorted."""
+    """The rank of every row's version among all versions; different versions alone are sorted, as bytes, over all tasks."""
     rows = _versions(spark, d)
-    ranks = rows.select("version").distinct().select(F.col("version").alias("v"), F.row_number().over(W.orderBy(vs.semver_key(F.col("version")))).alias("rank"))
+    keys = rows.select("version").distinct().select(F.col("version").alias("v"), vs.semver_bytes(vs.semver_key(F.col("version"))).alias("k"))
+    ranks = sweeps.ranked(keys, [], ["k"]).select("v", (F.col("rank") + 1).cast("int").alias("rank"))
     return rows.join(ranks, F.col("version") == F.col("v")).select("o_orderkey", "version", "rank")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import words
-from quarrylight.operators import audit, graph, health, metrics, relational, retrieval
+from quarrylight.operators import audit, graph, health, metrics, relational, retrieval, sweeps
 from quarrylight.plans.catalogue import _EDGES, _edges
 from quarrylight.plans.registry import ORACLES, query, table, values
 from quarrylight.sources import policies
@@ -60,7 +60,8 @@ def module_metrics(spark, d):
 def module_listing(spark, d):
     """Modules by a part of their name, least stable first."""
     listed = graph.module_list(_metrics(spark, d), " _1", "instability")
-    return listed.select("module", "ca", "ce", F.row_number().over(W.orderBy(F.col("instability").desc_nulls_last(), "module")).alias("turn"))
+    turns = sweeps.ranked(listed.withColumn("down", F.coalesce(-F.col("instability"), F.lit(1.0))), [], ["down", "module"])
+    return turns.select("module", "ca", "ce", (F.col("rank") + 1).cast("int").alias("turn")).orderBy("turn")
 
 
 @query(_MODULES + "SELECT 'ca' AS side, module, ca AS n FROM (SELECT * FROM b ORDER BY ca DESC, module LIMIT 10) WHERE ca > 0 UNION ALL SELECT 'ce', module, ce FROM (SELECT * FROM b ORDER BY ce DESC, module LIMIT 10) WHERE ce > 0")

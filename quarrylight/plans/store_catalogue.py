@@ -142,7 +142,7 @@ def group_ranks(spark, d):
 
 @query("""WITH v AS (SELECT DISTINCT o_orderkey % 200 AS package, o_orderkey % 4 || '.' || o_custkey % 3 || '.' || o_orderkey % 5 || CASE WHEN o_orderkey % 6 = 0 THEN '-rc.' || o_custkey % 12 ELSE '' END AS version,
   [o_orderkey % 4, o_custkey % 3, o_orderkey % 5, CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE 1 END, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey % 12 ELSE 0 END]::BIGINT[] AS k FROM orders),
-r AS (SELECT p_partkey, p_partkey % 200 AS package, CASE WHEN p_size % 5 > 0 THEN [p_size % 3, p_size % 2, 0, 1, 0]::BIGINT[] END AS lo, CASE WHEN p_size % 7 > 0 THEN [p_size % 3 + 1, p_size % 4, p_size % 5, p_size % 2, 0]::BIGINT[] END AS hi, p_size % 2 = 0 AS closed FROM part)
+r AS (SELECT p_partkey, p_partkey % 200 AS package, CASE WHEN p_size % 5 > 0 THEN [p_size % 3, p_size % 2, 0, 1, 0]::BIGINT[] END AS lo, CASE WHEN p_size % 7 > 0 THEN [p_size % 3 + 1, p_size % 4, p_size % 5, p_size % 2, p_size % 2 - 1]::BIGINT[] END AS hi, p_size % 2 = 0 AS closed FROM part)
 SELECT package::BIGINT AS package, version, p_partkey FROM v JOIN r USING (package) WHERE (lo IS NULL OR k >= lo) AND (hi IS NULL OR k < hi OR (closed AND k = hi))""")
 def version_ranges(spark, d):
     """Every version of a package with the advisories of that package whose range holds it; versions are read once each, and compared as bytes."""
