@@ -25,7 +25,8 @@ SCHEMA = "path string, ecosystem string, package string, constraint string, reso
 DEPTH = 5
 _PIN = re.compile(r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?\s*(\(?[^;#@()]*\)?)\s*(?:;\s*(.+))?$")
 _SPEC = re.compile(r"(?:===|==|~=|!=|<=|>=|<|>)\s*[^\s,;]+")
-_OPTION = re.compile(r"(-i|--index-url|--extra-index-url|-f|--find-links|--trusted-host|--no-index)")
+# Lines that begin with these set options and require nothing.
+OPTIONS = ("-i", "--index-url", "--extra-index-url", "-f", "--find-links", "--trusted-host", "--no-index")
 _URLS = ("git+", "http://", "https://", "svn+", "hg+")
 
 
@@ -69,7 +70,7 @@ def requirements(text: str, path: str = "requirements.txt") -> Iterator[tuple]:
         joined.append((first, current.strip()))
     egg = re.compile(r"#egg=([a-zA-Z0-9_\-.]+)")
     for n, line in joined:
-        if not line or line.startswith("#") or _OPTION.match(line):
+        if not line or line.startswith("#") or line.startswith(OPTIONS):
             continue
         if m := re.match(r"(?:-r|--requirement)\s+([^\s#]+)", line):
             target = posixpath.normpath(posixpath.join(posixpath.dirname(path), m[1]))
