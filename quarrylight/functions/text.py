@@ -55,15 +55,27 @@ def code_tokens(text: Column) -> Column:
     return F.flatten(F.transform(raw, expand))
 
 
+def hash_head(token: Column) -> Column:
+    """The first 32 bits of a token's SHA-256 as a number; take it once where bucket and sign are both asked for."""
+    return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long")
+
+
+def bucket_of(head: Column, width: int) -> Column:
+    """Bucket of a token in a feature-hash vector: its ``hash_head`` modulo the width."""
+    return (head % width).cast("int")
+
+
+def sign_of(head: Column) -> Column:
+    """+1 or -1 by the second bit of a ``hash_head``."""
+    return F.when(F.shiftright(head, 1).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
+
+
 def hash_bucket(token: Column, width: int) -> Column:
-    """Bucket of a token in a feature-hash vector: its SHA-256's first 32 bits modulo the width."""
-    return (F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % width).cast("int")
+    return bucket_of(hash_head(token), width)
 
 
 def hash_sign(token: Column) -> Column:
-    """+1 or -1 by the second bit of those 32."""
-    head = F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long")
-    return F.when(F.shiftright(head, 1).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
+    return sign_of(hash_head(token))
 
 
 def redacted(text: Column) -> Column:

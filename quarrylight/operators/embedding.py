@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import hash_bucket, hash_sign
+from quarrylight.functions.text import bucket_of, hash_head, sign_of
 
 #: Unicode word characters.
 WORD = r"(?U)\w+"
@@ -17,7 +17,8 @@ def hash_buckets(rows: DataFrame, key: list[str], text: str, dimension: int = 64
     A row's words are counted before any is hashed.
     """
     words = rows.select(*key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("n"))
-    values = words.groupBy(*key, hash_bucket(F.col("w"), dimension).alias("bucket")).agg(F.sum(hash_sign(F.col("w")) * F.col("n")).alias("value"))
+    hashed = words.withColumn("__h", hash_head(F.col("w")))
+    values = hashed.groupBy(*key, bucket_of(F.col("__h"), dimension).alias("bucket")).agg(F.sum(sign_of(F.col("__h")) * F.col("n")).alias("value"))
     norms = values.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("__norm"))
     same = [values[k].eqNullSafe(norms[f"__{k}"]) for k in key]
     joined = values.join(norms, same)

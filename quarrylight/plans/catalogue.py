@@ -99,8 +99,8 @@ SELECT doc_id, (h % 64)::INT AS bucket, sum(CASE WHEN (h >> 1) & 1 = 0 THEN n EL
 def feature_hash_buckets(spark, d):
     """Word counts hashed to 64 signed buckets; a document's words are counted before they are hashed."""
     counts = table(spark, d, "documents").select("doc_id", F.explode(tx.words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    signed = F.sum(tx.hash_sign(F.col("w")).cast("long") * F.col("n"))
-    return counts.groupBy("doc_id", tx.hash_bucket(F.col("w"), 64).alias("bucket")).agg(signed.alias("value"))
+    signed = F.sum(tx.sign_of(F.col("h")).cast("long") * F.col("n"))
+    return counts.withColumn("h", tx.hash_head(F.col("w"))).groupBy("doc_id", tx.bucket_of(F.col("h"), 64).alias("bucket")).agg(signed.alias("value"))
 
 
 _CITE = "source || '/' || doc_id"
