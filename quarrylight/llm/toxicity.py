@@ -106,19 +106,28 @@ def train(texts: pa.Array | pa.ChunkedArray | list[str], toxic: np.ndarray, prio
     base = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), base)
-    words, codes, offsets = word_codes(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()))
-    real = np.array([bool(bare(w)) for w in words], bool)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))[real[codes]]
-    sizes = np.bincount(doc, minlength=len(texts)) + PRIOR_WORDS
-    pairs, times = np.unique(doc * np.int64(len(words)) + codes[real[codes]], return_counts=True)
-    doc, word = pairs // len(words), pairs % len(words)
+    read = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string())
+    known: dict[str, int] = {}
+    parts, sizes, at = [], np.full(len(read), PRIOR_WORDS), 0
+    for piece in slices([pa.record_batch([read], names=["text"])]):  # a slice's words are held at a time
+        found, codes, offsets = word_codes(piece.column("text"))
+        of = np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found))
+        real = np.array([bool(bare(w)) for w in found], bool)[codes]
+        doc = np.repeat(np.arange(at, at + len(piece)), np.diff(offsets))[real]
+        sizes[at : at + len(piece)] += np.bincount(doc - at, minlength=len(piece))
+        pairs, times = np.unique(doc << 32 | of[codes[real]], return_counts=True)
+        parts.append((pairs, times.astype(np.int32)))
+        at += len(piece)
+    words = list(known)
+    pairs, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    doc, word = pairs >> 32, pairs & 0xFFFFFFFF
     # A word of one document only teaches nothing about others. Subwords are made for the rest alone.
     common = np.bincount(word, minlength=len(words)) > 1
     doc, word, share = (x[common[word]] for x in (doc, word, times / sizes[doc]))
     word = (np.cumsum(common) - 1)[word]
     buckets, spans = subwords([w for w, c in zip(words, common, strict=True) if c])
     counts = np.diff(spans)
-    del words, codes, pairs, times
+    del words, known, parts, pairs, times
     by_word = 1 / np.maximum(counts, 1)
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     rng = np.random.default_rng(seed)
