@@ -22,6 +22,10 @@ TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[
 #: A template's own text, up to its end or to code inside it.
 TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
 PATTERN = re.compile(r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: An element of markup where a value may begin; its own end, or its closing tag, must follow. A tag's parts, and an element's text.
+ELEMENT = re.compile(r"<(?:([A-Za-z][\w$.:-]*)(?=[\s/>])|(?=>))")
+IN_TAG = re.compile(r"/\s*>|[>{]|\"[^\"]*\"?|'[^']*'?")
+CHILDREN = re.compile(r"[^<{]*")
 #: Behind these words, and behind the brackets of those, a slash begins a pattern.
 BEFORE_PATTERN = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
 HEADS = frozenset("if while for with".split())
@@ -46,7 +50,8 @@ def blanked(text: str) -> str:
     """The code alone: comments and patterns are spaces, texts keep their quotes around spaces, lines and places stay.
 
     A scan with a stack: a template whose text holds code becomes spaces, with each
-    piece of its code in round brackets, so what stands there is seen as code, templates in it too. A slash begins a
+    piece of its code in round brackets, so what stands there is seen as code, templates in it too. Markup keeps
+    its tags and the code inside it, its texts become spaces. A slash begins a
     pattern where no value stands before it, and after the brackets of ``if`` and its like.
     """
     out, at = [], 0
@@ -72,6 +77,66 @@ def blanked(text: str) -> str:
             value = True
         return m.end()
 
+    def is_element(i: int) -> bool:
+        """Whether markup begins at ``i``, and no type in angle brackets."""
+        m = ELEMENT.match(text, i)
+        if m is None:
+            return False
+        end = re.compile(rf"</\s*{re.escape(m[1] or '')}\s*>").search(text, m.end())
+        own = IN_TAG.search(text, m.end())
+        while own and own[0][0] in "\"'":
+            own = IN_TAG.search(text, own.end())
+        return end is not None or bool(own and own[0][0] == "/")
+
+    def markup(i: int) -> int:
+        """Markup from ``i`` on, up to code inside it or its end: names of tags stay, texts are spaces."""
+        nonlocal value
+        while stack and stack[-1] in ("tag", "element"):
+            if stack[-1] == "tag":
+                m = IN_TAG.search(text, i)
+                if m is None:
+                    out.append(text[i:])
+                    return len(text)
+                out.append(text[i : m.start()])
+                i = m.end()
+                if m[0] == "{":
+                    out.append("{")
+                    stack.append("{m")
+                    value = False
+                    return i
+                if m[0][0] in "\"'":
+                    out.append(m[0][0] + _gone(m[0][1:-1]) + m[0][-1] if len(m[0]) > 1 else " ")
+                    continue
+                out.append(m[0])
+                stack.pop()
+                if m[0] == ">":
+                    stack.append("element")
+                continue
+            m = CHILDREN.match(text, i)
+            out.append(_gone(m[0]))
+            i = m.end()
+            if i == len(text):
+                return i
+            if text[i] == "{":
+                out.append("{")
+                stack.append("{m")
+                value = False
+                return i + 1
+            closing = re.compile(r"</\s*[\w$.:-]*\s*>").match(text, i)
+            if closing:
+                out.append(closing[0].replace("/", " "))
+                stack.pop()
+                i = closing.end()
+            elif opening := ELEMENT.match(text, i):
+                out.append(opening[0])
+                stack.append("tag")
+                i = opening.end()
+            else:
+                out.append(" ")
+                i += 1
+        value = True
+        return i
+
     while m := TOKEN.search(text, at):
         out.append(text[at : m.start()])
         token, at, last, word = m[0], m.end(), word, ""
@@ -86,6 +151,15 @@ def blanked(text: str) -> str:
         elif token == "/" and not value and (p := PATTERN.match(text, m.start())):
             out.append(_gone(p[0]))
             at, value = p.end(), True
+        elif token == "<" and not value and is_element(m.start()):
+            opening = ELEMENT.match(text, m.start())
+            out.append(opening[0])
+            stack.append("tag")
+            at = markup(opening.end())
+        elif token == "}" and stack and stack[-1] == "{m":
+            stack.pop()
+            out.append("}")
+            at = markup(at)
         elif token in "({":
             stack.append("head(" if token == "(" and last in HEADS else token)
             out.append(token)

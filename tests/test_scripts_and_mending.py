@@ -29,6 +29,13 @@ def found(text):
     ("const f = () => `${`${`${eval(1)}`}`}`", ["eval"]),
     ("s = 'it`s'; eval(x); t = \"`\"; eval(y)", ["eval", "eval"]),
     ("open = `never ${eval(x)}", ["eval"]),
+    ("a = <p>don't {eval(x)} it's</p>; eval(y)", ["eval", "eval"]),
+    ("return <div dangerouslySetInnerHTML={{__html: q}} title=\"eval(no)\">eval(no) {f(`${eval(z)}`)}</div>", ["eval"]),
+    ("f = <T,>(x: T) => x; if (a < b) { eval(c) } // d>", ["eval"]),
+    ("f = <T extends U>(x: T) => eval(x)", ["eval"]),
+    ("y = <><A b={eval(1)} c='/'/><B>{a ? <C>it's {eval(2)}</C> : null}</B></>; eval(3)", ["eval", "eval", "eval"]),
+    ("z = (<div>\n  {list.map(i => <li key={i}>can't</li>)}\n</div>); eval(r)", ["eval"]),
+    ("m = new Map<string, number>(); <br/>; eval(x)", ["eval"]),
 ])
 def test_templates_and_patterns(text, want):
     code = script_code.blanked(text)
