@@ -25,6 +25,8 @@ TAR_ENDS = (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")
 #: Bytes of a tar beside its files' contents, for each file that may be in it.
 HEADER = 2048
 STEP = 1 << 16
+#: Archives of one task.
+TOGETHER = 64
 
 
 class Refused(Exception):
@@ -108,7 +110,7 @@ class ArchiveReader(DataSourceReader):
         self.limits = replace(Limits(), **{k: type(known[k])(options[k]) for k in known if k in options})
 
     def partitions(self) -> list[Piece]:
-        """Small archives go together, up to ``split`` bytes of them; the members of a zip of more are shared out by its list of members."""
+        """Small archives go together, up to TOGETHER or ``split`` bytes of them; the members of a zip of more are shared out by its list of members."""
         files, base = fs.FileSystem.from_uri(self.path)
         info = files.get_file_info(base)
         listed = files.get_file_info(fs.FileSelector(base, recursive=True)) if info.type == fs.FileType.Directory else [info]
@@ -117,7 +119,7 @@ class ArchiveReader(DataSourceReader):
             if x.size > self.split and x.path.lower().endswith(".zip"):
                 pieces += [Piece([(x.path, x.size, a, b)]) for a, b in self._ranges(files, x)]
                 continue
-            if held and size + x.size > self.split:
+            if held and (size + x.size > self.split or len(held) >= TOGETHER):
                 pieces.append(Piece(held))
                 held, size = [], 0
             held.append((x.path, x.size, 0, -1))
