@@ -15,7 +15,7 @@ from quarrylight.functions import versions as vs
 from quarrylight.operators import sweeps
 from quarrylight.plans.registry import query, table
 from quarrylight.sources import archive_source, copies, discovery, patch_sink
-from quarrylight.sources.shared import shared_dir
+from quarrylight.sources.shared import settled, shared_dir
 
 # --- archives ------------------------------------------------------------------------------------
 
@@ -154,7 +154,8 @@ def version_ranges(spark, d):
     high = F.when(s % 7 > 0, F.concat(dotted(s % 3 + 1, s % 4, s % 5), F.when(s % 2 == 0, "-0").otherwise("")))
     known = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 200).alias("package"), low.alias("low"), high.alias("high"), (s % 2 == 0).alias("closed"))
     keys = used.select("version").unionByName(known.select(F.col("low").alias("version"))).unionByName(known.select(F.col("high").alias("version"))).filter("version IS NOT NULL").distinct()
-    keys = keys.select(F.col("version").alias("text"), vs.semver_bytes(vs.semver_key(F.col("version"))).alias("at"))
+    keys = settled(keys.select("version", vs.semver_key(F.col("version")).alias("key")), "keys")
+    keys = settled(keys.select(F.col("version").alias("text"), vs.semver_bytes(F.col("key")).alias("at")), "texts")
     as_bytes = lambda df, name: df.join(keys.select(F.col("text").alias(f"__{name}"), F.col("at").alias(f"{name}_at")), F.col(name) == F.col(f"__{name}"), "left").drop(f"__{name}")
     points, ranges = as_bytes(used, "version"), as_bytes(as_bytes(known, "low"), "high")
     hits = sweeps.points_in_intervals(points, ranges, "package", "version_at", "p_partkey", "low_at", "high_at", "closed")
