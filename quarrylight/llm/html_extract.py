@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import html.entities
 import json
@@ -14,16 +15,19 @@ from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import settled, slices
 
-#: Pages of a host that its wrapper is inferred from: the first by a hash of the id; and the characters read of them in all.
-SAMPLE = 6
+#: Forms of pages, or wrappers made of those, that one step aligns; a host with more of them takes several rounds.
+FORMS = 32
+#: A text is on all of a host's pages if it is on this share of them: pages that are cut off or empty lack what others have.
+ALL = 0.9
+#: Weights that a task holds before it hands them on.
+HELD = 1 << 16
 #: Elements nested deeper than this stand beside each other; menus and the like, deeper than twice this.
 DEPTH = 128
-#: A text the same on all of so many sample pages is the host's own; what a slot weighs if no page was read.
+#: A text the same on all of so many different pages is the host's own; what a slot weighs if no page was read.
 SAME, SLOT = 3, 40
 #: Cells of the table that aligns two sequences; longer sequences are first cut at keys that both hold once.
 CELLS = 1 << 20
@@ -331,6 +335,11 @@ def infer(pages: list[str]) -> list[list]:
     return made
 
 
+def mark(text: str) -> str:
+    """What a text is compared by: 128 bits of it."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 # What a wrapper says of its elements.
 OFF, PATH, KEEP = 0, 1, 2
 
@@ -340,19 +349,22 @@ class Part:
 
     __slots__ = ("comments", "constant", "fixed", "hidden", "inner", "key", "label", "links", "marked", "mass", "name", "off", "repeated")
 
-    def __init__(self, item: list, masses: Iterator[list[int]] | None, pages: int, optional: bool = False):
+    def __init__(self, item: list, masses: Iterator[list] | None, pages: int, optional: bool = False):
         self.key, maybe, self.repeated, inner = item
         optional = optional or maybe  # not on every page, so nothing says that its texts are the same on all
+        chars, linked, *counted = next(masses) if masses else (0, 0)
+        same = mark(inner) if self.key == "#" and inner is not None else None
+        if counted:  # over all pages, which tell more than the wrapper's form
+            optional, same = not counted[0], counted[1]
         self.name = re.split(r"[.!~]", self.key)[0]
         self.off, self.marked, self.label = self.name in CHROME or "~" in self.key, "!" in self.key, OFF
         self.comments = self.marked and not COMMENT_WORDS.isdisjoint(self.key.partition("!")[2].split("."))
         self.fixed, self.inner = None, []
-        chars, linked = next(masses) if masses else (0, 0)
         if self.key == "#":
             if not masses:
                 chars = len(inner) if inner is not None else SLOT
-            self.fixed = inner
-            self.constant = chars if inner is not None and not optional and pages >= SAME else 0
+            self.fixed = same
+            self.constant = chars if same is not None and not optional and pages >= SAME else 0
             self.mass, self.links, self.hidden = chars - linked, linked, 0
         else:
             self.inner = [Part(x, masses, pages, optional) for x in inner]
@@ -372,7 +384,7 @@ def settle(root: Part, trusted: bool = True) -> None:
 
     The regions are the heavy article and main elements; without those, from the
     top, the container that holds nearly all mass is followed until it splits up.
-    Texts that are the same on all sample pages weigh nothing, as long as others
+    Texts that are the same on all pages weigh nothing, as long as others
     do not; class words only say where not to look first.
     """
     if root.mass > 2 * root.constant:
@@ -478,7 +490,7 @@ def _lead(part: Part, chosen: set[int]) -> bool:
 class Extractor:
     """Applies a host's wrapper to its pages."""
 
-    def __init__(self, made: list[list] | None, pages: int = 1, masses: list[list[int]] | None = None):
+    def __init__(self, made: list[list] | None, pages: int = 1, masses: list[list] | None = None):
         self.known = made is not None
         self.root = Part(["root", False, False, made or []], iter([[0, 0], *masses]) if masses else None, pages)
         if self.known:
@@ -512,8 +524,8 @@ class Extractor:
         for kid, p in matched(kids, part.flat() if part else []):
             if kid.key != "#":
                 of[id(kid)] = p
-            elif p is not None and p.constant and p.label == OFF and " ".join(kid.text.split()) == p.fixed:
-                fixed.add(p.fixed)
+            elif p is not None and p.constant and p.label == OFF and mark(own := " ".join(kid.text.split())) == p.fixed:
+                fixed.add(own)
         return sum(self._kid(kid, of, fixed, blocks, label, main) for kid in node.kids)
 
     def _kid(self, kid: Node, of: dict, fixed: set[str], blocks: list[list[str]], label: int, main: bool) -> int:
@@ -584,27 +596,34 @@ class _Item:
         return [y for x in self.inner for y in (x.flat() if x.key == "()" else [x])]
 
 
+def texts_of(root: Node, top: _Item) -> Iterator[tuple[int, str, int]]:
+    """(place, text, characters in links) of each text of a page that an item of its wrapper matches."""
+    for kid, x in matched(structural(root), top.flat()):
+        if x is None:
+            continue
+        if kid.key == "#":
+            yield x.place, " ".join(kid.text.split()), kid.linked
+        elif not kid.chrome:
+            yield from texts_of(kid, x)
+
+
 def weigh(made: list[list], roots: list[Node]) -> list[list[int]]:
-    """For each item of a wrapper, in its order, characters of text on sample pages, and of those the ones in links."""
+    """For each item of a wrapper, in its order, characters of text on the pages, and of those the ones in links."""
     places = count()
     top = _Item(["root", False, False, made], places)
     masses = [[0, 0] for _ in range(next(places))]
-
-    def add(node: Node, item: _Item) -> None:
-        for kid, x in matched(structural(node), item.flat()):
-            if x is None:
-                continue
-            if kid.key == "#":
-                masses[x.place][0] += len(" ".join(kid.text.split()))
-                masses[x.place][1] += kid.linked
-            elif not kid.chrome:
-                add(kid, x)
-
     for root in roots:
-        add(root, top)
+        for place, text, linked in texts_of(root, top):
+            masses[place][0] += len(text)
+            masses[place][1] += linked
     return masses[1:]
 
 
+@lru_cache(maxsize=512)
+def _items(form: str) -> _Item:
+    return _Item(["root", False, False, json.loads(form)], count())
+
+
 @lru_cache(maxsize=512)
 def _extractor(made: str | None) -> Extractor:
     return Extractor(*json.loads(made)) if made else Extractor(None)
@@ -615,39 +634,114 @@ def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper): one wrapper a host, as JSON, from a bounded sample of its pages.
+def without_texts(items: list[list]) -> list[list]:
+    """The form of a wrapper: what it says of elements alone."""
+    return [[key, optional, repeated, None if key == "#" else without_texts(inner)] for key, optional, repeated, inner in items]
+
+
+def _sized(df: DataFrame, size: Column) -> DataFrame:
+    """``df``, a row a host, to be broadcast while it is small."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
-    Sampled pages are chosen before their HTML is read: only ids are ranked, in hash
-    parts first, so a host with a third of all pages is no hot group.
+
+def _forms(read: DataFrame) -> DataFrame:
+    """host, form (JSON): the forms of all of a host's pages aligned to one.
+
+    Pages of one form are one row, so what is aligned are different forms, the most
+    frequent first, FORMS at a time; what comes of that is aligned in the next round. The
+    rounds follow from hashes of the forms, so the order of rows and partitions does not matter.
     """
-    ids = pages.filter(F.col(page).isNotNull()).select(host(url).alias("host"), F.xxhash64(F.col(key), F.col(url)).alias("h"))
-    parts = W.partitionBy("host", F.pmod("h", F.lit(16))).orderBy("h")
-    first = ids.withColumn("r", F.row_number().over(parts)).filter(F.col("r") <= sample)
-    chosen = first.withColumn("r", F.row_number().over(W.partitionBy("host").orderBy("h"))).filter(F.col("r") <= sample).select(F.col("host").alias("host2"), F.col("h").alias("h2")).distinct()
-    chosen = settled(chosen, "chosen")  # its size is then known before the join is planned
-    read = pages.select(host(url).alias("host"), F.xxhash64(F.col(key), F.col(url)).alias("h"), F.col(page).alias("html"))
-    some = read.join(chosen, (F.col("host") == F.col("host2")) & (F.col("h") == F.col("h2"))).select("host", "h", "html")
-    # Repeated rows share their hash; one of each is enough.
-    some = some.groupBy("host", "h").agg(F.min("html").alias("html"))
 
-    def made(group: pa.Table) -> pa.Table:
-        # Equal pages count once: only pages that differ tell what is the same on all.
-        texts = list(dict.fromkeys(x for _, x in sorted(zip(group["h"].to_pylist(), group["html"].to_pylist(), strict=True))))
-        found = infer(texts)
-        return pa.table({"host": [group["host"][0].as_py()], "wrapper": [json.dumps([found, len(texts), weigh(found, [tree(x) for x in texts])])]})
+    def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            found = Counter((h, json.dumps(without_texts(wrapper(tree(x))))) for h, x in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_pydict({"host": [h for h, _ in found], "form": [f for _, f in found], "n": list(found.values())}, pa.schema([("host", pa.string()), ("form", pa.string()), ("n", pa.int64())]))
+
+    def merged(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["n"].to_pylist(), group["form"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+        made = json.loads(rows[0][1])
+        for _, form in rows[1:]:
+            made = align(made, json.loads(form))
+        return pa.table({"host": group["host"][:1].cast(pa.string()), "form": [json.dumps(made)], "n": pa.array([sum(n for n, _ in rows)], pa.int64())})
 
-    return some.groupBy("host").applyInArrow(made, "host string, wrapper string")
+    schema = "host string, form string, n long"
+    forms = settled(read.select("host", "html").mapInArrow(of_pages, schema).groupBy("host", "form").agg(F.sum("n").alias("n")), "forms")
+    while True:
+        parts = settled(forms.groupBy(F.col("host").alias("of")).agg(F.ceil(F.count(F.lit(1)) / FORMS).alias("parts")), "parts")
+        most = parts.agg(F.max("parts")).first()[0] or 1
+        dealt = forms.join(parts, F.col("host") == F.col("of")).select("host", F.pmod(F.xxhash64("form"), F.col("parts")).alias("part"), "form", "n")
+        forms = settled(dealt.groupBy("host", "part").applyInArrow(merged, schema), "forms")
+        if most == 1:
+            return forms.select("host", "form")
+
+
+def infer_wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """(host, wrapper): one wrapper a host, as JSON, from all of its pages.
+
+    All pages are read twice: for the host's form, and for what stands in each of the form's
+    places: characters, those in links, whether there is one text on all pages. Tasks add that up by host and place, so no
+    page leaves its task and a host with a third of all pages is no hot group.
+    """
+    read = pages.filter(F.col(page).isNotNull()).select(host(url).alias("host"), F.col(page).alias("html"))
+    # Equal pages count once here: only pages that differ tell what is the same on all.
+    counts = read.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("html")).alias("different"))
+    known = _forms(read).withColumnRenamed("host", "of")
+    known = _sized(known, F.length("form") + F.length("of"))
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        names = ["host", "place", "chars", "linked", "on", "least", "most"]
+
+        def told() -> pa.RecordBatch:
+            rows = [(*k, *v) for k, v in held.items()]
+            held.clear()
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in slices(batches, "html"):
+            for h, x, form in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "form")), strict=True):
+                seen = set()
+                for place, text, linked in texts_of(tree(x), _items(form)):
+                    own, is_new = mark(text), place not in seen
+                    seen.add(place)
+                    at = held.get((h, place))
+                    if at is None:
+                        held[h, place] = [len(text), linked, 1, own, own]
+                    else:
+                        at[:] = at[0] + len(text), at[1] + linked, at[2] + is_new, min(at[3], own), max(at[4], own)
+                if len(held) > HELD:
+                    yield told()
+        yield told()
+
+    rows = read.join(known, F.col("host") == F.col("of")).select("host", "html", "form").mapInArrow(weights, "host string, place long, chars long, linked long, on long, least string, most string")
+    sums = rows.groupBy("host", "place").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("on").alias("on"), F.min("least").alias("least"), F.max("most").alias("most"))
+    each = sums.groupBy(F.col("host").alias("weighed")).agg(F.collect_list(F.struct("place", "chars", "linked", "on", "least", "most")).alias("sums"))  # a wrapper's places
+    every = known.join(counts, F.col("of") == F.col("host")).join(each, F.col("of") == F.col("weighed"), "left").select("of", "form", "n", "different", "sums")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for form, n, different, sums in zip(*(batch.column(c).to_pylist() for c in ("form", "n", "different", "sums")), strict=True):
+                items, places = json.loads(form), count()
+                _Item(["root", False, False, items], places)
+                masses = [[0, 0, False, None] for _ in range(next(places))]
+                for at in sums or []:
+                    masses[at["place"]] = [at["chars"], at["linked"], at["on"] >= ALL * n, at["least"] if at["least"] == at["most"] else None]
+                made.append(json.dumps([items, different, masses[1:]]))
+            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array(made, pa.string())], names=["host", "wrapper"])
+
+    return every.mapInArrow(put, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """key, url, text, n_chars for every row of ``pages``.
 
-    A wrapper is inferred per host from sample pages: same-host token streams are
+    A wrapper is inferred per host from all of its pages: same-host token streams are
     aligned one after another, a text mismatch becomes a slot, a tag mismatch an
     optional or a repeated item or group. The wrapper then decides (``settle``):
     where the weight of the slots lies is the main text, texts that are the same on
-    all sample pages are the host's own, and so is what stands beside the main text.
+    all pages are the host's own, and so is what stands beside the main text.
     Names of elements and roles (nav, footer, form, ...) count; class words only
     break ties. Applied to a page, it yields the blocks of the main text in page
     order, references decoded and white space collapsed, one per line. A page that
@@ -659,9 +753,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     rows give equal rows. An empty table gives no row. Other columns are not looked at.
     """
     wrappers = settled(infer_wrappers(pages, key, url, page), "wrappers")
-    total = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    known = wrappers.withColumnRenamed("host", "__host")
-    known = F.broadcast(known) if total <= BROADCAST_BYTES else known
+    known = _sized(wrappers.withColumnRenamed("host", "__host"), F.length("wrapper") + F.length("__host"))
     read = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(page).alias("body"), host(url).alias("host"))
     joined = read.join(known, F.col("host") == F.col("__host"), "left").select("k", "u", "body", "wrapper")
 

@@ -81,3 +81,19 @@ def test_all_pages_of_the_tables(spark):
     for r in pages:
         assert got[r["page_id"]]["text"] == (plain(r["html"]) if r["html"] else ""), r["page_id"]
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"]) and got[r["page_id"]]["url"] == r["url"]
+
+
+def test_a_wrapper_knows_all_pages_of_its_host(spark):
+    """What is the same on most pages and differs on a few is text, and partitions and their order do not matter."""
+    rng = random.Random(5)
+    rows, want = [], []
+    for i in range(120):
+        head, a, b = words(rng, 4), words(rng, 20), words(rng, 30)
+        last = f"Written on day {i} of the year by nobody" if i % 40 == 7 else "Written on some day of the year by nobody"
+        rows.append(f"<body><article><h1>{head}</h1><p>{a}</p><p>{b}</p><section><p>{last}</p></section></article></body>")
+        want.append("\n".join([head, a, b, last]))
+    got = extracted(spark, rows)
+    assert [got[i] for i in range(120)] == want
+    frame = spark.createDataFrame([(i, "https://h.example/x", page) for i, page in enumerate(rows)], "page_id long, url string, html string")
+    one, other = (html_extract.infer_wrappers(f).collect() for f in (frame.coalesce(1), frame.orderBy(frame.page_id.desc()).repartition(7)))
+    assert one == other
