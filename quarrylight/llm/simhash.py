@@ -27,6 +27,8 @@ LIKELY, SURE = 24, 34
 PART = 64
 #: Hashes of texts that are needed are broadcast while they are no more than this (some 50 MB); beyond it texts are shuffled to find them.
 BROADCAST_TEXTS = 1 << 20
+#: Prefixes of similar texts share so many shingles; of one text in SAMPLED the most frequent shingles are learned, FREQUENT at most. They say only in which order shingles are taken.
+SHARED, SAMPLED, FREQUENT = 3, 32, 1 << 16
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -269,6 +271,69 @@ def _alike(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
     return both.select("left", "right", "a", "b").mapInArrow(run, "left binary, right binary")
 
 
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and the power of two of how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), shingle)[0]).view(np.int64))], names=["token"])
+
+    some = rows.filter(F.pmod("print", F.lit(SAMPLED)) == 0).groupBy("print").agg(F.min("text").alias("text")).select("text")
+    often = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = often.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    tokens, counts = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], np.log2(counts[order]).astype(np.int8)
+
+
+def prefix(shingles: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The first of a set's shingles in one order for all sets, the frequent ones last.
+
+    Two sets of sizes m and n with a Jaccard similarity of ``least`` share o of the shingles, and o is ``least`` times
+    the larger size at least. Whatever the order, the first m - o + k of one and n - o + k of the other share k (k no more than o).
+    """
+    known, levels = frequent if frequent is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
+    level = np.zeros(len(shingles), np.int8)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        level = np.where(known[at] == shingles, levels[at] + 1, 0)
+    need = int(np.ceil(least * len(shingles) - 1e-6))
+    return shingles[np.lexsort((shingles, level))][: len(shingles) - need + min(SHARED, need)]
+
+
+def _missed(rows: DataFrame, classes: DataFrame, rooted: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(left, right): every pair of texts of different ``rooted`` groups (digest, root) that may be as similar as ``least``.
+
+    Shingles that only texts of one group have in their prefixes are left out, so a large group
+    of copies lists no pairs; what is left of it are texts of its kind that are not in it. Nothing else is.
+    """
+    frequent = _frequent(rows, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)[0]) for x in batch.column(1)]
+            tokens = pa.array([prefix(x, least, frequent).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), tokens], names=["print", "size", "tokens"])
+
+    reps = classes.select("digest", F.col("print").alias("of"))
+    found = rows.select("print", "text").mapInArrow(run, "print long, size long, tokens array<long>").join(reps, F.col("print") == F.col("of"))
+    once = found.groupBy("digest").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))  # rows of one text are equal
+    numbered = settled(once.withColumn("id", F.monotonically_increasing_id()), "prefixes")
+    ids = settled(numbered.select("digest", "id").join(rooted, "digest").select("digest", "id", "root"), "ids")
+    roots = ids.join(ids.select(F.col("digest").alias("of"), F.col("id").alias("group")), F.col("root") == F.col("of")).select(F.col("id").alias("mine"), "group")
+    placed = settled(numbered.select("id", "size", "tokens").join(roots, F.col("id") == F.col("mine")).select("id", "group", "size", "tokens"), "placed").select("id", "group", "size", F.explode("tokens").alias("token"))
+    mixed = placed.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
+    met = settled(placed.join(mixed, "token", "left_semi"), "met")
+    other = met.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "group", "size")])
+    fits = (F.col("group") != F.col("group2")) & (F.col("id") < F.col("id2")) & (F.least("size", "size2") >= least * F.greatest("size", "size2") - 1e-6)
+    both = met.join(other, "token").filter(fits).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("size", "size2")).alias("m"))
+    pairs = both.filter(F.col("n") >= F.least(F.lit(SHARED), F.ceil(least * F.col("m") - 1e-6))).select("id", "id2")
+    a = ids.select(F.col("id").alias("a"), F.col("digest").alias("left"))
+    b = ids.select(F.col("id").alias("b"), F.col("digest").alias("right"))
+    return settled(pairs.join(a, F.col("id") == F.col("a")).join(b, F.col("id2") == F.col("b")).select("left", "right"), "missed")
+
+
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: key, print (xxhash64 of the text), component: the smallest (key, print) of its group.
 
@@ -282,6 +347,9 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
     shares most blocks, and where some differ, with another, HUBS times in all. How
     many symbols agree says which texts are worth reading.
 
+    What sketches miss comes from an exact join: similar texts share some of the first shingles in any one order, so every pair
+    of different groups that does so is compared on the texts too. No link between groups is lost.
+
     Equal sequences of words, told apart by 128 bits, are one class from the start; texts without a word are
     one group. Null keys come last among equals. Repeated rows are rows of one
     group. A very long text is held whole in one task. An empty table gives no row.
@@ -309,13 +377,20 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
         shared = settled(_buckets(again), "shared")
         if shared.isEmpty():
             break
-    # Only texts with a likely partner are read again.
+    def read(edges: DataFrame) -> DataFrame:
+        # Only texts with a likely partner are read again.
+        ids = edges.select(F.col("left").alias("digest")).union(edges.select("right")).distinct()
+        needed = settled(ids.join(classes.select("digest", "print"), "digest").select("print", "digest"), "needed")
+        return settled(_alike(edges, settled(_bodies(rows, needed), "bodies"), shingle, least), "alike")
+
     edges = settled(reduce(DataFrame.unionByName, found).filter(F.col("agree") >= LIKELY).select("left", "right").distinct(), "candidates")
-    ids = edges.select(F.col("left").alias("digest")).union(edges.select("right")).distinct()
-    needed = settled(ids.join(classes.select("digest", "print"), "digest").select("print", "digest"), "needed")
-    alike = settled(_alike(edges, settled(_bodies(rows, needed), "bodies"), shingle, least), "alike")
-    roots = components(alike, "left", "right")
-    rooted = classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
+    roots = components(read(edges), "left", "right")
+    rooted = settled(classes.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root")), "rooted")
+    of = rooted.select(F.col("digest").alias("of"), F.col("root").alias("group"))
+    more = read(_missed(rows, classes, rooted.select("digest", "root"), shingle, least))
+    more = more.join(of, F.col("left") == F.col("of")).select("right", F.col("group").alias("a")).join(of, F.col("right") == F.col("of")).select("a", F.col("group").alias("b"))
+    joined = components(more, "a", "b")
+    rooted = rooted.join(joined.withColumnRenamed("root", "top"), F.col("root") == F.col("node"), "left").select("digest", "least", F.coalesce("top", "root").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(smallest, "root").select("digest", "component")
     return marked.join(named, "digest").select(F.col("key").alias(key), "print", F.struct(F.col("component.key").alias(key), "component.print").alias("component"))

@@ -521,6 +521,37 @@ def test_similar_texts_against_all_pairs(spark):
     assert simhash.similar_texts(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_that_no_sketch_brings_together(spark):
+    """Pairs of a similarity of 0.8 that share no block of their sketches, among texts that share a passage."""
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    passage, texts = line(30), []
+    while len(texts) < 12:
+        one = line(200)
+        other = edited(one, rng, 0.02)
+        both = [np.unique(simhash.shingle_hashes(x)[0]) for x in (one, other)]
+        shared = len(np.intersect1d(*both))
+        a, b = (simhash.sketch(x).reshape(-1, simhash.BLOCK) for x in both)
+        if shared >= 0.8 * (len(both[0]) + len(both[1]) - shared) and not (a == b).all(axis=1).any():
+            texts += [one, other]
+    texts = dict(enumerate([*texts, *[f"{passage} {line(20)}" for _ in range(30)], "a b", "a b c", None]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component"]["doc_id"] for r in simhash.similar_texts(docs).collect()}
+    assert got == roots_of(texts, close_pairs(shingle_sets(texts)))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    frequent = (np.arange(0, 400, 7, dtype=np.uint64), rng.integers(1, 9, 58).astype(np.int8))
+    for _ in range(2000):
+        base = rng.choice(400, rng.integers(1, 60), replace=False).astype(np.uint64)
+        a, b = (np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(0, 400, len(base)).astype(np.uint64), base)) for _ in range(2))
+        shared = len(np.intersect1d(a, b))
+        if shared >= 0.8 * (len(a) + len(b) - shared):
+            met = len(np.intersect1d(simhash.prefix(a, 0.8, frequent), simhash.prefix(b, 0.8, frequent)))
+            assert met >= min(simhash.SHARED, np.ceil(0.8 * min(len(a), len(b)) - 1e-6))
+
+
 def test_pipeline_near_duplicates_on_tables(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     where = "/root/testdata/sf0.01"
