@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all cores by ``key``: for work that takes far longer than reading, since a small file is one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
