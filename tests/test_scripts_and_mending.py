@@ -135,3 +135,16 @@ def test_upgrade_is_a_strategy(spark):
     assert got[("a.py", "PYSEC001")][1] == "FIX-PYSEC001-LITERAL-EVAL"
     assert set(mending.RISKS) == {s[0] for s in mending.STRATEGIES} | {mending.UPGRADE[0]}
     assert remediation.proposed(findings, sources, F.lit("FIX-PYSEC005-RESTORE-TLS")).filter("remediation_id IS NOT NULL").count() == 0
+
+
+def test_sources_of_one_small_file_are_dealt_to_all_cores(spark):
+    """A table in one partition is parsed by many tasks, and equal sources keep their own paths."""
+    from pyspark.sql import functions as F
+
+    from quarrylight.sources import python_code, script_code
+
+    for facts, text in ((python_code.facts, "def f(a):\n    return a\n"), (script_code.facts, "function f(a) {\n  return a;\n}\n")):
+        files = spark.range(0, 600, 1, 1).select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 2 == 0, text).otherwise(F.concat(F.lit(text), F.lit("\n"))).alias("content"))
+        found = facts(files).filter("kind = 'function'").withColumn("task", F.spark_partition_id()).collect()
+        assert len({r["task"] for r in found}) > 4
+        assert {(r["path"], r["name"], r["line"], r["total_lines"]) for r in found} == {(str(i), "f", 1, text.count("\n") + 1 + i % 2) for i in range(600)}
