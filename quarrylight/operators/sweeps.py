@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.sources.shared import settled
 
+#: Rows of one block of a sweep, about.
+BLOCK = 1 << 19
 #: Ranks of one block of an interval join.
 RUN = 1024
 
 
+def _blocks(rows: DataFrame) -> int:
+    """How many parts rows are dealt to: more of them for more rows, so that no task's share grows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / BLOCK))
+
+
 def blocked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``rows`` sorted over partitions by group and order, with ``__block``: blocks follow the order, whatever the size of a group."""
     keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]
-    return settled(rows.repartitionByRange(*keys).withColumn("__block", F.spark_partition_id()), "blocked")
+    return settled(rows.repartitionByRange(_blocks(rows), *keys).withColumn("__block", F.spark_partition_id()), "blocked")
 
 
 def _so_far(rows: DataFrame, group: list[str], order: list[str], fold, value: Column, name: str) -> DataFrame:
     """Adds ``fold`` (sum or max) of ``value`` over the rows before each, by block and then over the few blocks of a group."""
-    valued = rows.withColumn("__value", value)
-    per = valued.groupBy(*group, "__block").agg(fold("__value").alias("__sum"))
+    # Blocks are dealt to as many tasks as there are, in the way that windows and joins over them ask for.
+    valued = rows.withColumn("__value", value).repartition(_blocks(rows), *group, "__block")
+    per = rows.withColumn("__value", value).groupBy(*group, "__block").agg(fold("__value").alias("__sum"))
     before = W.partitionBy(*group).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     names = [f"__g{i}" for i in range(len(group))]
     carry = per.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("__block").alias("__of"), fold("__sum").over(before).alias("__carry"))
