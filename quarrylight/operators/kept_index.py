@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.operators.retrieval import B, K1, LEAST_SCORE
 from quarrylight.operators.sweeps import ranked
@@ -32,26 +36,41 @@ def _weight(tf: Column, length: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """key, len and terms, how often each is among ``found``, of (key, found) rows: a row is counted where it is read."""
+    term = pa.struct([("term", pa.string()), ("tf", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, STRATUM) for b in batches for at in range(0, b.num_rows, STRATUM)):
+            lists = batch.column(1).to_pylist()
+            terms = pa.array([[{"term": t, "tf": n} for t, n in Counter(x).items()] for x in lists], pa.list_(term))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), terms], names=["key", "len", "terms"])
+
+    each = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return rows.select("key", "found").mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("len", T.LongType()), T.StructField("terms", T.ArrayType(each))]))
+
+
 def build(docs: DataFrame, base: str, key: str, tokens: Column) -> int:
     """Writes an index of ``docs`` under ``base`` and makes it the current one, by its number.
 
     Rows are ranked by length and cut into strata of ``STRATUM``; a block is what one term has in one stratum: its rows, and
     the best that any of them can add to a score. Blocks are sorted by term, so the files' statistics find a query's terms and no
-    other is read. Texts are read once. Null texts have no term.
+    other is read. Texts are read once, terms are counted in their row, and what a term has in a row moves once, to its block. Null texts have no term.
     """
     spark = docs.sparkSession
     name = uuid.uuid4().hex
     rows = docs.select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("found"))
-    rows.select("key", F.size("found").cast("long").alias("len"), "found").write.parquet(f"{base}/{name}/read")
+    _counted(rows).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{base}/{name}/read")
     read = spark.read.parquet(f"{base}/{name}/read")
     told = read.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average")).first()
     average = float(told["average"] or 0) or 1.0
-    placed = ranked(read.select("key", "len"), [], ["len", "key"]).select(F.col("key").alias("of"), F.floor(F.col("rank") / STRATUM).alias("stratum"))
-    counted = read.select("key", "len", F.explode("found").alias("term")).groupBy("key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = counted.join(placed, F.col("key").eqNullSafe(F.col("of")))
+    placed = ranked(read.select("row", "len", "key"), [], ["len", "key", "row"]).select(F.col("row").alias("of"), F.floor(F.col("rank") / STRATUM).alias("stratum"))
+    met = read.join(placed, F.col("row") == F.col("of")).select("key", "len", "stratum", F.explode("terms").alias("t")).select("key", "len", "stratum", "t.term", "t.tf")
     best = F.max(_weight(F.col("tf"), F.col("len"), average)).alias("best")
-    blocks = met.groupBy("term", "stratum").agg(F.count(F.lit(1)).alias("n"), best, F.collect_list(F.struct("key", "tf", "len")).alias("rows"))  # STRATUM at most
-    blocks.repartitionByRange("term", "stratum").sortWithinPartitions("term", "stratum").write.parquet(f"{base}/{name}/blocks")
+    # Dealt by range first, so that what is gathered is not moved again.
+    dealt = met.repartitionByRange("term", "stratum")
+    blocks = dealt.groupBy("term", "stratum").agg(F.count(F.lit(1)).alias("n"), best, F.collect_list(F.struct("key", "tf", "len")).alias("rows"))  # STRATUM at most
+    blocks.sortWithinPartitions("term", "stratum").write.parquet(f"{base}/{name}/blocks")
     return journal.append(spark, f"{base}/log", {"name": name, "n": told["n"], "average": average})
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import code_tokens, words
-from quarrylight.operators import chunking, increments, kept_index, retrieval
+from quarrylight.operators import chunking, increments, kept_index, retrieval, sweeps
 from quarrylight.sources import advisory_data, journal
 
 
@@ -110,3 +110,21 @@ def test_code_counts(spark):
 
 def _same(term):
     return lambda x: F.when(x == term, x)
+
+
+def test_an_index_holds_each_term_of_each_row_once(spark, tmp_path):
+    """Rows that share a key are rows of their own; a term's blocks together name as many rows as hold it."""
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a"]), (2, ["b", "c"]), (3, None)], "k long, words array<string>")
+    kept_index.build(docs, f"file://{tmp_path}/index", "k", F.col("words"))
+    (place,) = [p for p in tmp_path.glob("index/*/blocks")]
+    blocks = spark.read.parquet(f"file://{place}").collect()
+    assert sorted((b["term"], r["key"], r["tf"], r["len"]) for b in blocks for r in b["rows"]) == [("a", 1, 1, 1), ("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 2, 1, 2), ("c", 2, 1, 2)]
+    assert sum(b["n"] for b in blocks) == 5
+
+
+def test_blocks_of_a_sweep_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sweeps, "BLOCK", 100)
+    rows = spark.range(3000).select(F.lit("one").alias("g"), ((F.col("id") * 7) % 3000).alias("v"))
+    sizes = [r["count"] for r in sweeps.blocked(rows, ["g"], ["v"]).groupBy("__block").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
+    assert all(r["rank"] == r["v"] for r in sweeps.ranked(rows, ["g"], ["v"]).collect())
