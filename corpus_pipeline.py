@@ -18,6 +18,15 @@ LEAST_COSINE = 0.1
 SIMILAR, SHINGLE = 0.8, 5
 #: Rows that go are broadcast while they are no more than this (some 50 MB of numbers); beyond it the documents are shuffled to meet them.
 BROADCAST_ROWS = 1 << 20
+#: Documents that a task sends to Python at a time. Spark's 10,000 are a task's whole share, and it, its copy in Python and what is made of it stand in memory at once.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """No more than BATCH_ROWS rows to a batch from now on: a stage's last step runs when its result is written, so it is not set back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the prior's score and stay.
     """
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     name = unused("toxicity", docs.columns)
     return toxicity.scored(docs, model, name=name).filter(F.col(name) < TOXIC).select(*docs.columns)
@@ -32,6 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or with letters in an order of no language that the corpus names, go."""
+    small_batches(spark)
     pred, score = unused("lang_pred", docs.columns), unused("lang_score", docs.columns)
     found = language_id.identified(docs, language_id.fit(docs), pred=pred, score=score)
     return found.filter((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= LEAST_COSINE)).select(*docs.columns)
@@ -43,6 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A row is known by its doc_id and its text's hash; only those are joined back. Of
     rows that repeat both, one stays. Rows without a doc_id stay.
     """
+    small_batches(spark)
     found = settled(simhash.similar_texts(docs, radius=RADIUS, shingle=SHINGLE, least=SIMILAR).filter("doc_id IS NOT NULL"), "similar")
     own = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("print") == F.col("component.print"))
     of, is_print = unused("gone_id", docs.columns), unused("gone_print", docs.columns)
@@ -64,6 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of every document, with its sequence and place; null and empty texts are the end token alone."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, limit=LIMIT, special=packing.special_tokens(public_tokenizers.path(TOKENIZER)))
 
 

@@ -29,6 +29,8 @@ PART = 64
 BROADCAST_TEXTS = 1 << 20
 #: Prefixes of similar texts share so many shingles; of one text in SAMPLED the most frequent shingles are learned, FREQUENT at most. They say only in which order shingles are taken.
 SHARED, SAMPLED, FREQUENT = 3, 32, 1 << 16
+#: Longs of a set's mark: they tell sets of some 500 shingles apart before a pair of them is a row.
+MARKS = 4
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -302,11 +304,21 @@ def prefix(shingles: np.ndarray, least: float, frequent: tuple[np.ndarray, np.nd
     return shingles[np.lexsort((shingles, level))][: len(shingles) - need + min(SHARED, need)]
 
 
+def mark(shingles: np.ndarray) -> np.ndarray:
+    """MARKS longs: of each class of shingles whether the set holds an odd number.
+
+    A shingle that only one of two sets holds changes one bit at most, so their marks differ in no more bits than there are such shingles.
+    """
+    odd = np.bincount((shingles % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _missed(rows: DataFrame, classes: DataFrame, rooted: DataFrame, shingle: int, least: float) -> DataFrame:
     """(left, right): every pair of texts of different ``rooted`` groups (digest, root) that may be as similar as ``least``.
 
     Shingles that only texts of one group have in their prefixes are left out, so a large group
-    of copies lists no pairs; what is left of it are texts of its kind that are not in it. Nothing else is.
+    of copies lists no pairs; what is left of it are texts of its kind that are not in it. Two sets of sizes m and n that are so similar
+    differ in (m + n) (1 - least) / (1 + least) shingles at most; pairs whose marks differ in more bits do not leave the join. Nothing else is left out.
     """
     frequent = _frequent(rows, shingle)
 
@@ -314,19 +326,24 @@ def _missed(rows: DataFrame, classes: DataFrame, rooted: DataFrame, shingle: int
         for batch in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), shingle)[0]) for x in batch.column(1)]
             tokens = pa.array([prefix(x, least, frequent).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), tokens], names=["print", "size", "tokens"])
+            marks = pa.array([mark(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), tokens, marks], names=["print", "size", "tokens", "marks"])
 
     reps = classes.select("digest", F.col("print").alias("of"))
-    found = rows.select("print", "text").mapInArrow(run, "print long, size long, tokens array<long>").join(reps, F.col("print") == F.col("of"))
-    once = found.groupBy("digest").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))  # rows of one text are equal
+    found = rows.select("print", "text").mapInArrow(run, "print long, size long, tokens array<long>, marks array<long>").join(reps, F.col("print") == F.col("of"))
+    once = found.groupBy("digest").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks"))  # rows of one text are equal
     numbered = settled(once.withColumn("id", F.monotonically_increasing_id()), "prefixes")
     ids = settled(numbered.select("digest", "id").join(rooted, "digest").select("digest", "id", "root"), "ids")
     roots = ids.join(ids.select(F.col("digest").alias("of"), F.col("id").alias("group")), F.col("root") == F.col("of")).select(F.col("id").alias("mine"), "group")
     placed = settled(numbered.select("id", "size", "tokens").join(roots, F.col("id") == F.col("mine")).select("id", "group", "size", "tokens"), "placed").select("id", "group", "size", F.explode("tokens").alias("token"))
     mixed = placed.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
-    met = settled(placed.join(mixed, "token", "left_semi"), "met")
-    other = met.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "group", "size")])
+    marks = [f"mark{k}" for k in range(MARKS)]
+    marked = numbered.select(F.col("id").alias("of"), *[F.col("marks")[k].alias(c) for k, c in enumerate(marks)])
+    met = settled(settled(placed.join(mixed, "token", "left_semi"), "mixed").join(marked, F.col("id") == F.col("of")).drop("of"), "met")
+    other = met.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "group", "size", *marks)])
     fits = (F.col("group") != F.col("group2")) & (F.col("id") < F.col("id2")) & (F.least("size", "size2") >= least * F.greatest("size", "size2") - 1e-6)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in marks])
+    fits &= apart <= (F.col("size") + F.col("size2")) * ((1 - least) / (1 + least)) + 1e-6
     both = met.join(other, "token").filter(fits).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("size", "size2")).alias("m"))
     pairs = both.filter(F.col("n") >= F.least(F.lit(SHARED), F.ceil(least * F.col("m") - 1e-6))).select("id", "id2")
     a = ids.select(F.col("id").alias("a"), F.col("digest").alias("left"))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -552,6 +553,50 @@ def test_prefixes_of_similar_sets_meet():
             assert met >= min(simhash.SHARED, np.ceil(0.8 * min(len(a), len(b)) - 1e-6))
 
 
+def test_pairs_whose_marks_differ_are_not_listed(spark):
+    """Short texts that share a passage have prefixes that meet, and are no pairs; a similar pair among them is."""
+    rng = random.Random(12)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    passage = line(40)
+    texts = [f"{passage} {line(40)}" for _ in range(60)]
+    texts.append(f"{texts[7]} more")
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").withColumn("print", F.xxhash64("text"))
+    classes = rows.select(F.encode("text", "utf-8").alias("digest"), "print")
+    found = simhash._missed(rows, classes, classes.select("digest", F.col("digest").alias("root")), 5, 0.8).collect()
+    assert [sorted(bytes(x).decode() for x in r) for r in found] == [sorted([texts[7], texts[60]])]
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64)
+        a, b = (np.unique(np.where(rng.random(len(base)) < 0.1, rng.integers(0, 1 << 63, len(base)).astype(np.uint64), base)) for _ in range(2))
+        bits = np.unpackbits((simhash.mark(a) ^ simhash.mark(b)).view(np.uint8)).sum()
+        assert bits <= len(np.setxor1d(a, b)) and simhash.mark(a).shape == (simhash.MARKS,)
+
+
+def test_pipeline_sends_small_batches_to_python(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), table(spark, DIR, "documents")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": [batch.num_rows]})
+
+    try:
+        for step, stage in corpus_pipeline.STAGES:
+            if step != "source_mixing":
+                spark.conf.set(name, "10000")
+                stage(spark, docs, DIR)
+                assert max(r["id"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "id long").collect()) <= corpus_pipeline.BATCH_ROWS, step
+        spark.conf.set(name, "7")
+        corpus_pipeline.drop_near_duplicates(spark, docs, DIR)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pipeline_near_duplicates_on_tables(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     where = "/root/testdata/sf0.01"
